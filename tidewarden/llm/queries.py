@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import idfiles, packing, simhash, tokens
+from . import curves, idfiles, packing, simhash, tokens
 from .storage import table
 
 
+def op2_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.nearest(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
+
+
 def op3_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(tokens.encode_documents(table(spark, sf_dir, "documents")))
 
@@ -29,5 +33,5 @@ def op6_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op3_forced_bpe, op4_simhash, op5_packing, op6_id_files)}
+QUERIES = {f.__name__: f for f in (op2_hilbert_neighbours, op3_forced_bpe, op4_simhash, op5_packing, op6_id_files)}
 ORACLE_SQL: dict[str, str] = {}
