@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curves, idfiles, packing, simhash, tokens
+from . import curves, idfiles, licences, packing, secrets, simhash, tokens
 from .storage import table
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.report(licences.scan_licences(table(spark, sf_dir, "documents")))
+
+
 def op2_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.nearest(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
 
@@ -33,5 +37,9 @@ def op6_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op2_hilbert_neighbours, op3_forced_bpe, op4_simhash, op5_packing, op6_id_files)}
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_licences, op2_hilbert_neighbours, op3_forced_bpe, op4_simhash, op5_packing, op6_id_files, op8_secrets)}
 ORACLE_SQL: dict[str, str] = {}
