@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curves, idfiles, licences, packing, secrets, simhash, tokens
+from . import bytecnn, curves, idfiles, language, licences, packing, quality_rules, secrets, simhash, tokens
 from .storage import table
 
 
@@ -37,9 +37,21 @@ def op6_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_licences, op2_hilbert_neighbours, op3_forced_bpe, op4_simhash, op5_packing, op6_id_files, op8_secrets)}
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytecnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_licences, op2_hilbert_neighbours, op3_forced_bpe, op4_simhash, op5_packing, op6_id_files, op7_quality_rules, op8_secrets, op9_language, op10_byte_cnn)}
 ORACLE_SQL: dict[str, str] = {}

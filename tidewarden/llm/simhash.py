@@ -26,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -57,15 +57,16 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (the 64 bits as a signed long)."""
+    """doc_id, mark (XXH64 of the text), fingerprint (the 64 bits as a signed long)."""
 
     def run(batches):
         for batch in batches:
-            values = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fingerprint"])
+            values = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], ["doc_id", "mark", "fingerprint"])
 
     arrow_rows(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, mark long, fingerprint long")
 
 
 def forest(values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -149,12 +150,34 @@ def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     return rows.mapInArrow(_edges_by_key, "a long, b long").distinct()
 
 
+def classes(prints: DataFrame, hot: int = HOT) -> DataFrame:
+    """fingerprint, label (one fingerprint of its class), first (smallest doc_id of the fingerprint)."""
+    distinct = materialise(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    labels = connected_components(links(distinct, hot)).withColumnRenamed("node", "fp")
+    found = distinct.join(labels, "fp", "left").select(F.col("fp").alias("fingerprint"), F.coalesce("label", "fp").alias("label"), "first")
+    return materialise(found, "classes")
+
+
 def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, fingerprint, component_id of every row."""
     prints = materialise(fingerprints(docs), "fingerprints")
-    distinct = materialise(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    labels = connected_components(links(distinct, hot)).withColumnRenamed("node", "fp")
-    labelled = materialise(distinct.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labels")
-    names = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    classes = labelled.join(names, "label").select(F.col("fp").alias("fingerprint"), "component_id")
-    return prints.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    found = classes(prints, hot)
+    names = found.groupBy("label").agg(F.min("first").alias("component_id"))
+    return prints.join(found.join(names, "label").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def keep_first(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """One row of each class: that of the smallest doc_id (nulls last), ties by a hash of the text.
+
+    The rows' ids and hashes alone go through the search; the texts are shuffled once,
+    for the last join.
+    """
+    prints = materialise(fingerprints(docs), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    per_print = prints.groupBy("fingerprint").agg(F.min(row).alias("row"))
+    kept = classes(prints, hot).join(per_print, "fingerprint").groupBy("label").agg(F.min("row").alias("row"))
+    keys = kept.select(F.col("row.doc_id").alias("_id"), F.col("row.mark").alias("_mark"))
+    rows = docs.withColumn("_own", F.xxhash64("text"))
+    found = rows.join(keys, rows["_own"].eqNullSafe(keys["_mark"]) & rows["doc_id"].cast("long").eqNullSafe(keys["_id"]), "left_semi")
+    once = Window.partitionBy("_own", "doc_id").orderBy(F.lit(1))
+    return found.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select(*docs.columns)
