@@ -1,0 +1 @@
+"""Column functions, vocabularies and scoring hooks."""

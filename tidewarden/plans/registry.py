@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+from .evaluation import ORACLE as _A
+from .evaluation import QUERIES as _a
+from .events import ORACLE as _B
+from .events import QUERIES as _b
+from .text import ORACLE as _C
+from .text import QUERIES as _c
+from .dataset import ORACLE as _D
+from .dataset import QUERIES as _d
+
 FLAGSHIP = "metric_rollup"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict = {**_a, **_b, **_c, **_d}
+ORACLE_SQL: dict[str, str] = {**_A, **_B, **_C, **_D}
