@@ -176,8 +176,9 @@ def keep_first(docs: DataFrame, hot: int = HOT) -> DataFrame:
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     per_print = prints.groupBy("fingerprint").agg(F.min(row).alias("row"))
     kept = classes(prints, hot).join(per_print, "fingerprint").groupBy("label").agg(F.min("row").alias("row"))
-    keys = kept.select(F.col("row.doc_id").alias("_id"), F.col("row.mark").alias("_mark"))
-    rows = docs.withColumn("_own", F.xxhash64("text"))
-    found = rows.join(keys, rows["_own"].eqNullSafe(keys["_mark"]) & rows["doc_id"].cast("long").eqNullSafe(keys["_id"]), "left_semi")
-    once = Window.partitionBy("_own", "doc_id").orderBy(F.lit(1))
+    key = lambda doc_id, mark: [F.coalesce(doc_id, F.lit(0)).alias("_id"), doc_id.isNull().alias("_none"), mark.alias("_own")]
+    names = ["_id", "_none", "_own"]  # plain columns: the window below finds the join's partitions as it needs them
+    rows = docs.select(*docs.columns, *key(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    found = rows.join(kept.select(*key(F.col("row.doc_id"), F.col("row.mark"))), names, "left_semi")
+    once = Window.partitionBy(*names).orderBy(F.lit(1))
     return found.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select(*docs.columns)
