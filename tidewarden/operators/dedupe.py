@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..sources.shared import materialise
 
 SIZE = 5
@@ -20,8 +21,8 @@ THRESHOLD = (4, 5)
 
 def shingles(text: Column, size: int = SIZE) -> Column:
     """Distinct windows of ``size`` characters of the lower-cased text; one at least."""
-    low = F.lower(text)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - size + 1)), lambda i: F.substr(low, i, F.lit(size))))
+    windows = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(c) - size + 1)), lambda i: F.array_join(F.slice(c, i, size), ""))
+    return F.array_distinct(let(F.split(F.lower(text), ""), windows))
 
 
 def _sets(df: DataFrame, key: str, text: str) -> DataFrame:
