@@ -6,14 +6,14 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 
 def read_batches(spark: SparkSession, folder: str, schema: str, skip_prefix: str = "review_") -> tuple[DataFrame, DataFrame]:
     """(rows with _file, bad rows): every *.jsonl but those of a prefix; bad lines are kept apart, not thrown."""
-    full = StructType.fromDDL(f"{schema}, _corrupt_record string")
-    rows = spark.read.schema(full).option("pathGlobFilter", "*.jsonl").json(folder)
-    rows = rows.withColumn("_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).filter(~F.col("_file").startswith(skip_prefix))
+    full = f"{schema}, _corrupt_record string"
+    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(folder).filter(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", full, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("_file"))
+    rows = rows.select("r.*", "_file").filter(~F.col("_file").startswith(skip_prefix))
     return rows.filter("_corrupt_record is null").drop("_corrupt_record"), rows.filter("_corrupt_record is not null").select("_file", "_corrupt_record")
 
 
