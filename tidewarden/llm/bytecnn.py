@@ -136,11 +136,10 @@ def train(rows: list[tuple[int, str, int]], share: float | None = None, epochs:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network:
-    known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1)").dropDuplicates(["doc_id"])
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1)")
     counts = {r[0]: r[1] for r in known.filter(~held_out()).groupBy("quality").count().collect()}
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(known, "doc_id")
     total = sum(counts.values())
-    return train(labelled_sample(rows, "quality", per_class, MAX_CHARS), counts.get(1, 0) / total if total else None)
+    return train(labelled_sample(docs, known, "quality", per_class, MAX_CHARS), counts.get(1, 0) / total if total else None)
 
 
 def score(docs: DataFrame, net: Network, columns: list[str], into: str = "score") -> DataFrame:

@@ -122,7 +122,7 @@ def train(rows: list[tuple[int, str, str]], epochs: int = EPOCHS) -> Model:
 
 
 def fit(docs: DataFrame, per_class: int = PER_CLASS) -> Model:
-    return train(labelled_sample(docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang"), "lang", per_class, MAX_CHARS))
+    return train(labelled_sample(docs, docs, "lang", per_class, MAX_CHARS))
 
 
 def predict(docs: DataFrame, model: Model, columns: list[str], into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -1,10 +1,11 @@
 """Bounded samples of labelled rows for the classifiers.
 
 The rule is one for all sizes: rows whose crc32(doc_id as text) mod 5 is not 0 may
-be learned from; of each class, rows are taken by a hash of doc_id with the rate
-that gives about ``per_class`` of them; at most twice that reach the driver.  Texts
-of more than ``max_chars`` characters are not learned from.  Rates come from counts
-over all rows, without reading the texts.
+be learned from; of each class, ids are taken by a hash of doc_id with the rate that
+gives about ``per_class`` of them, and at most twice that many reach the driver.
+Rates come from counts over all rows.  Only then are the chosen ids' texts read, by
+a join that broadcasts those few ids, so no text is shuffled.  Texts of more than
+``max_chars`` characters are not learned from.
 """
 
 from __future__ import annotations
@@ -18,17 +19,26 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def labelled_sample(rows: DataFrame, label: str, per_class: int, max_chars: int) -> list[tuple[int, str, object]]:
-    """(doc_id, text, label) of the sample, in an order that the doc_ids decide."""
-    rows = rows.filter(~held_out() & F.col(label).isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count")).limit(1000).collect()}
+def sample_keys(keys: DataFrame, label: str, per_class: int) -> list[tuple[int, object]]:
+    """(doc_id, label) of the rows to learn from; an id of several labels counts by its least."""
+    keys = keys.select(F.col("doc_id").cast("long").alias("doc_id"), label).filter(~held_out() & F.col(label).isNotNull())
+    counts = {r[0]: r[1] for r in keys.groupBy(label).count().orderBy(F.desc("count")).limit(1000).collect()}
     if not counts:
         return []
     scale = 1 << 30
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(scale))
     rate = F.lit(0)
     for value, n in counts.items():
         rate = F.when(F.col(label) == F.lit(value), F.lit(min(scale, scale * per_class // n + 1))).otherwise(rate)
-    taken = rows.filter((place < rate) & (F.length("text") <= max_chars)).select(F.col("doc_id").cast("long"), "text", label, F.xxhash64("doc_id").alias("place"))
-    found = sorted(taken.limit(2 * per_class * len(counts)).collect(), key=lambda r: (r.place, r.doc_id, r.text))
-    return [(r.doc_id, r.text, r[label]) for r in found]
+    taken = keys.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < rate).groupBy("doc_id").agg(F.min(label).alias(label))
+    return [(r.doc_id, r[label]) for r in taken.limit(2 * per_class * len(counts)).collect()]
+
+
+def labelled_sample(docs: DataFrame, keys: DataFrame, label: str, per_class: int, max_chars: int) -> list[tuple[int, str, object]]:
+    """(doc_id, text, label) of the sample, in an order that the doc_ids decide."""
+    chosen = dict(sample_keys(keys, label, per_class))
+    if not chosen:
+        return []
+    ids = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in chosen], "doc_id long"))  # 2 * per_class ids a class at most
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id")
+    found = rows.filter(F.length("text") <= max_chars).withColumn("place", F.xxhash64("doc_id")).limit(2 * len(chosen)).collect()
+    return [(r.doc_id, r.text, chosen[r.doc_id]) for r in sorted(found, key=lambda r: (r.place, r.doc_id, r.text))]

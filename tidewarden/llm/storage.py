@@ -1,48 +1,12 @@
-"""Shared-folder helpers: where intermediate tables and output files go.
-
-Everything that outlives one stage is written below the folder the cluster
-names in ``spark.checkpoint.dir``.  Only where that setting is absent (tests,
-notebooks) a folder of our own is used.  No local checkpoint is ever taken.
-"""
+"""The shared-folder helpers of the library, and the tables' reader."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows per Arrow batch handed to Python: documents can be long, so batches stay small.
-ARROW_ROWS = 1000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Root of the shared folder; sets one only where the session has none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tidewarden-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..sources.shared import ARROW_ROWS, arrow_rows, materialise, new_path, shared_dir
 
-def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Lower the Arrow batch size to ``rows`` unless it is lower already."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+__all__ = ["ARROW_ROWS", "arrow_rows", "materialise", "new_path", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
