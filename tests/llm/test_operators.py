@@ -1,0 +1,404 @@
+"""The ten operators against brute force, exact round trips and held-out accuracy."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidewarden.llm import bytecnn, curves, forced_bpe, idfiles, language, licences, packing, quality_rules, secrets, simhash, tokens
+
+ODD = [None, "", " ", "same text here", "same text here", "x", "İstanbul ΣΑΣ １２３ 日本語", "<|endoftext|> a", "a\x1cb", "don't 'S l'été ÀÉÿ 1234 a1b2!!", "😀 oḱ é", "word " * 3000, "q" * 400]
+
+
+@pytest.fixture(scope="module")
+def texts(spark, tiny):
+    return [r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").orderBy("doc_id").collect()]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    """Own and odd texts, a null id, a repeated row and columns of clashing names."""
+    rows = [(i, t) for i, t in enumerate(texts[:120] + ODD)] + [(None, "null id"), (3, texts[3])]
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumns({"ids": F.lit(1), "spans": F.lit("x"), "score": F.lit(2), "fp": F.lit(0), "label": F.lit(9), "key": F.lit(1), "n": F.lit(1)}).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(forced_bpe.resolve(forced_bpe.DEFAULT_VOCABULARY))
+
+
+def rows_of(docs):
+    return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+
+
+# -- 3 --------------------------------------------------------------------------
+def test_bpe_equals_library(library):
+    enc, rnd = forced_bpe.ForcedBoundaryEncoder(), random.Random(1)
+    fuzz = ["".join(rnd.choice("abcdefgqxzéßüñ'.,!0123 \n") for _ in range(rnd.randint(1, 70))) for _ in range(3000)] + [t or "" for t in ODD]
+    for text, raw in zip(fuzz, enc.encode_batch(fuzz)):
+        ids = np.frombuffer(raw, enc.dtype).tolist()
+        assert ids == library.encode(text, add_special_tokens=False).ids, text
+        assert enc.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_forced_cut_inside_a_pretoken():
+    enc = forced_bpe.ForcedBoundaryEncoder()
+    pair = next((a, b) for a, b in itertools.product(range(97, 123), repeat=2) if (a, b) not in enc.inside)
+    word = "th" + chr(pair[0]) + chr(pair[1]) + "ing"
+    assert len(enc._pieces(word)) > 1
+    assert enc.encode(word).tolist() == enc.library.encode(word, add_special_tokens=False).ids
+
+
+def test_bpe_small_tables(monkeypatch, library):
+    monkeypatch.setattr(forced_bpe, "KEEP_ROWS", 8)
+    enc = forced_bpe.ForcedBoundaryEncoder()
+    for text in ["the quick brown fox jumps over it all, again and again. " * 3, "x" * 100 + " y"]:
+        assert enc.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_query(docs, empty, library):
+    got = tokens.digests(tokens.encode_documents(docs)).collect()
+    want = []
+    for i, t in rows_of(docs):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert tokens.encode_documents(empty).count() == 0
+
+
+# -- 1 --------------------------------------------------------------------------
+def test_licences(docs, empty):
+    phrase = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = {i: i + 32 for i in range(65, 91)}
+    for r in licences.report(licences.scan_licences(docs.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" see MIT-License; CC BY cc/by ")))).withColumn("places", F.col("places"))).collect():
+        assert r.n_base >= 3 and "cc-by" in r.base_labels and "mit" in r.base_labels and r.first_word <= r.n_words - 6 and r.last_word == r.n_words - 2
+    for r in licences.scan_licences(docs).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
+        words = phrase.findall((r.text or "").translate(lower))
+        want = sorted(i for p in licences.PHRASES for i in range(len(words)) if words[i : i + len(p.split())] == p.split())
+        assert (r.n_words, r.places) == (len(words), want) and set(r.base_labels) <= set(r.labels) and 0 <= r.score <= 1
+    assert licences.scan_licences(empty).count() == 0
+
+
+@pytest.mark.parametrize("t", range(len(licences.TEMPLATES)))
+def test_licence_notices(t):
+    label, notice, _ = licences.TEMPLATES[t]
+    found = licences.scan("some words before\n" + notice.upper().replace(" ", "  ") + " and after. " * 30)
+    assert label in found[3] and found[4] > 0.9
+    shuffled = notice.split()
+    random.Random(3).shuffle(shuffled)
+    assert label not in licences.scan(" ".join(shuffled))[3]
+
+
+# -- 2 --------------------------------------------------------------------------
+def brute_nearest(rows, k):
+    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    out = {}
+    for i, v in good:
+        if i % 100 == 0:
+            near = sorted((float(np.sqrt(((v - w) ** 2).sum())), j) for j, w in good if j != i)
+            out[i] = near[:k]
+    return out
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(900, 16)))]
+    rows += [(1000 + i, rows[5][1]) for i in range(150)] + [(2000, None), (2100, [0.0] * 16), (2200, [float("nan")] * 16), (2300, [None] * 16), (2400, [1.0]), (None, rows[0][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("key", F.lit(1))
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    want = brute_nearest([r for r in rows if not r[1] or len(r[1]) == 16], 10)
+    got = {}
+    for r in curves.nearest(df, F.pmod("vec_id", F.lit(100)) == 0).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.score, r.vec_id)
+    assert got.keys() == want.keys()
+    hits = sum(len({x[1] for x in want[q]} & {x[1] for x in got[q].values()}) for q in want)
+    assert hits >= 0.9 * sum(map(len, want.values()))
+    for q, own in got.items():
+        listed = [own[k] for k in sorted(own)]
+        assert sorted(own) == list(range(1, len(own) + 1)) and listed == sorted(listed)
+    assert got[1000] == {k + 1: x for k, x in enumerate(want[1000])}  # copies: the smallest ids
+
+
+def test_nearest_few_and_none(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r.query_id, r.vec_id) for r in curves.nearest(df, F.col("vec_id") == 0).collect()] == [(0, 1)]
+    assert curves.nearest(df.filter("false"), F.col("vec_id") == 0).count() == 0
+    assert curves.nearest(df, F.col("vec_id") == 7).count() == 0
+
+
+def test_hilbert_is_a_walk():
+    cells = np.array(list(itertools.product(range(8), repeat=3)))
+    order = cells[np.argsort(curves.hilbert_index(cells, 3))]
+    assert sorted(curves.hilbert_index(cells, 3).tolist()) == list(range(512))
+    assert (np.abs(np.diff(order, axis=0)).sum(1) == 1).all()
+
+
+# -- 4 --------------------------------------------------------------------------
+def brute_print(text):
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
+    grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def brute_classes(prints):
+    labels = dict.fromkeys(prints)
+    names = {p: p for p in prints}
+
+    def root(x):
+        while names[x] != x:
+            x = names[x]
+        return x
+
+    for a, b in itertools.combinations(labels, 2):
+        if (a ^ b).bit_count() <= 3:
+            names[root(a)] = root(b)
+    return {p: root(p) for p in prints}
+
+
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_simhash(docs, hot):
+    rows = rows_of(docs)
+    prints = [brute_print(t) for _, t in rows]
+    label = brute_classes(set(prints))
+    first = {}
+    for (i, _), p in zip(rows, prints):
+        if i is not None:
+            first[label[p]] = min(i, first.get(label[p], i))
+    got = simhash.near_duplicates(docs, hot).collect()
+    want = [(i, p - (1 << 64) if p >> 63 else p, first.get(label[p])) for (i, _), p in zip(rows, prints)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    kept = simhash.keep_first(docs, hot)
+    assert kept.columns == docs.columns and kept.count() == len(set(label.values()))
+
+
+def test_simhash_links_lose_nothing(spark):
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    prints = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 9))) for b in base for _ in range(120)}
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long").withColumn("first", F.lit(0))
+    want = brute_classes(prints)
+    for hot in (4096, 3):
+        own = {p: p for p in prints}
+
+        def root(x):
+            while own[x] != x:
+                x = own[x]
+            return x
+
+        edges = simhash.links(df, hot).collect()
+        for r in edges:
+            a, b = r.a % (1 << 64), r.b % (1 << 64)
+            assert (a ^ b).bit_count() <= 3
+            own[root(a)] = root(b)
+        groups = {}
+        for p in prints:
+            groups.setdefault(root(p), set()).add(p)
+        expected = {}
+        for p, w in want.items():
+            expected.setdefault(w, set()).add(p)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
+def test_simhash_empty(empty):
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_first(empty).count() == 0
+
+
+# -- 5 --------------------------------------------------------------------------
+def test_best_fit():
+    rng = np.random.default_rng(0)
+    sizes = rng.integers(1, 100, 500)
+    bins = packing.best_fit(sizes, 100)
+    assert sorted(i for b in bins for i in b) == list(range(500)) and all(sizes[b].sum() <= 100 for b in bins)
+    bins = packing.best_fit(rng.integers(1, 50, 500), 100)
+    assert packing.best_fit([], 10) == []
+    small = rng.integers(1, 50, 500)
+    assert len(packing.best_fit(small, 100)) <= -(-int(small.sum()) // 100) * 1.02
+
+
+@pytest.mark.parametrize("settings", [{}, {"capacity": 64, "fan_in": 2, "carry": 3}])
+def test_packing(docs, empty, library, settings):
+    capacity = settings.get("capacity", 2048)
+    want = []
+    for i, t in rows_of(docs):
+        ids = np.array(library.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+        want += [(i, k, s, len(ids[s : s + capacity]), zlib.crc32(ids[s : s + capacity].tobytes())) for k, s in enumerate(range(0, len(ids), capacity))]
+    got = packing.placed_pieces(packing.pack_documents(docs, **settings)).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
+    places = {}
+    for r in got:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in places.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    assert len(places) <= 1.1 * sum(r.length for r in got) / capacity + 2
+    assert packing.pack_documents(empty, **settings).count() == 0
+
+
+# -- 6 --------------------------------------------------------------------------
+def test_elias_fano():
+    rng = np.random.default_rng(1)
+    for n, top in ((1, 5), (2000, 1), (3000, 400), (1000, 100_000)):
+        values = np.concatenate([[0], np.cumsum(rng.integers(0, top, n))])
+        low, lows, highs, samples = idfiles.elias_fano(values)
+        b = idfiles.Boundaries(len(values), low, lows, highs, samples)
+        assert (b.all() == values).all() and [b.select(i) for i in range(len(values))] == values.tolist()
+        assert len(lows) + len(highs) <= (low + 3) * len(values) / 8 + 16
+
+
+def test_id_files(spark, docs, empty, library):
+    folder = idfiles.new_folder(spark)
+    manifest = idfiles.write_id_files(docs, folder, shard_bytes=4000)
+    assert manifest.count() > 4
+    got = idfiles.read_id_files(spark, folder, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("crc")).collect()
+    ids = lambda t: np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+    assert sorted(((r.doc_id, r.n_tokens, r.crc) for r in got), key=str) == sorted(((i, len(ids(t)), zlib.crc32(ids(t).tobytes())) for i, t in rows_of(docs)), key=str)
+    in_order = sorted(got, key=lambda r: r.start)
+    assert [r.doc_id or -1 for r in in_order] == sorted(r.doc_id or -1 for r in got)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(in_order, in_order[1:])) and in_order[0].start == 0
+    other = idfiles.new_folder(spark)
+    assert idfiles.read_id_files(spark, other, idfiles.write_id_files(empty, other)).count() == 0
+
+
+# -- 7 --------------------------------------------------------------------------
+def brute_rules(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    seen = {}
+    for i in range(len(w) - 7):
+        seen.setdefault(tuple(w[i : i + 8]), []).append(i)
+    covered = {p for at in seen.values() if len(at) > 1 for i in at for p in range(i, i + 8)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_rules(spark, docs, empty):
+    extra = spark.createDataFrame([(500, "a b c d e f g h " * 9), (501, "one\n\n one\none\n#$ <>"), (502, " ".join(map(str, range(7)))), (503, " ".join(map(str, range(8))))], "doc_id long, text string")
+    all_docs = docs.select("doc_id", "text").unionByName(extra)
+    got = quality_rules.judge(all_docs).collect()
+    assert sorted(((r.doc_id, *tuple(r)[1:6]) for r in got), key=str) == sorted(((i, *brute_rules(t)) for i, t in rows_of(all_docs)), key=str)
+    for r in got:
+        assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.base_failed and r.kept)
+    assert quality_rules.judge(empty).count() == 0
+    plan = quality_rules.judge(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan.replace("Exchange hashpartitioning", "").replace("Exchange RoundRobin", "")
+
+
+def test_quality_rules_keep_clean_rows(spark, tiny):
+    judged = quality_rules.judge(spark.read.parquet(f"{tiny}/documents.parquet")).join(spark.read.parquet(f"{tiny}/labels.parquet"), "doc_id")
+    rows = judged.filter("quality = 1 and not base_failed").collect()
+    assert rows and all(r.kept for r in rows)
+    assert any(not r.kept for r in judged.filter("quality = 0").collect())
+
+
+# -- 8 --------------------------------------------------------------------------
+def brute_spans(text):
+    text = text or ""
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 24]
+    return sorted(found)
+
+
+def test_secrets(spark, docs, empty, texts):
+    extra = ["API_KEY = 'abcdef123'", "paſſword: abcdef1", "Token:abc", "AKIA" + "A1" * 9 + " x AKIA12", "é" * 5 + "0123456789abcdef01234567", "toKen=" + "deadbeef" * 4]
+    for text in texts + extra + [t for t in ODD if t]:
+        assert secrets.base_spans(text) == brute_spans(text)
+    got = secrets.report(secrets.find_secrets(docs)).collect()
+    want = {i: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in brute_spans(t)) for i, t in rows_of(docs)}
+    for r in got:
+        assert r.base_sha256 == hashlib.sha256(want[r.doc_id].encode()).hexdigest()
+        assert set(filter(None, want[r.doc_id].split(","))) <= set(r.spans.split(","))
+    assert secrets.find_secrets(empty).count() == 0
+
+
+def test_crf_on_unseen_lines():
+    model, tp, fp, fn = secrets.tagger(), 0, 0, 0
+    for text, spans in secrets.generated_lines(400, seed=99):
+        base = [(a, b) for a, _, b in secrets.base_spans(text)]
+        free = [s for s in spans if not any(a < s[1] and s[0] < b for a, b in base)]
+        inside = {p for s in free for p in range(*s)}
+        found = {p for a, k, b in secrets.scan(text, model) if k == 3 for p in range(a, b)}
+        tp, fp, fn = tp + len(inside & found), fp + len(found - {p for s in spans for p in range(*s)} - {p for p in found if text[p] in " '"}), fn + len(inside - found)
+    assert tp / (tp + fn) > 0.85 and tp / (tp + fp) > 0.9
+
+
+def test_crf_runs_decode_as_the_whole_chain():
+    model = secrets.tagger()
+    text = "key: " + "aB3dE5gH7jK9mN1pQ" + " " + "zY8xW6vU4tS2rQ0pO" + " and the plain words version-1.2.3-beta end"
+    kinds = [k for _, k, _ in secrets.scan(text, model)]
+    assert kinds.count(3) >= 1
+
+
+def test_masking(docs):
+    assert secrets.mask("a SECRET=abcdefg b", secrets.base_spans("a SECRET=abcdefg b")) == "a <SECRET> b"
+    assert secrets.mask(None, []) is None
+    masked = secrets.mask_secrets(docs)
+    assert masked.columns == docs.columns and masked.count() == docs.count()
+
+
+# -- 9, 10 ------------------------------------------------------------------------
+def fold(i):
+    return zlib.crc32(str(i).encode()) % 5 == 0
+
+
+def test_language(spark, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = spark.createDataFrame([(90001, None, None), (90002, "12 34 !!", "en"), (90003, "", "fr")], "doc_id long, text string, lang string")
+    rows = docs.select("doc_id", "text", "lang").unionByName(odd)
+    got = {r.doc_id: r for r in language.identify(rows).collect()}
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    out = [i for i in lang if fold(i)]
+    assert all(got[i].held_out == fold(i) for i in lang)
+    assert np.mean([got[i].lang_pred == lang[i] for i in out]) > 0.97
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (90001, 90002, 90003))
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert language.identify(empty).count() == 0
+    assert {r.lang_pred for r in language.identify(odd).collect()} == {"und"}
+
+
+def test_language_ignores_other_columns(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(200)
+    model = language.fit(docs)
+    a = {r.text: r.lang_pred for r in language.predict(docs, model, ["text"]).collect()}
+    b = {r.text: r.lang_pred for r in language.predict(docs.withColumn("lang", F.lit("xx")), model, ["text"]).collect()}
+    assert a == b
+
+
+def test_quality_classifier(spark, empty):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in bytecnn.classify(docs, labels).collect()}
+    truth = {r.doc_id: r.quality for r in labels.collect() if fold(r.doc_id) and r.doc_id in got}
+    good, bad = ([got[i].score for i, q in truth.items() if q == v] for v in (1, 0))
+    assert np.mean([[g > b for b in bad] for g in good]) > 0.9
+    assert np.mean([got[i].predicted == 1 for i, q in truth.items() if q == 1]) > 0.97
+    assert all(r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in got.values())
+    assert bytecnn.classify(empty, labels).count() == 0
+    assert {r.score for r in bytecnn.classify(docs.limit(5), labels.filter("false")).collect()} == {0.5}
+
+
+def test_chunks_cover_everything():
+    for n in (0, 1, 5, 1000, 1024, 1025, 5000):
+        text = "".join(chr(97 + i % 26) for i in range(n))
+        chunks = bytecnn.chunks_of(text)
+        step = bytecnn.CHUNK - bytecnn.OVERLAP
+        data = bytearray(step * (len(chunks) - 1) + chunks.shape[1])
+        for i, c in enumerate(chunks):
+            data[i * step : i * step + len(c)] = bytes(c)
+        assert bytes(data[:n]).decode() == text

@@ -47,7 +47,7 @@ TEMPLATES = (
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications", ("permission is granted to anyone to use this software",)),
     ("boost", "boost software license version 1 0 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("boost software license",)),
 )
-MAX_NOTICES = 2
+MAX_NOTICES = 3
 SLACK = 3
 MIN_SHARE = 0.6
 

@@ -91,12 +91,16 @@ def forest(values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.nda
 
 def _keyed(distinct: DataFrame) -> DataFrame:
     """Rows (seg, key, probe, fp): each table entry and each probe of its balls."""
-    entries = []
-    for seg in (0, 1):
+
+    def row(seg: int, value, probe: bool):
+        return F.struct(F.lit(seg).cast("byte").alias("seg"), value.alias("key"), F.lit(probe).alias("probe"))
+
+    def of_segment(seg: int):
         value = F.shiftrightunsigned("fp", 32 * seg).bitwiseAND(F.lit(0xFFFFFFFF))
         flips = F.expr(f"transform(filter(sequence(0, 31), b -> bit_get(fp, b + {32 * seg}) = 0), b -> shiftleft(1L, b))")
-        probes = F.transform(flips, lambda x, v=value: F.struct(F.lit(seg).cast("byte").alias("seg"), v.bitwiseOR(x).alias("key"), F.lit(True).alias("probe")))
-        entries.append(F.array_append(probes, F.struct(F.lit(seg).cast("byte").alias("seg"), value.alias("key"), F.lit(False).alias("probe"))))
+        return F.array_append(F.transform(flips, lambda x: row(seg, value.bitwiseOR(x), True)), row(seg, value, False))
+
+    entries = [of_segment(0), of_segment(1)]
     return distinct.select("fp", F.explode(F.concat(*entries)).alias("k")).select("k.seg", "k.key", "k.probe", "fp")
 
 
