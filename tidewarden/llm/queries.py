@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytecnn, curves, idfiles, language, licences, packing, quality_rules, secrets, simhash, tokens
+from .oracle import quality_rules_sql
 from .storage import table
 
 
@@ -54,4 +55,4 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_licences, op2_hilbert_neighbours, op3_forced_bpe, op4_simhash, op5_packing, op6_id_files, op7_quality_rules, op8_secrets, op9_language, op10_byte_cnn)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_quality_rules": quality_rules_sql()}
