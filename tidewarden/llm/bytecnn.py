@@ -28,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .forced_bpe import release
 from .sampling import held_out, labelled_sample
 from .storage import arrow_rows
+from .tokens import slices
 
 CHUNK, OVERLAP = 1024, 64
 WIDTH, STRIDE, FILTERS = 6, 2, 16
@@ -39,7 +41,7 @@ EPOCHS = 5
 RATE = 0.08
 THRESHOLD = 0.3
 #: Chunks evaluated at once.
-GROUP = 128
+GROUP = 32
 
 
 def chunks_of(text: str | None) -> np.ndarray:
@@ -149,7 +151,8 @@ def score(docs: DataFrame, net: Network, columns: list[str], into: str = "score"
     names = [*columns, into]
 
     def run(batches):
-        for batch in batches:
+        release()
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([net.score(t) for t in batch.column(0).to_pylist()], pa.float64())], names)
 
     arrow_rows(docs.sparkSession)

@@ -16,6 +16,7 @@ given to the tokenizers library as it is.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -30,7 +31,7 @@ WORD_END = "</w>"
 #: Fragments longer than this are encoded but not remembered.
 KEEP_CHARS = 48
 #: Fragments remembered per worker, in each of two generations.
-KEEP_ROWS = 400_000
+KEEP_ROWS = 250_000
 
 #: No token; no merge.
 NONE = (1 << 31) - 1
@@ -286,7 +287,7 @@ class ForcedBoundaryEncoder(dict):
         out, start = [], 0
         while start < len(parts):  # together, but no more at once than the table is to take
             new, stop = set(), start
-            while stop < len(parts) and len(new) < KEEP_ROWS // 4:
+            while stop < len(parts) and len(new) < max(KEEP_ROWS // 8, 1):
                 new.update(filterfalse(self.__contains__, set(parts[stop])))
                 stop += 1
             self.learn(new)
@@ -310,3 +311,10 @@ def encoder(vocabulary: str = DEFAULT_VOCABULARY) -> ForcedBoundaryEncoder:
     if vocabulary not in _ENCODERS:
         _ENCODERS[vocabulary] = ForcedBoundaryEncoder(vocabulary)
     return _ENCODERS[vocabulary]
+
+
+def release() -> None:
+    """Give back the memory of this process's encoders: workers go on to other operators' tasks."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        gc.collect()

@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .forced_bpe import release
 from .sampling import held_out, labelled_sample
 from .storage import arrow_rows
+from .tokens import slices
 
 SLOTS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -132,7 +134,8 @@ def predict(docs: DataFrame, model: Model, columns: list[str], into: tuple[str,
     names = [*columns, *into]
 
     def run(batches):
-        for batch in batches:
+        release()
+        for batch in slices(batches):
             found = [model.predict(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names)
 

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .forced_bpe import release
 from .storage import arrow_rows, materialise
 
 RADIUS = 3
@@ -60,6 +61,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, mark (XXH64 of the text), fingerprint (the 64 bits as a signed long)."""
 
     def run(batches):
+        release()
         for batch in batches:
             values = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], ["doc_id", "mark", "fingerprint"])
