@@ -12,7 +12,7 @@ by Viterbi on its own with the same result.  Features: shape (length, character
 classes, class changes, entropy), neighbouring words, and the document (share of
 digits, whether base spans exist).  The weights are trained here by stochastic
 gradient on the conditional log-likelihood over generated lines of known tags.
-A tagged run that overlaps no base span is added under kind ``crf``.
+What a tagged run holds outside the base spans is added under kind ``crf``.
 
 Null and empty texts have no spans; repeated rows repeat; other columns take no part.
 """
@@ -45,6 +45,7 @@ _DIGITS = re.compile("[0-9]+")
 _INSIDE = frozenset(string.ascii_letters + string.digits + "+/_.=-")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+")
 _WORD = re.compile(r"[^\W\d_]+")
+_PART = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
 _KEYWORDS = ("pass", "secret", "token", "api")
 
 
@@ -221,6 +222,22 @@ def tagger(lines: int = 3000, epochs: int = 4) -> Tagger:
     return model
 
 
+def outside(text: str, start: int, end: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a tagged span that lie in no base span, without the marks at their ends; parts of marks alone go."""
+    parts, at = [], start
+    for a, _, b in [*taken, (end, 0, end)]:
+        if b < at:
+            continue
+        if a >= end:
+            a = end
+        if at < a and (m := _PART.search(text, at, a)):
+            parts.append((m.start(), m.end()))
+        at = max(at, b)
+        if at >= end:
+            break
+    return parts
+
+
 def scan(text: str | None, model: Tagger) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of all spans, by start, then kind."""
     if not text:
@@ -238,9 +255,7 @@ def scan(text: str | None, model: Tagger) -> list[tuple[int, int, int]]:
                 elif tag == 2 and found and found[-1][1] == 3:
                     found[-1] = (found[-1][0], 3, b)
     if taken:
-        ends = np.maximum.accumulate([e for _, _, e in taken])
-        starts = [s for s, _, _ in taken]
-        found = [f for f in found if f[1] < 3 or not (k := int(np.searchsorted(starts, f[2]))) or ends[k - 1] <= f[0]]
+        found = taken + [(a, 3, b) for f in found if f[1] == 3 for a, b in outside(text, f[0], f[2], taken)]
     return sorted(found)
 
 
