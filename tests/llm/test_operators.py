@@ -360,6 +360,36 @@ def test_tagged_parts_outside_base_spans_stay():
     assert secrets.outside("hhhh", 0, 4, [(0, 2, 4)]) == []
 
 
+def test_every_token_is_a_candidate():
+    model = secrets.tagger()
+    said = {"the pwd hunter2 of the site": "hunter2", "login Tr0ub4dor&3 and go": "Tr0ub4dor&3", "pin is 483920 for you": "483920", "secret key abcdefghijKLMNOPqrst here": "abcdefghijKLMNOPqrst"}
+    for text, want in said.items():
+        assert [text[a:b] for a, k, b in secrets.scan(text, model) if k == 3] == [want]
+    lost = total = false = 0
+    for text, spans in secrets.short_lines(500, seed=98):
+        base = [(a, b) for a, _, b in secrets.base_spans(text)]
+        free = [s for s in spans if not any(a < s[1] and s[0] < b for a, b in base)]
+        found = {p for a, k, b in secrets.scan(text, model) if k == 3 for p in range(a, b)}
+        lost, total = lost + sum(not found & set(range(*s)) for s in free), total + len(free)
+        false += not spans and bool(found)
+    assert lost / total < 0.1 and false <= 10
+    assert not [k for text in ("the key findings of the report", "see page 12 of the manual", "") for _, k, _ in secrets.scan(text, model)]
+
+
+def test_cut_chain_equals_whole_chain(texts):
+    model, rnd = secrets.tagger(), random.Random(3)
+    lines = [t for t, _ in [*secrets.short_lines(200, seed=5), *secrets.generated_lines(100, seed=6)]]
+    many = ["".join(rnd.choice([" ", "\n\n\n\n\n\n", " "]) + rnd.choice(lines) for _ in range(8)) for _ in range(60)]
+    for text in lines + many + texts[:60]:
+        gaps, tokens = secrets.tokens_of(text)
+        assert "".join(x for pair in zip(gaps, [*tokens, ""]) for x in pair) == text
+        score, first = model.scores(gaps, tokens, ("baseFalse",))
+        cuts, whole = [*np.flatnonzero(first).tolist(), len(tokens)], {}
+        for a, b in zip(cuts, cuts[1:]):
+            whole.update({a + i: t for i, t in enumerate(model.viterbi(score[a:b])) if t})
+        assert whole == model.tags(score, first)
+
+
 def test_masking(docs):
     assert secrets.mask("a SECRET=abcdefg b", secrets.base_spans("a SECRET=abcdefg b")) == "a <SECRET> b"
     assert secrets.mask(None, []) is None

@@ -5,13 +5,14 @@ equals sign, a value of 6 characters or more), ``access`` (AKIA and capitals or
 digits, 20 characters or more), ``hex`` (24 hexadecimal digits or more).  A span is
 the whole match, in code points, end exclusive.
 
-Method: tokens are tagged O, B (secret begins) or I (goes on).  Tokens without a
-digit, without a letter or of fewer than ``MIN_TOKEN`` characters can only be O, so a
-document's chain falls apart into runs of the other tokens, and each run is decoded
-by Viterbi on its own with the same result.  Features: shape (length, character
-classes, class changes, entropy), neighbouring words, and the document (share of
-digits, whether base spans exist).  The weights are trained here by stochastic
-gradient on the conditional log-likelihood over generated lines of known tags.
+Method: all words and numbers are tokens, tagged O, B (secret begins) or I (goes on); a
+gap of more than ``MAX_GAP`` characters ends a run.  No token is ruled out beforehand.
+Features: shape (length, character classes, class changes, entropy), the word itself and
+its neighbours where training knew them, the gaps, and the document (share of digits,
+whether base spans exist).  Scores are sums kept per distinct token; those whose weights
+alone prove O on every best path (``Tagger.possible``) cut the chain, and the stretches
+between them are decoded by Viterbi with the same result as the whole run.  The weights
+are trained here on the conditional log-likelihood over generated lines of known tags.
 What a tagged run holds outside the base spans is added under kind ``crf``.
 
 Null and empty texts have no spans; repeated rows repeat; other columns take no part.
@@ -23,6 +24,8 @@ import math
 import random
 import re
 import string
+from bisect import bisect
+from collections import Counter
 from functools import cache
 
 import numpy as np
@@ -34,17 +37,21 @@ from .forced_bpe import release
 from .storage import arrow_rows
 
 KINDS = ("assign", "access", "hex", "crf")
-MIN_TOKEN = 12
-FEATURES = 4096
+MAX_GAP = 4
 STATES = 3  # O, B, I
+NEVER = 30.0
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{24,}")
-_DIGITS = re.compile("[0-9]+")
-_INSIDE = frozenset(string.ascii_letters + string.digits + "+/_.=-")
-_TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+")
-_WORD = re.compile(r"[^\W\d_]+")
+_LATIN = "A-Za-z0-9À-ÖØ-öø-ɏ"
+_TOKEN = re.compile(rf"([{_LATIN}+][{_LATIN}+/_.-]*|[^\W_{_LATIN}]+)")
+_CONSONANTS = re.compile("[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ]+")
+_VOWELS = re.compile("[aeiouyAEIOUY\x80-\U0010ffff]")
+_CHANGE = re.compile(r"(.)(?!\1)(?=.)")
+_ZEROS = {i: "0" for i in range(48, 58)}
+_KINDS = {i: "d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for i, c in enumerate(map(chr, range(128)))}
+_ENDS = ".-/_"
 _PART = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
 _KEYWORDS = ("pass", "secret", "token", "api")
 
@@ -61,101 +68,217 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Tokens that may be B or I: long enough, with a digit and a letter."""
-    found, end = [], 0
-    for m in _DIGITS.finditer(text):
-        if m.start() < end:
-            continue
-        start = m.start()
-        while start > end and text[start - 1] in _INSIDE:
-            start -= 1
-        end = _TOKEN.match(text, m.start()).end()
-        a, b = start, end
-        while b > a and text[b - 1] in ".=-/_":
-            b -= 1
-        if b - a >= MIN_TOKEN and any(c.isalpha() for c in text[a:b]):
-            found.append((a, b))
-    return found
-
-
-def _bucket(x: float, *edges: float) -> int:
-    return sum(x >= e for e in edges)
-
-
-def _slot(name: str) -> int:
-    h = 2166136261
-    for c in name.encode("utf-8", "surrogatepass"):
-        h = ((h ^ c) * 16777619) & 0xFFFFFFFF
-    return h % FEATURES
-
-
-def features(text: str, a: int, b: int, about: tuple[str, ...]) -> np.ndarray:
-    """Slots of the features of the token text[a:b]."""
-    token = text[a:b]
-    n = len(token)
-    digits, upper, lower = (sum(map(f, token)) for f in (str.isdigit, str.isupper, str.islower))
-    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in token]
-    changes = sum(x != y for x, y in zip(kinds, kinds[1:]))
-    entropy = -sum(k / n * math.log2(k / n) for k in (token.count(c) for c in set(token)))
-    vowels = sum(c in "aeiouAEIOU" for c in token) / max(upper + lower, 1)
-    before = _WORD.findall(text[max(0, a - 60) : a].lower())[-2:]
-    after = _WORD.findall(text[b : b + 30].lower())[:1]
-    glue = text[max(0, a - 3) : a].strip()[-1:]
-    names = [
-        "bias", f"len{_bucket(n, 16, 20, 28, 36, 48, 80)}", f"digits{_bucket(digits / n, .1, .2, .35, .6, .9)}", f"upper{_bucket(upper / n, .01, .1, .25, .5, .9)}", f"lower{_bucket(lower / n, .01, .1, .25, .5, .9)}",
-        f"changes{_bucket(changes / n, .1, .2, .35, .5)}", f"entropy{_bucket(entropy, 2, 2.8, 3.3, 3.7, 4.2)}", f"vowels{_bucket(vowels, .05, .15, .3, .45)}", f"dots{min(token.count('.'), 3)}", f"slashes{min(token.count('/'), 3)}", f"dashes{min(token.count('-'), 4)}",
-        f"mixed{upper > 0 and lower > 0 and digits > 0}", f"glue{glue}", "head" + re.sub("[0-9]", "0", token[:4]), *(f"before:{w}" for w in before), *(f"after:{w}" for w in after), *about,
+def tokens_of(text: str) -> tuple[list[str], list[str]]:
+    """(gaps, tokens): the text is gap, token, gap, ..., gap.  Every word and number is a token, of any length and class."""
+    parts = _TOKEN.split(text)
+    return parts[::2], parts[1::2]
+
+
+def _sort(token: str) -> str:
+    """Digits, lower, upper, title, both cases, letters with digits, or other marks inside."""
+    if token.isdigit():
+        return "digits"
+    if token.isalpha():
+        return "lower" if token.islower() else "upper" if token.isupper() else "title" if token[1:].islower() else "both"
+    return "mixed" if token.isalnum() else "marks"
+
+
+def measures(token: str) -> tuple:
+    """What the features of a token alone are made of: numbers in buckets."""
+    n, kinds = len(token), token.translate(_KINDS)
+    if not token.isascii():
+        kinds = "".join(k if k in "duls" else "d" if k.isdigit() else "u" if k.isupper() else "l" if k.islower() else "s" for k in kinds)
+    digits, upper, lower = kinds.count("d"), kinds.count("u"), kinds.count("l")
+    changes = len(_CHANGE.findall(kinds)) if n not in (digits, upper, lower) else 0
+    entropy = math.log2(n) - sum([k * _LOG[k] if k < 64 else k * math.log2(k) for k in map(token.count, set(token))]) / n
+    vowels = len(_VOWELS.findall(token)) / max(upper + lower, 1)
+    rough = max(map(len, _CONSONANTS.findall(token)), default=0)
+    return (
+        bisect(_LENGTHS, n), _sort(token), bisect(_SHARES, digits / n), bisect(_CASES, upper / n), bisect(_CASES, lower / n), bisect(_TURNS, changes / n), bisect(_FLIPS, changes), bisect(_ENTROPY, entropy), bisect(_VOWEL, vowels), min(rough, 7),
+        min(token.count("."), 3), min(token.count("/"), 3), min(token.count("-"), 4), upper > 0 and lower > 0 and digits > 0,
+    )
+
+
+_LENGTHS, _SHARES, _CASES, _TURNS, _FLIPS, _ENTROPY, _VOWEL = (3, 4, 6, 8, 10, 12, 16, 20, 28, 36, 48, 80), (.01, .1, .2, .35, .6, .9), (.01, .1, .25, .5, .9), (.1, .2, .35, .5), (2, 4, 7), (2, 2.8, 3.3, 3.7, 4.2), (.05, .15, .3, .45)
+_LOG = [0.0, *map(math.log2, range(1, 64))]
+
+
+def shape(m: tuple) -> list[str]:
+    """Names of the features of a token's measures."""
+    long, sort, digits, upper, lower, changes, flips, entropy, vowels, rough, dots, slashes, dashes, mixed = m
+    return [
+        "bias", f"len{long}", f"sort{sort}", f"sort{sort}{long}", f"digits{digits}", f"upper{upper}", f"lower{lower}", f"changes{changes}", f"cased{flips}{sort}", f"entropy{entropy}",
+        f"vowels{vowels}{sort}", f"rough{rough}{sort}", f"dots{dots}", f"slashes{slashes}", f"dashes{dashes}", f"mixed{mixed}",
     ]
-    return np.array([_slot(x) for x in names])
+
+
+def _head(token: str) -> str:
+    return "head" + token[:4].translate(_ZEROS)
+
+
+def _gap(gap: str) -> int:
+    """Number of the gap's class: none, blanks, colon, equals sign, quote, line, one mark, others."""
+    bare = gap.strip()
+    if not bare:
+        return 0 if not gap else 5 if "\n" in gap else 1
+    return 4 if bare[-1] in "'\"`" else 2 if bare == ":" else 3 if bare == "=" else 6 if len(gap) == 1 else 7
+
+
+GAPS = 8
+REACH = 4
+#: Scores a word gives to others: to the next token by gap class, to the one after it, to the next REACH, and to the one before.
+_SECOND, _NEAR, _LAST, _WIDTH = GAPS, GAPS + 1, GAPS + 2, GAPS + 3
+_REMEMBERED = 100_000
 
 
 class Tagger:
     """The field: emission weights (feature x state) and transitions (state x state)."""
 
-    def __init__(self):
-        self.emit = np.zeros((FEATURES, STATES))
+    def __init__(self, slots: dict[str, int]):
+        self.slots = slots
+        self.emit = np.zeros((len(slots) + 1, STATES))  # the last is for what has no weight
         self.move = np.zeros((STATES, STATES))
-        self.move[0, 2] = -30.0  # nothing goes on that has not begun
-
-    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
-        out = np.array([self.emit[r].sum(0) for r in rows])
-        out[0, 2] = -30.0
-        return out
-
-    def viterbi(self, rows: list[np.ndarray]) -> list[int]:
-        score = self.scores(rows)
-        best, back = score[0], []
-        for t in range(1, len(rows)):
-            step = best[:, None] + self.move
-            back.append(step.argmax(0))
-            best = step.max(0) + score[t]
-        path = [int(best.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
+        self.forget()
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("ids", "own", "words", "given", "gaps", "around", "shapes")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.forget()
+
+    def forget(self) -> None:
+        self.ids: dict[str, tuple[int, int]] = {}
+        self.gaps: dict[str, int] = {}
+        self.words: dict[str, int] = {}
+        self.shapes: dict[tuple, np.ndarray] = {}
+        self.own, self.given, self.around = np.zeros((1024, STATES)), np.zeros((256, _WIDTH, STATES)), None
+
+    def _sum(self, names) -> np.ndarray:
+        return self.emit[[self.slots[x] for x in names if x in self.slots]].sum(0)
+
+    def _row(self, token: str) -> tuple[int, int]:
+        """Numbers of a token new to the tables: of its own scores and of what it gives its neighbours."""
+        at = len(self.ids)
+        if at == len(self.own):
+            self.own = np.concatenate([self.own, np.zeros_like(self.own)])
+        core = token.rstrip(_ENDS) or token
+        word = lexical(core, self.slots)
+        m, slots = measures(core), self.slots
+        if (alone := self.shapes.get(m)) is None:
+            alone = self.shapes[m] = self._sum(shape(m))
+        self.own[at] = alone + self.emit[slots.get(_head(core), -1)] + self.emit[slots.get("word:" + word, -1)]
+        if (k := self.words.get(word)) is None:
+            k = self.words[word] = len(self.words)
+            if k == len(self.given):
+                self.given = np.concatenate([self.given, np.zeros_like(self.given)])
+            for g in range(GAPS):
+                self.given[k, g] = self._sum([f"p1:{word}", f"p1:{word}|{g}"])
+            for g, name in ((_SECOND, "p2:"), (_NEAR, "near:"), (_LAST, "next:")):
+                self.given[k, g] = self._sum([name + word])
+        self.ids[token] = at, k
+        return at, k
+
+    def scores(self, gaps: list[str], tokens: list[str], about: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """(token x state, whether a token begins a run)."""
+        if len(self.ids) > _REMEMBERED or len(self.gaps) > _REMEMBERED:
+            self.forget()
+        if self.around is None:
+            self.around = np.array([[self._sum([f"{x}{g}"]) for g in range(GAPS)] for x in ("gb", "ga")])
+        known, kinds = self.ids, self.gaps
+        at = np.array([known[t] if t in known else self._row(t) for t in tokens])
+        kind = np.array([kinds[g] if g in kinds else kinds.setdefault(g, _gap(g) + GAPS * (len(g) > MAX_GAP)) for g in gaps])
+        first = kind[:-1] >= GAPS
+        first[0] = True
+        kind %= GAPS
+        own, word, given = at[:, 0], at[:, 1], self.given
+        out = self.own[own] + self.around[0, kind[:-1]] + self.around[1, kind[1:]] + self._sum(about)
+        out[1:] += given[word[:-1], kind[1:-1]] + (own[1:] == own[:-1])[:, None] * self._sum(["same"])
+        out[2:] += given[word[:-2], _SECOND]
+        near = given[word, _NEAR]
+        for k in range(1, REACH + 1):
+            out[k:] += near[:-k]
+        out[:-1] += given[word[1:], _LAST]
+        out[first, 2] = -NEVER
+        return out, first
+
+    def possible(self, score: np.ndarray) -> np.ndarray:
+        """Tokens that some best path may tag B or I; all others are O on every best path.
+
+        A path's stretch of such tags begins with B.  With O throughout instead, the score
+        falls by the B's lead over O, by the leads of the later tags and by transitions;
+        each is bounded by its greatest value, whatever the neighbours are.  A token none
+        of whose stretches can have a sum of zero or more is O.
+        """
+        move, lead = self.move - self.move[0, 0], score - score[:, :1]
+        begin = lead[:, 1] + max(move[0, 1], 0.0)
+        later = (lead[:, 1:] + move[1:, 1:].max(0)).max(1).cumsum()
+        leave = max(*move[1:, 0], 0.0)
+        return np.maximum.accumulate(begin - later) + np.maximum.accumulate(later[::-1])[::-1] + leave >= -1e-6
+
+    def viterbi(self, score: np.ndarray, left: bool = False, right: bool = False) -> list[int]:
+        """The best tags; ``left``, ``right``: the neighbour on that side is O."""
+        (m00, m01, m02), (m10, m11, m12), (m20, m21, m22) = self.move.tolist()
+        a, b, c = (score[0] + (self.move[0] if left else 0)).tolist()
+        back = []
+        for x, y, z in score[1:].tolist():
+            best, came = [], []
+            for p, q, r in ((a + m00, b + m10, c + m20), (a + m01, b + m11, c + m21), (a + m02, b + m12, c + m22)):
+                k = 0 if p >= q and p >= r else 1 if q >= r else 2
+                came.append(k)
+                best.append((p, q, r)[k])
+            back.append(came)
+            a, b, c = best[0] + x, best[1] + y, best[2] + z
+        path = [int((np.array([a, b, c]) + (self.move[:, 0] if right else 0)).argmax())]
+        for came in reversed(back):
+            path.append(came[path[-1]])
         return path[::-1]
 
-    def learn(self, rows: list[np.ndarray], tags: list[int], rate: float) -> None:
-        """One step up the conditional log-likelihood (forward-backward)."""
-        score = self.scores(rows)
-        n = len(rows)
-        alpha, beta = score.copy(), np.zeros((n, STATES))
-        for t in range(1, n):
-            alpha[t] += np.logaddexp.reduce(alpha[t - 1][:, None] + self.move, axis=0)
-        for t in range(n - 2, -1, -1):
-            beta[t] = np.logaddexp.reduce(self.move + (score[t + 1] + beta[t + 1])[None, :], axis=1)
-        total = np.logaddexp.reduce(alpha[-1])
-        seen = np.exp(alpha + beta - total)
-        for t in range(n):
-            grad = -seen[t]
-            grad[tags[t]] += 1
-            np.add.at(self.emit, rows[t], rate * grad)
-            if t:
-                pair = np.exp(alpha[t - 1][:, None] + self.move + (score[t] + beta[t])[None, :] - total)
-                step = -pair
-                step[tags[t - 1], tags[t]] += 1
-                self.move += rate * step
-        self.move[0, 2] = -30.0
+    def tags(self, score: np.ndarray, first: np.ndarray) -> dict[int, int]:
+        """Token number -> B or I; all others are O.  Stretches of possible tokens are decoded one by one."""
+        open_ = np.flatnonzero(self.possible(score))
+        found: dict[int, int] = {}
+        if len(open_):
+            for part in np.split(open_, np.flatnonzero((np.diff(open_) > 1) | first[open_[1:]]) + 1):
+                a, b = int(part[0]), int(part[-1]) + 1
+                path = self.viterbi(score[a:b], not first[a], b < len(score) and not first[b])
+                found.update({a + i: t for i, t in enumerate(path) if t})
+        return found
+
+    def learn(self, rows: np.ndarray, tags: np.ndarray, real: np.ndarray, past: list[np.ndarray], rate: float) -> None:
+        """One step up the conditional log-likelihood of a batch of lines (forward-backward), scaled by past gradients."""
+        n, width = tags.shape
+        score = self.emit[rows].sum(2)
+        score[:, 0, 2] = -NEVER
+        alpha, beta = score.copy(), np.zeros((n, width, STATES))
+        for t in range(1, width):
+            step = np.logaddexp.reduce(alpha[:, t - 1, :, None] + self.move, axis=1) + score[:, t]
+            alpha[:, t] = np.where(real[:, t, None], step, alpha[:, t - 1])
+        for t in range(width - 2, -1, -1):
+            step = np.logaddexp.reduce(self.move + (score[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2)
+            beta[:, t] = np.where(real[:, t + 1, None], step, 0)
+        total = np.logaddexp.reduce(alpha[:, -1], axis=1)
+        grad = (np.eye(STATES)[tags] - np.exp(alpha + beta - total[:, None, None])) * real[:, :, None]
+        slots = rows.reshape(n * width, -1)
+        flat = np.repeat(grad.reshape(-1, STATES), slots.shape[1], axis=0)
+        emit = np.stack([np.bincount(slots.ravel(), flat[:, k], len(self.emit)) for k in range(STATES)], 1)
+        pair = np.exp(alpha[:, :-1, :, None] + self.move + (score[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None])
+        seen = np.zeros_like(pair)
+        i, j = np.indices(tags[:, 1:].shape)
+        seen[i, j, tags[:, :-1], tags[:, 1:]] = 1
+        move = ((seen - pair) * real[:, 1:, None, None]).sum((0, 1))
+        emit[-1] = 0
+        for weight, step, sums in ((self.emit, emit - 0.02 * self.emit, past[0]), (self.move, move, past[1])):
+            sums += step * step
+            weight += rate * step / np.sqrt(sums + 1e-6)
+        self.emit[-1] = 0
+        self.move[0, 2] = -NEVER  # nothing goes on that has not begun
+
+
+def lexical(core: str, slots: dict[str, int]) -> str:
+    """The word itself if the field has it, else its sort."""
+    low = core.lower()
+    return low if "word:" + low in slots else "?" + _sort(core)
 
 
 def generated_lines(n: int, seed: int = 5):
@@ -189,36 +312,121 @@ def generated_lines(n: int, seed: int = 5):
         yield line, spans
 
 
-def _runs(text: str, tokens: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Candidates with nothing but white space and marks of at most two characters between them."""
-    runs: list[list[tuple[int, int]]] = []
-    for a, b in tokens:
-        gap = text[runs[-1][-1][1] : a] if runs and a - runs[-1][-1][1] <= 4 else None
-        if gap is not None and not any(c.isalnum() for c in gap):
-            runs[-1].append((a, b))
+def short_lines(n: int, seed: int = 11):
+    """Lines of known tags whose secrets are short, or of one class of characters, with the same words, numbers and cues also in plain use."""
+    rnd = random.Random(seed)
+    low, up, dig = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    pick = lambda chars, k: "".join(rnd.choice(chars) for _ in range(k))
+    common = (
+        "the of and to in is was with for on by that this as at from or an are be not have it der die das und ist von mit für den auf im ein nicht le la les de et un une du des que qui pour dans est par el los las en es con para una no por se del al "
+        "you your we our they will can new report value page file table number code please see use used then after before user name site list account version data line"
+    ).split()
+    syllable = lambda: rnd.choice(["", pick("bcdfghlmnprstvw", 1), rnd.choice(["th", "st", "ch", "br", "tr", "sch", "qu", "pl", "gr", "sh", "wh"])]) + rnd.choice("aeiouaeioueéèêaiouäöüáíóú") + rnd.choice(["", "", "n", "r", "s", "l", "t", "nd", "st", "ng", "ch", "ll", "ble", "x"])
+    made = lambda: "".join(syllable() for _ in range(rnd.choice((1, 2, 2, 3, 3, 4, 5, 6))))
+    pieces = "th er on an re he in ed nd ha at en es of or nt ea ti to io le is ou ar as de sh wh ble ing tion ly sch ch ein ung heit keit lich ver be ge st tz pf ü ä ö ß eux eau ment que ai ci os da ón ll".split()
+    rough = lambda: "".join(rnd.choice(pieces) for _ in range(rnd.choice((1, 2, 2, 3, 3, 4, 5, 6, 7))))
+    plainly = lambda: "".join(c for c in made() if c < "\x7f") or "sol"
+    cues = ["pwd", "password", "passwort", "passphrase", "passcode", "login", "credential", "credentials", "secret", "key", "pin", "auth", "access key", "client secret", "signing key", "bearer", "kennwort", "contraseña", "mot de passe", "clave"]
+    secret = [
+        lambda: plainly() + pick(dig, rnd.randint(1, 4)), lambda: plainly().title() + pick(dig, rnd.randint(1, 4)), lambda: pick(low + up + dig, rnd.randint(6, 11)), lambda: pick(low + dig, rnd.randint(6, 12)), lambda: pick(low + up, rnd.randint(12, 24)), lambda: pick(low, rnd.randint(10, 24)), lambda: pick(up, rnd.randint(10, 24)),
+        lambda: pick(dig, rnd.randint(6, 24)), lambda: pick(dig, rnd.randint(16, 32)), lambda: "-".join(plainly() for _ in range(4)), lambda: "".join(plainly().title() for _ in range(rnd.randint(3, 4))), lambda: plainly() + rnd.choice("&@#!$%*") + pick(low + dig, rnd.randint(1, 5)),
+        lambda: plainly().replace("o", "0").replace("a", "4").title() + pick(low + dig, 3) + rnd.choice("&@#!$%*") + pick(dig, rnd.randint(1, 2)), lambda: " ".join(plainly() for _ in range(4)), lambda: pick(low + up, rnd.randint(20, 40)), lambda: "Tr0ub4" + pick(low, 3),
+    ]
+    plain = [
+        lambda: pick(dig, rnd.randint(1, 5)), lambda: pick(dig, rnd.randint(6, 16)), lambda: f"{rnd.randint(1990, 2030)}-{rnd.randint(1, 12):02d}-{rnd.randint(1, 28):02d}", lambda: f"{rnd.randint(0, 23)}:{rnd.randint(0, 59):02d}", lambda: f"{rnd.randint(1, 999)}.{rnd.randint(0, 99)}", lambda: f"+{pick(dig, 2)} {pick(dig, 3)} {pick(dig, 4)}", lambda: f"+1-555-{pick(dig, 3)}-{pick(dig, 4)}",
+        lambda: f"{plainly()}.{rnd.randint(1, 99)}@mail{rnd.randint(1, 9)}.{rnd.choice(('example', 'com', 'org'))}", lambda: f"https://www.{plainly()}.com/{plainly()}/{rnd.randint(1, 99)}", lambda: f"{plainly()}{rnd.randint(1, 9)}", lambda: pick(up, rnd.randint(2, 6)), lambda: pick(up, rnd.randint(1, 4)) + pick(dig, rnd.randint(1, 4)), lambda: f"{rnd.randint(1, 30)}{rnd.choice(('th', 'st', 'km', 'kg', 'mb', 'px'))}",
+        lambda: plainly() + plainly().title(), lambda: f"{plainly()}_{plainly()}", lambda: f"{plainly()}-{plainly()}", lambda: ".".join(str(rnd.randint(0, 255)) for _ in range(4)), lambda: f"{rnd.randint(1, 9)}.{rnd.randint(0, 20)}.{rnd.randint(0, 9)}", lambda: f"<{plainly()}>", lambda: f"{plainly()}/{plainly()}.{rnd.choice(('py', 'txt', 'html'))}", lambda: made().upper(), lambda: pick("#$%&*", 3) + made(), lambda: made() * 2,
+    ]
+    about_cues = ["policy", "must be changed", "was lost", "is required", "page", "number 12", "for the site", "of the user", "and the", "findings", "to the", "vergessen", "screen", "manager", "de la", "is not valid", "field", "is", "in", "or"]
+
+    def prose(k: int) -> str:
+        words = [rnd.choice(common) if rnd.random() < 0.4 else rnd.choice(plain)() if rnd.random() < 0.1 else rnd.choice((made, rough))() for _ in range(k)]
+        words = [(w.title() if rnd.random() < 0.08 else w) + rnd.choice(["", "", "", "", "", "", ",", ".", ".\n", " |", ":", "###"]) for w in words]
+        return " ".join(words)
+
+    for _ in range(n):
+        line, spans = prose(rnd.randint(0, 10)), []
+        kind = rnd.random()
+        if kind < 0.5:
+            cue = rnd.choice(cues)
+            line += (" " if line else "") + (cue.title() if rnd.random() < 0.2 else cue) + rnd.choice((" ", " ", ": ", ": ", " = ", "=", " '", " is ", " is: ", ' "', " -> "))
+            for _ in range(rnd.choice((1, 1, 1, 1, 3))):
+                token = rnd.choice(secret)()
+                spans.append((len(line), len(line) + len(token)))
+                line += token + rnd.choice((" ", " ", "\n", ", ", "' "))
+        elif kind < 0.75:
+            line += " " + rnd.choice(cues) + rnd.choice((" ", " ", ": ")) + rnd.choice(about_cues) + " "
+        elif kind < 0.8:
+            token = pick(low + up, rnd.randint(20, 40))
+            line += " "
+            spans.append((len(line), len(line) + len(token)))
+            line += token + " "
+        elif kind < 0.84:
+            line += " " + " ".join([rnd.choice((rough, made, lambda: rnd.choice(common)))()] * rnd.randint(2, 12) + [rough()] * rnd.randint(0, 12)) + " "
+        elif kind < 0.9:
+            line += " " + rnd.choice(("is", "ist", "es", "are", "the", "en", "la", "der", "secret", "key", "login", "password")) + " " + rough() + " " + rough() + " "
         else:
-            runs.append([(a, b)])
-    return runs
+            line += " " + " ".join(rnd.choice(plain)() for _ in range(rnd.randint(1, 4))) + " "
+        yield line + prose(rnd.randint(0, 8)), spans
 
 
 def _about(text: str, has_base: bool) -> tuple[str, ...]:
     return (f"base{has_base}",)
 
 
+def _places(gaps: list[str], tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of every token, without the marks at its end."""
+    size = np.array([len(x) for pair in zip(gaps, tokens) for x in pair])
+    ends = size.cumsum()[1::2]
+    return ends - size[1::2], ends - np.array([len(t) - len(t.rstrip(_ENDS)) for t in tokens])
+
+
 @cache
-def tagger(lines: int = 3000, epochs: int = 4) -> Tagger:
-    model, rows = Tagger(), []
-    for text, spans in generated_lines(lines):
-        inside = {p for a, b in spans for p in range(a, b)}
-        about = _about(text, bool(base_spans(text)))
-        for run in _runs(text, candidates(text)):
-            hit = [a in inside for a, _ in run]
-            rows.append(([features(text, a, b, about) for a, b in run], [2 if h and i and hit[i - 1] else 1 if h else 0 for i, h in enumerate(hit)]))
-    rnd = random.Random(7)
+def tagger(lines: int = 3000, epochs: int = 5) -> Tagger:
+    """The trained field: ``lines`` of generated_lines and three times as many of short_lines."""
+    chains, counts = [], Counter()
+    for text, spans in [*generated_lines(lines), *short_lines(3 * lines)]:
+        gaps, tokens = tokens_of(text)
+        starts, _ = _places(gaps, tokens)
+        which = [next((k for k, (a, b) in enumerate(spans) if a <= p < b), None) for p in starts.tolist()]
+        near = [i > 0 and which[i - 1] is not None and len(gaps[i]) <= MAX_GAP for i in range(len(tokens))]
+        cores = [t.rstrip(_ENDS) or t for t in tokens]
+        counts.update({c.lower() for c in cores})
+        chains.append((gaps, tokens, cores, [0 if w is None else 2 if go else 1 for w, go in zip(which, near)], _about(text, bool(base_spans(text)))))
+    words = {"word:" + w: 0 for w, k in counts.items() if k >= 20}
+    named, seen = [], Counter()
+    for gaps, tokens, cores, tags, about in chains:
+        word, kind = [lexical(c, words) for c in cores], [_gap(g) for g in gaps]
+        rows = []
+        for i, core in enumerate(cores):
+            names = [*shape(measures(core)), _head(core), "word:" + word[i], f"gb{kind[i]}", f"ga{kind[i + 1]}", *about]
+            names += [f"p1:{word[i - 1]}", f"p1:{word[i - 1]}|{kind[i]}"] if i else []
+            names += ["same"] if i and tokens[i] == tokens[i - 1] else []
+            names += [f"p2:{word[i - 2]}"] if i > 1 else []
+            names += [f"near:{w}" for w in word[max(0, i - REACH) : i]] + [f"next:{w}" for w in word[i + 1 : i + 2]]
+            rows.append(names)
+            seen.update(names)
+        named.append((rows, tags))
+    model = Tagger({x: k for k, x in enumerate(sorted(x for x, k in seen.items() if k >= 10 or x[:5] == "word:"))})
+    none, width = len(model.slots), max(len(x) for rows, _ in named for x in rows)
+    past, rnd = [np.zeros_like(model.emit), np.zeros_like(model.move)], random.Random(7)
+    named = sorted(((rows, tags) for rows, tags in named if rows), key=lambda x: len(x[1]))
+    batches = []
+    for at in range(0, len(named), 100):
+        part = named[at : at + 100]
+        size = len(part[-1][1])
+        x, y, real = np.full((len(part), size, width), none), np.zeros((len(part), size), int), np.zeros((len(part), size), bool)
+        for k, (rows, tags) in enumerate(part):
+            y[k, : len(tags)], real[k, : len(tags)] = tags, True
+            for i, names in enumerate(rows):
+                slots = [model.slots[n] for n in names if n in model.slots]
+                x[k, i, : len(slots)] = slots
+        batches.append((x, y, real))
+    model.move[0, 2] = -NEVER
     for epoch in range(epochs):
-        rnd.shuffle(rows)
-        for x, y in rows:
-            model.learn(x, y, 0.2 / (1 + epoch))
+        rnd.shuffle(batches)
+        for x, y, real in batches:
+            model.learn(x, y, real, past, 0.3 / (1 + epoch) ** 0.5)
     return model
 
 
@@ -242,20 +450,25 @@ def scan(text: str | None, model: Tagger) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of all spans, by start, then kind."""
     if not text:
         return []
-    found = base_spans(text)
-    taken = found[:]
-    tokens = candidates(text)
-    if tokens:
-        about = _about(text, bool(found))
-        for run in _runs(text, tokens):
-            tags = model.viterbi([features(text, a, b, about) for a, b in run])
-            for (a, b), tag in zip(run, tags):
-                if tag == 1:
-                    found.append((a, 3, b))
-                elif tag == 2 and found and found[-1][1] == 3:
-                    found[-1] = (found[-1][0], 3, b)
-    if taken:
-        found = taken + [(a, 3, b) for f in found if f[1] == 3 for a, b in outside(text, f[0], f[2], taken)]
+    taken = base_spans(text)
+    gaps, tokens = tokens_of(text)
+    if not tokens:
+        return taken
+    score, first = model.scores(gaps, tokens, _about(text, bool(taken)))
+    tags = model.tags(score, first)
+    if not tags:
+        return taken
+    starts, ends = _places(gaps, tokens)
+    tagged: list[list[int]] = []
+    for i, tag in tags.items():
+        if tag == 1:
+            a = int(starts[i])
+            while a and text[a - 1] in "/_-":
+                a -= 1
+            tagged.append([a, int(ends[i])])
+        else:
+            tagged[-1][1] = int(ends[i])
+    found = taken + [(a, 3, b) for x, y in tagged for a, b in outside(text, x, y, taken)]
     return sorted(found)
 
 
