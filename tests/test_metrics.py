@@ -67,3 +67,31 @@ def test_threshold_infeasible_and_unknown(spark):
     r = calibrate.t_high(_cases(spark, [("SAFE", 0.1, i % 2 == 0) for i in range(10)] + [("SCAM", 0.9, False)])).first()
     assert r.value == 1.0 and not r.feasible
     assert calibrate.t_high(_cases(spark, [("SCAM", 0.9, False)])).first().value is None
+
+
+def test_registered_bootstrap_of_1000(spark, tmp_path):
+    import hashlib
+    import math
+
+    from tidewarden.plans import registry
+    from tidewarden.plans.evaluation import _eval
+
+    spark.createDataFrame([(i, int(i % 4 > 0), int(i % 7 == 0)) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = _eval(spark, str(tmp_path)).orderBy("id").collect()
+    values = {"scam_recall": [], "unknown_rate": []}
+    for b in range(1000):
+        drawn = [rows[int(hashlib.md5(f"0|{b}|{i}".encode()).hexdigest()[:12], 16) % len(rows)] for i in range(len(rows))]
+        scam = [r for r in drawn if r.gold_verdict == "SCAM"]
+        values["unknown_rate"].append(sum(r.pred_verdict == "UNKNOWN" for r in drawn) / len(drawn))
+        if scam:
+            values["scam_recall"].append(sum(r.pred_verdict in ("SCAM", "SUSPICIOUS") for r in scam) / len(scam))
+
+    def cut(xs, q):
+        xs, at = sorted(xs), q * (len(xs) - 1)
+        low = math.floor(at)
+        return xs[low] + (xs[min(low + 1, len(xs) - 1)] - xs[low]) * (at - low)
+
+    got = {r.metric: r for r in registry.QUERIES["bootstrap_intervals_1000"](spark, str(tmp_path)).collect()}
+    for k, xs in values.items():
+        assert got[k].n_defined == len(xs)
+        assert got[k].low == pytest.approx(cut(xs, 0.025), abs=1e-6) and got[k].high == pytest.approx(cut(xs, 0.975), abs=1e-6)

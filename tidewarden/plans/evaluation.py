@@ -160,6 +160,12 @@ def bootstrap_intervals(spark, sf):
     return rounded(metrics.bootstrap(_eval(spark, sf), "id", _BOOT), "low", "high")
 
 
+@query()
+def bootstrap_intervals_1000(spark, sf):
+    """The production intervals of 1000 resamples; bootstrap_intervals is its twin of 200 that the SQL can follow."""
+    return rounded(metrics.bootstrap(_eval(spark, sf), "id"), "low", "high")
+
+
 # -- spans and grounding: quotes are stretches of the message's own words ---------------
 _QUOTED = """SELECT e.id, d.text, e.gold_verdict, e.pred_verdict,
   CASE WHEN e.gold_verdict = 'SAFE' THEN '' ELSE substr(d.text, 1, 40) END AS gq, CASE WHEN e.pred_verdict = 'UNKNOWN' THEN '' WHEN e.id % 4 = 0 THEN concat(substr(d.text, 11, 40), '#') ELSE substr(d.text, 11, 40) END AS pq
