@@ -86,3 +86,20 @@ def test_prompt_round_trip_and_scrub(spark):
     assert (m.channel, m.sender, m.signals, m.text) == ("sms", None, ["a", "b"], "a\nb")
     clean = messages.scrub(df)
     assert clean.columns == ["channel", "m"] and clean.first().m == {"k": "v"}
+
+
+def test_dev_groups_are_deduped_before_sampling(spark):
+    words = lambda seed: " ".join(f"w{(seed * 7919 + i * i * 31) % 9973}" for i in range(30))
+    rows = [(f"{g}{i}", g, "SCAM", "x", words(n) + ("" if i % 2 else " ok")) for n, g in enumerate("abcd") for i in range(6)]  # one message, six copies
+    rows += [(f"{g}9", g, "SCAM", "x", words(50 + n)) for n, g in enumerate("abcd")] + [("d8", "d", "SCAM", "x", words(0))]  # a's message in another group
+    out = split.split_groups(spark.createDataFrame(rows, "id string, seed_group string, verdict string, category string, text string"), 4, 4).collect()
+    assert len(out) == len(rows)
+    by = {}
+    for r in out:
+        by.setdefault(r.seed_group, []).append(r)
+    dev = {g for g, rs in by.items() if any(r.split == "dev" for r in rs)}
+    assert len(dev) >= 2  # raw sizes would have met the quota of four with one group
+    for g, rs in by.items():
+        kept = sorted(r.id for r in rs if r.split == "dev")
+        assert kept == ([] if g not in dev else [f"{g}0", "d8", "d9"] if g == "d" else [f"{g}0", f"{g}9"])
+        assert g in dev or {r.split for r in rs} == {"train"}

@@ -25,9 +25,13 @@ def shingles(text: Column, size: int = SIZE) -> Column:
     return F.array_distinct(let(F.split(F.lower(text), ""), windows))
 
 
-def _sets(df: DataFrame, key: str, text: str) -> DataFrame:
-    """set_id (hash of the sorted shingle hashes), grams (sorted 64-bit hashes), one row per distinct set."""
-    grams = F.array_sort(F.transform(shingles(F.coalesce(F.col(text), F.lit(""))), lambda g: F.xxhash64(g)))
+def _sets(df: DataFrame, key: str, text: str, within: str | None = None) -> DataFrame:
+    """set_id (hash of the sorted shingle hashes), grams (sorted 64-bit hashes), one row per distinct set.
+
+    With a group column the group is part of every hash, so sets of two groups share nothing.
+    """
+    group = [] if within is None else [F.col(within)]
+    grams = F.array_sort(F.transform(shingles(F.coalesce(F.col(text), F.lit(""))), lambda g: F.xxhash64(g, *group)))
     return df.select(F.col(key).alias("id"), grams.alias("grams")).withColumn("set_id", F.xxhash64("grams"))
 
 
@@ -72,15 +76,15 @@ def set_pairs(sets: DataFrame, threshold=THRESHOLD) -> DataFrame:
     return _verified(found, sets, sets, threshold)
 
 
-def members(df: DataFrame, key: str = "id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def members(df: DataFrame, key: str = "id", text: str = "text", within: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(id -> set_id, one row per distinct set)."""
-    rows = materialise(_sets(df, key, text), "sets")
+    rows = materialise(_sets(df, key, text, within), "sets")
     return rows.select("id", "set_id"), rows.dropDuplicates(["set_id"]).select("set_id", "grams")
 
 
-def similar_sets(df: DataFrame, key: str = "id", text: str = "text", threshold=THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def similar_sets(df: DataFrame, key: str = "id", text: str = "text", threshold=THRESHOLD, within: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(id -> set_id, pairs of similar sets): copies stay one set, no pair is lost."""
-    ids, sets = members(df, key, text)
+    ids, sets = members(df, key, text, within)
     return ids, set_pairs(sets, threshold)
 
 
@@ -101,14 +105,14 @@ def without_similar(df: DataFrame, reference: DataFrame, key: str = "id", text:
     return df.join(gone, key, "left_anti")
 
 
-def first_kept(df: DataFrame, key: str = "id", text: str = "text", threshold=THRESHOLD, max_rounds: int = 200) -> DataFrame:
-    """Greedy de-duplication in id (string) order: a row goes if similar to a row already kept.
+def first_kept(df: DataFrame, key: str = "id", text: str = "text", threshold=THRESHOLD, max_rounds: int = 200, within: str | None = None) -> DataFrame:
+    """Greedy de-duplication in id (string) order: a row goes if similar to a row already kept (of its own group, with ``within``).
 
     The sequential rule is a fixpoint: a row without earlier undecided or kept
     neighbours is kept, its later neighbours go, and so on.  Each round is a written
     table.  Copies (equal sets) of a row are its neighbours: only their first can stay.
     """
-    ids, edges = similar_sets(df, key, text, threshold)
+    ids, edges = similar_sets(df, key, text, threshold, within)
     nodes = ids.groupBy("set_id").agg(F.min(F.col("id").cast("string")).alias("name"))
     name = lambda side: nodes.select(F.col("set_id").alias(side), F.col("name").alias(f"n{side}"))
     named = edges.join(name("a"), "a").join(name("b"), "b")

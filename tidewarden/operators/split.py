@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import dedupe
+
 
 def draw(seed: int, purpose: str, key: Column) -> Column:
     """A fixed number in [0, 1) per seed, purpose and id: 48 bits of SHA-256."""
@@ -21,22 +23,29 @@ def strata(items: DataFrame) -> DataFrame:
     return groups.select("seed_group", F.when(F.col("first.verdict") == "SUSPICIOUS", "SUSPICIOUS").otherwise(F.concat_ws("/", "first.verdict", "top.category")).alias("stratum"))
 
 
-def split_groups(items: DataFrame, dev_per_stratum: int, dev_max_per_group: int, seed: int = 7) -> DataFrame:
+def split_groups(items: DataFrame, dev_per_stratum: int, dev_max_per_group: int, seed: int = 7, text: str = "text") -> DataFrame:
     """Items with column split: dev, train or dropped.
 
     Per stratum whole groups go to dev, in hashed order, while the items taken so far are
     below the quota, and one group always stays in train; a dev group gives at most
-    ``dev_max_per_group`` items, the rest are dropped.
+    ``dev_max_per_group`` items, the rest are dropped.  A dev group's items are drawn, and
+    the quota is counted, after near copies inside the group are out; items without the
+    column ``text`` have no copies.
     """
-    sizes = items.groupBy("seed_group").agg(F.count("*").alias("n"))
+    if text in items.columns:
+        kept = dedupe.first_kept(items.select("id", "seed_group", text), "id", text, within="seed_group").select("id", F.lit(True).alias("_kept"))
+        items = items.join(kept, "id", "left").withColumn("_kept", F.coalesce("_kept", F.lit(False)))
+    else:
+        items = items.withColumn("_kept", F.lit(True))
+    sizes = items.groupBy("seed_group").agg(F.count_if("_kept").alias("n"))
     order = Window.partitionBy("stratum").orderBy(draw(seed, "group", F.col("seed_group")), "seed_group")
     before = F.coalesce(F.sum(F.least("n", F.lit(dev_max_per_group))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     groups = sizes.join(strata(items), "seed_group")
     all_in_stratum = F.count("*").over(Window.partitionBy("stratum"))
     groups = groups.select("seed_group", "stratum", ((before < dev_per_stratum) & (F.row_number().over(order) < all_in_stratum)).alias("dev"))
-    inside = Window.partitionBy("seed_group").orderBy(draw(seed, "item", F.col("id")), "id")
+    inside = Window.partitionBy("seed_group").orderBy(F.desc("_kept"), draw(seed, "item", F.col("id")), "id")
     rows = items.join(groups, "seed_group").withColumn("_n", F.row_number().over(inside))
-    return rows.withColumn("split", F.when(~F.col("dev"), "train").when(F.col("_n") <= dev_max_per_group, "dev").otherwise("dropped")).drop("_n", "dev")
+    return rows.withColumn("split", F.when(~F.col("dev"), "train").when(F.col("_kept") & (F.col("_n") <= dev_max_per_group), "dev").otherwise("dropped")).drop("_n", "dev", "_kept")
 
 
 def shared_groups(train: DataFrame, dev: DataFrame) -> DataFrame:
