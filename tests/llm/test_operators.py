@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewarden.llm import bytecnn, curves, forced_bpe, idfiles, language, licences, packing, quality_rules, secrets, simhash, tokens
+from tidewarden.llm import bytecnn, curves, forced_bpe, idfiles, language, licences, packing, quality_rules, sampling, secrets, simhash, tokens
 
 ODD = [None, "", " ", "same text here", "same text here", "x", "İstanbul ΣΑΣ １２３ 日本語", "<|endoftext|> a", "a\x1cb", "don't 'S l'été ÀÉÿ 1234 a1b2!!", "😀 oḱ é", "word " * 3000, "q" * 400]
 
@@ -24,7 +24,10 @@ def texts(spark, tiny):
 def docs(spark, texts):
     """Own and odd texts, a null id, a repeated row and columns of clashing names."""
     rows = [(i, t) for i, t in enumerate(texts[:120] + ODD)] + [(None, "null id"), (3, texts[3])]
-    return spark.createDataFrame(rows, "doc_id long, text string").withColumns({"ids": F.lit(1), "spans": F.lit("x"), "score": F.lit(2), "fp": F.lit(0), "label": F.lit(9), "key": F.lit(1), "n": F.lit(1)}).repartition(3)
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumns({name: F.lit(k) for k, name in enumerate(CLASHES)}).repartition(3)
+
+
+CLASHES = ("ids", "spans", "score", "fp", "label", "key", "n", "_id", "_none", "_own", "_quality", "_probability", "row", "whole", "place", "a.b")
 
 
 @pytest.fixture(scope="module")
@@ -53,6 +56,15 @@ def test_bpe_equals_library(library):
         assert enc.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_special_tokens_in_every_case(library):
+    enc, rnd = forced_bpe.ForcedBoundaryEncoder(), random.Random(6)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|Startoftext|>", "<|endoftext", "|>", "<|", "endoftext|>"]
+    letters = list("abcz,.!'  \nÉß12<|>qxjQ日Σİ\u0301’\x1c\u3000Ω")
+    fuzz = ["".join(rnd.choice(parts) if rnd.random() < 0.3 else "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 8))) for _ in range(rnd.randint(1, 8))) for _ in range(5000)]
+    for text, raw in zip(fuzz, enc.encode_batch(fuzz)):
+        assert np.frombuffer(raw, enc.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_bpe_forced_cut_inside_a_pretoken():
     enc = forced_bpe.ForcedBoundaryEncoder()
     pair = next((a, b) for a, b in itertools.product(range(97, 123), repeat=2) if (a, b) not in enc.inside)
@@ -131,6 +143,36 @@ def test_nearest(spark):
     assert got[1000] == {k + 1: x for k, x in enumerate(want[1000])}  # copies: the smallest ids
 
 
+def test_nearest_recall_where_curves_prune(spark):
+    rng = np.random.default_rng(1)
+    x = (rng.normal(size=(300, 24))[rng.integers(0, 300, 20_000)] + 0.2 * rng.normal(size=(20_000, 24))).astype("f4")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in curves.nearest(df, F.pmod("vec_id", F.lit(200)) == 0, block=256, deal=5).collect():  # 79 blocks a curve, dealt over tasks
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    y, hits = x.astype(float), 0
+    for q, own in got.items():
+        d = ((y - y[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len({*own} & {*np.argsort(d, kind="stable")[:10].tolist()})
+        assert len(own) == 10
+    assert len(got) == 100 and hits >= 0.9 * 1000
+
+
+def test_nearest_ties_go_to_smaller_ids(spark):
+    eye = np.eye(126).tolist()
+    rnd = random.Random(2)
+    names = rnd.sample(range(1, 5000), 126)
+    df = spark.createDataFrame([(0, [1.0] * 126), *zip(names, eye)], "vec_id long, embedding array<float>")
+    assert [r.vec_id for r in curves.nearest(df, F.col("vec_id") == 0, block=16).orderBy("rank").collect()] == sorted(names)[:10]
+    far = [(i, [1e6 + (i % 5), 1e6 - (i % 3)]) for i in range(60)]  # far from zero: differences are small against the sizes
+    want = brute_nearest(far, 10)
+    got = {}
+    for r in curves.nearest(spark.createDataFrame(far, "vec_id long, embedding array<double>"), F.pmod("vec_id", F.lit(100)) == 0).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    assert got == want
+
+
 def test_nearest_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.vec_id) for r in curves.nearest(df, F.col("vec_id") == 0).collect()] == [(0, 1)]
@@ -184,6 +226,7 @@ def test_simhash(docs, hot):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     kept = simhash.keep_first(docs, hot)
     assert kept.columns == docs.columns and kept.count() == len(set(label.values()))
+    assert all(tuple(r)[2:] == tuple(range(len(CLASHES))) for r in kept.collect())
 
 
 def test_simhash_links_lose_nothing(spark):
@@ -230,14 +273,26 @@ def test_best_fit():
     assert len(packing.best_fit(small, 100)) <= -(-int(small.sum()) // 100) * 1.02
 
 
-@pytest.mark.parametrize("settings", [{}, {"capacity": 64, "fan_in": 2, "carry": 3}])
+def test_useful_bins_lose_nothing():
+    rng = random.Random(8)
+    for _ in range(300):
+        groups = [[rng.choice((5, 9, 20, 35, 51, 60, 64, 80, 90, 95)) for _ in range(rng.randint(0, 12))] for _ in range(3)]
+        groups = [[sum(g[i] for i in b) for b in packing.best_fit(g, 100)] for g in groups]
+        every = [f for g in groups for f in g]
+        least, small = min(every, default=0), sum(2 * f <= 100 for f in every)
+        kept = [[f for f, k in zip(g, packing.useful(np.array(g), 100, least, small)) if k] for g in groups]
+        closed = len(every) - sum(map(len, kept))
+        assert closed + len(packing.best_fit(sum(kept, []), 100)) <= len(packing.best_fit(every, 100))
+
+
+@pytest.mark.parametrize("settings", [{}, {"capacity": 64, "fan_in": 2}])
 def test_packing(docs, empty, library, settings):
     capacity = settings.get("capacity", 2048)
     want = []
     for i, t in rows_of(docs):
         ids = np.array(library.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
         want += [(i, k, s, len(ids[s : s + capacity]), zlib.crc32(ids[s : s + capacity].tobytes())) for k, s in enumerate(range(0, len(ids), capacity))]
-    got = packing.placed_pieces(packing.pack_documents(docs, **settings)).collect()
+    got = packing.pack_documents(docs.repartition(7), **settings).collect()
     assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
     places = {}
     for r in got:
@@ -263,6 +318,27 @@ def test_elias_fano():
         assert len(lows) + len(highs) <= (low + 3) * len(values) / 8 + 16
 
 
+@pytest.mark.parametrize("lengths", [[10] * 200_000 + [6_000_000] + [10] * 3000, [1] * 300 + [6_000_000], [1] * 300 + [7_000_000] + [1] * 600, [0] * 1000 + [5], []])
+def test_select_past_long_gaps(lengths):
+    values = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    low, lows, highs, samples = idfiles.elias_fano(values)
+    b = idfiles.Boundaries(len(values), low, lows, highs, samples)
+    places = {*range(0, len(values), 997), *range(max(0, len(values) - 3200), len(values))}
+    assert all(b.select(i) == values[i] for i in places)
+    with pytest.raises(IndexError):
+        b.select(len(values))
+
+
+def test_id_files_of_one_long_text_among_short(spark, library):
+    rows = [(i, "a b") for i in range(700)] + [(700, "x y z " * 700_000), (701, "c")] + [(None, f"n {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = idfiles.new_folder(spark)
+    got = idfiles.read_id_files(spark, folder, idfiles.write_id_files(docs, folder)).select("doc_id", "start", "n_tokens").collect()
+    assert sorted((r.n_tokens for r in got if r.doc_id is not None)) == [2, *[3] * 700, 2_100_001]
+    in_order = sorted(got, key=lambda r: r.start)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(in_order, in_order[1:])) and [r.doc_id for r in in_order[:300]] == [None] * 300
+
+
 def test_id_files(spark, docs, empty, library):
     folder = idfiles.new_folder(spark)
     manifest = idfiles.write_id_files(docs, folder, shard_bytes=4000)
@@ -339,11 +415,28 @@ def test_crf_on_unseen_lines():
     assert tp / (tp + fn) > 0.85 and tp / (tp + fp) > 0.9
 
 
-def test_crf_runs_decode_as_the_whole_chain():
-    model = secrets.tagger()
-    text = "key: " + "aB3dE5gH7jK9mN1pQ" + " " + "zY8xW6vU4tS2rQ0pO" + " and the plain words version-1.2.3-beta end"
-    kinds = [k for _, k, _ in secrets.scan(text, model)]
-    assert kinds.count(3) >= 1
+def test_viterbi_is_the_best_of_all_paths():
+    model, rnd = secrets.tagger(), np.random.default_rng(4)
+    texts = ["key: aB3dE5gH7jK9mN1pQ zY8xW6vU4tS2rQ0pO and", "pwd hunter2 of it", "the plain words version-1.2.3-beta end"]
+    for k in range(60):
+        if k < len(texts):
+            gaps, tokens = secrets.tokens_of(texts[k])
+            score = model.scores(gaps, tokens, ("baseFalse",))[0]
+        else:
+            score = rnd.normal(size=(int(rnd.integers(1, 7)), 3)) * 4
+            score[0, 2] = -secrets.NEVER
+        value = lambda p: sum(score[i, t] for i, t in enumerate(p)) + sum(model.move[a, b] for a, b in zip(p, p[1:]))  # noqa: E731, B023
+        best = max(itertools.product(range(3), repeat=len(score)), key=value)
+        assert value(model.viterbi(score)) == pytest.approx(value(best))
+
+
+def test_measures_count_what_they_say():
+    words = ["abc", "Title", "UPPER", "camelCase", "a1b2", "1234", "x-y.z/w", "ÄÖé", "b" * 300, "aB3dE5gH7jK9", "日本", "strength"]
+    found = dict(zip(words, secrets.measures(words)))
+    sorts = {w: secrets._SORTS[m[1]] for w, m in found.items()}
+    assert [sorts[w] for w in words[:7]] == ["lower", "title", "upper", "both", "mixed", "digits", "marks"] and sorts["ÄÖé"] == "both"
+    assert found["x-y.z/w"][10:13].tolist() == [1, 1, 1] and found["strength"][9] == 4 and found["b" * 300][9] == 7
+    assert (secrets.measures(words[:1]) == found["abc"]).all() and secrets.measures([]).shape == (0, 14)
 
 
 def test_tagged_parts_outside_base_spans_stay():
@@ -383,18 +476,43 @@ def test_cut_chain_equals_whole_chain(texts):
     for text in lines + many + texts[:60]:
         gaps, tokens = secrets.tokens_of(text)
         assert "".join(x for pair in zip(gaps, [*tokens, ""]) for x in pair) == text
-        score, first = model.scores(gaps, tokens, ("baseFalse",))
+        score, first = model.scores(gaps, tokens, secrets._about(text, False, tokens))
         cuts, whole = [*np.flatnonzero(first).tolist(), len(tokens)], {}
         for a, b in zip(cuts, cuts[1:]):
             whole.update({a + i: t for i, t in enumerate(model.viterbi(score[a:b])) if t})
         assert whole == model.tags(score, first)
 
 
+def test_scanning_together_equals_scanning_alone(texts):
+    model = secrets.tagger()
+    some = [*texts[:150], None, "", *ODD]
+    together = secrets.scan_all(some, model)
+    assert together == [secrets.scan(t, model) for t in some]
+
+
+def test_planted_secrets_no_base_pattern_catches(texts):
+    """Recall and false hits of the field on secrets put between the words of the bundled documents."""
+    model, rnd = secrets.tagger(), random.Random(12)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    found = total = 0
+    for text in [t for t in texts if t and len(t.split()) > 30][:120]:
+        words = text.split(" ")
+        secret = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(24, 40)))
+        cue = rnd.choice(("bearer ", "access key ", "credentials are ", "pwd "))
+        at = rnd.randrange(1, len(words))
+        planted = " ".join([*words[:at], cue + secret, *words[at:]])
+        place = planted.index(secret)
+        spans = [(a, b) for a, k, b in secrets.scan(planted, model) if k == 3]
+        found, total = found + any(a <= place and place + len(secret) <= b for a, b in spans), total + 1
+    false = sum(k == 3 for t in texts for _, k, _ in secrets.scan(t, model))
+    assert found >= 0.9 * total and false <= 5, (found, total, false)
+
+
 def test_masking(docs):
     assert secrets.mask("a SECRET=abcdefg b", secrets.base_spans("a SECRET=abcdefg b")) == "a <SECRET> b"
     assert secrets.mask(None, []) is None
     masked = secrets.mask_secrets(docs)
-    assert masked.columns == docs.columns and masked.count() == docs.count()
+    assert masked.columns == docs.columns and masked.count() == docs.count() and masked.select("`a.b`").distinct().count() == 1
 
 
 # -- 9, 10 ------------------------------------------------------------------------
@@ -420,11 +538,63 @@ def test_language(spark, empty):
 def test_language_ignores_other_columns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(200)
     model = language.fit(docs)
-    a = {r.text: r.lang_pred for r in language.predict(docs, model, ["text"]).collect()}
-    b = {r.text: r.lang_pred for r in language.predict(docs.withColumn("lang", F.lit("xx")), model, ["text"]).collect()}
+    a = {r.doc_id: r.lang_pred for r in language.identify(docs, model).collect()}
+    b = {r.doc_id: r.lang_pred for r in language.identify(docs.withColumn("lang", F.lit("xx")), model).collect()}
     assert a == b
 
 
+def brute_grams(text, slots=language.SLOTS):
+    """Slots of all 1- to 3-grams, one by one."""
+    out = {}
+    for n in (1, 2, 3):
+        for i in range(len(text) - n + 1):
+            h = n * 0x9E3779B1 & 0xFFFFFFFF
+            for c in text[i : i + n]:
+                h = (h ^ ord(c)) * 0x85EBCA6B & 0xFFFFFFFF
+                h ^= h >> 15
+            out[h % slots] = out.get(h % slots, 0) + 1
+    return out
+
+
+def test_language_scores_by_brute_force(spark, docs):
+    import math
+
+    model = language.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300))
+    for r in language.identify(docs, model).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
+        text = r.text or ""
+        if not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        x = {s: math.log1p(c) * model.idf[s] for s, c in brute_grams(text.lower()).items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        logits = [(sum(v / size * model.weights[s, k] for s, v in x.items()) + model.bias[k]) / model.temperature for k in range(len(model.languages))]
+        p = [math.exp(v - max(logits)) for v in logits]
+        assert r.score == pytest.approx(max(p) / sum(p), abs=1e-9) and (r.lang_pred == model.languages[p.index(max(p))] or sorted(p)[-1] - sorted(p)[-2] < 1e-9)
+
+
+def test_language_odd_rows(spark, docs):
+    model = language.fit(docs.withColumn("lang", F.when(F.pmod("doc_id", F.lit(2)) == 0, "en").otherwise("de")))
+    got = language.identify(docs, model)
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"] and got.count() == docs.count()
+    assert all(r.held_out for r in got.filter("doc_id is null").collect())
+    long = spark.createDataFrame([(1, "der die das und " * 200_000), (2, "der die das und " * 200_000)], "doc_id long, text string")
+    a, b = language.identify(long, model).collect()
+    assert (a.lang_pred, a.score) == (b.lang_pred, b.score)
+    kept = language.keep_known(docs, model, 0.5)
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+
+
+def test_sample_takes_every_class(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("c"), F.pmod("id", F.lit(1500)).cast("string")).alias("lang"), F.lit("some text").alias("text"), F.lit(0).alias("place"))
+    found = sampling.labelled_sample(rows, rows, "lang", 3, 100)
+    counts = {}
+    for i, _, lang in found:
+        assert zlib.crc32(str(i).encode()) % 5 and f"c{i % 1500}" == lang
+        counts[lang] = counts.get(lang, 0) + 1
+    assert len(counts) == 1500 and max(counts.values()) == 3
+    assert found == sampling.labelled_sample(rows.unionByName(rows).repartition(5), rows.unionByName(rows), "lang", 3, 100)
+
+
 def test_quality_classifier(spark, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in bytecnn.classify(docs, labels).collect()}
@@ -437,6 +607,34 @@ def test_quality_classifier(spark, empty):
     assert {r.score for r in bytecnn.classify(docs.limit(5), labels.filter("false")).collect()} == {0.5}
 
 
+def brute_score(net, text):
+    """The network evaluated place by place."""
+    data = (text or "").encode()
+    best = []
+    for row in bytecnn.chunks_of(text):
+        places = range(0, len(row) - bytecnn.WIDTH + 1, bytecnn.STRIDE)
+        best.append([max(sum(float(net.table[k][row[p + k]][f]) for k in range(bytecnn.WIDTH)) for p in places) for f in range(bytecnn.FILTERS)])
+    act = np.tanh(np.array(best) + net.bias)
+    assert len(data) <= sum(len(r) for r in bytecnn.chunks_of(text))
+    return 1 / (1 + np.exp(-(np.concatenate([act.mean(0), act.max(0)]) @ net.out + net.out_bias)))
+
+
+def test_quality_scores_by_brute_force(spark, docs, texts):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    net = bytecnn.fit(docs, labels, per_class=30)
+    short = docs.filter(F.length(F.coalesce("text", F.lit(""))) < 1500)
+    rows = {r.doc_id: r.text for r in short.collect()}
+    got = bytecnn.classify(docs, labels, net)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.count() == docs.count()
+    for r in got.filter(F.col("doc_id").isin([i for i in list(rows)[:40] if i is not None])).collect():
+        if r.doc_id in rows and r.doc_id != 3:
+            assert r.score == pytest.approx(brute_score(net, rows[r.doc_id]), abs=1e-4) and r.predicted == int(r.score >= 0.3)
+    long = "good words of a text " * 100_000
+    assert net.score(long) == net.score(long) and 0 <= net.score(long) <= 1
+    kept = bytecnn.keep_good(docs, net)
+    assert kept.columns == docs.columns and kept.count() == got.filter("predicted = 1").count()
+
+
 def test_chunks_cover_everything():
     for n in (0, 1, 5, 1000, 1024, 1025, 5000):
         text = "".join(chr(97 + i % 26) for i in range(n))

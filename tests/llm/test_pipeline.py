@@ -41,3 +41,17 @@ def test_run_and_labels(spark, tiny):
     clean = spark.read.parquet(f"{tiny}/labels.parquet").filter("quality = 1 and toxic = 0")
     lost = clean.join(found.select("doc_id").distinct(), "doc_id", "left_anti").count()
     assert lost <= 0.25 * clean.count()  # near copies go, clean documents stay
+
+
+def test_stages_hand_on_any_columns_and_no_rows(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").limit(60)
+    names = ["_id", "_none", "_own", "_n", "_quality", "_probability", "_language", "_read", "row", "whole", "fingerprint", "score", "a.b", "`x`"]
+    long = docs.limit(1).withColumns({"doc_id": F.lit(90_001).cast("long"), "text": F.repeat(F.lit("und die der von mit. the of and to in "), 20_000)})
+    odd = docs.limit(1).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit("")})
+    rows = docs.unionByName(long).unionByName(odd).withColumns({n: F.lit(k) for k, n in enumerate(names)})
+    for now in (materialise(rows, "wide"), materialise(rows.filter("false"), "none")):
+        for _, stage in P.STAGES[:-1]:
+            now = materialise(stage(spark, now, tiny), "out")
+            assert now.columns == rows.columns
+            assert all(tuple(r)[-len(names) :] == tuple(range(len(names))) for r in now.collect())
+        assert (now.count() > 0) == (P.STAGES[-1][1](spark, now, tiny).count() > 0)

@@ -15,7 +15,9 @@ passages of good rows are trained on as good, so that brevity alone costs nothin
 
 Null and empty texts are one chunk of padding and get that chunk's score.  Without
 labels of both classes every score is the share of the class at hand (0.5 if none).
-Repeated rows repeat.  Only text is read when scoring.
+A score of exactly the threshold counts as 1.  Repeated rows repeat.  A very long text
+is scored over all its chunks, a few at a time.  Only text is read when scoring; other
+columns, whatever their names, take no part.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -144,21 +146,28 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Netwo
     return train(labelled_sample(docs, known, "quality", per_class, MAX_CHARS), counts.get(1, 0) / total if total else None)
 
 
-def score(docs: DataFrame, net: Network, columns: list[str], into: str = "score") -> DataFrame:
-    """The columns asked for and the score (under the name ``into``), of every row of docs."""
-    kept = docs.select(F.col("text").cast("string").alias("_scored"), *columns)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
-    names = [*columns, into]
+def classify(docs: DataFrame, labels: DataFrame, net: Network | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row."""
+    net = fit(docs, labels) if net is None else net
 
     def run(batches):
         release()
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([net.score(t) for t in batch.column(0).to_pylist()], pa.float64())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([net.score(t) for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
 
     arrow_rows(docs.sparkSession)
-    return kept.mapInArrow(run, f"{kinds}, {into} double")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    found = score(docs.withColumn("doc_id", F.col("doc_id").cast("long")), fit(docs, labels), ["doc_id"])
-    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+def keep_good(docs: DataFrame, net: Network) -> DataFrame:
+    """The rows that score ``THRESHOLD`` or more, all columns as they are."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        release()
+        for batch in slices(batches):
+            yield batch.filter(pa.array([net.score(t) >= THRESHOLD for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    arrow_rows(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)

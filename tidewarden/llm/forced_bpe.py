@@ -9,9 +9,10 @@ Certain cuts of a text are the places no token of the vocabulary can span:
 Merges never cross such a place, so the fragments between cuts are encoded
 independently and their ids concatenated; the result is that of encoding the
 whole text.  White-space fragments and the pieces below them are remembered in
-a bounded table, as natural text repeats them.  Any fragment with characters
-outside Latin-1 (where normalisation matters) or with a special token's text is
-given to the tokenizers library as it is.
+a bounded table, as natural text repeats them.  A special token counts only in its
+exact letters; it is cut out before anything is lower-cased, as the library does.  A
+fragment with characters outside Latin-1 (where normalisation matters) is given to
+the tokenizers library as it is.
 """
 
 from __future__ import annotations
@@ -106,7 +107,11 @@ class ForcedBoundaryEncoder(dict):
         self.rank = {m: i for i, m in enumerate(merges)}
         self.letters = byte_letters()
         self.inside = occurring_pairs(self.vocab, self.letters)
+        self.forced = np.ones((256, 256), bool)
+        for a, b in self.inside:
+            self.forced[a, b] = False
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         size = max([*self.vocab.values(), *self.special.values()]) + 1
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.token = [""] * size
@@ -126,18 +131,18 @@ class ForcedBoundaryEncoder(dict):
         ids = self.older.get(fragment)
         if ids is None:
             words = self._words(fragment)
-            ids = self._library(fragment) if words is None else b"".join([self._pretoken(w) for w in words])
+            ids = self._whole(fragment) if words is None else b"".join([self._pretoken(w) for w in words])
         if len(fragment) <= KEEP_CHARS:
             self[fragment] = ids
         return ids
 
     def _words(self, fragment: str) -> list[str] | None:
-        """Pre-tokens of a fragment; None where only the library may split it."""
+        """Pre-tokens of a fragment; None for a special token and where only the library may split."""
         word = _SIMPLE.fullmatch(fragment)
         if word:
             head, tail = word.groups()
             return [head, tail] if tail else [head]
-        if not _latin(fragment) or any(s in fragment for s in self.special):
+        if fragment[0] == " " or not _latin(fragment):
             return None
         return _PRETOKEN.findall(fragment.lower())
 
@@ -154,19 +159,27 @@ class ForcedBoundaryEncoder(dict):
         if len(self) >= KEEP_ROWS:
             self.older = dict(self)
             self.clear()
-        known, plan, new = self.older, {}, {}
+        known, plan, new, plain = self.older, {}, {}, set()
         for f in fragments:
             if f in known:
                 self[f] = known[f]
             elif len(f) <= KEEP_CHARS:
+                if f.isalpha() and f.isascii():
+                    plain.add(f)
+                    continue
                 words = self._words(f)
                 if words is None:
-                    self[f] = self._library(f)
+                    self[f] = self._whole(f)
                     continue
                 plan[f] = words
                 for w in words:
                     if w not in self and w not in new:
-                        new[w] = self._pieces(w)
+                        if w.isalpha() and w.isascii():
+                            plain.add(w)
+                        else:
+                            new[w] = self._pieces(w)
+        for w in self._learn_plain(list(plain)):
+            new[w] = self._pieces(w.lower())
         done = self._merge_all({p for pieces in new.values() for p in pieces})
         for w, pieces in new.items():
             self[w] = done[pieces[0]] if len(pieces) == 1 else b"".join([done[p] for p in pieces])
@@ -174,6 +187,27 @@ class ForcedBoundaryEncoder(dict):
             if f not in self:
                 self[f] = b"".join([self[w] for w in words])
 
+    def _learn_plain(self, words: list[str]) -> list[str]:
+        """Encode words of a-z alone (a pre-token each), in numpy; returns those with a forced cut or too long."""
+        if not words:
+            return []
+        data = np.frombuffer("".join(words).lower().encode("ascii") + bytes(32), np.uint8)
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        ends = counts.cumsum()
+        starts = ends - counts
+        cuts = np.concatenate([[0], self.forced[data[:-1], data[1:]].cumsum()])
+        cut = cuts[ends - 1] > cuts[starts]  # between two bytes of the word, not at its end
+        rest = np.flatnonzero(cut | (counts > 32))
+        size = self.dtype.itemsize
+        for low, width in ((0, 8), (8, 16), (16, 32)):
+            own = np.flatnonzero(~cut & (counts > low) & (counts <= width))
+            if len(own):
+                rows, left = self._merge_matrix(data[starts[own, None] + np.arange(width)], counts[own], np.ones(len(own), bool))
+                flat, line = rows.astype(self.dtype).tobytes(), width * size
+                for at, i, n in zip(range(0, len(flat), line), own.tolist(), (left * size).tolist()):
+                    self[words[i]] = flat[at : at + n]
+        return [words[i] for i in rest.tolist()]
+
     def _merge_all(self, pieces: set[tuple[bytes, bool]]) -> dict[tuple[bytes, bool], bytes]:
         out: dict[tuple[bytes, bool], bytes] = {}
         groups: dict[int, list[tuple[bytes, bool]]] = {8: [], 16: [], 32: []}
@@ -185,19 +219,18 @@ class ForcedBoundaryEncoder(dict):
                 groups[8 if n <= 8 else 16 if n <= 16 else 32].append(p)
         for width, own in groups.items():
             if own:
-                rows, counts = self._merge_rows(own, width)
+                data = np.frombuffer(b"".join([d.ljust(width, b"\0") for d, _ in own]), np.uint8).reshape(len(own), width)
+                rows, counts = self._merge_matrix(data, np.fromiter((len(d) for d, _ in own), np.int64, len(own)), np.fromiter((f for _, f in own), bool, len(own)))
                 size = self.dtype.itemsize
                 flat, line = rows.astype(self.dtype).tobytes(), width * size
                 for i, (p, n) in enumerate(zip(own, counts.tolist())):
                     out[p] = flat[i * line : i * line + n * size]
         return out
 
-    def _merge_rows(self, pieces: list[tuple[bytes, bool]], width: int) -> tuple[np.ndarray, np.ndarray]:
-        """BPE of many pieces at once: in each round every row makes its leftmost merge of least rank."""
-        n = len(pieces)
-        data = np.frombuffer(b"".join([d.ljust(width, b"\0") for d, _ in pieces]), np.uint8).reshape(n, width)
-        counts = np.fromiter((len(d) for d, _ in pieces), np.int64, n)
-        ends = np.fromiter((f for _, f in pieces), bool, n)
+    def _merge_matrix(self, data: np.ndarray, counts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """BPE of many pieces at once (a row of bytes each, ``counts`` of them its own): in each round
+        every row makes its leftmost merge of least rank."""
+        (n, width), counts = data.shape, counts.copy()
         at = np.arange(width)
         ids = np.where(at < counts[:, None], self.byte_id[0][data], NONE)
         rows = np.flatnonzero(ends)
@@ -258,7 +291,10 @@ class ForcedBoundaryEncoder(dict):
         ids = [t.id for t in self.model.tokenize(symbols)] if ends else self._open_piece(symbols)
         return b"".join([self.packed[i] for i in ids])
 
-    def _library(self, fragment: str) -> bytes:
+    def _whole(self, fragment: str) -> bytes:
+        """Of a special token (marked by a blank before it), or of a fragment left to the library."""
+        if fragment[0] == " ":
+            return self.packed[self.special[fragment[1:]]]
         return b"".join([self.packed[i] for i in self.library.encode(fragment, add_special_tokens=False).ids])
 
     def _open_piece(self, symbols: str) -> list[int]:
@@ -273,8 +309,19 @@ class ForcedBoundaryEncoder(dict):
 
     # -- texts -------------------------------------------------------------
     def _split(self, text: str | None) -> list[str]:
+        """White-space fragments; a special token is a fragment with a blank before it."""
         if not text:
             return []
+        if self.marks.search(text):
+            out, at = [], 0
+            for m in self.marks.finditer(text):
+                out += self._fragments(text[at : m.start()])
+                out.append(" " + m[0])
+                at = m.end()
+            return out + self._fragments(text[at:])
+        return self._fragments(text)
+
+    def _fragments(self, text: str) -> list[str]:
         if _latin(text):
             text = text.lower()
         if any(c in text for c in _NOT_SPACE):

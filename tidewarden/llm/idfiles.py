@@ -19,8 +19,14 @@ boundary from the nearest sample; a reader fetches one document's ids by seeking
 
 A task writes under a name of its attempt and renames when whole, so repeated or
 speculative attempts leave one good file.  The manifest (one row per file) is a
-written table; the driver sums its id counts to give each file the number of ids
-before it.  Null doc_ids sort first; ties keep any order; null text is empty.
+written table; the number of ids before each file is summed in Spark, over the files
+of a writing task and over the tasks.
+
+Null doc_ids sort first.  Rows of one doc_id (or of none) are split over tasks by a
+hash of their text and keep any order among themselves; repeated rows are written as
+often as they occur.  Null and empty texts are the end id alone; a very long text is
+one run of ids that closes its file.  Other columns, whatever their names, take no
+part.  An empty table gives an empty manifest, no files and no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .forced_bpe import DEFAULT_VOCABULARY, encoder
@@ -41,6 +47,8 @@ from .tokens import slices
 MAGIC = b"TWEFIDS1"
 _HEADER = struct.Struct("<8sIIQQQQ")
 SAMPLE = 256
+#: Bytes of the high section counted at a time.
+STEP = 4096
 END_ID = 2
 #: Bytes of ids after which a task starts another file.
 SHARD_BYTES = 16 << 20
@@ -67,22 +75,34 @@ class Boundaries:
         self.high = np.frombuffer(high_bytes, np.uint8)
 
     def select(self, i: int) -> int:
-        """Value ``i``: one-bit i of the high section, from the sample at or before it."""
+        """Value ``i``: one-bit i of the high section, found from the sample at or before it.
+
+        Whole windows of bytes are counted and passed by until the one that holds the bit,
+        however long the gap (a very long document leaves as many zero bits).
+        """
+        if not 0 <= i < self.n:
+            raise IndexError(i)
         at, left = int(self.samples[i // SAMPLE]), i % SAMPLE
         byte = at // 8
-        first = int(self.high[byte]) >> (at % 8)
-        have = first.bit_count() - 1  # one-bits after the sampled one in its byte
-        if left <= have:
-            place, bits = at, first
-        else:
-            left -= have + 1
-            counts = np.bitwise_count(self.high[byte + 1 : byte + 1 + SAMPLE * 64])
-            k = int(np.searchsorted(np.cumsum(counts), left, side="right"))
-            left -= int(counts[:k].sum())
-            place, bits = (byte + 1 + k) * 8, int(self.high[byte + 1 + k])
+        bits = int(self.high[byte]) >> (at % 8) << (at % 8)  # from the sampled bit on
+        if left >= bits.bit_count():
+            left -= bits.bit_count()
+            byte += 1
+            while True:
+                counts = np.cumsum(np.bitwise_count(self.high[byte : byte + STEP]), dtype=np.int64)
+                if not len(counts):
+                    raise ValueError("the high section ends before its last one-bit")
+                if left < counts[-1]:
+                    break
+                left -= int(counts[-1])
+                byte += len(counts)
+            k = int(np.searchsorted(counts, left, side="right"))
+            left -= int(counts[k - 1]) if k else 0
+            byte += k
+            bits = int(self.high[byte])
         for _ in range(left):
             bits &= bits - 1
-        place += (bits & -bits).bit_length() - 1
+        place = byte * 8 + (bits & -bits).bit_length() - 1
         first_bit = i * self.low
         window = int.from_bytes(self.low_bits[first_bit // 8 : (first_bit + self.low + 7) // 8].tobytes(), "little") >> (first_bit % 8)
         return ((place - i) << self.low) | (window & ((1 << self.low) - 1))
@@ -164,16 +184,19 @@ def write_id_files(docs: DataFrame, folder: str, vocabulary: str = DEFAULT_VOCAB
 
     spark = docs.sparkSession
     arrow_rows(spark)
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
     return materialise(ordered.mapInArrow(run, "shard long, path string, n_docs long, n_ids long"), "id-manifest")
 
 
 def read_id_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """Documents as the files hold them: doc_id, start, n_tokens, ids (uint32 bytes)."""
-    rows, before, files = manifest.orderBy("shard").collect(), 0, []  # one row per file
-    for r in rows:
-        files.append((r.path, before))
-        before += r.n_ids
+    task = F.shiftright("shard", 20).alias("task")
+    earlier = lambda by: F.coalesce(F.sum("n_ids").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tasks = manifest.groupBy(task).agg(F.sum("n_ids").alias("n_ids")).select("task", earlier(Window.orderBy("task")).alias("before"))  # one row per writing task
+    within = manifest.select("path", task, earlier(Window.partitionBy(F.shiftright("shard", 20)).orderBy("shard")).alias("own"))
+    listed = within.join(tasks, "task").select("path", (F.col("own") + F.col("before")).alias("base"))
+    n_files = manifest.count()
 
     def run(batches):
         from pyarrow import fs
@@ -193,8 +216,7 @@ def read_id_files(spark: SparkSession, folder: str, manifest: DataFrame) -> Data
                             ["doc_id", "start", "n_tokens", "ids"],
                         )
 
-    listed = spark.createDataFrame(files, "path string, base long")
-    return listed.repartition(max(1, min(len(files), 10_000)), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return listed.repartition(max(1, min(n_files, 10_000)), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def new_folder(spark: SparkSession) -> str:

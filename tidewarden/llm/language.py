@@ -7,8 +7,11 @@ language), then calibrated by one temperature on the part of the sample that was
 not trained on.  Prediction is one narrow pass with one model of fixed size.
 
 A null text, or one without a letter, is ``und`` with score 0; so is every text
-where nothing can be learned.  Repeated rows repeat.  Only doc_id (for the fold)
-and text are read when predicting.
+where nothing can be learned (no labelled rows, an empty table).  Ties between
+languages go to the first in alphabetical order.  Repeated rows repeat.  A very long
+text is counted whole, in overlapping stretches.  Only doc_id (for the fold) and text
+are read when predicting; other columns, whatever their names, take no part.  An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -127,22 +130,33 @@ def fit(docs: DataFrame, per_class: int = PER_CLASS) -> Model:
     return train(labelled_sample(docs, docs, "lang", per_class, MAX_CHARS))
 
 
-def predict(docs: DataFrame, model: Model, columns: list[str], into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The columns asked for, language and score (under the names ``into``), of every row of docs."""
-    kept = docs.select(F.col("text").cast("string").alias("_read"), *columns)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
-    names = [*columns, *into]
+def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row."""
+    model = fit(docs) if model is None else model
 
     def run(batches):
         release()
         for batch in slices(batches):
-            found = [model.predict(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names)
+            found = [model.predict(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     arrow_rows(docs.sparkSession)
-    return kept.mapInArrow(run, f"{kinds}, {into[0]} string, {into[1]} double")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    found = predict(docs.withColumn("doc_id", F.col("doc_id").cast("long")), fit(docs), ["doc_id"])
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+def keep_known(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows whose language is known with a probability of ``least`` or more, all columns as they are."""
+    at = docs.columns.index("text")
+
+    def good(text: str | None) -> bool:
+        language, p = model.predict(text)
+        return language != "und" and p >= least
+
+    def run(batches):
+        release()
+        for batch in slices(batches):
+            yield batch.filter(pa.array([good(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    arrow_rows(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)

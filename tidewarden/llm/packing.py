@@ -4,22 +4,29 @@
    sequence, and packs the pieces best-fit (longest first) into bins.
 2. Bins filled to within ``slack`` ids of the capacity are done.  The others are
    items of the next round, in which ``fan_in`` neighbouring groups merge, and so
-   on up the tree, until one group is left.
-3. A group hands on at most ``carry`` of its emptiest bins; fuller ones are done
-   as they are.  Nothing is dropped; a task's memory is bounded by
-   ``fan_in * carry`` bins at every level above the first, where it is one input
-   partition's pieces.
-
-Each round's bins are a written table in the shared folder, so a lost executor
-repeats one round's tasks at most.  Null or empty texts are a piece of one id
-(the end id); repeated rows are packed as often as they occur; a null doc_id is
-kept.  An empty table gives no sequences.
+   on up the tree, until one group is left.  Rounds move bins' numbers and fills
+   only; pieces stay where the first step wrote them.
+3. No bin is closed early that a later round could use.  After best fit at most one
+   bin of a group is half full or less, and two fuller ones never go together, so
+   the rounds to come cannot touch more of the fuller bins than there are others
+   left in all groups.  Two rules follow, both without loss: a bin is done if the
+   least filled one of all groups does not fit into it; and of a group's bins of
+   one fill, as many as there are bins of half fill or less anywhere are enough.
+   A group hands on at most that many for each fill, of 16 bytes each.
+
+Each round's moves are a written table in the shared folder, so a lost executor
+repeats one round's tasks at most.  The last step follows the moves of the open bins
+and joins them to their pieces; bins done in the first step are not shuffled.
+
+Null or empty texts are a piece of one id (the end id); repeated rows are packed as
+often as they occur; a null doc_id is kept; a very long text is cut into pieces of a
+whole sequence, the last one shorter; among items of one size the earlier goes first.
+Other columns, whatever their names, take no part.  An empty table gives no sequences.
 """
 
 from __future__ import annotations
 
 import zlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +42,10 @@ CAPACITY = 2048
 END_ID = 0
 SLACK = 8
 FAN_IN = 8
-CARRY = 20_000
 
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
-_BIN = "sequence_id long, home long, fill int, closed boolean, pieces array<struct<doc_id: bigint, piece: int, start: bigint, length: bigint, ids_crc32: bigint, offset: bigint>>"
+_BIN = "bin long, home long, fill int, open boolean, pieces array<struct<doc_id: bigint, piece: int, start: bigint, length: bigint, ids_crc32: bigint, offset: bigint>>"
+_MOVE = "child long, parent long, shift int, home long, fill int, leads boolean"
 
 
 def best_fit(sizes, capacity: int) -> list[list[int]]:
@@ -70,42 +77,44 @@ def best_fit(sizes, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _emit(bins, fills, home, level, slack, carry, capacity, last):
-    """Record batches of packed bins; decides which are closed and numbers them."""
-    part = TaskContext.get().partitionId()
+def useful(fills: np.ndarray, capacity: int, least: int, small: int) -> np.ndarray:
+    """Bins that a later round may use, given the least fill of all groups and how many bins are half full or less."""
     fills = np.asarray(fills, np.int64)
-    closed = fills >= capacity - slack
-    if last:
-        closed[:] = True
-    elif (~closed).sum() > carry:
-        still = np.flatnonzero(~closed)
-        closed[still[np.argsort(fills[still], kind="stable")[carry:]]] = True
-    base = (level << 56) | (part << 32)
-    for at in range(0, len(bins), 2000):
-        part_bins = bins[at : at + 2000]
-        ends = np.cumsum([0, *(len(b[0]) for b in part_bins)], dtype=np.int32)
-        cols = [np.concatenate([b[k] for b in part_bins]) for k in range(6)]
-        null = np.concatenate([b[6] for b in part_bins])
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        arrays = [pa.array(c, t, mask=null if k == 0 else None) for k, (c, t) in enumerate(zip(cols, kinds))]
-        pieces = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(arrays, fields=list(_PIECE)))
-        n = len(part_bins)
+    order = np.argsort(fills, kind="stable")
+    own = fills[order]
+    nth = np.arange(len(own)) - np.searchsorted(own, own)  # place among the bins of this fill
+    keep = np.zeros(len(fills), bool)
+    keep[order] = (2 * own <= capacity) | ((nth < small) & (own + least <= capacity))
+    return keep
+
+
+def _bins(rows: list[tuple], capacity: int, slack: int):
+    """Record batches of a partition's packed pieces (doc_id, piece, start, length, crc, null)."""
+    doc, piece, start, length, crc = (np.array(c, np.int64) for c in rows[:5])
+    null = np.array(rows[5], bool)
+    part = TaskContext.get().partitionId()
+    chosen = best_fit(length, capacity)
+    for at in range(0, len(chosen), 2000):
+        own = chosen[at : at + 2000]
+        flat = np.concatenate([np.array(b) for b in own])
+        sizes = np.array([len(b) for b in own])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        sums = np.concatenate([[0], np.cumsum(length[flat])])
+        fills = sums[ends[1:]] - sums[ends[:-1]]
+        offset = sums[:-1] - np.repeat(sums[ends[:-1]], sizes)
+        values = [pa.array(c[flat], t) for c, t in ((piece, pa.int32()), (start, pa.int64()), (length, pa.int64()), (crc, pa.int64()))]
+        pieces = pa.StructArray.from_arrays([pa.array(doc[flat], pa.int64(), mask=null[flat]), *values, pa.array(offset, pa.int64())], fields=list(_PIECE))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(base + np.arange(at, at + n)), pa.array(np.full(n, home)), pa.array(fills[at : at + n], pa.int32()), pa.array(closed[at : at + n]), pieces],
-            ["sequence_id", "home", "fill", "closed", "pieces"],
-        )
-
-
-def _join_items(items, chosen):
-    """One bin of several items: their pieces, laid end to end."""
-    own = [items[i] for i in chosen]
-    cols = [np.concatenate([x[k] for x in own]) for k in range(7)]
-    cols[5] = np.cumsum(cols[3]) - cols[3]
-    return tuple(cols)
+            [
+                pa.array((part << 32) + np.arange(at, at + len(own))), pa.array(np.full(len(own), part, np.int64)), pa.array(fills, pa.int32()),
+                pa.array(fills < capacity - slack), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces),
+            ],
+            ["bin", "home", "fill", "open", "pieces"],
+        )
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = DEFAULT_VOCABULARY, slack: int = SLACK, fan_in: int = FAN_IN, carry: int = CARRY, end_id: int = END_ID) -> DataFrame:
-    """Sequences: sequence_id, fill and the pieces they hold, in order."""
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = DEFAULT_VOCABULARY, slack: int = SLACK, fan_in: int = FAN_IN, end_id: int = END_ID) -> DataFrame:
+    """One row per placed piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
 
     def first(batches):
         enc = encoder(vocabulary)
@@ -120,49 +129,56 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str =
                     for c, v in zip(cols, (name or 0, k, start, len(own), zlib.crc32(own.tobytes()), name is None)):
                         c.append(v)
         if cols[0]:
-            doc, piece, start, length, crc = (np.array(c, np.int64) for c in cols[:5])
-            null = np.array(cols[5], bool)
-            bins, fills = [], []
-            for chosen in best_fit(length, capacity):
-                own = length[chosen]
-                bins.append((doc[chosen], piece[chosen], start[chosen], own, crc[chosen], np.cumsum(own) - own, null[chosen]))
-                fills.append(int(own.sum()))
-            yield from _emit(bins, fills, TaskContext.get().partitionId(), 0, slack, carry, capacity, False)
-
-    def merge(level, last):
-        def run(batches):
-            items, fills, home = [], [], 0
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    flat = batch.column(4).slice(i, 1).flatten()
-                    doc = flat.field(0)
-                    items.append((doc.fill_null(0).to_numpy(), *(flat.field(k).to_numpy() for k in range(1, 6)), doc.is_null().to_numpy(zero_copy_only=False)))
-                fills += batch.column(2).to_pylist()
-                home = batch.column(1)[0].as_py() // fan_in if batch.num_rows else home
-            if items:
-                bins = best_fit(fills, capacity)
-                yield from _emit([_join_items(items, b) for b in bins], [sum(fills[i] for i in b) for b in bins], home, level, slack, carry, capacity, last)
-
-        return run
+            yield from _bins(cols, capacity, slack)
 
     arrow_rows(docs.sparkSession)
-    bins = materialise(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(first, _BIN), "bins0")
-    rounds, level = [bins], 0
-    homes = (bins.agg(F.max("home")).first()[0] or 0) + 1
+    bins = materialise(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(first, _BIN), "bins")
+    rounds = _merge_rounds(bins.filter("open").select("bin", "home", "fill"), capacity, slack, fan_in)
+    pieces = ["p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", "sequence_id", (F.col("p.offset") + F.col("shift")).alias("offset")]
+    unmoved = bins.filter("not open").select(F.col("bin").alias("sequence_id"), F.lit(0).alias("shift"), "pieces")
+    moved = bins.filter("open").join(_followed(rounds), F.col("bin") == F.col("child"), "left") if rounds else bins.filter("open").withColumns({"parent": F.col("bin"), "shift": F.lit(0)})
+    moved = moved.select(F.coalesce("parent", "bin").alias("sequence_id"), F.coalesce("shift", F.lit(0)).alias("shift"), "pieces")
+    return unmoved.unionByName(moved).select("sequence_id", "shift", F.explode("pieces").alias("p")).select(*pieces)
+
+
+def _merge(level: int, capacity: int, least: int, small: int):
+    """One round's work on one group: (group number, its open bins) to moves."""
+
+    def run(key, group):
+        home, fills, names = key[0].as_py(), group["fill"].to_numpy().astype(np.int64), group["bin"].to_numpy()
+        on = np.flatnonzero(useful(fills, capacity, least, small))
+        on = on[np.lexsort((names[on], fills[on]))]  # rows of a group come in any order
+        chosen = best_fit(fills[on], capacity)
+        flat = on[np.concatenate([np.array(b, np.int64) for b in [*chosen, []]])]
+        sizes = np.array([len(b) for b in chosen], np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        sums = np.concatenate([[0], np.cumsum(fills[flat])])
+        shift = sums[:-1] - np.repeat(sums[ends[:-1]], sizes)
+        each = np.repeat(np.arange(len(chosen)), sizes)
+        fill = (sums[ends[1:]] - sums[ends[:-1]])[each]
+        parent = (level << 56) + (home << 32) + each
+        return pa.table({"child": names[flat], "parent": parent, "shift": shift.astype(np.int32), "home": np.full(len(flat), home), "fill": fill.astype(np.int32), "leads": shift == 0})
+
+    return run
+
+
+def _merge_rounds(items: DataFrame, capacity: int, slack: int, fan_in: int) -> list[DataFrame]:
+    """Moves of every round: child bin, parent bin, the child's place there, and the parent's home and fill."""
+    rounds: list[DataFrame] = []
     while True:
-        left = rounds[-1].filter("not closed")
-        if left.isEmpty():
-            break
-        groups = -(-homes // fan_in)
-        level += 1
-        spread = left.repartition(groups, F.floor(F.col("home") / fan_in)).sortWithinPartitions("fill", "sequence_id")
-        rounds.append(materialise(spread.mapInArrow(merge(level, groups == 1), _BIN), f"bins{level}"))
-        homes = groups
-    return reduce(DataFrame.unionByName, [r.filter("closed") for r in rounds]).select("sequence_id", "fill", "pieces")
-
-
-def placed_pieces(sequences: DataFrame) -> DataFrame:
-    """One row per piece with its sequence and its place there."""
-    return sequences.select("sequence_id", F.explode("pieces").alias("p")).select(
-        "p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", "sequence_id", "p.offset"
-    )
+        last, least, small, n = items.agg(F.max("home"), F.min("fill"), F.count_if(2 * F.col("fill") <= capacity), F.count("*")).first()
+        if n < 2 or last == 0:
+            return rounds
+        level = len(rounds) + 1
+        grouped = items.groupBy(F.floor(F.col("home") / fan_in).alias("group"))
+        rounds.append(materialise(grouped.applyInArrow(_merge(level, capacity, least, small), _MOVE), f"moves{level}"))
+        items = rounds[-1].filter(F.col("leads") & (F.col("fill") < capacity - slack)).select(F.col("parent").alias("bin"), "home", "fill")
+
+
+def _followed(rounds: list[DataFrame]) -> DataFrame:
+    """child, parent, shift of every bin open after the first step: its last bin and its place there."""
+    at = rounds[0].select("child", "parent", "shift")
+    for moves in rounds[1:]:
+        on = moves.select(F.col("child").alias("was"), F.col("parent").alias("now"), F.col("shift").alias("more"))
+        at = at.join(on, F.col("parent") == F.col("was"), "left").select("child", F.coalesce("now", "parent").alias("parent"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
+    return at

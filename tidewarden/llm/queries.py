@@ -28,7 +28,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.placed_pieces(packing.pack_documents(table(spark, sf_dir, "documents")))
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op6_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:

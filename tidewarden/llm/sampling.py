@@ -1,16 +1,20 @@
 """Bounded samples of labelled rows for the classifiers.
 
 The rule is one for all sizes: rows whose crc32(doc_id as text) mod 5 is not 0 may
-be learned from; of each class, ids are taken by a hash of doc_id with the rate that
-gives about ``per_class`` of them, and at most twice that many reach the driver.
-Rates come from counts over all rows.  Only then are the chosen ids' texts read, by
-a join that broadcasts those few ids, so no text is shuffled.  Texts of more than
-``max_chars`` characters are not learned from.
+be learned from; of each class, the ``per_class`` ids least by a hash of doc_id are
+taken (ties by doc_id), so every class is learned however many there are.  The bound
+is ``per_class`` rows times the number of classes: it grows with the label values, not
+with the rows.  Ranks are cut before the shuffle, so a class of a third of all rows
+sends a few ids a task.  Only then are the chosen ids' texts read, by a join that
+broadcasts those few ids, so no text is shuffled.  Texts of more than ``max_chars``
+characters are not learned from.  An id of several labels counts by its least label;
+of several texts, by the one of least hash.  Rows with a null id or label are not
+learned from; an empty table gives no sample.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,26 +23,21 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def sample_keys(keys: DataFrame, label: str, per_class: int) -> list[tuple[int, object]]:
-    """(doc_id, label) of the rows to learn from; an id of several labels counts by its least."""
-    keys = keys.select(F.col("doc_id").cast("long").alias("doc_id"), label).filter(~held_out() & F.col(label).isNotNull())
-    counts = {r[0]: r[1] for r in keys.groupBy(label).count().orderBy(F.desc("count")).limit(1000).collect()}
-    if not counts:
-        return []
-    scale = 1 << 30
-    rate = F.lit(0)
-    for value, n in counts.items():
-        rate = F.when(F.col(label) == F.lit(value), F.lit(min(scale, scale * per_class // n + 1))).otherwise(rate)
-    taken = keys.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < rate).groupBy("doc_id").agg(F.min(label).alias(label))
-    return [(r.doc_id, r[label]) for r in taken.limit(2 * per_class * len(counts)).collect()]
+def sample_keys(keys: DataFrame, label: str, per_class: int) -> DataFrame:
+    """doc_id, label of the rows to learn from: ``per_class`` ids of each class."""
+    keys = keys.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label")).filter(~held_out() & F.col("label").isNotNull())
+    drawn = keys.withColumn("place", F.xxhash64("doc_id"))
+    ranked = drawn.withColumn("n", F.dense_rank().over(Window.partitionBy("label").orderBy("place", "doc_id"))).filter(F.col("n") <= per_class)
+    return ranked.groupBy("doc_id").agg(F.min("label").alias("label"))
 
 
 def labelled_sample(docs: DataFrame, keys: DataFrame, label: str, per_class: int, max_chars: int) -> list[tuple[int, str, object]]:
     """(doc_id, text, label) of the sample, in an order that the doc_ids decide."""
-    chosen = dict(sample_keys(keys, label, per_class))
+    chosen = {r.doc_id: r.label for r in sample_keys(keys, label, per_class).collect()}  # per_class rows a class
     if not chosen:
         return []
-    ids = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in chosen], "doc_id long"))  # 2 * per_class ids a class at most
+    ids = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in chosen], "doc_id long"))  # per_class ids a class
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id")
-    found = rows.filter(F.length("text") <= max_chars).withColumn("place", F.xxhash64("doc_id")).limit(2 * len(chosen)).collect()
-    return [(r.doc_id, r.text, chosen[r.doc_id]) for r in sorted(found, key=lambda r: (r.place, r.doc_id, r.text))]
+    rows = rows.filter(F.length("text") <= max_chars)
+    found = rows.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.xxhash64("doc_id").alias("place")).collect()
+    return [(r.doc_id, r.text, chosen[r.doc_id]) for r in sorted(found, key=lambda r: (r.place, r.doc_id))]

@@ -8,14 +8,16 @@ the whole match, in code points, end exclusive.
 Method: all words and numbers are tokens, tagged O, B (secret begins) or I (goes on); a
 gap of more than ``MAX_GAP`` characters ends a run.  No token is ruled out beforehand.
 Features: shape (length, character classes, class changes, entropy), the word itself and
-its neighbours where training knew them, the gaps, and the document (share of digits,
-whether base spans exist).  Scores are sums kept per distinct token; those whose weights
+its neighbours where training knew them, the gaps, and the document (share of numbers,
+lines that assign something, whether base spans exist).  Scores are sums kept per distinct token; those whose weights
 alone prove O on every best path (``Tagger.possible``) cut the chain, and the stretches
 between them are decoded by Viterbi with the same result as the whole run.  The weights
 are trained here on the conditional log-likelihood over generated lines of known tags.
 What a tagged run holds outside the base spans is added under kind ``crf``.
 
-Null and empty texts have no spans; repeated rows repeat; other columns take no part.
+Null and empty texts have no spans; repeated rows repeat; a very long text is tagged
+whole; other columns, whatever their names, take no part; an empty table gives no rows.
+Of spans at one start the kinds come in the order assign, access, hex, crf.
 """
 
 from __future__ import annotations
@@ -46,11 +48,7 @@ _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{24,}")
 _LATIN = "A-Za-z0-9À-ÖØ-öø-ɏ"
 _TOKEN = re.compile(rf"([{_LATIN}+][{_LATIN}+/_.-]*|[^\W_{_LATIN}]+)")
-_CONSONANTS = re.compile("[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ]+")
-_VOWELS = re.compile("[aeiouyAEIOUY\x80-\U0010ffff]")
-_CHANGE = re.compile(r"(.)(?!\1)(?=.)")
 _ZEROS = {i: "0" for i in range(48, 58)}
-_KINDS = {i: "d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for i, c in enumerate(map(chr, range(128)))}
 _ENDS = ".-/_"
 _PART = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
 _KEYWORDS = ("pass", "secret", "token", "api")
@@ -74,38 +72,77 @@ def tokens_of(text: str) -> tuple[list[str], list[str]]:
     return parts[::2], parts[1::2]
 
 
-def _sort(token: str) -> str:
-    """Digits, lower, upper, title, both cases, letters with digits, or other marks inside."""
-    if token.isdigit():
-        return "digits"
-    if token.isalpha():
-        return "lower" if token.islower() else "upper" if token.isupper() else "title" if token[1:].islower() else "both"
-    return "mixed" if token.isalnum() else "marks"
-
-
-def measures(token: str) -> tuple:
-    """What the features of a token alone are made of: numbers in buckets."""
-    n, kinds = len(token), token.translate(_KINDS)
-    if not token.isascii():
-        kinds = "".join(k if k in "duls" else "d" if k.isdigit() else "u" if k.isupper() else "l" if k.islower() else "s" for k in kinds)
-    digits, upper, lower = kinds.count("d"), kinds.count("u"), kinds.count("l")
-    changes = len(_CHANGE.findall(kinds)) if n not in (digits, upper, lower) else 0
-    entropy = math.log2(n) - sum([k * _LOG[k] if k < 64 else k * math.log2(k) for k in map(token.count, set(token))]) / n
-    vowels = len(_VOWELS.findall(token)) / max(upper + lower, 1)
-    rough = max(map(len, _CONSONANTS.findall(token)), default=0)
-    return (
-        bisect(_LENGTHS, n), _sort(token), bisect(_SHARES, digits / n), bisect(_CASES, upper / n), bisect(_CASES, lower / n), bisect(_TURNS, changes / n), bisect(_FLIPS, changes), bisect(_ENTROPY, entropy), bisect(_VOWEL, vowels), min(rough, 7),
-        min(token.count("."), 3), min(token.count("/"), 3), min(token.count("-"), 4), upper > 0 and lower > 0 and digits > 0,
+_WIDTHS = (8, 16, 48)
+#: Classes of bytes: digit, upper, lower, other marks (0: none); letters beyond ASCII come as case-true ASCII letters.
+_CLASS, _VOWEL_AT, _CONSONANT_AT = np.zeros(256, np.uint8), np.zeros(256, bool), np.zeros(256, bool)
+for _c in range(1, 128):
+    _CLASS[_c] = 1 if chr(_c).isdigit() else 2 if chr(_c).isupper() else 3 if chr(_c).islower() else 4
+    _VOWEL_AT[_c] = chr(_c) in "aeiouyAEIOUY"
+    _CONSONANT_AT[_c] = chr(_c) in "bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ"
+_SORTS = ("digits", "lower", "upper", "title", "both", "mixed", "marks")
+#: What the j-th repeat of a character adds to the sum of k * log2(k).
+_REPEAT = np.array([j * math.log2(j) - (j - 1) * (math.log2(j - 1) if j > 1 else 0) if j else 0.0 for j in range(4097)])
+
+
+def _plain(token: str) -> bytes:
+    """A byte for every character: letters and numbers beyond ASCII as vowels (they are counted so) or digits, others as marks."""
+    if token.isascii():
+        return token.encode()
+    return bytes(ord(c) if c < "\x80" else 48 if c.isdigit() else 65 if c.isupper() else 97 if c.islower() else 35 for c in token)
+
+
+def measures(tokens: list[str]) -> np.ndarray:
+    """What the features of tokens alone are made of: a row of small numbers (buckets) each, by the columns of ``MEASURES``."""
+    out = np.zeros((len(tokens), len(MEASURES)), np.int64)
+    size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    low = 0
+    for width in (*_WIDTHS, int(size.max(initial=0))):
+        own = np.flatnonzero((size > low) & (size <= width))
+        step = max(1, (1 << 22) // max(width, 1))
+        for at in range(0, len(own), step):
+            some = own[at : at + step]
+            data = np.frombuffer(b"".join([_plain(tokens[i]).ljust(width, b"\0") for i in some.tolist()]), np.uint8).reshape(len(some), width)
+            out[some] = _measured(data, size[some], [tokens[i] for i in some.tolist()] if width > 0 else [])
+        low = max(low, width)
+    return out
+
+
+def _measured(data: np.ndarray, size: np.ndarray, tokens: list[str]) -> np.ndarray:
+    kinds, width = _CLASS[data], data.shape[1]
+    digits, upper, lower, marks = ((kinds == k).sum(1) for k in (1, 2, 3, 4))
+    changes = ((kinds[:, 1:] != kinds[:, :-1]) & (kinds[:, 1:] > 0)).sum(1)
+    ordered = np.sort(data, 1)
+    fresh = np.ones(data.shape, bool)
+    fresh[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    at = np.arange(width)
+    nth = np.minimum(at - np.maximum.accumulate(np.where(fresh, at, 0), 1) + 1, len(_REPEAT) - 1)
+    entropy = np.log2(size) - (_REPEAT[nth] * (ordered > 0)).sum(1) / size
+    rough = _CONSONANT_AT[data].cumsum(1)
+    rough = (rough - np.maximum.accumulate(np.where(_CONSONANT_AT[data], 0, rough), 1)).max(1)
+    letters = upper + lower
+    title = (upper == 1) & (kinds[:, 0] == 2)
+    sort = np.select([digits == size, (letters == size) & (upper == 0), (letters == size) & (lower == 0), (letters == size) & title, letters == size, marks == 0], range(6), 6)
+    shared = lambda edges, x: np.searchsorted(edges, x, side="right")
+    return np.stack(
+        [
+            shared(_LENGTHS, size), sort, shared(_SHARES, digits / size), shared(_CASES, upper / size), shared(_CASES, lower / size), shared(_TURNS, changes / size), shared(_FLIPS, changes), shared(_ENTROPY, entropy),
+            shared(_VOWEL, _VOWEL_AT[data].sum(1) / np.maximum(letters, 1)), np.minimum(rough, 7), np.minimum((data == 46).sum(1), 3), np.minimum((data == 47).sum(1), 3), np.minimum((data == 45).sum(1), 4), (upper > 0) & (lower > 0) & (digits > 0),
+        ],
+        1,
     )
 
 
+MEASURES = {"long": 13, "sort": 7, "digits": 7, "upper": 6, "lower": 6, "changes": 5, "flips": 4, "entropy": 7, "vowels": 5, "rough": 8, "dots": 4, "slashes": 4, "dashes": 5, "mixed": 2}  # columns, and how many values each has
+_PLACES = np.cumprod([1, *list(MEASURES.values())[:-1]])
+
+
 _LENGTHS, _SHARES, _CASES, _TURNS, _FLIPS, _ENTROPY, _VOWEL = (3, 4, 6, 8, 10, 12, 16, 20, 28, 36, 48, 80), (.01, .1, .2, .35, .6, .9), (.01, .1, .25, .5, .9), (.1, .2, .35, .5), (2, 4, 7), (2, 2.8, 3.3, 3.7, 4.2), (.05, .15, .3, .45)
-_LOG = [0.0, *map(math.log2, range(1, 64))]
 
 
-def shape(m: tuple) -> list[str]:
+def shape(m: np.ndarray) -> list[str]:
     """Names of the features of a token's measures."""
-    long, sort, digits, upper, lower, changes, flips, entropy, vowels, rough, dots, slashes, dashes, mixed = m
+    long, sort, digits, upper, lower, changes, flips, entropy, vowels, rough, dots, slashes, dashes, mixed = m.tolist()
+    sort = _SORTS[sort]
     return [
         "bias", f"len{long}", f"sort{sort}", f"sort{sort}{long}", f"digits{digits}", f"upper{upper}", f"lower{lower}", f"changes{changes}", f"cased{flips}{sort}", f"entropy{entropy}",
         f"vowels{vowels}{sort}", f"rough{rough}{sort}", f"dots{dots}", f"slashes{slashes}", f"dashes{dashes}", f"mixed{mixed}",
@@ -128,7 +165,9 @@ GAPS = 8
 REACH = 4
 #: Scores a word gives to others: to the next token by gap class, to the one after it, to the next REACH, and to the one before.
 _SECOND, _NEAR, _LAST, _WIDTH = GAPS, GAPS + 1, GAPS + 2, GAPS + 3
-_REMEMBERED = 100_000
+_REMEMBERED = 250_000
+#: Texts whose new tokens are measured together.
+GROUP = 100
 
 
 class Tagger:
@@ -141,34 +180,56 @@ class Tagger:
         self.forget()
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("ids", "own", "words", "given", "gaps", "around", "shapes")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("ids", "own", "word_at", "words", "given", "gaps", "around", "shapes")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self.forget()
 
     def forget(self) -> None:
-        self.ids: dict[str, tuple[int, int]] = {}
+        self.ids: dict[str, int] = {}
         self.gaps: dict[str, int] = {}
         self.words: dict[str, int] = {}
-        self.shapes: dict[tuple, np.ndarray] = {}
-        self.own, self.given, self.around = np.zeros((1024, STATES)), np.zeros((256, _WIDTH, STATES)), None
+        self.shapes: dict[int, np.ndarray] = {}
+        self.own, self.word_at = np.zeros((1024, STATES)), np.zeros(1024, np.int32)
+        self.given, self.around = np.zeros((256, _WIDTH, STATES)), None
 
     def _sum(self, names) -> np.ndarray:
         return self.emit[[self.slots[x] for x in names if x in self.slots]].sum(0)
 
-    def _row(self, token: str) -> tuple[int, int]:
-        """Numbers of a token new to the tables: of its own scores and of what it gives its neighbours."""
-        at = len(self.ids)
-        if at == len(self.own):
-            self.own = np.concatenate([self.own, np.zeros_like(self.own)])
-        core = token.rstrip(_ENDS) or token
-        word = lexical(core, self.slots)
-        m, slots = measures(core), self.slots
-        if (alone := self.shapes.get(m)) is None:
-            alone = self.shapes[m] = self._sum(shape(m))
-        self.own[at] = alone + self.emit[slots.get(_head(core), -1)] + self.emit[slots.get("word:" + word, -1)]
-        if (k := self.words.get(word)) is None:
+    def learn_tokens(self, tokens) -> None:
+        """Put tokens into the tables: their own scores and what they give their neighbours, many at a time."""
+        new = [t for t in tokens if t not in self.ids]
+        if not new:
+            return
+        if len(self.ids) + len(new) > max(_REMEMBERED, len(new)):
+            self.forget()
+            new = list(tokens)
+        first = len(self.ids)
+        while first + len(new) > len(self.own):
+            self.own, self.word_at = np.concatenate([self.own, np.zeros_like(self.own)]), np.concatenate([self.word_at, np.zeros_like(self.word_at)])
+        cores = [t.rstrip(_ENDS) or t for t in new]
+        m = measures(cores)
+        codes, inverse = np.unique(m @ _PLACES, return_inverse=True)
+        example = np.zeros(len(codes), np.int64)
+        example[inverse] = np.arange(len(new))
+        for code, i in zip(codes.tolist(), example.tolist()):
+            if code not in self.shapes:
+                self.shapes[code] = self._sum(shape(m[i]))
+        alone = np.stack([self.shapes[c] for c in codes.tolist()])[inverse]
+        slots, none = self.slots, len(self.emit) - 1
+        sorts = [_SORTS[k] for k in m[:, 1].tolist()]
+        names = [lexical(c, k, slots) for c, k in zip(cores, sorts)]
+        at = np.fromiter((slots.get("word:" + w, none) for w in names), np.int64, len(names))
+        heads = np.fromiter((slots.get(_head(c), none) for c in cores), np.int64, len(cores))
+        self.own[first : first + len(new)] = alone + self.emit[heads] + self.emit[at]
+        self.word_at[first : first + len(new)] = [self._word(w) for w in names]
+        self.ids.update(zip(new, range(first, first + len(new))))
+
+    def _word(self, word: str) -> int:
+        """Number of a word, with what it gives its neighbours."""
+        k = self.words.get(word)
+        if k is None:
             k = self.words[word] = len(self.words)
             if k == len(self.given):
                 self.given = np.concatenate([self.given, np.zeros_like(self.given)])
@@ -176,22 +237,22 @@ class Tagger:
                 self.given[k, g] = self._sum([f"p1:{word}", f"p1:{word}|{g}"])
             for g, name in ((_SECOND, "p2:"), (_NEAR, "near:"), (_LAST, "next:")):
                 self.given[k, g] = self._sum([name + word])
-        self.ids[token] = at, k
-        return at, k
+        return k
 
     def scores(self, gaps: list[str], tokens: list[str], about: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
         """(token x state, whether a token begins a run)."""
-        if len(self.ids) > _REMEMBERED or len(self.gaps) > _REMEMBERED:
-            self.forget()
+        if len(self.gaps) > _REMEMBERED:
+            self.gaps = {}
+        self.learn_tokens(dict.fromkeys(tokens))
         if self.around is None:
             self.around = np.array([[self._sum([f"{x}{g}"]) for g in range(GAPS)] for x in ("gb", "ga")])
-        known, kinds = self.ids, self.gaps
-        at = np.array([known[t] if t in known else self._row(t) for t in tokens])
+        kinds = self.gaps
         kind = np.array([kinds[g] if g in kinds else kinds.setdefault(g, _gap(g) + GAPS * (len(g) > MAX_GAP)) for g in gaps])
         first = kind[:-1] >= GAPS
         first[0] = True
         kind %= GAPS
-        own, word, given = at[:, 0], at[:, 1], self.given
+        own = np.fromiter(map(self.ids.__getitem__, tokens), np.int64, len(tokens))
+        word, given = self.word_at[own], self.given
         out = self.own[own] + self.around[0, kind[:-1]] + self.around[1, kind[1:]] + self._sum(about)
         out[1:] += given[word[:-1], kind[1:-1]] + (own[1:] == own[:-1])[:, None] * self._sum(["same"])
         out[2:] += given[word[:-2], _SECOND]
@@ -275,10 +336,10 @@ class Tagger:
         self.move[0, 2] = -NEVER  # nothing goes on that has not begun
 
 
-def lexical(core: str, slots: dict[str, int]) -> str:
+def lexical(core: str, sort: str, slots: dict[str, int]) -> str:
     """The word itself if the field has it, else its sort."""
     low = core.lower()
-    return low if "word:" + low in slots else "?" + _sort(core)
+    return low if "word:" + low in slots else "?" + sort
 
 
 def generated_lines(n: int, seed: int = 5):
@@ -370,8 +431,14 @@ def short_lines(n: int, seed: int = 11):
         yield line + prose(rnd.randint(0, 8)), spans
 
 
-def _about(text: str, has_base: bool) -> tuple[str, ...]:
-    return (f"base{has_base}",)
+def _about(text: str, has_base: bool, tokens: list[str]) -> tuple[str, ...]:
+    """Features of the file: whether base spans exist, the share of tokens that are numbers, the share of lines with an assignment."""
+    numbers = sum(map(str.isdigit, tokens)) / max(len(tokens), 1)
+    signs = (text.count(": ") + text.count("=")) / (text.count("\n") + 1)
+    return f"base{has_base}", f"numbers{bisect(_NUMBERS, numbers)}", f"signs{bisect(_SIGNS, signs)}"
+
+
+_NUMBERS, _SIGNS = (0.02, 0.1, 0.3), (0.05, 0.5)
 
 
 def _places(gaps: list[str], tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -392,14 +459,15 @@ def tagger(lines: int = 3000, epochs: int = 5) -> Tagger:
         near = [i > 0 and which[i - 1] is not None and len(gaps[i]) <= MAX_GAP for i in range(len(tokens))]
         cores = [t.rstrip(_ENDS) or t for t in tokens]
         counts.update({c.lower() for c in cores})
-        chains.append((gaps, tokens, cores, [0 if w is None else 2 if go else 1 for w, go in zip(which, near)], _about(text, bool(base_spans(text)))))
+        chains.append((gaps, tokens, cores, [0 if w is None else 2 if go else 1 for w, go in zip(which, near)], _about(text, bool(base_spans(text)), tokens)))
     words = {"word:" + w: 0 for w, k in counts.items() if k >= 20}
     named, seen = [], Counter()
     for gaps, tokens, cores, tags, about in chains:
-        word, kind = [lexical(c, words) for c in cores], [_gap(g) for g in gaps]
+        found = measures(cores)
+        word, kind = [lexical(c, _SORTS[k], words) for c, k in zip(cores, found[:, 1].tolist())], [_gap(g) for g in gaps]
         rows = []
         for i, core in enumerate(cores):
-            names = [*shape(measures(core)), _head(core), "word:" + word[i], f"gb{kind[i]}", f"ga{kind[i + 1]}", *about]
+            names = [*shape(found[i]), _head(core), "word:" + word[i], f"gb{kind[i]}", f"ga{kind[i + 1]}", *about]
             names += [f"p1:{word[i - 1]}", f"p1:{word[i - 1]}|{kind[i]}"] if i else []
             names += ["same"] if i and tokens[i] == tokens[i - 1] else []
             names += [f"p2:{word[i - 2]}"] if i > 1 else []
@@ -446,15 +514,25 @@ def outside(text: str, start: int, end: int, taken: list[tuple[int, int, int]])
     return parts
 
 
-def scan(text: str | None, model: Tagger) -> list[tuple[int, int, int]]:
+def scan_all(texts: list[str | None], model: Tagger) -> list[list[tuple[int, int, int]]]:
+    """scan() of many texts: what they share is looked up once."""
+    out: list[list[tuple[int, int, int]]] = []
+    for at in range(0, len(texts), GROUP):
+        parts = [tokens_of(t) if t else ([], []) for t in texts[at : at + GROUP]]
+        model.learn_tokens({t for _, tokens in parts for t in tokens})
+        out += [scan(t, model, p) for t, p in zip(texts[at : at + GROUP], parts)]
+    return out
+
+
+def scan(text: str | None, model: Tagger, parts: tuple[list[str], list[str]] | None = None) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of all spans, by start, then kind."""
     if not text:
         return []
     taken = base_spans(text)
-    gaps, tokens = tokens_of(text)
+    gaps, tokens = tokens_of(text) if parts is None else parts
     if not tokens:
         return taken
-    score, first = model.scores(gaps, tokens, _about(text, bool(taken)))
+    score, first = model.scores(gaps, tokens, _about(text, bool(taken), tokens))
     tags = model.tags(score, first)
     if not tags:
         return taken
@@ -482,7 +560,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     def run(batches):
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            spans = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scan(t, model)] for t in batch.column(1).to_pylist()]
+            spans = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in own] for own in scan_all(batch.column(1).to_pylist(), model)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
     arrow_rows(docs.sparkSession)
@@ -514,7 +592,8 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
     def run(batches):
         release()
         for batch in batches:
-            texts = pa.array([mask(t, scan(t, model)) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
+            own = batch.column(at).to_pylist()
+            texts = pa.array([mask(t, spans) for t, spans in zip(own, scan_all(own, model))], batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at), texts)
 
     arrow_rows(docs.sparkSession)

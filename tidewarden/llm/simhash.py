@@ -17,8 +17,11 @@ pair rows.  A key of more than ``HOT`` table entries is dealt over pairs of
 blocks: every two of its members still meet in some block pair.  Components are
 found in Spark (see components.py).
 
-Documents without words have fingerprint 0 and link like any other.  A class's id
-is its smallest non-null doc_id (null if it has none).  Repeated rows stay.
+Documents without words (null, empty, white space) have fingerprint 0 and link like
+any other.  A class's id is its smallest non-null doc_id (null if it has none).
+Repeated rows stay.  A very long text is hashed whole, its bits counted in slices.
+Other columns, whatever their names, take no part; ``keep_first`` hands them on.  An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .forced_bpe import release
-from .storage import arrow_rows, materialise
+from .storage import arrow_rows, materialise, quoted
 
 RADIUS = 3
 WORDS = 3
@@ -176,15 +179,16 @@ def keep_first(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """One row of each class: that of the smallest doc_id (nulls last), ties by a hash of the text.
 
     The rows' ids and hashes alone go through the search; the texts are shuffled once,
-    for the last join.
+    for the last join.  The caller's columns travel in one struct, so no name of theirs
+    can clash with those used here.
     """
     prints = materialise(fingerprints(docs), "fingerprints")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     per_print = prints.groupBy("fingerprint").agg(F.min(row).alias("row"))
     kept = classes(prints, hot).join(per_print, "fingerprint").groupBy("label").agg(F.min("row").alias("row"))
-    key = lambda doc_id, mark: [F.coalesce(doc_id, F.lit(0)).alias("_id"), doc_id.isNull().alias("_none"), mark.alias("_own")]
-    names = ["_id", "_none", "_own"]  # plain columns: the window below finds the join's partitions as it needs them
-    rows = docs.select(*docs.columns, *key(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    key = lambda doc_id, mark: [F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("none"), mark.alias("own")]
+    names = ["id", "none", "own"]  # plain columns: the window below finds the join's partitions as it needs them
+    rows = docs.select(F.struct(*quoted(docs.columns)).alias("whole"), *key(F.col("doc_id").cast("long"), F.xxhash64("text")))
     found = rows.join(kept.select(*key(F.col("row.doc_id"), F.col("row.mark"))), names, "left_semi")
     once = Window.partitionBy(*names).orderBy(F.lit(1))
-    return found.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select(*docs.columns)
+    return found.withColumn("n", F.row_number().over(once)).filter("n = 1").select("whole.*")

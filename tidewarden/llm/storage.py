@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shared import ARROW_ROWS, arrow_rows, materialise, new_path, shared_dir
 
-__all__ = ["ARROW_ROWS", "arrow_rows", "materialise", "new_path", "shared_dir", "table"]
+__all__ = ["ARROW_ROWS", "arrow_rows", "materialise", "new_path", "quoted", "shared_dir", "table"]
+
+
+def quoted(names) -> list[str]:
+    """Column names as Spark reads them whatever characters they hold."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
