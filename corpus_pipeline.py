@@ -12,6 +12,12 @@ sf_dir and judge every row they are given.
 4. secrets: secrets are masked in the text and n_chars follows; every document stays.
 5. packing: the sequences, one row per placed piece.
 
+Rows are handed on whole: columns of any name (those that clash with names used
+inside, names with dots) come out as they went in.  Null texts score as empty ones in
+1 and have no language, so they go in 2 at the latest; very long texts are read whole;
+repeated rows stay until 3 keeps one of them; an empty table passes every stage and
+packs into nothing.
+
 There is no SQL for a stage that runs a learned model, so ORACLE_SQL is None.
 """
 
@@ -28,14 +34,11 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    net = bytecnn.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scored = bytecnn.score(docs, net, docs.columns, into="_quality")
-    return scored.filter(F.col("_quality") >= bytecnn.THRESHOLD).select(*docs.columns)
+    return bytecnn.keep_good(docs, bytecnn.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language.predict(docs, language.fit(table(spark, sf_dir, "documents")), docs.columns, into=("_language", "_probability"))
-    return found.filter((F.col("_language") != "und") & (F.col("_probability") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    return language.keep_known(docs, language.fit(table(spark, sf_dir, "documents")), MIN_LANGUAGE_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +49,11 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     masked = secrets.mask_secrets(docs)
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return masked.select(*docs.columns)
+    return masked
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.placed_pieces(packing.pack_documents(docs))
+    return packing.pack_documents(docs)
 
 
 STAGES = [("quality classifier", quality), ("language ID", languages), ("SimHash near-dedup", near_duplicates), ("secret scans", mask_secrets), ("best-fit packing", pack)]
