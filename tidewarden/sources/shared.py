@@ -1,8 +1,10 @@
 """Shared-folder helpers: where intermediate tables and output files go.
 
-Everything that outlives one stage is written below the folder the cluster
-names in ``spark.checkpoint.dir``.  Only where that setting is absent (tests,
-notebooks) a folder of our own is used.  No local checkpoint is ever taken.
+Everything that outlives one stage is written below the folder the cluster names in
+``spark.checkpoint.dir``.  Only a local master (tests, notebooks), where driver and
+executors are one process, may leave it unset; it gets a folder of its own.  On a
+cluster an unset folder is an error: no other place is seen by all executors.  No
+local checkpoint is ever taken.
 """
 
 from __future__ import annotations
@@ -14,15 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows per Arrow batch handed to Python: documents can be long, so batches stay small.
 ARROW_ROWS = 1000
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Root of the shared folder; sets one only where the session has none."""
+    """Root of the shared folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tidewarden-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    context = spark.sparkContext
+    if context.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tidewarden-")
+    return _OWN[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
