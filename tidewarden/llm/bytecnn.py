@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .forced_bpe import release
 from .sampling import held_out, labelled_sample
-from .storage import arrow_rows
+from .storage import arrow_rows, map_rows
 from .tokens import slices
 
 CHUNK, OVERLAP = 1024, 64
@@ -170,4 +170,4 @@ def keep_good(docs: DataFrame, net: Network) -> DataFrame:
             yield batch.filter(pa.array([net.score(t) >= THRESHOLD for t in batch.column(at).to_pylist()], pa.bool_()))
 
     arrow_rows(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

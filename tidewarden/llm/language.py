@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .forced_bpe import release
 from .sampling import held_out, labelled_sample
-from .storage import arrow_rows
+from .storage import arrow_rows, map_rows
 from .tokens import slices
 
 SLOTS = 1 << 15
@@ -159,4 +159,4 @@ def keep_known(docs: DataFrame, model: Model, least: float) -> DataFrame:
             yield batch.filter(pa.array([good(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     arrow_rows(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

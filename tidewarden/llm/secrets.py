@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .forced_bpe import release
-from .storage import arrow_rows
+from .storage import arrow_rows, map_rows
 
 KINDS = ("assign", "access", "hex", "crf")
 MAX_GAP = 4
@@ -597,7 +597,7 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
             yield batch.set_column(at, batch.schema.field(at), texts)
 
     arrow_rows(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def report(found: DataFrame) -> DataFrame:
