@@ -5,18 +5,25 @@ Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z is lower-ca
 
 Base: every place where a phrase of ``PHRASES`` stands as consecutive words.
 
-Method: the notices of ``TEMPLATES`` are indexed by word and position.  A word's
-IDF is taken over the notices; the index keeps the words of the highest IDF (those
-of at most ``MAX_NOTICES`` notices).  A document's occurrences of them look up their
-postings; occurrences whose position minus posting agrees to within ``SLACK`` words
-support the same notice at the same place.  A notice is reported where the IDF mass
-of the distinct supported words reaches ``MIN_SHARE`` of the notice's and every
-mandatory phrase of it stands inside that place.
+Method: the notices of ``TEMPLATES`` (whole short licences, and the notices that
+longer ones ask to be put in files, by version) are indexed by word and position; a
+word's IDF is taken over the notices.  A notice's anchors are its words of highest
+IDF, as many as hold more than ``1 - MIN_SHARE`` of its mass: a place with
+``MIN_SHARE`` of the mass has one of them at least, so nothing is lost by looking up a
+file's anchors alone.  For notices with an anchor in the file the postings of all
+its words are intersected by relative position: words whose position minus posting
+agrees to within ``SLACK`` support the same place.  A notice is reported where the
+mass of the distinct supported words reaches ``MIN_SHARE`` of its own and every
+mandatory phrase stands inside that place.  It gives the label of its family and,
+where the notice names one, of its version.
 
 Output: doc_id, n_words, places (array of word starts of base phrases, ascending),
 base_labels and labels (arrays, sorted, distinct), score: the best share of a
 verified notice, at least 0.5 where a base phrase stands, else half the best share
-of an unverified one.  Null and empty texts have no words; repeated rows repeat.
+of an unverified one.  Null and empty texts have no words, score 0; repeated rows
+repeat; a very long text is scanned whole; of a place that two versions share, both
+are tried, each by its own phrases.  Other columns, whatever their names, take no
+part.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,22 +39,46 @@ from pyspark.sql import functions as F
 from .storage import arrow_rows
 
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: label, notice, mandatory phrases
+_AS_IS = "provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice "
+    "this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+_GNU = "this {0} is free software you can redistribute it and or modify it under the terms of the gnu {1} as published by the free software foundation {2} this {0} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"
+_GNU_MUST = ("free software foundation", "without any warranty")
+_CREATIVE = "this work is licensed under {} visit http creativecommons org licenses {} or send a letter to creative commons"
+
+
+def _gnu(thing: str, name: str, version: str, since: str = "either version {} of the license or at your option any later version") -> str:
+    return _GNU.format(thing, name, since.format(version))
+
+
+#: Labels (family, version), the words of the notice, its mandatory phrases.
 TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ("permission is hereby granted", "free of charge")),
-    ("apache", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license you may obtain a copy of the license at", ("apache license", "in compliance with the license")),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version", ("gnu general public license", "free software foundation")),
-    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ("gnu lesser general public license",)),
-    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", ("gnu affero general public license",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("redistribution and use in source and binary forms", "are permitted provided that")),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("for any purpose with or without fee",)),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ("mozilla public license",)),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
-    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", ("unencumbered software", "public domain")),
-    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications", ("permission is granted to anyone to use this software",)),
-    ("boost", "boost software license version 1 0 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("boost software license",)),
+    (("mit",), f"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is {_AS_IS}", ("permission is hereby granted", "free of charge", "this permission notice shall be included")),
+    (("mit",), "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ("permission is hereby granted", "to deal in the software without restriction")),
+    (("apache", "apache-2.0"), "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", ("apache license version 2 0", "in compliance with the license")),
+    (("apache", "apache-1.1"), "this product includes software developed by the apache software foundation the names apache and apache software foundation must not be used to endorse or promote products derived from this software without prior written permission products derived from this software may not be called apache", ("apache software foundation", "endorse or promote products")),
+    (("gpl", "gpl-2.0"), _gnu("program", "general public license", "2"), ("gnu general public license", "version 2 of the license", *_GNU_MUST)),
+    (("gpl", "gpl-3.0"), _gnu("program", "general public license", "3"), ("gnu general public license", "version 3 of the license", *_GNU_MUST)),
+    (("lgpl", "lgpl-2.1"), _gnu("library", "lesser general public license", "2 1"), ("gnu lesser general public license", "version 2 1 of the license", *_GNU_MUST)),
+    (("lgpl", "lgpl-3.0"), _gnu("library", "lesser general public license", "3"), ("gnu lesser general public license", "version 3 of the license", *_GNU_MUST)),
+    (("agpl", "agpl-3.0"), _gnu("program", "affero general public license", "3"), ("gnu affero general public license", "version 3 of the license", *_GNU_MUST)),
+    (("bsd", "bsd-2-clause"), _BSD, ("redistribution and use in source and binary forms", "are permitted provided that")),
+    (("bsd", "bsd-3-clause"), _BSD + " neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("redistribution and use in source and binary forms", "neither the name of", "without specific prior written permission")),
+    (("isc",), "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software", ("for any purpose with or without fee", "appear in all copies")),
+    (("mpl", "mpl-2.0"), "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ("mozilla public license", "v 2 0")),
+    (("mpl", "mpl-1.1"), "the contents of this file are subject to the mozilla public license version 1 1 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www mozilla org mpl software distributed under the license is distributed on an as is basis without warranty of any kind", ("mozilla public license version 1 1",)),
+    (("epl", "epl-2.0"), "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at http www eclipse org legal epl 2 0", ("eclipse public license", "2 0")),
+    (("cc-by", "cc-by-4.0"), _CREATIVE.format("the creative commons attribution 4 0 international license to view a copy of this license", "by 4 0"), ("creative commons attribution 4 0",)),
+    (("cc-by", "cc-by-3.0"), _CREATIVE.format("the creative commons attribution 3 0 unported license to view a copy of this license", "by 3 0"), ("creative commons attribution 3 0",)),
+    (("cc-by-sa", "cc-by-sa-4.0"), _CREATIVE.format("the creative commons attribution sharealike 4 0 international license to view a copy of this license", "by sa 4 0"), ("attribution sharealike 4 0",)),
+    (("cc0",), "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work published under the cc0 1 0 universal public domain dedication", ("related or neighboring rights", "to the extent possible under law")),
+    (("unlicense",), "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("unencumbered software", "public domain")),
+    (("zlib",), "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented", ("permission is granted to anyone to use this software", "must not be misrepresented")),
+    (("boost", "boost-1.0"), "boost software license version 1 0 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software", ("boost software license", "to any person or organization")),
+    (("wtfpl",), "do what the fuck you want to public license everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", ("what the fuck you want to", "public license")),
 )
-MAX_NOTICES = 3
 SLACK = 3
 MIN_SHARE = 0.6
 
@@ -59,23 +90,31 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Index:
+    """Words of the notices: their IDF, their postings (notice, place), and the anchors that find a notice."""
+
     def __init__(self, templates=TEMPLATES, phrases=PHRASES):
         self.phrases = [(words_of(p), label) for p, label in phrases.items()]
-        self.notices = [(label, words_of(text), [words_of(p) for p in must]) for label, text, must in templates]
+        self.notices = [(labels, words_of(text), [words_of(p) for p in must]) for labels, text, must in templates]
         in_notices: dict[bytes, set[int]] = defaultdict(set)
-        postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for t, (_, own, _) in enumerate(self.notices):
             for at, w in enumerate(own):
                 in_notices[w].add(t)
-                postings[w].append((t, at))
-        idf = {w: math.log((1 + len(self.notices)) / (1 + len(ts))) for w, ts in in_notices.items()}
-        self.idf = {w: x for w, x in idf.items() if len(in_notices[w]) <= MAX_NOTICES and (len(w) > 3 or w == b"mpl")}
-        self.postings = {w: postings[w] for w in self.idf}
-        self.mass = [sum(self.idf[w] for w in {*own} & self.idf.keys()) for _, own, _ in self.notices]
+                self.postings[w].append((t, at))
+        self.idf = {w: math.log((1 + len(self.notices)) / len(ts)) for w, ts in in_notices.items()}
+        self.mass = [sum(self.idf[w] for w in {*own}) for _, own, _ in self.notices]
         self.anchors: dict[bytes, list[int]] = defaultdict(list)
+        for t, (_, own, _) in enumerate(self.notices):
+            left = (1 - MIN_SHARE) * self.mass[t]
+            for w in sorted({*own}, key=lambda w: (-self.idf[w], w)):
+                self.anchors[w].append(t)
+                left -= self.idf[w]
+                if left < -1e-9:
+                    break
+        self.starts: dict[bytes, list[int]] = defaultdict(list)
         for i, (own, _) in enumerate(self.phrases):
-            self.anchors[own[0]].append(i)
-        self.wanted = frozenset({*self.postings, *self.anchors})
+            self.starts[own[0]].append(i)
+        self.wanted = frozenset({*self.anchors, *self.starts})
 
 
 @cache
@@ -91,25 +130,28 @@ def scan(text: str | None, index: Index | None = None):
     """n_words, starts of base phrases, base labels, labels, score."""
     index = index or default_index()
     words = words_of(text)
-    wanted = index.wanted
-    hits = [i for i, w in enumerate(words) if w in wanted]
     places: list[int] = []
     base: set[str] = set()
-    votes: list[list[tuple[int, int, bytes]]] = [[] for _ in index.notices]
-    for i in hits:
+    seen: set[int] = set()  # notices with an anchor in this file
+    for i in [i for i, w in enumerate(words) if w in index.wanted]:
         w = words[i]
-        for p in index.anchors.get(w, ()):
+        for p in index.starts.get(w, ()):
             own, label = index.phrases[p]
             if words[i : i + len(own)] == own:
                 places.append(i)
                 base.add(label)
-        for t, at in index.postings.get(w, ()):
-            votes[t].append((i - at, i, w))
+        seen.update(index.anchors.get(w, ()))
+    votes: dict[int, list[tuple[int, int, bytes]]] = {t: [] for t in sorted(seen)}
+    if seen:
+        for i in [i for i, w in enumerate(words) if w in index.postings]:
+            for t, at in index.postings[words[i]]:
+                if t in seen:
+                    votes[t].append((i - at, i, words[i]))
     labels, best, unsure = set(base), 0.0, 0.0
-    for t, own in enumerate(votes):
+    for t, own in votes.items():
         if len(own) < 2:
             continue
-        label, notice, must = index.notices[t]
+        named, notice, must = index.notices[t]
         own.sort()
         first, mass, inside = 0, 0.0, defaultdict(int)
         top: list[tuple[float, int, int]] = []
@@ -127,7 +169,7 @@ def scan(text: str | None, index: Index | None = None):
         if share >= MIN_SHARE:
             for x, low, high in top:
                 if x >= MIN_SHARE and all(_stands(words, p, low - SLACK, high + len(notice) + SLACK) for p in must):
-                    labels.add(label)
+                    labels.update(named)
                     best = max(best, x)
     score = max(min(best, 1.0), 0.5 if base else 0.0, min(unsure, 1.0) / 2)
     return len(words), places, sorted(base), sorted(labels), score
