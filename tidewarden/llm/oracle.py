@@ -23,7 +23,8 @@ def _common(table: dict[str, int]) -> tuple[str, str]:
 def quality_rules_sql() -> str:
     blank, word = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
     left = lambda pattern: f"length(regexp_replace(text, '{pattern}', '', 'g'))"
-    classes = " + ".join(_half(f"(c_{k} / n_chars)", repr(q)) for k, q in CLASSES.items())
+    one = lambda t: "sqrt(greatest(" + " + ".join(_half(f"(c_{k} / n_chars)", repr(q)) for k, q in t.items()) + ", 0))"
+    classes = "least(" + ", ".join(map(one, CLASSES.values())) + ")"
     tables = [_common(t) for t in LANGUAGES.values()]
     hits = ", ".join(f"{h} AS h{i}" for i, (h, _) in enumerate(tables))
     most = "greatest(" + ", ".join(f"h{i}" for i in range(len(tables))) + ")"
@@ -41,6 +42,6 @@ m AS (SELECT w.doc_id, r, len(w) AS n_words, length(array_to_string(w, '')) AS w
   len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(a.n, 0) AS n_repeat_words, {left('[^\\p{Lu}]+')} AS c_upper, {left('[^\\p{Nd}]+')} AS c_digit, {left('[^\\p{L}]+')} AS letters, {left("[^.,;:!?''\x22()-]+")} AS c_mark, {hits}
   FROM w LEFT JOIN a ON w.doc_id = a.doc_id),
 f AS (SELECT *, letters - c_upper AS c_letter, n_chars - word_chars AS c_space, greatest(word_chars - letters - c_digit - c_mark, 0) AS c_other FROM m),
-j AS (SELECT *, CASE WHEN word_chars >= {MIN_CHARS} THEN sqrt(greatest({classes}, 0)) END AS cd, CASE WHEN len(r) >= {MIN_WORDS} THEN {best} END AS wd, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+j AS (SELECT *, CASE WHEN word_chars >= {MIN_CHARS} THEN {classes} END AS cd, CASE WHEN len(r) >= {MIN_WORDS} THEN {best} END AS wd, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(cd, 0) <= {MAX_CLASSES} AND coalesce(wd, 0) <= {MAX_COMMON} AS kept,
   round(cd, 6) AS class_distance, round(wd, 6) AS common_distance FROM j"""
