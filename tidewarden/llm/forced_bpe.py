@@ -34,6 +34,9 @@ KEEP_CHARS = 48
 #: Fragments remembered per worker, in each of two generations.
 KEEP_ROWS = 250_000
 
+#: Pieces of more bytes are merged one by one.
+WIDEST = 32
+
 #: No token; no merge.
 NONE = (1 << 31) - 1
 NO_RANK = 1 << 40
@@ -149,8 +152,6 @@ class ForcedBoundaryEncoder(dict):
     def _pieces(self, word: str) -> list[tuple[bytes, bool]]:
         """A pre-token cut at every forced place; True marks the piece that ends it."""
         data = word.encode("utf-8")
-        if self.inside.issuperset(zip(data, data[1:])):
-            return [(data, True)]
         cuts = [0, *(i for i, pair in enumerate(zip(data, data[1:]), 1) if pair not in self.inside), len(data)]
         return [(data[a:b], b == len(data)) for a, b in zip(cuts, cuts[1:])]
 
@@ -159,73 +160,64 @@ class ForcedBoundaryEncoder(dict):
         if len(self) >= KEEP_ROWS:
             self.older = dict(self)
             self.clear()
-        known, plan, new, plain = self.older, {}, {}, set()
+        known, plan, new = self.older, {}, set()
         for f in fragments:
             if f in known:
                 self[f] = known[f]
             elif len(f) <= KEEP_CHARS:
-                if f.isalpha() and f.isascii():
-                    plain.add(f)
+                if f.isalpha() and _latin(f):  # letters alone: one pre-token
+                    new.add(f)
                     continue
                 words = self._words(f)
                 if words is None:
                     self[f] = self._whole(f)
-                    continue
-                plan[f] = words
-                for w in words:
-                    if w not in self and w not in new:
-                        if w.isalpha() and w.isascii():
-                            plain.add(w)
-                        else:
-                            new[w] = self._pieces(w)
-        for w in self._learn_plain(list(plain)):
-            new[w] = self._pieces(w.lower())
-        done = self._merge_all({p for pieces in new.values() for p in pieces})
-        for w, pieces in new.items():
-            self[w] = done[pieces[0]] if len(pieces) == 1 else b"".join([done[p] for p in pieces])
+                else:
+                    plan[f] = words
+                    new.update(words)
+        self._learn_words([w for w in new if w not in self])
         for f, words in plan.items():
             if f not in self:
                 self[f] = b"".join([self[w] for w in words])
 
-    def _learn_plain(self, words: list[str]) -> list[str]:
-        """Encode words of a-z alone (a pre-token each), in numpy; returns those with a forced cut or too long."""
+    def _learn_words(self, words: list[str]) -> None:
+        """Encode pre-tokens together: cut at every forced place, the pieces of one width side by side in numpy."""
         if not words:
-            return []
-        data = np.frombuffer("".join(words).lower().encode("ascii") + bytes(32), np.uint8)
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        ends = counts.cumsum()
-        starts = ends - counts
-        cuts = np.concatenate([[0], self.forced[data[:-1], data[1:]].cumsum()])
-        cut = cuts[ends - 1] > cuts[starts]  # between two bytes of the word, not at its end
-        rest = np.flatnonzero(cut | (counts > 32))
-        size = self.dtype.itemsize
-        for low, width in ((0, 8), (8, 16), (16, 32)):
-            own = np.flatnonzero(~cut & (counts > low) & (counts <= width))
+            return
+        raw = [w.lower().encode("utf-8") for w in words]
+        data = np.frombuffer(b"".join(raw) + bytes(WIDEST), np.uint8)
+        stops = np.fromiter(map(len, raw), np.int64, len(raw)).cumsum()
+        begins = np.zeros(int(stops[-1]) + 1, bool)  # of pieces
+        begins[1:-1] = self.forced[data[: stops[-1] - 1], data[1 : stops[-1]]]
+        begins[0] = True
+        begins[stops] = True
+        at = np.flatnonzero(begins)
+        starts, counts = at[:-1], np.diff(at)
+        last = np.zeros(len(begins), bool)
+        last[stops] = True
+        last = last[at[1:]]  # pieces that end their word
+        found = counts.copy()
+        slow = np.flatnonzero(counts > WIDEST)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for low, width in ((0, 8), (8, 16), (16, WIDEST)):
+            own = np.flatnonzero((counts > low) & (counts <= width))
             if len(own):
-                rows, left = self._merge_matrix(data[starts[own, None] + np.arange(width)], counts[own], np.ones(len(own), bool))
-                flat, line = rows.astype(self.dtype).tobytes(), width * size
-                for at, i, n in zip(range(0, len(flat), line), own.tolist(), (left * size).tolist()):
-                    self[words[i]] = flat[at : at + n]
-        return [words[i] for i in rest.tolist()]
-
-    def _merge_all(self, pieces: set[tuple[bytes, bool]]) -> dict[tuple[bytes, bool], bytes]:
-        out: dict[tuple[bytes, bool], bytes] = {}
-        groups: dict[int, list[tuple[bytes, bool]]] = {8: [], 16: [], 32: []}
-        for p in pieces:
-            n = len(p[0])
-            if n > 32:
-                out[p] = self._one_piece(*p)
-            else:
-                groups[8 if n <= 8 else 16 if n <= 16 else 32].append(p)
-        for width, own in groups.items():
-            if own:
-                data = np.frombuffer(b"".join([d.ljust(width, b"\0") for d, _ in own]), np.uint8).reshape(len(own), width)
-                rows, counts = self._merge_matrix(data, np.fromiter((len(d) for d, _ in own), np.int64, len(own)), np.fromiter((f for _, f in own), bool, len(own)))
-                size = self.dtype.itemsize
-                flat, line = rows.astype(self.dtype).tobytes(), width * size
-                for i, (p, n) in enumerate(zip(own, counts.tolist())):
-                    out[p] = flat[i * line : i * line + n * size]
-        return out
+                rows, found[own] = self._merge_matrix(data[starts[own, None] + np.arange(width)], counts[own], last[own])
+                parts.append((own, rows))
+        for i in slow.tolist():
+            one = np.frombuffer(self._one_piece(data[starts[i] : starts[i] + counts[i]].tobytes(), bool(last[i])), self.dtype)
+            found[i] = len(one)
+            parts.append((np.array([i]), one[None, :].astype(np.int64)))
+        places = np.concatenate([[0], found.cumsum()])
+        ids = np.zeros(int(places[-1]), self.dtype)
+        for own, rows in parts:
+            inside = np.arange(rows.shape[1]) < found[own, None]
+            ids[(places[own, None] + np.arange(rows.shape[1]))[inside]] = rows[inside]
+        size, flat = self.dtype.itemsize, ids.tobytes()
+        ends = (places[1:][last] * size).tolist()
+        begin = 0
+        for w, end in zip(words, ends):
+            self[w] = flat[begin:end]
+            begin = end
 
     def _merge_matrix(self, data: np.ndarray, counts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """BPE of many pieces at once (a row of bytes each, ``counts`` of them its own): in each round
