@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewarden.functions import text as T
-from tidewarden.functions.vocab import BUILT_IN, parse_lexicon
+from tidewarden.functions.vocab import BUILT_IN, read_dictionary
 from tidewarden.operators import rules
 
 CASES = [
@@ -31,9 +31,16 @@ def test_signals(spark):
         assert {*r.s.hard, *r.s.soft} == {*r.s.evidence}
 
 
-def test_lexicon_file():
-    assert parse_lexicon("# c\n[a]\nx y\n\n[b]\nz*\n[a]\nw") == {"a": ("w",), "b": ("z*",)} or parse_lexicon("[a]\nx\n# c\n[b]\nz*") == {"a": ("x",), "b": ("z*",)}
-    assert BUILT_IN.lexicon["negation"]
+def test_dictionary_files(spark, tmp_path):
+    (tmp_path / "lexicon").mkdir()
+    (tmp_path / "lexicon" / "a.txt").write_text("# note\n[threat]\nbad  thing\n\n[urgency]\nsoon*\n# [not]\n[threat]\nworse\n", "utf-8")
+    (tmp_path / "lexicon" / "b.txt").write_text("[threat]\nｗｏｒｓｔ\n", "utf-8")
+    (tmp_path / "official_domains.txt").write_text("Own.com # ours\n*.gov.in\n", "utf-8")
+    (tmp_path / "brand_tokens.txt").write_text("own\n", "utf-8")
+    (tmp_path / "shorteners.txt").write_text("", "utf-8")
+    d = read_dictionary(spark, f"file://{tmp_path}")
+    assert d.phrases == {"threat": ("bad thing", "worse", "worst"), "urgency": ("soon*",)} and (d.sites, d.zones, d.brands, d.short_hosts) == (("own.com",), ("gov.in",), ("own",), ())
+    assert BUILT_IN.phrases["negation"]
 
 
 @pytest.mark.parametrize(
@@ -52,8 +59,8 @@ def _walk(spark, tokens):
 
 
 def test_label_probability(spark):
-    whole = _walk(spark, [('{"verdict": "', 1.0, []), ("SCAM", 0.45, [("SCAM", 0.45), ("SAFE", 0.15), ("SUSPICIOUS", 0.10), ("x", 0.3)]), ('"}', 1.0, [])])
-    assert abs(whole.p_scam - 0.45 / 0.70) < 1e-9
+    whole = _walk(spark, [('{"verdict": "', 1.0, []), ("SCAM", 0.32, [("SCAM", 0.32), ("SAFE", 0.24), ("SUSPICIOUS", 0.08), ("odd", 0.2)]), ('"}', 1.0, [])])
+    assert abs(whole.p_scam - 0.32 / 0.64) < 1e-9
     shared = _walk(spark, [('{"verdict": "', 1.0, []), ("S", 0.9, [("S", 0.9), ("SC", 0.05), ("SA", 0.03)]), ("CAM", 0.6, [("CAM", 0.6), ("U", 0.3), ("AFE", 0.1)]), ('"}', 1.0, [])])
     assert abs(shared.p_scam - 0.59 / 0.98) < 1e-9 and abs(shared.p_safe - 0.12 / 0.98) < 1e-9 and abs(shared.p_suspicious - 0.27 / 0.98) < 1e-9
     assert _walk(spark, [("no json", 1.0, [])]) is None

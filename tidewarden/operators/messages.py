@@ -40,13 +40,30 @@ def valid_items(items: DataFrame) -> DataFrame:
     return rows.filter(good)
 
 
+def quote_fits(quote: Column, reason: Column) -> Column:
+    """The quote has the surface that its reason needs: a link for the two link reasons (one to an app for ``apk_link``), a word for a code for ``asks_otp_or_pin``."""
+    link = quote.rlike(r"(?iU)\w\.[a-z]{2}") | F.contains(quote, F.lit("/"))
+    app = F.contains(F.lower(quote), F.lit(".apk"))
+    secret = F.exists(F.array(*map(F.lit, CODE_PARTS)), lambda w: F.contains(F.lower(quote), w))
+    return F.when(reason == "apk_link", link & app).when(reason == "lookalike_link", link).when(reason == "asks_otp_or_pin", secret).otherwise(True)
+
+
+# What a quote that asks for a code holds.
+CODE_PARTS = ("otp", "pin", "code", "password", "cvv", "ओटीपी", "पिन", "कोड", "पासवर्ड")
+
+
 def clean_flags(flags: Column, text: Column) -> Column:
-    """First six; all must be grounded, of 2 characters and a known reason; distinct, four at most; null if none."""
+    """Of the first six flags, quotes in normal form: null if one is shorter than 2 characters, not in the text or of an unknown reason; else the distinct ones that fit their reason, four at most; null if none does."""
     six = F.slice(flags, 1, 6)
-    sound = F.forall(six, lambda f: (F.length(f["quote"]) >= 2) & F.contains(text, f["quote"]) & f["reason"].isin(*REASONS))
-    fits = lambda f: ~((f["reason"] == "lookalike_link") & ~f["quote"].rlike(r"[.:/]"))
-    kept = F.slice(F.filter(F.array_distinct(six), fits), 1, 4)
-    return F.when(sound & (F.size(kept) > 0), kept)
+    quotes = F.split(T.normal_text(F.array_join(F.transform(six, lambda f: F.coalesce(F.replace(f["quote"], F.lit("\n"), F.lit(" ")), F.lit(""))), "\ue000")), "\ue000", -1)  # one call of Python for all quotes
+
+    def judged(own: Column) -> Column:
+        sound = F.forall(own, lambda f: (F.length(f["quote"]) >= 2) & F.contains(text, f["quote"]) & F.coalesce(f["reason"].isin(*REASONS), F.lit(False)))
+        kept = F.slice(F.filter(F.array_distinct(own), lambda f: quote_fits(f["quote"], f["reason"])), 1, 4)
+        return F.when(sound & (F.size(kept) > 0), kept)
+
+    tidy = F.zip_with(six, quotes, lambda f, q: F.struct(F.trim(q).alias("quote"), f["reason"].alias("reason")))
+    return F.when(F.size(six) > 0, T.let(tidy, judged))
 
 
 _PLACEHOLDER = r"\{[a-z_]+\}|\[[A-Z_]+\]"
@@ -89,18 +106,31 @@ def hard_negative_wide(verdict: Column, category: Column, text: Column, alarm: s
     return (verdict == "SAFE") & (F.coalesce(category.isin(*HARD_NEGATIVE_KINDS), F.lit(False)) | text.rlike(alarm))
 
 
-SAFE_PATTERNS = {
-    "genuine_otp": r"(?i)\b(otp|one time password|verification code)\b", "transaction_alert": r"(?i)\b(debited|credited|spent|balance)\b", "delivery_update": r"(?i)\b(deliver\w*|shipped|out for)\b",
-    "govt_genuine": r"(?i)\b(passport|vaccin\w*|election|municipal)\b", "legit_promo": r"(?i)\b(offer|sale|discount|off)\b",
-}
+# In the order of preference, words of which one stands in a message of the kind.
+SAFE_WORDS = {
+    "genuine_otp": ("<otp>",),
+    "delivery_update": ("deliver", "parcel", "order", "shipment", "courier", "package", "dispatch", "out for", "track", "डिलीवरी", "पार्सल", "ऑर्डर", "शिपमेंट", "कूरियर"),
+    "govt_genuine": ("income tax", "itr", "epfo", "uidai", "aadhaar", "electricity", "bijli", "bill", "ration", "pension", "passport", "msedcl", "govt", "government", "आयकर", "बिजली", "बिल", "आधार", "पेंशन", "सरकार", "राशन", "पासपोर्ट"),
+    "legit_promo": ("offer", "sale", "cashback", "discount", "% off", "recharge", "plan", "coupon", "reward", "ऑफर", "छूट", "कैशबैक", "रिचार्ज", "सेल"),
+    "transaction_alert": ("debit", "credit", "a/c", "account", "kyc", "transaction", "transfer", "खाते", "खाता", "डेबिट", "क्रेडिट", "केवाईसी", "लेनदेन"),
+}
+SAFE_WHOLE_WORDS = {"govt_genuine": ("pf",)}
 
 
 def safe_category(declared: Column, text: Column, status: Column) -> Column:
-    """The declared kind if its pattern fits, else the first that does; personal needs an unregistered sender and no code."""
-    fits = {k: text.rlike(p) for k, p in SAFE_PATTERNS.items()}
-    fits["personal"] = (status != "registered") & ~text.rlike(r"<OTP>|\b\d{4,8}\b")
-    own = F.coalesce(*[F.when((declared == k) & c, F.lit(k)) for k, c in fits.items()])
-    return F.coalesce(own, *[F.when(c, F.lit(k)) for k, c in fits.items()])
+    """personal stays if the sender is not registered and no code is masked, else null; another kind stays if a word of it stands in the text, else the first kind that fits; null if none does."""
+    low = F.lower(text)
+
+    def fits(kind: str) -> Column:
+        said = F.exists(F.array(*map(F.lit, SAFE_WORDS[kind])), lambda w: F.contains(low, w))
+        return F.greatest(said, *[low.rlike(rf"(?U)\b{w}\b") for w in SAFE_WHOLE_WORDS.get(kind, ())]) if kind in SAFE_WHOLE_WORDS else said
+
+    if_genuine = F.contains(text, F.lit("<OTP>"))
+    found = {k: (if_genuine if k == "genuine_otp" else fits(k)) for k in SAFE_WORDS}
+    first = F.coalesce(*[F.when(c, F.lit(k)) for k, c in found.items()])
+    own = F.coalesce(*[F.when((declared == k) & c, F.lit(k)) for k, c in found.items()])
+    personal = F.when((status != "registered") & ~if_genuine, "personal")
+    return F.when(declared == "personal", personal).when(declared.isin(*SAFE_WORDS), F.coalesce(own, first))
 
 
 # -- prompts ------------------------------------------------------------------
@@ -129,6 +159,17 @@ def parse_user_message(content: Column) -> Column:
 _REPLY = "verdict string, category string, red_flags array<struct<quote: string, reason: string>>"
 
 
+def split_items(rows: DataFrame) -> DataFrame:
+    """Items of a split file, rows of ``messages`` (role, content) and ``meta``: the prompt's parts, and the target as gold.
+
+    In file order, as ``ordinal`` if the rows have one; a row whose prompt or target has another layout has nulls there.
+    """
+    said = lambda role: F.get(F.filter("messages", lambda m: m["role"] == role), F.lit(0))["content"]
+    parts = rows.select("*", parse_user_message(said("user")).alias("_p"), F.from_json(said("assistant"), _REPLY).alias("_g"))
+    gold = {f"gold_{k}": F.col(f"_g.{k}") for k in ("verdict", "category", "red_flags")}
+    return parts.withColumns({"id": F.col("meta.id").cast("string"), **{k: F.col(f"_p.{k}") for k in ("channel", "sender", "signals", "text")}, **gold}).drop("_p", "_g")
+
+
 def parse_reply(raw: Column) -> Column:
     """Lenient: fences off, first brace to last; verdict in capitals or UNKNOWN; strict flag for an exact reply."""
     inner = F.regexp_extract(T.unfence(raw), r"(?s)\{.*\}", 0)
@@ -147,35 +188,100 @@ def parse_reply(raw: Column) -> Column:
     )
 
 
-VERDICT_WORDS = {"en": {"SCAM": "scam", "SUSPICIOUS": "suspicious", "SAFE": "safe"}, "hi": {"SCAM": "धोखाधड़ी", "SUSPICIOUS": "संदिग्ध", "SAFE": "सुरक्षित"}}
+# Words of each verdict in an explanation, words that deny, marks and words between clauses.
+VERDICT_WORDS = {
+    "en": {"SCAM": ("scam",), "SUSPICIOUS": ("careful", "suspicious"), "SAFE": ("normal",), "UNKNOWN": ("couldn't check", "could not check")},
+    "hi": {"SCAM": ("स्कैम", "ठगी", "धोखा"), "SUSPICIOUS": ("सावधान", "संदिग्ध"), "SAFE": ("सामान्य",), "UNKNOWN": ("जाँच नहीं", "जांच नहीं")},
+}
+FORBIDDEN = {"SCAM": ("SAFE", "UNKNOWN"), "SUSPICIOUS": ("SCAM", "SAFE", "UNKNOWN")}
+DENIALS = {"en": ("not", "no", "never", "cannot", "without"), "hi": ("नहीं", "नही", "न", "ना", "मत")}
+CLAUSE_MARKS, CLAUSE_WORDS = ",;:\u2014\u2013", ("but", "and", "so")
+NEAR_WORDS, MOST_SENTENCES, MOST_WORDS = 3, 3, 60
+
+_CLAUSES = rf"[{CLAUSE_MARKS}]|\s-\s|\b(?:{'|'.join(CLAUSE_WORDS)})\b"
+
+
+def _sentences(text: Column) -> Column:
+    return F.filter(F.split(text, "[.!?\u0964]+"), lambda s: F.trim(F.regexp_replace(s, r"(?U)\s", " ")) != "")
+
+
+def denied(sentence: Column, word: str, language: str) -> Column:
+    """The word stands in the sentence with a denial among the three words before it in its clause (in Hindi also after it)."""
+    parts = F.split(sentence, rf"\Q{word}\E", -1)
+    tokens = lambda clause: F.filter(F.split(clause, r'(?U)[\s()"\u201C\u201D]+'), lambda t: t != "")
+    bad = lambda t: t.isin(*DENIALS[language]) | (t.endswith("n't") if language == "en" else F.lit(False))
+
+    def at(k: Column) -> Column:
+        before = tokens(F.element_at(F.split(F.array_join(F.slice(parts, 1, k), word), _CLAUSES, -1), -1))
+        near = F.exists(F.slice(before, F.greatest(F.size(before) - NEAR_WORDS + 1, F.lit(1)), NEAR_WORDS), bad)
+        if language == "hi":
+            after = tokens(F.get(F.split(F.array_join(F.slice(parts, k + 1, F.size(parts)), word), _CLAUSES, -1), F.lit(0)))
+            near = near | F.exists(F.slice(after, 1, NEAR_WORDS), bad)
+        return near
+
+    return F.when(F.size(parts) > 1, F.exists(F.sequence(F.lit(1), F.size(parts) - 1), at)).otherwise(False)
 
 
 def explanation_problems(output: Column, verdict: Column, language: str, text: Column) -> Column:
-    """Checks that an explanation fails, in a fixed order."""
-    words = VERDICT_WORDS[language]
-    low = F.lower(output)
-    said = {v: low.rlike(rf"(?<!{T.WORD}){w}(?!{T.WORD})") for v, w in words.items()}
-    denied = {v: low.rlike(rf"(?:not|isn't|never) (?:an? )?{w}(?!{T.WORD})" if language == "en" else rf"{w}[^।.]{{0,12}}नहीं") for v, w in words.items()}
-    pick = lambda table: F.coalesce(*[F.when(verdict == v, c) for v, c in table.items()], F.lit(True))
-    other = F.coalesce(*[F.when(verdict == v, F.greatest(*[said[o] & ~denied[o] for o in words if o != v])) for v in words], F.lit(False))
+    """Checks that an explanation fails, in a fixed order: its verdict's word missing (then no other word is looked at),
+    that word denied, another verdict's word, links or numbers that the message does not have, too long."""
+    language = language if language in VERDICT_WORDS else "en"
+    words, low = VERDICT_WORDS[language], F.replace(F.lower(output), F.lit("\u2019"), F.lit("'"))
+    has = lambda w: F.contains(low, F.lit(w))
+    of = lambda table: F.coalesce(*[F.when(verdict == v, c) for v, c in table.items()], F.lit(False))
+    said = of({v: F.greatest(F.lit(False), *[has(w) for w in own]) for v, own in words.items()})
+    in_any = lambda own: F.exists(_sentences(low), lambda s: F.greatest(F.lit(False), *[denied(s, w, language) for w in own]))
+    not_said = of({v: in_any(own) for v, own in words.items()})
+    other = of({v: F.greatest(F.lit(False), *[has(w) for o in barred for w in words[o]]) for v, barred in FORBIDDEN.items()})
+    named = r"(?iU)(?:https?://|www\.)\S+|\b(?:[\w\-]+\.)+[a-z]{2,}(?:/\S*)?"
+    strange = F.exists(F.regexp_extract_all(output, F.lit(named), 0), lambda u: ~F.contains(F.lower(text), F.rtrim(F.lower(u), F.lit(".,)"))))
     digits = lambda c: F.array_distinct(F.regexp_extract_all(F.translate(c, "०१२३४५६७८९", "0123456789"), F.lit(r"\d+"), 0))
     checks = {
-        "missing_verdict_word": ~pick(said), "negated_verdict": F.coalesce(*[F.when(verdict == v, c) for v, c in denied.items()], F.lit(False)), "other_verdict_word": other,
-        "foreign_url": F.size(F.array_except(T.urls(output), T.urls(text))) > 0, "foreign_number": F.size(F.array_except(digits(output), digits(text))) > 0,
-        "too_many_sentences": F.size(F.filter(F.split(output, r"[.!?।]+(?=\s|$)"), lambda s: F.trim(s) != "")) > 3, "too_long": F.size(F.filter(F.split(output, r"\s+"), lambda w: w != "")) > 60,
+        "verdict_word_missing": ~said, "negated_verdict_word": said & not_said, "other_verdict_word": said & other, "foreign_url": strange, "foreign_number": F.size(F.array_except(digits(output), digits(text))) > 0,
+        "too_many_sentences": F.size(_sentences(output)) > MOST_SENTENCES, "too_many_words": F.size(F.filter(F.split(output, r"(?U)\s+"), lambda w: w != "")) > MOST_WORDS,
     }
     return F.array_compact(F.array(*[F.when(c, k) for k, c in checks.items()]))
 
 
 def with_template(rows: DataFrame, templates: DataFrame) -> DataFrame:
-    """explanation: the sentence of (language, verdict, category), else of category ``default``; ``{name}`` filled in.
+    """explanation: headline, then the sentence of (language, verdict, category), else of category ``default``; ``{name}`` filled in.
 
-    ``templates`` holds one row per language, verdict and category of the closed vocabularies.
+    ``templates`` holds a row per language, verdict and category of the closed vocabularies, the headline
+    under category ``headline``.  A verdict without rows is read as UNKNOWN, a language without rows as English.
+    """
+    keys = ["_language", "_verdict"]
+    have = templates.select(F.col("language").alias("_language"), F.col("verdict").alias("_verdict")).distinct()
+    rows = rows.join(have.select(F.col("_language").alias("language")).distinct().withColumn("_l", F.lit(True)), "language", "left")
+    rows = rows.withColumn("_language", F.when(F.col("_l"), F.col("language")).otherwise("en"))
+    rows = rows.withColumn("verdict_", F.col("verdict")).join(have.withColumnsRenamed({"_verdict": "verdict_"}).withColumn("_v", F.lit(True)), ["_language", "verdict_"], "left")
+    rows = rows.withColumn("_verdict", F.when(F.col("_v"), F.col("verdict_")).otherwise("UNKNOWN"))
+    own = templates.select(F.col("language").alias("_language"), F.col("verdict").alias("_verdict"), F.col("category").alias("_category"), F.col("sentence").alias("_own"))
+    part = lambda kind, name: own.filter(F.col("_category") == kind).select(*keys, F.col("_own").alias(name))
+    rows = rows.withColumn("_category", F.when(~F.col("category").isin("headline", "default"), F.col("category"))).join(own, [*keys, "_category"], "left")
+    rows = rows.join(part("default", "_rest"), keys, "left").join(part("headline", "_head"), keys, "left")
+    body = F.replace(F.coalesce("_own", "_rest"), F.lit("{name}"), F.coalesce("name", F.lit("")))
+    return rows.withColumn("explanation", F.concat(F.col("_head"), F.lit(". "), body)).drop("_l", "_v", "verdict_", "_language", "_verdict", "_category", "_own", "_rest", "_head")
+
+
+def explained(rows: DataFrame, templates: DataFrame, attempts=()) -> DataFrame:
+    """explanation of every row, and the problems of the last draft (``explanation_problems``).
+
+    ``attempts``: functions from a frame to the same with a column ``draft`` (null if the model failed), tried in
+    turn for SCAM and SUSPICIOUS.  The first draft without problems counts; a failed model ends the trying; the
+    fixed sentence is the fallback, and all that SAFE and UNKNOWN ever get.
     """
-    own = templates.select("language", "verdict", "category", F.col("sentence").alias("own"))
-    rest = templates.filter("category = 'default'").select("language", "verdict", F.col("sentence").alias("rest"))
-    joined = rows.join(own, ["language", "verdict", "category"], "left").join(rest, ["language", "verdict"], "left")
-    return joined.withColumn("explanation", F.replace(F.coalesce("own", "rest"), F.lit("{name}"), F.coalesce("name", F.lit("")))).drop("own", "rest")
+    rows = with_template(rows, templates).withColumns({"_fixed": F.col("explanation"), "_said": F.lit(None).cast("string"), "_open": F.col("verdict").isin("SCAM", "SUSPICIOUS"), "explanation_problems": F.array().cast("array<string>")})
+    for attempt in attempts:
+        rows = attempt(rows)
+        found = F.when(F.col("language") == "hi", explanation_problems(F.col("draft"), F.col("verdict"), "hi", F.col("text"))).otherwise(explanation_problems(F.col("draft"), F.col("verdict"), "en", F.col("text")))
+        found = F.when(F.coalesce(F.trim("draft"), F.lit("")) == "", F.array(F.lit("empty"))).otherwise(found)
+        rows = rows.withColumn("_found", found)
+        rows = rows.withColumns({
+            "explanation_problems": F.when(F.col("_open") & F.col("draft").isNotNull(), F.col("_found")).otherwise(F.col("explanation_problems")),
+            "_said": F.when(F.col("_open") & F.col("draft").isNotNull() & (F.size("_found") == 0), F.trim("draft")).otherwise(F.col("_said")),
+            "_open": F.col("_open") & F.col("draft").isNotNull() & (F.size("_found") > 0),
+        }).drop("draft", "_found")
+    return rows.withColumn("explanation", F.coalesce("_said", "_fixed")).drop("_fixed", "_said", "_open")
 
 
 def alert_body(name: Column, category: Column, at: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WORD
 from ..functions.vocab import DETECTOR_VERDICTS, VERDICTS
+from ..sources.shared import materialise
 
 FLAGGED = ("SCAM", "SUSPICIOUS")
 
@@ -180,11 +181,15 @@ def resample_index(seed: int, resample: Column, position: Column, n: Column) ->
 def bootstrap(df: DataFrame, key: str, n_resamples: int = 1000, seed: int = 0) -> DataFrame:
     """2.5 % and 97.5 % of every headline metric over resamples with replacement.
 
-    All metrics share the resamples.  Rows get an index by key order; draws are counted
-    per (resample, index) and joined to the rows, so nothing of the rows is collected.
+    All metrics share the resamples.  Rows get an index by key order: ranges of the key
+    are sorted apart and numbered from the counts of the earlier ones, so no task takes
+    all rows.  Draws are joined to the rows by index; nothing of the rows is collected.
     """
-    rows = df.withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(key)) - 1)
-    n = df.count()
+    ranges = materialise(df.repartitionByRange(key).withColumn("_p", F.spark_partition_id()), "ranges")  # written, so that all steps see one division
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(ranges.groupBy("_p").count().select("_p", before.alias("_before")))  # a row per partition
+    rows = ranges.join(starts, "_p").withColumn("_i", F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1).drop("_p", "_before")
+    n = ranges.count()
     spark = df.sparkSession
     draws = spark.range(n_resamples * n).select(F.floor(F.col("id") / n).alias("resample"), (F.col("id") % n).alias("position"))
     picked = draws.select("resample", resample_index(seed, F.col("resample"), F.col("position"), F.lit(n)).alias("_i"))
@@ -207,6 +212,14 @@ def best_runs(epochs: DataFrame) -> DataFrame:
     return epochs.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def runs_by_digest(runs: DataFrame, current: str) -> DataFrame:
+    """Per dev digest its runs in the order of their names and the best epoch; the current digest's row has the last ``place``."""
+    named = runs.groupBy("digest").agg(F.sort_array(F.collect_set("run")).alias("runs"))  # one row a run, few runs a digest
+    top = best_runs(runs).select("digest", F.col("run").alias("best_run"), F.col("epoch").alias("best_epoch"))
+    rows = named.join(top, "digest").withColumn("is_current", F.col("digest") == current)
+    return rows.withColumn("place", F.row_number().over(Window.orderBy("is_current", F.get("runs", F.lit(0)))))
+
+
 def latency_summary(records: DataFrame) -> DataFrame:
     """p50, p95, max and n of the wall time, of every stage, and per verdict; failed rows are only counted."""
     good = records.filter(F.col("error").isNull())
@@ -223,6 +236,13 @@ def token_totals(df: DataFrame, length: str, most: int, price_per_million: float
     return df.agg(F.sum(cut).alias("tokens"), F.count_if(F.col(length) > most).alias("truncated"), F.round(F.sum(cut) * price_per_million / 1e6, 4).alias("cost_usd"))
 
 
+def billing_windows(events: DataFrame, since: str, until: str, days: int = 14) -> DataFrame:
+    """Usage from ``since`` up to ``until``, per kind and page of ``days`` days (the last one may be short)."""
+    inside = events.filter((F.col("at") >= F.lit(since).cast("timestamp")) & (F.col("at") < F.lit(until).cast("timestamp")))
+    page = F.floor(F.timestamp_diff("SECOND", F.lit(since).cast("timestamp"), F.col("at")) / (86_400 * days)).alias("page")
+    return inside.groupBy(page, "kind").agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("rate") / 1e6).alias("usd"), F.sort_array(F.collect_set("rate")).alias("rates"), F.count_if(F.col("rate").isNull()).alias("unpriced"))
+
+
 def billing(events: DataFrame) -> DataFrame:
     """Per kind of usage: tokens, dollars, the rates seen, events without a price."""
     return events.groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("rate") / 1e6).alias("usd"), F.sort_array(F.collect_set("rate")).alias("rates"), F.count_if(F.col("rate").isNull()).alias("unpriced"))

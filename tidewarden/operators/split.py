@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from . import dedupe
 
 
@@ -53,18 +54,35 @@ def shared_groups(train: DataFrame, dev: DataFrame) -> DataFrame:
     return train.select("seed_group").intersect(dev.select("seed_group"))
 
 
+#: Stretches of a hashed order that are sorted apart; each takes rows / BUCKETS of them.
+BUCKETS = 4096
+
+
+def placed(df: DataFrame, u: Column, key: str, buckets: int = BUCKETS) -> DataFrame:
+    """Rows with their place (from 0) in the order of a uniform draw and key.
+
+    The draw's stretches are sorted apart; how many rows come before each is summed over
+    at most ``buckets`` counts, so no task takes all rows.
+    """
+    rows = df.withColumn("_u", u).withColumn("_b", F.floor(F.col("_u") * buckets))
+    sizes = rows.groupBy("_b").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("_b", before.alias("_before")))  # ``buckets`` rows at most
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy("_u", key)) - 1
+    return rows.join(starts, "_b").withColumn("place", F.col("_before") + inside).drop("_u", "_b", "_before")
+
+
 def shuffled(df: DataFrame, key: str, seed: int, n: int | None = None, batch: int | None = None) -> DataFrame:
     """Rows with their place in a hashed order (the first n) and their batch; the last batch may be short."""
-    w = Window.partitionBy(F.lit(1)).orderBy(draw(seed, "shuffle", F.col(key)), key)
-    rows = df.withColumn("place", F.row_number().over(w) - 1)
+    rows = placed(df, draw(seed, "shuffle", F.col(key)), key)
     rows = rows if n is None else rows.filter(F.col("place") < n)
     return rows if batch is None else rows.withColumn("batch", F.floor(F.col("place") / batch))
 
 
 def review_sample(df: DataFrame, key: str, share: float = 0.10, seed: int = 7) -> DataFrame:
     """Exactly max(1, round(share * n)) rows."""
-    n = df.count()
-    return df.orderBy(draw(seed, "review", F.col(key)), key).limit(max(1, round(n * share)) if n else 0)
+    most = max(1, round(df.count() * share))
+    return placed(df, draw(seed, "review", F.col(key)), key).filter(F.col("place") < most).drop("place")
 
 
 def suspects(items: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -136,23 +154,59 @@ def drop_signals(split: Column, signals: Column, key: Column, rate: float = 0.2,
     return F.when((split == "train") & (draw(seed, "dropout", key) < rate), F.array().cast("array<string>")).otherwise(signals)
 
 
+# What stands right before an account's last four digits, and before a reference number.
+LAST_FOUR = ("xx", "*", "ending", "ending in", "ending with", "अंतिम")
+NUMBERED = ("ref", "id", "no", "no.", "number", "#", "order", "संदर्भ", "संख्या")
+_MASK = "<OTP>|<ACCT>"
+
+
+def _ends_with(words) -> str:
+    return "(?iu)(?:" + "|".join(rf"\Q{w}\E" for w in words) + ")"
+
+
+def placeholder_values(text: Column, key: Column, seed: int = 7) -> Column:
+    """A value for each placeholder of a text, by what stands before it: codes of 4 to 6 digits, the last four of an
+    account, reference numbers of 6 to 12 digits, else an account half hidden or whole."""
+    kinds, before = F.regexp_extract_all(text, F.lit(_MASK), 0), F.split(text, _MASK, -1)
+
+    def value(kind: Column, i: Column) -> Column:
+        name = F.concat_ws("|", key.cast("string"), i.cast("string"))
+        u = lambda what: draw(seed, what, name)
+        size = lambda least, most: F.lit(least) + F.floor(u("size") * (most - least + 1)).cast("int")
+        digits = lambda n: F.right(F.lpad(F.floor(u("digits") * 10**12).cast("string"), 12, "0"), n)
+        left = F.right(F.get(before, i), F.lit(14))
+        account = F.when(u("form") < 1 / 3, F.concat(F.lit("XX"), digits(F.lit(4)))).when(u("form") < 2 / 3, F.concat(F.lit("**"), digits(F.lit(4)))).otherwise(digits(size(6, 12)))
+        named = F.when(left.rlike(_ends_with(LAST_FOUR) + r"\s*$"), digits(F.lit(4))).when(left.rlike(_ends_with(NUMBERED) + r"(?U)\W{0,4}$"), digits(size(6, 12)))
+        return F.when(kind == "<OTP>", digits(size(4, 6))).otherwise(F.coalesce(named, account))
+
+    return F.transform(kinds, value)
+
+
+def _filled(text: Column, values: Column) -> Column:
+    return F.array_join(F.zip_with(F.split(text, _MASK, -1), values, lambda t, v: F.concat(t, F.coalesce(v, F.lit("")))), "")
+
+
 def fill_placeholders(items: DataFrame, seed: int = 7) -> DataFrame:
-    """<OTP> becomes six digits and <ACCT> twelve (masked after ``ending``), the same in text and quotes.
+    """<OTP> and <ACCT> become digits that fit what stands before them (``placeholder_values``), the same in text and quotes.
 
-    A quote that cut a placeholder no longer stands in the text and goes; a row that is
-    not SAFE and loses all its flags goes too.
+    A quote that cuts a placeholder, or is not in the text, goes; a row that is not SAFE
+    and loses all its flags goes too.  Rows without placeholders stay as they are.
     """
-    digits = lambda what, n: F.lpad(F.floor(draw(seed, what, F.col("id")) * 10**n).cast("string"), n, "0")
-    account = digits("acct", 12)
+    count = lambda c: F.regexp_count(c, F.lit(_MASK))
+
+    def placed_quote(f: Column, text: Column, values: Column) -> Column:
+        at = F.instr(text, f["quote"])
+        head, tail = F.left(text, at - 1), F.substr(text, at + F.length(f["quote"]))
+        whole = (at > 0) & (count(head) + count(f["quote"]) + count(tail) == count(text))
+        return F.when(whole, F.struct(_filled(f["quote"], F.slice(values, count(head) + 1, F.greatest(count(f["quote"]), F.lit(0)))).alias("quote"), f["reason"].alias("reason")))
 
-    def fill(c: Column) -> Column:
-        c = F.replace(c, F.lit("<OTP>"), digits("otp", 6))
-        c = F.replace(c, F.lit("ending <ACCT>"), F.concat(F.lit("ending "), F.right(account, F.lit(4))))
-        return F.replace(c, F.lit("<ACCT>"), account)
+    def new(m: Column) -> Column:
+        flags = F.filter(F.transform(m["flags"], lambda f: placed_quote(f, m["text"], m["values"])), lambda f: f.isNotNull())
+        return F.struct(_filled(m["text"], m["values"]).alias("text"), flags.alias("flags"))
 
-    rows = items.withColumn("_new", fill(F.col("text")))
-    flags = F.filter(F.transform("red_flags", lambda f: F.struct(fill(f["quote"]).alias("quote"), f["reason"].alias("reason"))), lambda f: F.contains(F.col("_new"), f["quote"]) & ~f["quote"].rlike("<|>"))
-    rows = rows.withColumn("red_flags", flags).withColumn("text", F.col("_new")).drop("_new")
+    both = let(F.struct(F.col("text"), F.col("red_flags").alias("flags"), placeholder_values(F.col("text"), F.col("id"), seed).alias("values")), new)
+    rows = items.withColumn("_new", F.when(F.col("text").rlike(_MASK), both).otherwise(F.struct(F.col("text"), F.col("red_flags").alias("flags"))))
+    rows = rows.withColumns({"text": F.col("_new.text"), "red_flags": F.col("_new.flags")}).drop("_new")
     return rows.filter((F.col("verdict") == "SAFE") | (F.size("red_flags") > 0))
 
 

@@ -50,21 +50,36 @@ def similar_benchmark(spark, sf):
     return ids.join(sizes, "set_id").join(others, "set_id", "left").select(F.col("id").alias("item_id"), (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_similar"))
 
 
-@query()
+#: Pairs of different shingle sets of Jaccard 4/5 or more, by comparing all sets of fitting sizes.
+_DOCS = (
+    f"d AS MATERIALIZED (SELECT doc_id, list_sort({_GRAMS.replace('text', 't')}) AS g FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)), "
+    "s AS MATERIALIZED (SELECT min(doc_id) AS s, g, len(g) AS n FROM d GROUP BY g), "
+    "e AS MATERIALIZED (SELECT a.s AS a, b.s AS b FROM s a JOIN s b ON a.s < b.s AND a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4 WHERE 9 * len(list_intersect(a.g, b.g)) >= 4 * (a.n + b.n))"
+)
+
+
+@query(f"WITH {_DOCS}, k AS (SELECT a AS s FROM e UNION ALL SELECT b FROM e), m AS (SELECT s, count(*) AS n FROM k GROUP BY s) SELECT d.doc_id, s.s AS first_doc, coalesce(m.n, 0) AS n_links FROM d JOIN s ON d.g = s.g LEFT JOIN m ON m.s = s.s")
 def similar_documents(spark, sf):
     """Similar documents: every document's class of equal sets and its number of links to others."""
     ids, pairs = dedupe.similar_sets(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
     degree = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").count()
-    return ids.join(degree, "set_id", "left").select(F.col("id").alias("doc_id"), "set_id", F.coalesce("count", F.lit(0)).alias("n_links"))
+    first = ids.groupBy("set_id").agg(F.min("id").alias("first_doc"))
+    return ids.join(first, "set_id").join(degree, "set_id", "left").select(F.col("id").alias("doc_id"), "first_doc", F.coalesce("count", F.lit(0)).alias("n_links"))
 
 
-@query()
+@query(f"WITH {_DOCS.split(', s AS')[0]}, b AS (SELECT list_sort({_GRAMS}) AS g FROM benchmark), x AS (SELECT DISTINCT doc_id FROM d JOIN b ON len(d.g) * 5 >= len(b.g) * 4 AND len(b.g) * 5 >= len(d.g) * 4 WHERE 9 * len(list_intersect(d.g, b.g)) >= 4 * (len(d.g) + len(b.g))) SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM x)")
 def leakage_filter(spark, sf):
     """Documents similar to no benchmark item."""
     return dedupe.without_similar(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"), "doc_id").select("doc_id")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_DOCS}, o AS MATERIALIZED (SELECT d.g, min(CAST(doc_id AS VARCHAR)) AS name FROM d GROUP BY d.g), "
+    "c AS MATERIALIZED (SELECT x.name AS a, y.name AS b FROM e JOIN s p ON e.a = p.s JOIN s q ON e.b = q.s JOIN o x ON x.g = p.g JOIN o y ON y.g = q.g), "
+    "arc AS MATERIALIZED (SELECT least(a, b) AS first, greatest(a, b) AS later FROM c), n AS MATERIALIZED (SELECT name, row_number() OVER (ORDER BY name) AS k FROM (SELECT DISTINCT later AS name FROM arc)), "
+    "walk(k, gone) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT w.k + 1, CASE WHEN EXISTS (SELECT 1 FROM arc WHERE arc.later = n.name AND NOT list_contains(w.gone, arc.first)) THEN list_append(w.gone, n.name) ELSE w.gone END FROM walk w JOIN n ON n.k = w.k + 1), "
+    "last AS (SELECT gone FROM walk ORDER BY k DESC LIMIT 1) SELECT CAST(name AS BIGINT) AS doc_id FROM o, last WHERE NOT list_contains(gone, name)"
+)
 def first_kept(spark, sf):
     """Documents kept by greedy de-duplication in the string order of their ids."""
     return dedupe.first_kept(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").select("doc_id")
@@ -149,7 +164,15 @@ def open_jobs(spark, sf):
     return split.open_jobs(jobs, jobs.filter("seed_id % 2 = 0 AND variant = 0").select("key")).select("key", "scenario", "variant")
 
 
-@query()
+_BY = f"CAST(obfuscated AS INT) + CAST(length(text) > 400 AS INT) AS c, {_draw(7, 'fewshot', 'id')} AS u"
+
+
+@query(
+    f"WITH {_I}, k AS (SELECT id, category, language, CASE WHEN verdict = 'SCAM' THEN 'scam' WHEN verdict = 'SAFE' AND hard_negative THEN 'hard_negative' WHEN verdict = 'SUSPICIOUS' THEN 'suspicious' WHEN verdict = 'SAFE' AND category = 'personal' THEN 'personal' END AS kind, {_BY} FROM i), "
+    "f AS (SELECT * FROM k WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY kind ORDER BY c, u, id) = 1), "
+    "g AS (SELECT k.id, k.kind FROM k JOIN f ON k.kind = f.kind AND k.id <> f.id WHERE k.kind IN ('scam', 'hard_negative') QUALIFY row_number() OVER (PARTITION BY k.kind ORDER BY k.category = f.category, k.language = f.language, k.c, k.u, k.id) = 1), "
+    "r AS (SELECT id, kind, 1 AS place FROM f UNION ALL SELECT id, kind, 2 FROM g) SELECT id, kind, (place - 1) * 4 + list_position(['scam', 'hard_negative', 'suspicious', 'personal'], kind) AS position FROM r"
+)
 def fewshot_rows(spark, sf):
     """The six few-shot rows."""
     rows = _items(spark, sf).withColumn("hard_negative", F.col("hard_negative"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vocab import RuleData
+from ..functions.vocab import Dictionary
 from ..operators import messages, redact, rules
 from ..streaming import online
 from .evaluation import rounded
@@ -17,9 +17,9 @@ _I = f"i AS ({duck(ITEMS)})"
 _X = f"e AS ({duck(EVAL)})"
 
 #: Phrases that stand in the bundled documents, so that the signals fire there.
-DEMO = RuleData(
-    official=("example.com", "bank.test"), restricted=("example.org",), brands=("site",), shorteners=("bit.ly", "site7.example"),
-    lexicon={"threat": ("idiot", "moron", "worthless"), "urgency": ("the and", "with*"), "payment": ("for", "pour", "für"), "bank": ("license",), "govt": ("public", "general"), "otp": ("password", "token", "secret"), "share": ("the",), "negation": ("not",), "install": ("from",), "pin": ("that",), "approve": ("this",), "receive": ("was",)},
+DEMO = Dictionary(
+    sites=("example.com", "bank.test"), zones=("example.org",), brands=("site",), short_hosts=("bit.ly", "site7.example"),
+    phrases={"threat": ("idiot", "moron", "worthless"), "urgency": ("the and", "with*"), "payment": ("for", "pour", "für"), "bank": ("license",), "govt": ("public", "general"), "otp": ("password", "token", "secret"), "share": ("the",), "negation": ("not",), "install": ("from",), "pin": ("that",), "approve": ("this",), "receive": ("was",)},
 )
 
 
@@ -60,8 +60,7 @@ def url_parts(spark, sf):
 
 @query(rf"SELECT page_id, list_aggregate(list_transform(regexp_extract_all(html, '(?i)(?:https?://|www\.)[^\s<>\x22'']+'), lambda x: regexp_replace(x, '[.,;:!?)\]}}''\x22’”>]+$', '')), 'string_agg', ' ') AS links FROM pages WHERE regexp_matches(html, '(?i)https?://|www\.')")
 def scheme_links(spark, sf):
-    linked = F.transform(F.regexp_extract_all("html", F.lit(T._SCHEME), 0), lambda x: F.regexp_replace(x, T._TAIL, ""))
-    return spark.read.parquet(f"{sf}/pages.parquet").filter(F.col("html").rlike(r"(?i)https?://|www\.")).select("page_id", F.array_join(linked, " ").alias("links"))
+    return spark.read.parquet(f"{sf}/pages.parquet").filter(F.col("html").rlike(r"(?i)https?://|www\.")).select("page_id", F.array_join(T.links(F.col("html")), " ").alias("links"))
 
 
 @query(r"SELECT doc_id, array_to_string(list_distinct_ordered, ' ') AS handles FROM (SELECT doc_id, list_filter(h, lambda x, i: list_position(h, x) = i) AS list_distinct_ordered FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_.\-]+@[a-zA-Z]{2,}') AS h FROM documents)) WHERE len(list_distinct_ordered) > 0")
@@ -194,10 +193,15 @@ def redaction_counts(spark, sf):
     return done.select("id", "digits_left", F.aggregate(F.map_values("counts"), F.lit(0), lambda a, x: a + x).alias("n_masks"))
 
 
-_SAID = "CASE WHEN id % 4 = 0 THEN concat('This is a ', lower(verdict), ' message.') WHEN id % 4 = 1 THEN concat('This is not ', lower(verdict), '.') WHEN id % 4 = 2 THEN 'Looks fine. Call 99123 now.' ELSE 'One. Two. Three. Four scam.' END"
+_WORD = "CASE verdict WHEN 'SCAM' THEN 'scam' WHEN 'SUSPICIOUS' THEN 'careful' ELSE 'normal' END"
+_SAID = f"CASE WHEN id % 6 = 0 THEN concat('This is a ', {_WORD}, ' message.') WHEN id % 6 = 1 THEN concat('There is no ', {_WORD}, ' here.') WHEN id % 6 = 2 THEN 'Looks fine. Call 99123 now.' WHEN id % 6 = 3 THEN concat('One. Two. Three. Four ', {_WORD}, '.') WHEN id % 6 = 4 THEN concat('Do not reply, ', {_WORD}, ' it is, see scam.zip.') ELSE concat(repeat('word ', 60), {_WORD}) END"
+_NOT_IN = "CASE WHEN contains(lower(text), 'scam.zip') THEN '' ELSE 'foreign_url' END"
 
 
-@query(f"WITH {_I} SELECT id, CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN 'negated_verdict' WHEN 2 THEN concat('missing_verdict_word', CASE WHEN contains(text, '99123') THEN '' ELSE ',foreign_number' END) ELSE concat(CASE WHEN verdict = 'SCAM' THEN '' ELSE 'missing_verdict_word,other_verdict_word,' END, 'too_many_sentences') END AS problems FROM i")
+@query(
+    f"WITH {_I}, k AS (SELECT id, id % 6 AS k, verdict, text FROM i), p AS (SELECT id, CASE k WHEN 0 THEN '' WHEN 1 THEN 'negated_verdict_word' WHEN 2 THEN concat('verdict_word_missing', CASE WHEN regexp_matches(text, '(^|[^0-9])99123($|[^0-9])') THEN '' ELSE ',foreign_number' END) "
+    f"WHEN 3 THEN 'too_many_sentences' WHEN 4 THEN concat(CASE WHEN verdict = 'SUSPICIOUS' THEN 'other_verdict_word,' ELSE '' END, {_NOT_IN}) ELSE 'too_many_words' END AS problems FROM k) SELECT id, problems FROM p"
+)
 def explanation_checks(spark, sf):
     said = F.expr(_SAID)
     return _items(spark, sf).select("id", F.array_join(messages.explanation_problems(said, F.col("verdict"), "en", F.col("text")), ",").alias("problems"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vocab import BUILT_IN, RuleData
+from ..functions.vocab import BUILT_IN, Dictionary
 from ..operators import messages, rules, store
 
 STAGES = ("normalize", "perceive", "rules", "detect", "fuse", "explain")
@@ -25,7 +25,7 @@ def no_detector(df: DataFrame) -> DataFrame:
     return df.withColumns({"p_scam": none.cast("double"), "p_safe": none.cast("double"), "det_category": none.cast("string")})
 
 
-def check_messages(events: DataFrame, scorer: Scorer = no_detector, data: RuleData = BUILT_IN, thresholds=rules.DEFAULT_THRESHOLDS) -> DataFrame:
+def check_messages(events: DataFrame, scorer: Scorer = no_detector, data: Dictionary = BUILT_IN, thresholds=rules.DEFAULT_THRESHOLDS) -> DataFrame:
     """Events (id, parent_id, created_at, channel, text, sender) with verdict, category, red_flags and signals."""
     own = rules.Rules(data)
     rows = events.withColumn("n", T.normalize_message(F.col("text"), F.col("sender")))
@@ -50,7 +50,7 @@ def day_counts(checked: DataFrame, watermark: str = "1 day") -> DataFrame:
     return rows.groupBy(F.window("created_at", "1 day").alias("day"), "parent_id", "verdict").count()
 
 
-def start(source: DataFrame, store_path: str, checkpoint: str, parents: DataFrame, deliver: Callable[[DataFrame], None], scorer: Scorer = no_detector, data: RuleData = BUILT_IN, **trigger):
+def start(source: DataFrame, store_path: str, checkpoint: str, parents: DataFrame, deliver: Callable[[DataFrame], None], scorer: Scorer = no_detector, data: Dictionary = BUILT_IN, **trigger):
     """Run the stream: each batch is stored under its batch number (so a repeat replaces itself) and alerts are delivered."""
 
     def batch(df: DataFrame, number: int) -> None:
