@@ -10,8 +10,8 @@ longer ones ask to be put in files, by version) are indexed by word and position
 word's IDF is taken over the notices.  A notice's anchors are its words of highest
 IDF, as many as hold more than ``1 - MIN_SHARE`` of its mass: a place with
 ``MIN_SHARE`` of the mass has one of them at least, so nothing is lost by looking up a
-file's anchors alone.  For notices with an anchor in the file the postings of all
-its words are intersected by relative position: words whose position minus posting
+file's anchors alone.  For notices with an anchor in the file, and words there that hold
+``MIN_SHARE`` of the mass, the postings of all words are intersected by relative position: words whose position minus posting
 agrees to within ``SLACK`` support the same place.  A notice is reported where the
 mass of the distinct supported words reaches ``MIN_SHARE`` of its own and every
 mandatory phrase stands inside that place.  It gives the label of its family and,
@@ -20,7 +20,7 @@ where the notice names one, of its version.
 Output: doc_id, n_words, places (array of word starts of base phrases, ascending),
 base_labels and labels (arrays, sorted, distinct), score: the best share of a
 verified notice, at least 0.5 where a base phrase stands, else half the best share
-of an unverified one.  Null and empty texts have no words, score 0; repeated rows
+of an unverified one that came so far.  Null and empty texts have no words, score 0; repeated rows
 repeat; a very long text is scanned whole; of a place that two versions share, both
 are tried, each by its own phrases.  Other columns, whatever their names, take no
 part.  An empty table gives no rows.
@@ -102,7 +102,8 @@ class Index:
                 in_notices[w].add(t)
                 self.postings[w].append((t, at))
         self.idf = {w: math.log((1 + len(self.notices)) / len(ts)) for w, ts in in_notices.items()}
-        self.mass = [sum(self.idf[w] for w in {*own}) for _, own, _ in self.notices]
+        self.own = [frozenset(own) for _, own, _ in self.notices]
+        self.mass = [sum(self.idf[w] for w in own) for own in self.own]
         self.anchors: dict[bytes, list[int]] = defaultdict(list)
         for t, (_, own, _) in enumerate(self.notices):
             left = (1 - MIN_SHARE) * self.mass[t]
@@ -141,6 +142,9 @@ def scan(text: str | None, index: Index | None = None):
                 places.append(i)
                 base.add(label)
         seen.update(index.anchors.get(w, ()))
+    if seen:  # a place's words all stand in the file: notices whose words there hold too little mass have none
+        here = set(words)
+        seen = {t for t in seen if sum(index.idf[w] for w in index.own[t] if w in here) >= MIN_SHARE * index.mass[t] - 1e-9}
     votes: dict[int, list[tuple[int, int, bytes]]] = {t: [] for t in sorted(seen)}
     if seen:
         for i in [i for i, w in enumerate(words) if w in index.postings]:
