@@ -4,9 +4,9 @@ The rule is one for all sizes: rows whose crc32(doc_id as text) mod 5 is not 0 m
 be learned from; of each class, the ``per_class`` ids least by a hash of doc_id are
 taken (ties by doc_id), so every class is learned however many there are.  The bound
 is ``per_class`` rows times the number of classes: it grows with the label values, not
-with the rows.  Before ids are ranked, a share of the hash's range that holds about twice
-as many is cut out of each class, by its count, so a class of a third of all rows brings
-a few thousand ids to its task.  Only then are the chosen ids' texts read, by a join that
+with the rows.  Ids are ranked in ``SALTS`` parts of each class first, and what the parts
+keep by class then, so a class of a third of all rows is dealt over many tasks and brings
+``SALTS`` times ``per_class`` ids to one at most.  Only then are the chosen ids' texts read, by a join that
 broadcasts those few ids, so no text is shuffled.  Texts of more than ``max_chars``
 characters are not learned from.  An id of several labels counts by its least label;
 of several texts, by the one of least hash.  Rows with a null id or label are not
@@ -19,8 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-SCALE = 1 << 30
-SPARE = 60
+SALTS = 32
 
 
 def held_out() -> Column:
@@ -31,10 +30,9 @@ def held_out() -> Column:
 def sample_keys(keys: DataFrame, label: str, per_class: int) -> DataFrame:
     """doc_id, label of the rows to learn from: ``per_class`` ids of each class."""
     keys = keys.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label")).filter(~held_out() & F.col("label").isNotNull())
-    # a share of each class that holds ``per_class`` ids with room to spare, so that no task ranks a whole class
-    sizes = keys.groupBy("label").agg(F.approx_count_distinct("doc_id").alias("n"))
-    drawn = keys.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(SCALE)))
-    near = drawn.join(sizes, "label").filter(F.col("place") <= F.lit(float(SCALE * (2 * per_class + SPARE))) / F.col("n"))
+    drawn = keys.withColumns({"place": F.xxhash64("doc_id"), "salt": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS))})
+    first = F.dense_rank().over(Window.partitionBy("label", "salt").orderBy("place", "doc_id"))
+    near = drawn.withColumn("n", first).filter(F.col("n") <= per_class)
     ranked = near.withColumn("n", F.dense_rank().over(Window.partitionBy("label").orderBy("place", "doc_id"))).filter(F.col("n") <= per_class)
     return ranked.groupBy("doc_id").agg(F.min("label").alias("label"))
 
