@@ -102,7 +102,7 @@ def filled_placeholders(spark, sf):
 
 @query()
 def redaction_totals(spark, sf):
-    """Masks of every kind over all documents (compared by brute force in the tests)."""
+    """Masks of every kind over all documents (the masks are tested case by case)."""
     rows = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), "text", F.lit("sms").alias("channel"), "source")
     done, _ = redact.redact_records(rows, names=("idiot",))
     return redact.redaction_report(done).filter("id is null").select("mask", "n")
