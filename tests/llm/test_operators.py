@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -56,6 +57,24 @@ def test_bpe_equals_library(library):
         assert enc.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("text", ["a" * 200_000, "-" * 200_000, "1" * 200_000, "a" * 100_000 + "fq" + "z" * 100_000, "-" * 100_000 + "~\x7f" + "-" * 100_000, "fqjz" * 50_000, "日本語学校" * 40_000, "привет" * 33_000, "é" * 200_000])
+def test_bpe_of_unbroken_runs(library, text):
+    """One run of 200,000 characters takes about as long as the library itself, not its square."""
+    enc = forced_bpe.ForcedBoundaryEncoder()
+    began = time.process_time()
+    ids = enc.encode(text).tolist()
+    assert time.process_time() - began < 5
+    assert ids == library.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_of_other_scripts(library):
+    """Every script goes through the forced cuts; normal forms that a fragment's lower case leaves open stay right."""
+    enc, rnd = forced_bpe.ForcedBoundaryEncoder(), random.Random(8)
+    fuzz = ["".join(rnd.choice("abqz'.! \nAÉéİΣσςЖж日本😀\u0331\u0301ẖKÅ½²ªǅﬁ１") for _ in range(rnd.randint(1, 60))) for _ in range(3000)]
+    for text, raw in zip(fuzz, enc.encode_batch(fuzz)):
+        assert np.frombuffer(raw, enc.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_bpe_special_tokens_in_every_case(library):
     enc, rnd = forced_bpe.ForcedBoundaryEncoder(), random.Random(6)
     parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|Startoftext|>", "<|endoftext", "|>", "<|", "endoftext|>"]

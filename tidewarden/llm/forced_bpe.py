@@ -11,8 +11,11 @@ independently and their ids concatenated; the result is that of encoding the
 whole text.  White-space fragments and the pieces below them are remembered in
 a bounded table, as natural text repeats them.  A special token counts only in its
 exact letters; it is cut out before anything is lower-cased, as the library does.  A
-fragment with characters outside Latin-1 (where normalisation matters) is given to
-the tokenizers library as it is.
+fragment with characters outside Latin-1 goes through the vocabulary's own normaliser
+and pre-tokeniser first, and is cut and merged like any other from there on.  Pieces
+of more than ``WIDEST`` bytes go through the library's merges, which keep a heap of the
+pairs, so a text of one unbroken run takes no more time than its length asks for; a
+second model without the word-end mark has those that do not end their pre-token.
 """
 
 from __future__ import annotations
@@ -34,8 +37,10 @@ KEEP_CHARS = 48
 #: Fragments remembered per worker, in each of two generations.
 KEEP_ROWS = 250_000
 
-#: Pieces of more bytes are merged one by one.
+#: Pieces of more bytes are merged one by one, by the library's heap.
 WIDEST = 32
+#: Before a pre-token that is in the vocabulary's normal form already (no fragment holds a line end).
+NORMAL = "\n"
 
 #: No token; no merge.
 NONE = (1 << 31) - 1
@@ -97,7 +102,7 @@ class ForcedBoundaryEncoder(dict):
 
     def __init__(self, vocabulary: str = DEFAULT_VOCABULARY):
         super().__init__()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models
 
         path = resolve(vocabulary)
         self.library = Tokenizer.from_file(path)
@@ -107,7 +112,6 @@ class ForcedBoundaryEncoder(dict):
             spec = json.load(f)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-        self.rank = {m: i for i, m in enumerate(merges)}
         self.letters = byte_letters()
         self.inside = occurring_pairs(self.vocab, self.letters)
         self.forced = np.ones((256, 256), bool)
@@ -122,6 +126,8 @@ class ForcedBoundaryEncoder(dict):
             self.token[i] = t
         self.packed = [i.to_bytes(self.dtype.itemsize, "little") for i in range(size)]
         self.model = self.library.model
+        self.open_model = models.BPE(vocab=self.vocab, merges=merges)  # no mark: for pieces that do not end their pre-token
+        self.value = {c: b for b, c in enumerate(self.letters)}
         self.shown = {b: c for b, c in enumerate(self.letters) if c != chr(b)}
         self.byte_id = np.array([[self.vocab[c] for c in self.letters], [self.vocab[c + WORD_END] for c in self.letters]], np.int64)
         self.merged_id = np.array([self.vocab[a + b] for a, b in merges], np.int64)
@@ -134,24 +140,35 @@ class ForcedBoundaryEncoder(dict):
         ids = self.older.get(fragment)
         if ids is None:
             words = self._words(fragment)
-            ids = self._whole(fragment) if words is None else b"".join([self._pretoken(w) for w in words])
+            if words is None:
+                ids = self._special(fragment)
+            else:
+                each = {w: self._pretoken(w) for w in set(words)}
+                ids = b"".join([each[w] for w in words])
         if len(fragment) <= KEEP_CHARS:
             self[fragment] = ids
         return ids
 
     def _words(self, fragment: str) -> list[str] | None:
-        """Pre-tokens of a fragment; None for a special token and where only the library may split."""
+        """Pre-tokens of a fragment; None for a special token."""
         word = _SIMPLE.fullmatch(fragment)
         if word:
             head, tail = word.groups()
             return [head, tail] if tail else [head]
-        if fragment[0] == " " or not _latin(fragment):
+        if fragment[0] == " ":
             return None
+        if not _latin(fragment):
+            shown = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(fragment))
+            return [NORMAL + bytes([self.value[c] for c in w]).decode("utf-8") for w, _ in shown]
         return _PRETOKEN.findall(fragment.lower())
 
+    @staticmethod
+    def _bytes(word: str) -> bytes:
+        return (word[1:] if word[0] == NORMAL else word.lower()).encode("utf-8")
+
     def _pieces(self, word: str) -> list[tuple[bytes, bool]]:
         """A pre-token cut at every forced place; True marks the piece that ends it."""
-        data = word.encode("utf-8")
+        data = self._bytes(word)
         cuts = [0, *(i for i, pair in enumerate(zip(data, data[1:]), 1) if pair not in self.inside), len(data)]
         return [(data[a:b], b == len(data)) for a, b in zip(cuts, cuts[1:])]
 
@@ -170,7 +187,7 @@ class ForcedBoundaryEncoder(dict):
                     continue
                 words = self._words(f)
                 if words is None:
-                    self[f] = self._whole(f)
+                    self[f] = self._special(f)
                 else:
                     plan[f] = words
                     new.update(words)
@@ -183,7 +200,7 @@ class ForcedBoundaryEncoder(dict):
         """Encode pre-tokens together: cut at every forced place, the pieces of one width side by side in numpy."""
         if not words:
             return
-        raw = [w.lower().encode("utf-8") for w in words]
+        raw = [self._bytes(w) for w in words]
         data = np.frombuffer(b"".join(raw) + bytes(WIDEST), np.uint8)
         stops = np.fromiter(map(len, raw), np.int64, len(raw)).cumsum()
         begins = np.zeros(int(stops[-1]) + 1, bool)  # of pieces
@@ -276,28 +293,17 @@ class ForcedBoundaryEncoder(dict):
         return tables
 
     def _pretoken(self, word: str) -> bytes:
-        return b"".join([self._one_piece(*p) for p in self._pieces(word)])
+        pieces = self._pieces(word)
+        each = {p: self._one_piece(*p) for p in set(pieces)}
+        return b"".join([each[p] for p in pieces])
 
     def _one_piece(self, data: bytes, ends: bool) -> bytes:
         symbols = data.decode("latin-1").translate(self.shown)
-        ids = [t.id for t in self.model.tokenize(symbols)] if ends else self._open_piece(symbols)
-        return b"".join([self.packed[i] for i in ids])
+        return b"".join([self.packed[t.id] for t in (self.model if ends else self.open_model).tokenize(symbols)])
 
-    def _whole(self, fragment: str) -> bytes:
-        """Of a special token (marked by a blank before it), or of a fragment left to the library."""
-        if fragment[0] == " ":
-            return self.packed[self.special[fragment[1:]]]
-        return b"".join([self.packed[i] for i in self.library.encode(fragment, add_special_tokens=False).ids])
-
-    def _open_piece(self, symbols: str) -> list[int]:
-        """BPE of a piece that does not end its pre-token: no word-end mark."""
-        parts = list(symbols)
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), 1 << 60))
-            if (parts[best], parts[best + 1]) not in self.rank:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return [self.vocab[p] for p in parts]
+    def _special(self, fragment: str) -> bytes:
+        """Of a special token, marked by a blank before it."""
+        return self.packed[self.special[fragment[1:]]]
 
     # -- texts -------------------------------------------------------------
     def _split(self, text: str | None) -> list[str]:
