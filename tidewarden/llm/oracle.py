@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .impacts import TOP
 from .quality_rules import CLASSES, LANGUAGES, MAX_CLASSES, MAX_COMMON, MIN_CHARS, MIN_WORDS
 
 
@@ -45,3 +46,21 @@ f AS (SELECT *, letters - c_upper AS c_letter, n_chars - word_chars AS c_space,
 j AS (SELECT *, CASE WHEN word_chars >= {MIN_CHARS} THEN {classes} END AS cd, CASE WHEN len(r) >= {MIN_WORDS} THEN {best} END AS wd, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(cd, 0) <= {MAX_CLASSES} AND coalesce(wd, 0) <= {MAX_COMMON} AS kept,
   round(cd, 6) AS class_distance, round(wd, 6) AS common_distance FROM j"""
+
+
+def ranked_search_sql() -> str:
+    """Every document's whole score for every item, by joins."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    terms = rf"regexp_extract_all(translate(text, '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT doc_id, {terms} AS t FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, t, len(t) AS n FROM d WHERE len(t) > 0),
+c AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM n),
+e AS (SELECT doc_id, n, unnest(t) AS term FROM n),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM e GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({terms}) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, CAST(sum(times * CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN f USING (term) CROSS JOIN c GROUP BY ALL),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= {TOP}"""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytecnn, curves, idfiles, language, licences, packing, quality_rules, secrets, simhash, tokens
-from .oracle import quality_rules_sql
+from . import bytecnn, curves, idfiles, impacts, language, licences, packing, quality_rules, secrets, simhash, tokens, toxicity, whitening
+from .oracle import quality_rules_sql, ranked_search_sql
 from .storage import table
 
 
@@ -54,5 +54,17 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytecnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licences, op2_hilbert_neighbours, op3_forced_bpe, op4_simhash, op5_packing, op6_id_files, op7_quality_rules, op8_secrets, op9_language, op10_byte_cnn)}
-ORACLE_SQL: dict[str, str] = {"op7_quality_rules": quality_rules_sql()}
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impacts.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
+QUERIES = {f.__name__: f for f in (op1_licences, op2_hilbert_neighbours, op3_forced_bpe, op4_simhash, op5_packing, op6_id_files, op7_quality_rules, op8_secrets, op9_language, op10_byte_cnn, op11_toxicity, op12_impact_search, op13_whitening)}
+ORACLE_SQL: dict[str, str] = {"op7_quality_rules": quality_rules_sql(), "op12_impact_search": ranked_search_sql()}
