@@ -2,14 +2,17 @@
 
 Fusion at a threshold t says SCAM where a hard rule fired or p_scam >= t, so counts at
 every candidate are cumulative sums over distinct scores: rows are grouped by score
-first, and the window runs over distinct scores only.
+first, and the sums run over ranges of the distinct scores (ordered.running), so no
+task takes them all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 
 def _sweep(cases: DataFrame, score: str, forced: Column, hit: Column, miss: Column, sentinel: float | None) -> DataFrame:
     """Per candidate t: rows of ``hit`` and of ``miss`` that are forced or score >= t."""
@@ -17,9 +20,8 @@ def _sweep(cases: DataFrame, score: str, forced: Column, hit: Column, miss: Colu
     if sentinel is not None:
         rows = rows.unionByName(cases.sparkSession.createDataFrame([(float(sentinel), 0, 0)], "t double, h long, m long")).groupBy("t").agg(F.sum("h").alias("h"), F.sum("m").alias("m"))
     base = cases.agg(F.count_if(forced & hit).alias("h0"), F.count_if(forced & miss).alias("m0"), F.count_if(hit).alias("n_hit"), F.count_if(miss).alias("n_miss"), F.count(score).alias("n_scored"))
-    down = Window.partitionBy(F.lit(1)).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    up = Window.partitionBy(F.lit(1)).orderBy("t")
-    swept = rows.select("t", F.sum("h").over(down).alias("h"), F.sum("m").over(down).alias("m"), F.lag("t").over(up).alias("before"))
+    from_top = lambda s: (F.col(f"_all_{s}") - F.col(f"_to_{s}") + F.col(s)).alias(s)
+    swept = running(rows, "t", ["h", "m"]).select("t", from_top("h"), from_top("m"), F.col("_before").alias("before"))
     return swept.crossJoin(F.broadcast(base)).select("t", F.coalesce("before", F.lit(0.0)).alias("before"), (F.col("h") + F.col("h0")).alias("hits"), (F.col("m") + F.col("m0")).alias("misses"), "n_hit", "n_miss", "n_scored")
 
 

@@ -1,19 +1,30 @@
 """Exact Jaccard similarity join over character shingles, and what is built on it.
 
-Candidates come from prefix filtering, not from LSH: with shingles in a global order
-(rarest first) two sets of Jaccard t or more share one among the first
-``n - ceil(t * n) + 1`` of each.  So the join is exact, runs on (shingle) keys, and
-common shingles are never keys of a large set.  Rows of equal sets are merged before
-and share one row's edges.  The boundary is tested in integers.
+Candidates come from prefix filtering, not from LSH: with shingles in any one order,
+two sets of Jaccard t or more share one among the first ``n - ceil(t * n) + 1`` of each.
+The order is (sketched count, hash), rarest first: a count-min sketch of fixed size,
+summed in Spark, is sent to the tasks, so every row finds its own prefix and no shingle
+is shuffled to be counted or ranked.  The sketch never counts too few, so a shingle it
+counts once occurs in no other set and is no key.  Candidates pass a size, a place and a
+parity test, each without loss, before the sets themselves are compared, in integers.
+Rows of equal sets are merged before and share one row's edges.
+
+Against a reference the sketch is that of the reference: a shingle it counts 0 times is
+not there.  A row with too few others leaves the scan at once, without a key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from ..sources.shared import materialise
+from ..sources.shared import arrow_rows, materialise
 
 SIZE = 5
 THRESHOLD = (4, 5)
@@ -30,92 +41,213 @@ def shingles(text: Column, size: int = SIZE) -> Column:
     return let(F.lower(text), lambda t: F.when(F.length(t) < size, F.array(t)).otherwise(F.array_distinct(windows(t))))
 
 
-def _sets(df: DataFrame, key: str, text: str, within: str | None = None) -> DataFrame:
-    """set_id (hash of the sorted shingle hashes), grams (sorted 64-bit hashes), one row per distinct set.
+#: Rows and columns (as a power of two) of the sketch: 4 MB in all, whatever the input.
+SKETCH_ROWS, SKETCH_BITS = 2, 18
+#: Set ids that are sent to a scan to pick its rows; beyond, the rows are joined.
+MAX_IDS = 1_000_000
+#: Windows of a text hashed at once.
+STRETCH = 1 << 20
+BITS = 32
+
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def _hashed(points: np.ndarray, size: int, salt: int) -> np.ndarray:
+    h = np.full(len(points) - size + 1, np.uint64(salt))
+    for k in range(size):
+        h = (h ^ points[k : len(points) - size + 1 + k]) * _ODD[0]
+        h ^= h >> np.uint64(29)
+    return np.unique(h * _ODD[1])
 
-    With a group column the group is part of every hash, so sets of two groups share nothing.
+
+def gram_hashes(text: str | None, group: str | None = None, size: int = SIZE) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct windows of the lower-cased text, as shingles().
+
+    With a group, the group is part of every hash, so sets of two groups share nothing.
     """
-    group = [] if within is None else [F.col(within)]
-    grams = F.array_sort(F.transform(shingles(F.coalesce(F.col(text), F.lit(""))), lambda g: F.xxhash64(g, *group)))
-    return df.select(F.col(key).alias("id"), grams.alias("grams")).withColumn("set_id", F.xxhash64("grams"))
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    salt = size if group is None else xxhash.xxh64_intdigest(group.encode("utf-8", "surrogatepass"), seed=size)
+    if len(points) < size:
+        return _hashed(np.append(points, np.uint32(1 << 31)).astype(np.uint64), len(points) + 1, salt)
+    found = np.zeros(0, np.uint64)
+    for at in range(0, len(points) - size + 1, STRETCH):
+        own = _hashed(points[at : at + STRETCH + size - 1].astype(np.uint64), size, salt)
+        found = np.union1d(found, own) if len(found) else own
+    return found
+
+
+@dataclass
+class Sketch:
+    """Count-min sketch: counts that are never too small, in a table of fixed size."""
+
+    counts: np.ndarray  # row x column
+
+    @staticmethod
+    def columns(grams: np.ndarray) -> list[np.ndarray]:
+        return [((grams * _ODD[1 + r]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64) for r in range(SKETCH_ROWS)]
+
+    def estimate(self, grams: np.ndarray) -> np.ndarray:
+        return np.minimum.reduce([self.counts[r][c] for r, c in enumerate(self.columns(grams))])
+
+
+def _rows(df: DataFrame, key: Column, text: str, within: str | None) -> DataFrame:
+    arrow_rows(df.sparkSession)
+    return df.select(key.alias("id"), F.col(text).cast("string").alias("text"), (F.lit(None) if within is None else F.coalesce(F.col(within).cast("string"), F.lit(""))).cast("string").alias("within"))
+
+
+def _each(batch: pa.RecordBatch):
+    return zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+
+
+def sketch(df: DataFrame, text: str = "text", within: str | None = None) -> Sketch:
+    """Of the shingles of all rows: a task hands on no more counts than the sketch has cells."""
 
+    def run(batches):
+        counts = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), np.int64)
+        for batch in batches:
+            for t, g in _each(batch):
+                for r, c in enumerate(Sketch.columns(gram_hashes(t, g))):
+                    counts[r] += np.bincount(c, minlength=1 << SKETCH_BITS)
+        cells = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts.ravel()[cells])], ["cell", "n"])
 
-def parity_bits(grams: Column) -> Column:
+    cells = _rows(df, F.lit(0), text, within).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # the sketch's cells at most
+    counts = np.zeros(SKETCH_ROWS << SKETCH_BITS, np.int64)
+    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    return Sketch(counts.reshape(SKETCH_ROWS, -1))
+
+
+def parity_bits(grams: np.ndarray) -> np.ndarray:
     """32 words of parity bits of a set: differing bits are at most the symmetric difference."""
-    word = lambda j: F.aggregate(F.filter(grams, lambda g: F.pmod(F.shiftright(g, 6), F.lit(32)) == j), F.lit(0).cast("bigint"), lambda a, g: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(g, F.lit(64)).cast("int"))))
-    return F.transform(F.sequence(F.lit(0), F.lit(31)), word)
+    odd = np.bincount((grams & np.uint64(64 * BITS - 1)).astype(np.int64), minlength=64 * BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
 
+_SET = "set_id long, n int, keys array<struct<key: bigint, place: int>>, bits array<bigint>"
 
-def _verified(candidates: DataFrame, left: DataFrame, right: DataFrame, threshold) -> DataFrame:
-    """Candidate pairs (a, b) of Jaccard at least the threshold: parity bits first, then the sets.
 
-    Jaccard >= num/den bounds the symmetric difference by (|a| + |b|)(den - num)/(den + num),
-    and the differing parity bits are no more than it, so the first test loses nothing.
+def _described(df: DataFrame, key: Column, text: str, within: str | None, order: Sketch, threshold, least: int, near: bool) -> DataFrame:
+    """id, set_id, n, keys (the prefix in the sketch's order, with places; those counted under ``least`` times are left out), parity bits.
+
+    ``near``: only rows of which enough shingles are in the sketch for the threshold.
     """
     num, den = threshold
-    bits = lambda side, s: s.select(F.col("set_id").alias(side), F.size("grams").alias(f"n{side}"), parity_bits(F.col("grams")).alias(f"p{side}"))
-    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = candidates.join(bits("a", left), "a").join(bits("b", right), "b").filter(apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b")
-    both = F.size(F.array_intersect("ga", "gb"))
-    grams = lambda side, s: s.select(F.col("set_id").alias(side), F.col("grams").alias(f"g{side}"))
-    return near.join(grams("a", left), "a").join(grams("b", right), "b").filter(both * den >= (F.size("ga") + F.size("gb") - both) * num).select("a", "b")
+    rows = _rows(df, key, text, within)
+    sent = df.sparkSession.sparkContext.broadcast(order)
+
+    def run(batches):
+        sketched = sent.value
+        for batch in batches:
+            at, ids, sizes, keys, places, ends, bits = [], [], [], [], [], [0], []
+            for i, (t, g) in enumerate(_each(batch)):
+                grams = gram_hashes(t, g)
+                n, counts = len(grams), sketched.estimate(grams)
+                if near and int((counts > 0).sum()) * den < n * num:
+                    continue
+                first = np.lexsort((grams, counts))[: n - -(-n * num // den) + 1]
+                own = np.flatnonzero(counts[first] >= least)
+                at.append(i)
+                ids.append(xxhash.xxh64_intdigest(grams.tobytes()) - (1 << 63))
+                sizes.append(n)
+                keys.append(grams[first[own]].view(np.int64))
+                places.append(own)
+                ends.append(ends[-1] + len(own))
+                bits.append(parity_bits(grams))
+            join = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
+            pairs = pa.StructArray.from_arrays([pa.array(join(keys)), pa.array(join(places).astype(np.int32))], ["key", "place"])
+            words = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * BITS), pa.array(join(bits)))
+            columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs), words]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "set_id", "n", "keys", "bits"])
+
+    return materialise(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {_SET}"), "sets")
 
 
-def _prefix(sets: DataFrame, threshold) -> DataFrame:
-    """(gram, set_id, size): the prefix of every set by rarity of the shingle."""
+def _grams(df: DataFrame, text: str, within: str | None, needed: DataFrame) -> DataFrame:
+    """set_id, grams of the sets whose ids are ``needed``: hashed again from the texts, so only these are ever written."""
+    spark = df.sparkSession
+    few = needed.count() <= MAX_IDS
+    sent = spark.sparkContext.broadcast(np.sort(needed.toArrow()["set_id"].to_numpy()) if few else None)
+
+    def run(batches):
+        wanted = sent.value
+        for batch in batches:
+            ids, sets = [], []
+            for t, g in _each(batch):
+                grams = gram_hashes(t, g)
+                set_id = xxhash.xxh64_intdigest(grams.tobytes()) - (1 << 63)
+                place = 0 if wanted is None else np.searchsorted(wanted, set_id)
+                if wanted is None or place < len(wanted) and wanted[place] == set_id:
+                    ids.append(set_id)
+                    sets.append(grams.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["set_id", "grams"])
+
+    found = _rows(df, F.lit(0), text, within).mapInArrow(run, "set_id long, grams array<long>")
+    return materialise((found if few else found.join(needed, "set_id", "left_semi")).dropDuplicates(["set_id"]), "grams")
+
+
+def _near(a: DataFrame, b: DataFrame, threshold, ordered: bool) -> DataFrame:
+    """(a, b): pairs of sets that share a key and may reach the threshold by sizes, places and parity bits; ``ordered``: a < b only.
+
+    Jaccard >= num/den asks for an overlap of (|a| + |b|) num / (num + den).  Of the first
+    shared key, both sets hold the overlap's other members behind it.  It also bounds
+    the symmetric difference by (|a| + |b|)(den - num)/(den + num), and the differing
+    parity bits are no more than it.
+    """
     num, den = threshold
-    grams = sets.select("set_id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("set_id").orderBy("n", "gram")
-    keep = F.col("size") - F.floor((F.col("size") * num + den - 1) / den) + 1
-    return grams.join(counts, "gram").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= keep).select("gram", "set_id", "size")
+    keyed = lambda s, side: s.select(F.col("set_id").alias(side), F.col("n").alias(f"n{side}"), F.explode("keys").alias("k")).select(side, f"n{side}", F.col("k.key").alias(f"k{side}"), F.col("k.place").alias(f"p{side}"))
+    na, nb = F.col("na"), F.col("nb")
+    fits = (na * den >= nb * num) & (nb * den >= na * num) & (F.least(na - F.col("pa"), nb - F.col("pb")) * (num + den) >= (na + nb) * num)
+    found = keyed(a, "a").join(keyed(b, "b"), (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b") if ordered else F.lit(True)) & fits).select("a", "na", "b", "nb").distinct()
+    bits = lambda s, side: s.select(F.col("set_id").alias(side), F.col("bits").alias(f"w{side}"))
+    apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return materialise(found.join(bits(a, "a"), "a").join(bits(b, "b"), "b").filter(apart * (den + num) <= (na + nb) * (den - num)).select("a", "b"), "near")
 
 
-def set_pairs(sets: DataFrame, threshold=THRESHOLD) -> DataFrame:
-    """(a, b), a < b: pairs of distinct sets of Jaccard at least the threshold."""
+def _verified(near: DataFrame, left: DataFrame, right: DataFrame, threshold) -> DataFrame:
     num, den = threshold
-    keyed = materialise(_prefix(sets, threshold), "prefixes")
-    x, y = keyed.alias("x"), keyed.alias("y")
-    sized = (F.col("x.size") * den >= F.col("y.size") * num) & (F.col("y.size") * den >= F.col("x.size") * num)
-    found = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.set_id") < F.col("y.set_id")) & sized).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
-    return _verified(found, sets, sets, threshold)
+    both = F.size(F.array_intersect("ga", "gb"))
+    grams = lambda side, s: s.select(F.col("set_id").alias(side), F.col("grams").alias(f"g{side}"))
+    return near.join(grams("a", left), "a").join(grams("b", right), "b").filter(both * den >= (F.size("ga") + F.size("gb") - both) * num).select("a", "b")
 
 
-def members(df: DataFrame, key: str = "id", text: str = "text", within: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(id -> set_id, one row per distinct set)."""
-    rows = materialise(_sets(df, key, text, within), "sets")
-    return rows.select("id", "set_id"), rows.dropDuplicates(["set_id"]).select("set_id", "grams")
+def _ids(*columns: DataFrame) -> DataFrame:
+    out = columns[0].toDF("set_id")
+    for c in columns[1:]:
+        out = out.unionByName(c.toDF("set_id"))
+    return materialise(out.distinct(), "needed")
 
 
 def similar_sets(df: DataFrame, key: str = "id", text: str = "text", threshold=THRESHOLD, within: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(id -> set_id, pairs of similar sets): copies stay one set, no pair is lost."""
-    ids, sets = members(df, key, text, within)
-    return ids, set_pairs(sets, threshold)
+    """(id -> set_id, pairs (a, b), a < b, of similar sets): copies stay one set, no pair is lost."""
+    rows = _described(df, F.col(key), text, within, sketch(df, text, within), threshold, 2, False)
+    sets = materialise(rows.select("set_id", "n", "keys", "bits").dropDuplicates(["set_id"]), "distinct-sets")
+    near = _near(sets, sets, threshold, True)
+    grams = _grams(df, text, within, _ids(near.select("a"), near.select("b")))
+    return rows.select("id", "set_id"), _verified(near, grams, grams, threshold)
 
 
 def without_similar(df: DataFrame, reference: DataFrame, key: str = "id", text: str = "text", ref_text: str = "text", threshold=THRESHOLD) -> DataFrame:
     """Rows of ``df`` similar to no row of ``reference`` (leakage anti-join).
 
-    Prefixes are ranked over both sides together; only pairs across them are formed.
+    Only rows of which the threshold's share of shingles is in the reference's sketch have keys at all.
     """
-    ours = materialise(_sets(df, key, text), "ours")
-    theirs = materialise(_sets(reference.select(F.lit(0).alias("_k"), F.col(ref_text).alias("_t")), "_k", "_t"), "theirs")
-    left, right = ours.dropDuplicates(["set_id"]).select("set_id", "grams"), theirs.dropDuplicates(["set_id"]).select("set_id", "grams")
-    keyed = materialise(_prefix(left.unionByName(right).dropDuplicates(["set_id"]), threshold), "prefixes")
-    a = keyed.join(left.select("set_id"), "set_id", "left_semi").select("gram", F.col("set_id").alias("a"))
-    b = keyed.join(right.select("set_id"), "set_id", "left_semi").select("gram", F.col("set_id").alias("b"))
-    pairs = a.join(b, "gram").select("a", "b").distinct()
-    hit = _verified(pairs, left, right, threshold).select(F.col("a").alias("set_id")).distinct()
-    gone = ours.join(hit, "set_id", "left_semi").select(F.col("id").alias(key))
+    order = sketch(reference, ref_text)
+    ours = _described(df, F.col(key), text, None, order, threshold, 1, True)
+    theirs = _described(reference, F.lit(0), ref_text, None, order, threshold, 1, False)
+    distinct = lambda rows: rows.select("set_id", "n", "keys", "bits").dropDuplicates(["set_id"])
+    near = _near(distinct(ours), distinct(theirs), threshold, False)
+    left, right = _grams(df, text, None, _ids(near.select("a"))), _grams(reference, ref_text, None, _ids(near.select("b")))
+    hit = _verified(near, left, right, threshold).select(F.col("a").alias("set_id")).distinct()
+    gone = ours.join(hit, "set_id", "left_semi").select(F.col("id").alias(key)).distinct()
     return df.join(gone, key, "left_anti")
 
 
-def first_kept(df: DataFrame, key: str = "id", text: str = "text", threshold=THRESHOLD, max_rounds: int = 200, within: str | None = None) -> DataFrame:
+def first_kept(df: DataFrame, key: str = "id", text: str = "text", threshold=THRESHOLD, within: str | None = None) -> DataFrame:
     """Greedy de-duplication in id (string) order: a row goes if similar to a row already kept (of its own group, with ``within``).
 
     The sequential rule is a fixpoint: a row without earlier undecided or kept
-    neighbours is kept, its later neighbours go, and so on.  Each round is a written
-    table.  Copies (equal sets) of a row are its neighbours: only their first can stay.
+    neighbours is kept, its later neighbours go, and so on, until no arc is left; every
+    round settles the first undecided row at least.  Each round is a written table.  Copies (equal sets) of a row are its neighbours: only their first can stay.
     """
     ids, edges = similar_sets(df, key, text, threshold, within)
     nodes = ids.groupBy("set_id").agg(F.min(F.col("id").cast("string")).alias("name"))
@@ -125,9 +257,7 @@ def first_kept(df: DataFrame, key: str = "id", text: str = "text", threshold=THR
     arcs = materialise(named.select(F.when(early, F.col("a")).otherwise(F.col("b")).alias("first"), F.when(early, F.col("b")).otherwise(F.col("a")).alias("later")), "arcs")
     kept, live = nodes.select("set_id", "name").join(arcs.select(F.col("later").alias("set_id")).distinct(), "set_id", "left_anti"), arcs
     rounds = [materialise(kept, "kept")]
-    for _ in range(max_rounds):
-        if live.isEmpty():
-            break
+    while not live.isEmpty():
         gone = live.join(rounds[-1].select(F.col("set_id").alias("first")), "first", "left_semi").select(F.col("later").alias("node")).distinct()
         gone = materialise(gone, "gone")
         rest = live.join(gone.withColumnRenamed("node", "later"), "later", "left_anti").join(gone.withColumnRenamed("node", "first"), "first", "left_anti")
@@ -136,8 +266,6 @@ def first_kept(df: DataFrame, key: str = "id", text: str = "text", threshold=THR
         settled = live.select(F.col("later").alias("set_id")).distinct().join(gone.withColumnRenamed("node", "set_id"), "set_id", "left_anti").join(rest.select(F.col("later").alias("set_id")).distinct(), "set_id", "left_anti")
         rounds.append(materialise(nodes.join(settled, "set_id", "left_semi").select("set_id", "name"), "kept"))
         live = rest
-    else:
-        raise RuntimeError("de-duplication did not settle")
     names = rounds[0]
     for r in rounds[1:]:
         names = names.unionByName(r)

@@ -7,56 +7,65 @@ for span and grounding metrics.  An empty denominator gives null, never 0.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD
 from ..functions.vocab import DETECTOR_VERDICTS, VERDICTS
-from ..sources.shared import materialise
+from ..sources.shared import arrow_rows, materialise
+from . import ordered
+from .ordered import floor_index, rounded_rank  # noqa: F401  (percentile_at's indexes)
 
 FLAGGED = ("SCAM", "SUSPICIOUS")
 
 
-def rate(hit: Column, among: Column) -> Column:
-    return F.try_divide(F.count_if(hit & among), F.count_if(among))
+def how_many(which: Column, weight: Column | None = None) -> Column:
+    """Rows that meet a condition; with a weight a row stands for so many."""
+    return F.count_if(which) if weight is None else F.coalesce(F.sum(F.when(which, weight)), F.lit(0))
 
 
-def scam_recall(strict: bool = False) -> Column:
+def rate(hit: Column, among: Column, weight: Column | None = None) -> Column:
+    return F.try_divide(how_many(hit & among, weight), how_many(among, weight))
+
+
+def scam_recall(strict: bool = False, weight: Column | None = None) -> Column:
     hit = F.col("pred_verdict") == "SCAM" if strict else F.col("pred_verdict").isin(*FLAGGED)
-    return rate(hit, F.col("gold_verdict") == "SCAM")
+    return rate(hit, F.col("gold_verdict") == "SCAM", weight)
 
 
-def fpr_genuine(hard: bool = False) -> Column:
+def fpr_genuine(hard: bool = False, weight: Column | None = None) -> Column:
     among = F.col("gold_verdict") == "SAFE"
-    return rate(F.col("pred_verdict").isin(*FLAGGED), among & F.col("hard_negative") if hard else among)
+    return rate(F.col("pred_verdict").isin(*FLAGGED), among & F.col("hard_negative") if hard else among, weight)
 
 
-def category_accuracy() -> Column:
-    return rate(F.col("pred_category").eqNullSafe(F.col("gold_category")), F.col("gold_verdict") == "SCAM")
+def category_accuracy(weight: Column | None = None) -> Column:
+    return rate(F.col("pred_category").eqNullSafe(F.col("gold_category")), F.col("gold_verdict") == "SCAM", weight)
 
 
 def applicable_rate(flag: str) -> Column:
     return F.avg(F.col(flag).cast("int"))
 
 
-def unknown_rate() -> Column:
-    return rate(~F.col("pred_verdict").isin(*DETECTOR_VERDICTS), F.lit(True))
+def unknown_rate(weight: Column | None = None) -> Column:
+    return rate(~F.col("pred_verdict").isin(*DETECTOR_VERDICTS), F.lit(True), weight)
 
 
-def macro_f1(unknown_as: str | None = None) -> Column:
+def macro_f1(unknown_as: str | None = None, weight: Column | None = None) -> Column:
     """Mean F1 of the classes that occur in gold or predictions."""
     pred = F.when(F.col("pred_verdict").isin(*DETECTOR_VERDICTS), F.col("pred_verdict")).otherwise(unknown_as or "UNKNOWN")
     total, classes = F.lit(0.0), F.lit(0)
     for c in DETECTOR_VERDICTS:
-        tp = F.count_if((F.col("gold_verdict") == c) & (pred == c))
-        all_ = F.count_if(F.col("gold_verdict") == c) + F.count_if(pred == c)  # 2 tp + fp + fn
+        tp = how_many((F.col("gold_verdict") == c) & (pred == c), weight)
+        all_ = how_many(F.col("gold_verdict") == c, weight) + how_many(pred == c, weight)  # 2 tp + fp + fn
         total = total + F.coalesce(F.try_divide(2 * tp, all_), F.lit(0.0))
         classes = classes + (all_ > 0).cast("int")
     return F.try_divide(total, classes)
 
 
 HEADLINE = {
-    "scam_recall": scam_recall, "strict_scam_recall": lambda: scam_recall(True), "fpr_genuine": fpr_genuine, "fpr_hard_negative": lambda: fpr_genuine(True),
+    "scam_recall": scam_recall, "strict_scam_recall": lambda **w: scam_recall(True, **w), "fpr_genuine": fpr_genuine, "fpr_hard_negative": lambda **w: fpr_genuine(True, **w),
     "macro_f1": macro_f1, "category_accuracy": category_accuracy, "unknown_rate": unknown_rate,
 }
 
@@ -122,25 +131,9 @@ def nearest_rank(value: str, q: float) -> Column:
     return F.expr(f"percentile_disc({q / 100}) within group (order by {value})")
 
 
-def _ranked(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Rows with their 0-based place and the number of values, per group, without gathering a group."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    rows = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("_to", upto).withColumn("_n", F.sum("_c").over(w))
-
-
 def percentile_at(df: DataFrame, value: str, index: Column, by: list[str], name: str) -> DataFrame:
     """The value at a 0-based index that may depend on _n; equal values are counted before ranking."""
-    return _ranked(df, value, by).filter((index < F.col("_to")) & (index >= F.col("_to") - F.col("_c"))).select(*by, F.col(value).alias(name))
-
-
-def floor_index(q: float) -> Column:
-    return F.least(F.col("_n") - 1, F.floor(F.lit(q) * F.col("_n")))
-
-
-def rounded_rank(q: float) -> Column:
-    return F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.bround(F.lit(q / 100) * F.col("_n") + 0.5).cast("long") - 1))
+    return ordered.order_statistics(df, value, {name: index}, by)
 
 
 # -- paired comparison and resampling --------------------------------------------
@@ -194,12 +187,72 @@ def bootstrap(df: DataFrame, key: str, n_resamples: int = 1000, seed: int = 0) -
     draws = spark.range(n_resamples * n).select(F.floor(F.col("id") / n).alias("resample"), (F.col("id") % n).alias("position"))
     picked = draws.select("resample", resample_index(seed, F.col("resample"), F.col("position"), F.lit(n)).alias("_i"))
     each = picked.join(rows, "_i").groupBy("resample").agg(*[f().alias(k) for k, f in HEADLINE.items()])
+    return _intervals(each, n_resamples)
+
+
+def _intervals(each: DataFrame, n_resamples: int) -> DataFrame:
+    """Of a row of metrics per resample: the 2.5 % and 97.5 % of every metric that half of the resamples define."""
     long = each.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in HEADLINE])).alias("m")).select("m.*")
-    found = long.groupBy("metric").agg(F.count("value").alias("n_defined"), F.expr("percentile(value, 0.025)").alias("low"), F.expr("percentile(value, 0.975)").alias("high"))
+    found = long.groupBy("metric").agg(F.count("value").alias("n_defined"), F.expr("percentile(value, 0.025)").alias("low"), F.expr("percentile(value, 0.975)").alias("high"))  # n_resamples values a metric
     enough = F.col("n_defined") * 2 >= n_resamples
     return found.select("metric", "n_defined", F.when(enough, F.col("low")).alias("low"), F.when(enough, F.col("high")).alias("high"))
 
 
+#: Cells whose counts are sent to the tasks that resample.
+MAX_CELLS = 200_000
+_CELL = ["gold_verdict", "pred_verdict", "hard_negative", "category_right"]
+
+
+def cells(df: DataFrame) -> DataFrame:
+    """Rows counted by what the headline metrics see of them: as many rows as there are combinations, in one fixed order."""
+    right = F.col("pred_category").eqNullSafe(F.col("gold_category")).alias("category_right")
+    counted = df.select("gold_verdict", "pred_verdict", "hard_negative", right).groupBy(*_CELL).agg(F.count("*").alias("n"))
+    return counted.orderBy(*_CELL)
+
+
+def resampled_counts(spark, counts: list[int], n_resamples: int, seed: int = 0) -> DataFrame:
+    """(resample, cell, n): how often each resample with replacement of sum(counts) rows draws a row of each cell.
+
+    Multinomial, as conditional binomials: given what is left to draw, a cell gets
+    Binomial(left, its share of the cells not drawn yet).  The numbers come from a
+    counter-based generator keyed by (seed, resample), so a repeated task repeats them.
+    """
+    arrow_rows(spark)
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for resample in batch.column(0).to_pylist():
+                draw = np.random.Generator(np.random.Philox(key=[seed, resample]))
+                left, rest = sum(counts), sum(counts)
+                for cell, c in enumerate(counts):
+                    n = left if c == rest else int(draw.binomial(left, c / rest))
+                    left, rest = left - n, rest - c
+                    if n:
+                        for column, v in zip(out, (resample, cell, n)):
+                            column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["resample", "cell", "n"])
+
+    return spark.range(n_resamples).mapInArrow(run, "resample long, cell long, n long")
+
+
+def bootstrap_cells(df: DataFrame, n_resamples: int = 1000, seed: int = 0) -> DataFrame:
+    """bootstrap() from cell counts: the same distribution of every metric, at cells x resamples in place of rows x resamples.
+
+    All metrics share the resamples.  An empty table gives no rows, as no resample has any.
+    """
+    spark = df.sparkSession
+    own = cells(df).limit(MAX_CELLS + 1).collect()  # combinations of closed vocabularies
+    if len(own) > MAX_CELLS:
+        raise ValueError("more cells than the metrics' vocabularies have")
+    # a cell keeps what the metrics look at; categories are right or wrong
+    named = [(i, *[r[c] for c in _CELL[:3]], "x", "x" if r.category_right else "y") for i, r in enumerate(own)]
+    cell_rows = spark.createDataFrame(named, "cell long, gold_verdict string, pred_verdict string, hard_negative boolean, gold_category string, pred_category string")
+    drawn = resampled_counts(spark, [r.n for r in own], n_resamples if own else 0, seed).join(F.broadcast(cell_rows), "cell")  # MAX_CELLS rows at most
+    each = drawn.groupBy("resample").agg(*[f(weight=F.col("n")).alias(k) for k, f in HEADLINE.items()])
+    return _intervals(each, n_resamples)
+
+
 def verdicts_by_group(df: DataFrame) -> DataFrame:
     """Predictions of gold-SUSPICIOUS rows per seed group; the group is the given one or the id's stem."""
     group = F.coalesce("seed_group", F.regexp_replace(F.col("id").cast("string"), r"[-_](\d+|v\d+|s\d+)$", ""))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
+from ..sources.shared import materialise
 from . import dedupe
 
 
@@ -30,23 +31,24 @@ def split_groups(items: DataFrame, dev_per_stratum: int, dev_max_per_group: int,
     Per stratum whole groups go to dev, in hashed order, while the items taken so far are
     below the quota, and one group always stays in train; a dev group gives at most
     ``dev_max_per_group`` items, the rest are dropped.  A dev group's items are drawn, and
-    the quota is counted, after near copies inside the group are out; items without the
-    column ``text`` have no copies.
+    the quota is counted, after near copies inside the group are out; only groups that
+    the quota can reach are looked at for copies.  Items without the column ``text``
+    have no copies.
     """
-    if text in items.columns:
-        kept = dedupe.first_kept(items.select("id", "seed_group", text), "id", text, within="seed_group").select("id", F.lit(True).alias("_kept"))
-        items = items.join(kept, "id", "left").withColumn("_kept", F.coalesce("_kept", F.lit(False)))
-    else:
-        items = items.withColumn("_kept", F.lit(True))
-    sizes = items.groupBy("seed_group").agg(F.count_if("_kept").alias("n"))
-    order = Window.partitionBy("stratum").orderBy(draw(seed, "group", F.col("seed_group")), "seed_group")
-    before = F.coalesce(F.sum(F.least("n", F.lit(dev_max_per_group))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    groups = sizes.join(strata(items), "seed_group")
-    all_in_stratum = F.count("*").over(Window.partitionBy("stratum"))
-    groups = groups.select("seed_group", "stratum", ((before < dev_per_stratum) & (F.row_number().over(order) < all_in_stratum)).alias("dev"))
-    inside = Window.partitionBy("seed_group").orderBy(F.desc("_kept"), draw(seed, "item", F.col("id")), "id")
-    rows = items.join(groups, "seed_group").withColumn("_n", F.row_number().over(inside))
-    return rows.withColumn("split", F.when(~F.col("dev"), "train").when(F.col("_kept") & (F.col("_n") <= dev_max_per_group), "dev").otherwise("dropped")).drop("_n", "dev", "_kept")
+    by_draw = [draw(seed, "group", F.col("seed_group")), "seed_group"]
+    in_stratum = Window.partitionBy("stratum")
+    groups = strata(items).withColumns({"place": F.row_number().over(in_stratum.orderBy(*by_draw)), "groups": F.count("*").over(in_stratum)})
+    # a group gives one item or more, so the quota is reached within as many groups
+    reach = materialise(groups.filter((F.col("place") <= dev_per_stratum) & (F.col("place") < F.col("groups"))).select("seed_group", "stratum"), "reach")
+    drawn = items.select("id", "seed_group", *[c for c in (text,) if c in items.columns]).join(reach.select("seed_group"), "seed_group", "left_semi")
+    kept = dedupe.first_kept(drawn, "id", text, within="seed_group") if text in items.columns else drawn
+    inside = Window.partitionBy("seed_group").orderBy(draw(seed, "item", F.col("id")), "id")
+    picked = materialise(kept.select("seed_group", "id").withColumn("_n", F.row_number().over(inside)).filter(F.col("_n") <= dev_max_per_group).select("seed_group", "id"), "picked")
+    before = F.coalesce(F.sum("n").over(in_stratum.orderBy(*by_draw).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dev = picked.groupBy("seed_group").agg(F.count("*").alias("n")).join(reach, "seed_group").withColumn("_before", before).filter(F.col("_before") < dev_per_stratum).select("seed_group")
+    chosen = picked.join(dev, "seed_group", "left_semi").select("id", F.lit(True).alias("_picked"))
+    rows = items.join(groups.select("seed_group", "stratum"), "seed_group").join(dev.withColumn("_dev", F.lit(True)), "seed_group", "left").join(chosen, "id", "left")
+    return rows.withColumn("split", F.when(F.col("_dev").isNull(), "train").when(F.col("_picked"), "dev").otherwise("dropped")).drop("_dev", "_picked")
 
 
 def shared_groups(train: DataFrame, dev: DataFrame) -> DataFrame:

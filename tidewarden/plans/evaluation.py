@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import calibrate, metrics
+from ..operators import calibrate, metrics, ordered
 from .frames import EVAL, duck, view
 
 QUERIES: dict = {}
@@ -111,11 +111,8 @@ def mcnemar_exact(spark, sf):
 
 @query(f"WITH {_E}, o AS (SELECT latency_ms AS v, row_number() OVER (ORDER BY latency_ms) - 1 AS i, count(*) OVER () AS n FROM e) SELECT max(v) FILTER (i = least(n - 1, CAST(ceil(0.95 * n) AS BIGINT) - 1)) AS nearest_rank, max(v) FILTER (i = least(n - 1, CAST(floor(0.95 * n) AS BIGINT))) AS floor_index, max(v) FILTER (i = greatest(0, least(n - 1, CAST(round_even(0.95 * n + 0.5, 0) AS BIGINT) - 1))) AS rounded_rank FROM o")
 def percentile_kinds(spark, sf):
-    e = _eval(spark, sf)
-    nearest = e.agg(metrics.nearest_rank("latency_ms", 95).alias("nearest_rank"))
-    floor = metrics.percentile_at(e, "latency_ms", metrics.floor_index(0.95), [], "floor_index")
-    rounded_ = metrics.percentile_at(e, "latency_ms", metrics.rounded_rank(95), [], "rounded_rank")
-    return nearest.crossJoin(F.broadcast(floor)).crossJoin(F.broadcast(rounded_))  # one row each
+    at = {"nearest_rank": ordered.nearest_rank(95), "floor_index": ordered.floor_index(0.95), "rounded_rank": ordered.rounded_rank(95)}
+    return ordered.order_statistics(_eval(spark, sf), "latency_ms", at)  # one row
 
 
 _CUT = "percentile_disc({q}) WITHIN GROUP (ORDER BY latency_ms)"
@@ -166,6 +163,12 @@ def bootstrap_intervals_1000(spark, sf):
     return rounded(metrics.bootstrap(_eval(spark, sf), "id"), "low", "high")
 
 
+@query()
+def bootstrap_cells_1000(spark, sf):
+    """The intervals of 1000 resamples drawn as cell counts: another draw of the same distribution, without a row per draw."""
+    return rounded(metrics.bootstrap_cells(_eval(spark, sf)), "low", "high")
+
+
 # -- spans and grounding: quotes are stretches of the message's own words ---------------
 _QUOTED = """SELECT e.id, d.text, e.gold_verdict, e.pred_verdict,
   CASE WHEN e.gold_verdict = 'SAFE' THEN '' ELSE substr(d.text, 1, 40) END AS gq, CASE WHEN e.pred_verdict = 'UNKNOWN' THEN '' WHEN e.id % 4 = 0 THEN concat(substr(d.text, 11, 40), '#') ELSE substr(d.text, 11, 40) END AS pq
