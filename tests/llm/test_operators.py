@@ -365,6 +365,8 @@ def test_packing(docs, empty, library, settings):
             at += length
         assert at <= capacity
     assert len(places) <= 1.1 * sum(r.length for r in got) / capacity + 2
+    one = packing.best_fit([r.length for r in got], capacity)  # all pieces in one task
+    assert len(places) <= len(one) * 1.02 + 1, (len(places), len(one))
     assert packing.pack_documents(empty, **settings).count() == 0
 
 
@@ -375,7 +377,13 @@ def test_elias_fano():
         values = np.concatenate([[0], np.cumsum(rng.integers(0, top, n))])
         low, lows, highs, samples = idfiles.elias_fano(values)
         b = idfiles.Boundaries(len(values), low, lows, highs, samples)
-        assert (b.all() == values).all() and [b.select(i) for i in range(len(values))] == values.tolist()
+        assert (b.stretch(0, len(values)) == values).all() and [b.select(i) for i in range(len(values))] == values.tolist()
+        for i, k in ((0, 1), (len(values) // 3, 7), (len(values) - 1, 1), (len(values) // 2, len(values) - len(values) // 2), (1, 0)):
+            i = min(i, len(values) - 1)
+            k = min(k, len(values) - i)
+            assert b.stretch(i, k).tolist() == values[i : i + k].tolist()
+        with pytest.raises(IndexError):
+            b.stretch(1, len(values))
         assert len(lows) + len(highs) <= (low + 3) * len(values) / 8 + 16
 
 
@@ -386,10 +394,24 @@ def test_select_past_long_gaps(lengths):
     b = idfiles.Boundaries(len(values), low, lows, highs, samples)
     places = {*range(0, len(values), 997), *range(max(0, len(values) - 3200), len(values))}
     assert all(b.select(i) == values[i] for i in places)
+    assert all(b.stretch(i, min(600, len(values) - i)).tolist() == values[i : i + 600].tolist() for i in range(0, len(values), 9973))
     with pytest.raises(IndexError):
         b.select(len(values))
 
 
+def test_doc_ids_of_a_file_take_few_bits():
+    import io
+
+    rnd = random.Random(3)
+    names = [None] * 700 + sorted(rnd.choice([rnd.randint(-(1 << 62), 1 << 62), 5, 6, 7]) for _ in range(900))
+    lengths = [rnd.choice([1, 3, 50]) for _ in names]
+    f = idfiles.IdFile(io.BytesIO(idfiles.file_bytes(names, lengths, bytes(2 * sum(lengths)), 2)))
+    assert f.doc_ids(0, 1600) == names and f.doc_ids(650, 750) == names[650:750] and f.doc_ids(900, 901) == names[900:901] and f.doc_ids(10, 10) == []
+    assert [v for at in range(0, 1600, 500) for v in f.doc_ids(at, min(at + 500, 1600))] == names
+    dense = [3 * i for i in range(20_000)]
+    assert len(idfiles.file_bytes(dense, [1] * len(dense), b"", 2)) < len(dense) * 2  # two sequences, under a byte a document each
+
+
 def test_id_files_of_one_long_text_among_short(spark, library):
     rows = [(i, "a b") for i in range(700)] + [(700, "x y z " * 700_000), (701, "c")] + [(None, f"n {i}") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -5,17 +5,25 @@ tokenising, so sampling the range costs no tokenising), sorted, encoded and
 written as shards of bounded size.  A file holds
 
 ====================  =====================================================
-header (48 bytes)     magic, id width, low-bit width l, documents n, ids U,
-                      bytes of the low and of the high section
-doc ids               int64 each, then a bit per document: 1 where it is null
-low section           the l low bits of the n + 1 boundaries, packed
-high section          unary code of the boundaries' high parts, a bit set
-select samples        uint32: place of every 256th one-bit of the high section
+header (40 bytes)     magic, id width, documents n, ids U, least doc_id, null doc_ids
+doc ids               Elias-Fano sequence of doc_id - least, nulls (which sort first) left out
+boundaries            Elias-Fano sequence of the n + 1 places where documents begin
 ids                   all ids end to end, 2 bytes each where they fit, else 4
 ====================  =====================================================
 
-so boundaries take about l + 2 bits each instead of 64.  ``select`` finds one
-boundary from the nearest sample; a reader fetches one document's ids by seeking.
+and a sequence holds
+
+====================  =====================================================
+header (32 bytes)     values, low-bit width l, bytes of the low and of the high section
+low section           the l low bits of every value, packed
+high section          unary code of the values' high parts, a bit set
+select samples        uint32: place of every 256th one-bit of the high section
+====================  =====================================================
+
+so a value takes about l + 2 bits instead of 64.  ``select`` finds one value from the
+nearest sample; ``stretch`` decodes the values from one select on, a few hundred at a
+time, so a reader never holds a table of 64-bit offsets.  One document's ids are fetched
+by seeking.
 
 A task writes under a name of its attempt and renames when whole, so repeated or
 speculative attempts leave one good file.  The manifest (one row per file) is a
@@ -44,8 +52,11 @@ from .forced_bpe import DEFAULT_VOCABULARY, encoder
 from .storage import arrow_rows, materialise, new_path
 from .tokens import slices
 
-MAGIC = b"TWEFIDS1"
-_HEADER = struct.Struct("<8sIIQQQQ")
+MAGIC = b"TWEFIDS2"
+_HEADER = struct.Struct("<8sIIQqQ")
+_SEQUENCE = struct.Struct("<QQQQ")
+#: Documents handed on at once by a reader.
+DOCUMENTS = 500
 SAMPLE = 256
 #: Bytes of the high section counted at a time.
 STEP = 4096
@@ -54,9 +65,9 @@ END_ID = 2
 SHARD_BYTES = 16 << 20
 
 
-def elias_fano(values: np.ndarray) -> tuple[int, bytes, bytes, np.ndarray]:
+def elias_fano(values) -> tuple[int, bytes, bytes, np.ndarray]:
     """Of a non-decreasing sequence: low-bit width, low section, high section, samples."""
-    values = np.asarray(values, np.uint64)
+    values = np.asarray(values).astype(np.uint64)
     n, top = len(values), int(values[-1]) if len(values) else 0
     low = max(0, (top // max(n, 1)).bit_length() - 1)
     bits = (values[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)
@@ -67,15 +78,15 @@ def elias_fano(values: np.ndarray) -> tuple[int, bytes, bytes, np.ndarray]:
 
 
 class Boundaries:
-    """Elias-Fano sequence of ``n`` values with select."""
+    """Elias-Fano sequence of ``n`` values with select and streaming decoding."""
 
     def __init__(self, n: int, low: int, low_bytes: bytes, high_bytes: bytes, samples: np.ndarray):
         self.n, self.low, self.samples = n, low, samples
         self.low_bits = np.frombuffer(low_bytes, np.uint8)
         self.high = np.frombuffer(high_bytes, np.uint8)
 
-    def select(self, i: int) -> int:
-        """Value ``i``: one-bit i of the high section, found from the sample at or before it.
+    def _place(self, i: int) -> int:
+        """Place of one-bit i of the high section, found from the sample at or before it.
 
         Whole windows of bytes are counted and passed by until the one that holds the bit,
         however long the gap (a very long document leaves as many zero bits).
@@ -102,41 +113,71 @@ class Boundaries:
             bits = int(self.high[byte])
         for _ in range(left):
             bits &= bits - 1
-        place = byte * 8 + (bits & -bits).bit_length() - 1
-        first_bit = i * self.low
-        window = int.from_bytes(self.low_bits[first_bit // 8 : (first_bit + self.low + 7) // 8].tobytes(), "little") >> (first_bit % 8)
-        return ((place - i) << self.low) | (window & ((1 << self.low) - 1))
+        return byte * 8 + (bits & -bits).bit_length() - 1
 
-    def all(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        bits = np.unpackbits(self.low_bits, bitorder="little")[: self.n * self.low].reshape(self.n, self.low)
-        lows = (bits.astype(np.int64) << np.arange(self.low)).sum(1)
-        return ((places - np.arange(self.n)) << self.low) + lows
+    def _lows(self, i: int, count: int) -> np.ndarray:
+        first = i * self.low
+        own = np.unpackbits(self.low_bits[first // 8 : (first + count * self.low + 7) // 8], bitorder="little")
+        bits = own[first % 8 : first % 8 + count * self.low].reshape(count, self.low)
+        return (bits.astype(np.uint64) << np.arange(self.low, dtype=np.uint64)).sum(1, dtype=np.uint64)
+
+    def select(self, i: int) -> int:
+        """Value ``i``."""
+        return ((self._place(i) - i) << self.low) | int(self._lows(i, 1)[0])
+
+    def stretch(self, i: int, count: int) -> np.ndarray:
+        """Values i to i + count - 1 (uint64): one select, then the one-bits that follow, window by window."""
+        if count <= 0:
+            return np.zeros(0, np.uint64)
+        self._place(i + count - 1)  # in range
+        start = self._place(i)
+        found, have, byte = [], 0, start // 8
+        while have < count:
+            bits = np.flatnonzero(np.unpackbits(self.high[byte : byte + STEP], bitorder="little")) + byte * 8
+            bits = bits[bits >= start]
+            found.append(bits)
+            have += len(bits)
+            byte += STEP
+        highs = np.concatenate(found)[:count] - np.arange(i, i + count)
+        return (highs.astype(np.uint64) << np.uint64(self.low)) | self._lows(i, count)
+
+def sequence_bytes(values) -> bytes:
+    low, lows, highs, samples = elias_fano(values)
+    return b"".join([_SEQUENCE.pack(len(values), low, len(lows), len(highs)), lows, highs, samples.tobytes()])
+
+
+def read_sequence(handle) -> Boundaries:
+    n, low, n_low, n_high = _SEQUENCE.unpack(handle.read(_SEQUENCE.size))
+    lows, highs = handle.read(n_low), handle.read(n_high)
+    return Boundaries(n, low, lows, highs, np.frombuffer(handle.read(4 * -(-n // SAMPLE)), "<u4"))
 
 
 def file_bytes(doc_ids: list[int | None], lengths: list[int], ids: bytes, width: int) -> bytes:
+    """``doc_ids`` rise, nulls first."""
     ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-    low, lows, highs, samples = elias_fano(ends)
-    names = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.packbits([d is None for d in doc_ids], bitorder="little").tobytes()
-    return b"".join([_HEADER.pack(MAGIC, width, low, len(doc_ids), int(ends[-1]), len(lows), len(highs)), names, lows, highs, samples.tobytes(), ids])
+    named = [d for d in doc_ids if d is not None]
+    least = named[0] if named else 0
+    header = _HEADER.pack(MAGIC, width, len(doc_ids), int(ends[-1]), least, len(doc_ids) - len(named))
+    return b"".join([header, sequence_bytes(np.array([d - least for d in named], np.uint64)), sequence_bytes(ends), ids])
 
 
 class IdFile:
-    """Reader of one file: everything but the ids is loaded, ids are sought."""
+    """Reader of one file: the two sequences are loaded as they are stored, ids are sought."""
 
     def __init__(self, handle):
         self.handle = handle
-        magic, self.width, low, self.n, self.total, n_low, n_high = _HEADER.unpack(handle.read(_HEADER.size))
+        magic, self.width, self.n, self.total, self.least, self.n_null = _HEADER.unpack(handle.read(_HEADER.size))
         if magic != MAGIC:
             raise ValueError("not a token-id file")
-        names = np.frombuffer(handle.read(8 * self.n), "<i8").tolist()
-        null = np.unpackbits(np.frombuffer(handle.read((self.n + 7) // 8), np.uint8), bitorder="little")[: self.n]
-        self.doc_ids = [None if x else d for d, x in zip(names, null.tolist())]
-        lows, highs = handle.read(n_low), handle.read(n_high)
-        samples = np.frombuffer(handle.read(4 * -(-(self.n + 1) // SAMPLE)), "<u4")
-        self.boundaries = Boundaries(self.n + 1, low, lows, highs, samples)
+        self.names, self.boundaries = read_sequence(handle), read_sequence(handle)
         self.ids_at = handle.tell()
 
+    def doc_ids(self, first: int, last: int) -> list[int | None]:
+        """Of documents ``first`` up to ``last``."""
+        nulls = max(0, min(last, self.n_null) - first)
+        begin = max(first, self.n_null) - self.n_null
+        return [None] * nulls + [self.least + v for v in self.names.stretch(begin, max(0, last - max(first, self.n_null))).tolist()]
+
     def ids(self, first: int, last: int) -> np.ndarray:
         """Ids from boundary ``first`` up to boundary ``last`` as uint32."""
         a, b = self.boundaries.select(first), self.boundaries.select(last)
@@ -206,13 +247,13 @@ def read_id_files(spark: SparkSession, folder: str, manifest: DataFrame) -> Data
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with store.open_input_file(f"{root}/{path}") as handle:
                     f = IdFile(handle)
-                    bounds = f.boundaries.all()
-                    for at in range(0, f.n, 500):
-                        to = min(f.n, at + 500)
-                        flat, b = f.ids(at, to).tobytes(), bounds[at : to + 1] - bounds[at]
+                    for at in range(0, f.n, DOCUMENTS):
+                        to = min(f.n, at + DOCUMENTS)
+                        bounds = f.boundaries.stretch(at, to + 1 - at).astype(np.int64)
+                        flat, b = f.ids(at, to).tobytes(), bounds - bounds[0]
                         ids = [flat[4 * x : 4 * y] for x, y in zip(b.tolist(), b[1:].tolist())]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(f.doc_ids[at:to], pa.int64()), pa.array(base + bounds[at:to], pa.int64()), pa.array(np.diff(b), pa.int64()), pa.array(ids, pa.binary())],
+                            [pa.array(f.doc_ids(at, to), pa.int64()), pa.array(base + bounds[:-1], pa.int64()), pa.array(np.diff(b), pa.int64()), pa.array(ids, pa.binary())],
                             ["doc_id", "start", "n_tokens", "ids"],
                         )
 

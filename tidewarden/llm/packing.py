@@ -2,8 +2,8 @@
 
 1. Every partition tokenises its documents, cuts only those longer than a
    sequence, and packs the pieces best-fit (longest first) into bins.
-2. Bins filled to within ``slack`` ids of the capacity are done.  The others are
-   items of the next round, in which ``fan_in`` neighbouring groups merge, and so
+2. Bins filled to within ``slack`` ids of the capacity (0: full ones) are done.  The others
+   are items of the next round, in which ``fan_in`` neighbouring groups merge, and so
    on up the tree, until one group is left.  Rounds move bins' numbers and fills
    only; pieces stay where the first step wrote them.
 3. No bin is closed early that a later round could use.  After best fit at most one
@@ -40,7 +40,7 @@ from .tokens import slices
 
 CAPACITY = 2048
 END_ID = 0
-SLACK = 8
+SLACK = 0
 FAN_IN = 8
 
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
