@@ -51,14 +51,6 @@ def test_group_split(spark):
     assert all(sum(r.seed_group == g and r.split == "dev" for r in out) <= 4 for g in dev)
 
 
-def test_fewshot_and_rates(spark):
-    rows = [(i, t, c, "en", False, h, "text") for i, (t, c, h) in enumerate([("SCAM", "a", False), ("SCAM", "a", False), ("SCAM", "b", False), ("SAFE", "genuine_otp", True), ("SAFE", "transaction_alert", True), ("SAFE", "genuine_otp", True), ("SUSPICIOUS", "a", False), ("SAFE", "personal", False)])]
-    got = split.fewshot(spark.createDataFrame(rows, "id int, verdict string, category string, language string, obfuscated boolean, hard_negative boolean, text string")).collect()
-    assert len(got) == 6
-    for kind in ("scam", "hard_negative"):
-        assert len({r.category for r in got if r.kind == kind}) == 2
-
-
 def test_flags_and_placeholders(spark):
     kind = "id int, verdict string, text string, red_flags array<struct<quote: string, reason: string>>"
     rows = [(1, "SCAM", "code <OTP> here", [("code <OTP>", "asks_otp_or_pin")]), (2, "SCAM", "code <OTP> here", [("<OT", "asks_otp_or_pin")]), (3, "SAFE", "x <ACCT>", [])]

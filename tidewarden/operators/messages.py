@@ -66,12 +66,21 @@ def clean_flags(flags: Column, text: Column) -> Column:
     return F.when(F.size(six) > 0, T.let(tidy, judged))
 
 
-_PLACEHOLDER = r"\{[a-z_]+\}|\[[A-Z_]+\]"
+# Masks that may stand where a placeholder may not.
+SPARED = ("OTP", "ACCT", "PHONE")
+
+
+def has_placeholder(text: Column) -> Column:
+    """A stretch in square brackets, or letters in angle brackets, that is left to fill in; masks are none."""
+    square = F.regexp_extract_all(text, F.lit(r"\[([^\[\]]{0,40})\]"), 1)
+    angle = F.regexp_extract_all(text, F.lit("<([A-Za-z ]{2,30})>"), 1)
+    begun = rf"^(?:{'|'.join(SPARED)})(?:$|[^\p{{L}}\p{{N}}_])"
+    return F.exists(square, lambda x: ~x.rlike(begun)) | F.exists(angle, lambda x: ~x.isin(*SPARED))
 
 
 def acceptable(text: Column, verdict: Column, category: Column, status: Column, flags: Column, urls: Column, hard: Column, soft: Column) -> Column:
     """A generated message of 8-700 characters that fits its verdict."""
-    sized = F.length(text).between(8, 700) & ~text.rlike(_PLACEHOLDER)
+    sized = F.length(text).between(8, 700) & ~has_placeholder(text)
     safe = ((status == "registered") | (category == "personal")) & (F.size(hard) == 0)
     plain = (F.size(urls) == 0) & (F.size(F.array_except(soft, F.array(F.lit("unregistered_sender")))) == 0) & (F.size(hard) == 0)
     return sized & F.when(verdict == "SAFE", safe).when(verdict == "SUSPICIOUS", flags.isNotNull() & plain).otherwise(flags.isNotNull())
@@ -102,8 +111,33 @@ def hard_negative(verdict: Column, category: Column) -> Column:
     return (verdict == "SAFE") & F.coalesce(category.isin(*HARD_NEGATIVE_KINDS), F.lit(False))
 
 
-def hard_negative_wide(verdict: Column, category: Column, text: Column, alarm: str = r"(?i)\b(blocked|suspended|urgent|fraud)\b") -> Column:
-    return (verdict == "SAFE") & (F.coalesce(category.isin(*HARD_NEGATIVE_KINDS), F.lit(False)) | text.rlike(alarm))
+# What makes a genuine message alarming.
+ALARMS = (
+    "do not share", "don't share", "never asks", "debited", "not done by you", "not you", "blocked", "suspend", "urgent", "kyc", "expire", "turant", "nahi kiya",
+    "share na karein", "साझा न करें", "तुरंत", "डेबिट", "केवाईसी", "समाप्त",
+)
+
+
+def hard_negative_wide(verdict: Column, category: Column, text: Column) -> Column:
+    """Genuine, and of one of the two kinds or alarming in its words."""
+    alarming = F.exists(F.array(*map(F.lit, ALARMS)), lambda w: F.contains(F.lower(text), w))
+    return (verdict == "SAFE") & (F.coalesce(category.isin(*HARD_NEGATIVE_KINDS), F.lit(False)) | alarming)
+
+
+def doubts(items: DataFrame, rules, normalized: Column) -> dict[str, Column]:
+    """The six reasons to look at an item by hand: what the rules say of a genuine one, what is left to fill in, its language.
+
+    Needs text, verdict and language; ``rules`` is a rules.Rules, ``normalized`` its struct of the message.
+    """
+    safe = F.col("verdict") == "SAFE"
+    soft = rules.evaluate(normalized)["soft"]
+    fires = lambda k: safe & F.array_contains(soft, k)
+    strange = F.exists(rules.linked(normalized["urls"]), lambda x: ~x["ours"])
+    devanagari = F.col("text").rlike("[\\x{0900}-\\x{097F}]")
+    return {
+        "safe_otp_ask": fires("asks_otp_or_pin"), "safe_urgency_payment": fires("urgency_plus_payment"), "safe_nonofficial_link": safe & strange, "placeholder": has_placeholder(F.col("text")),
+        "lang_hi_without_devanagari": (F.col("language") == "hi") & ~devanagari, "lang_en_with_devanagari": (F.col("language") == "en") & devanagari,
+    }
 
 
 # In the order of preference, words of which one stands in a message of the kind.
@@ -140,7 +174,7 @@ def user_message(channel: Column, sender: Column, status: Column, signals: Colum
 
 
 def target_json(verdict: Column, category: Column, flags: Column) -> Column:
-    return F.to_json(F.struct(verdict.alias("verdict"), category.alias("category"), F.coalesce(flags, F.array().cast(FLAGS)).alias("red_flags")))
+    return F.to_json(F.struct(verdict.alias("verdict"), category.alias("category"), F.coalesce(flags, F.array().cast(FLAGS)).alias("red_flags")), {"ignoreNullFields": "false"})  # UNKNOWN has a null category, and says so
 
 
 def chat(system: Column, user: Column, assistant: Column) -> Column:
@@ -321,5 +355,11 @@ def scrub(df: DataFrame, keys=CONTENT_KEYS) -> DataFrame:
 
 
 def allowed_attributes(attributes: Column, names: list[str], most: int = 80) -> Column:
-    """Listed keys of a string map, values cut to ``most`` characters."""
-    return F.transform_values(F.map_filter(attributes, lambda k, v: k.isin(*names)), lambda k, v: F.left(v, F.lit(most)))
+    """Listed keys of a map of strings, values cut to ``most`` characters; null values go."""
+    return F.transform_values(F.map_filter(attributes, lambda k, v: k.isin(*names) & v.isNotNull()), lambda k, v: F.left(v, F.lit(most)))
+
+
+def allowed_lists(attributes: Column, names: list[str], most: int = 80) -> Column:
+    """Listed keys of a map of lists of strings, every string cut to ``most`` characters; lists that hold a null are none, and go."""
+    whole = F.map_filter(attributes, lambda k, v: k.isin(*names) & v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull()), F.lit(False)))
+    return F.transform_values(whole, lambda k, v: F.transform(v, lambda x: F.left(x, F.lit(most))))

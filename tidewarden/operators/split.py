@@ -88,31 +88,13 @@ def review_sample(df: DataFrame, key: str, share: float = 0.10, seed: int = 7) -
 
 
 def suspects(items: DataFrame, checks: dict[str, Column]) -> DataFrame:
-    """Histogram of the reasons for doubt over a review sample."""
-    named = items.withColumn("reasons", F.array_compact(F.array(*[F.when(c, k) for k, c in checks.items()])))
-    return named.select(F.explode("reasons").alias("reason")).groupBy("reason").count()
-
-
-def fewshot(items: DataFrame, seed: int = 7) -> DataFrame:
-    """Six rows: two SCAM of different categories, two hard negatives, one SUSPICIOUS, one SAFE personal.
-
-    Preferred: not obfuscated, 400 characters at most, and for the second of a kind
-    another category (then another language) than the first.
-    """
-    kind = (
-        F.when(F.col("verdict") == "SCAM", "scam").when((F.col("verdict") == "SAFE") & F.col("hard_negative"), "hard_negative")
-        .when(F.col("verdict") == "SUSPICIOUS", "suspicious").when((F.col("verdict") == "SAFE") & (F.col("category") == "personal"), "personal")
-    )
-    cost = F.col("obfuscated").cast("int") + (F.length("text") > 400).cast("int")
-    rows = items.withColumns({"kind": kind, "_c": cost, "_u": draw(seed, "fewshot", F.col("id"))}).filter("kind is not null")
-    best = lambda extra: Window.partitionBy("kind").orderBy(*extra, "_c", "_u", "id")
-    first = rows.withColumn("_n", F.row_number().over(best([]))).filter("_n = 1").drop("_n").withColumn("place", F.lit(1))
-    other = first.filter(F.col("kind").isin("scam", "hard_negative")).select(F.col("kind").alias("_k"), F.col("id").alias("_id"), F.col("category").alias("_cat"), F.col("language").alias("_lang"))
-    rest = rows.join(F.broadcast(other), (F.col("kind") == F.col("_k")) & (F.col("id") != F.col("_id")))
-    again = [(F.col("category") == F.col("_cat")).cast("int"), (F.col("language") == F.col("_lang")).cast("int")]
-    second = rest.withColumn("_n", F.row_number().over(best(again))).filter("_n = 1").withColumn("place", F.lit(2)).select(*first.columns)
-    at = F.array_position(F.array(*map(F.lit, ("scam", "hard_negative", "suspicious", "personal"))), F.col("kind"))
-    return first.unionByName(second).withColumn("position", (F.col("place") - 1) * 4 + at).drop("_c", "_u")
+    """Per reason for doubt how many of the items have it, and their share; the row of null counts the items with any."""
+    named = items.select(F.array_compact(F.array(*[F.when(c, k) for k, c in checks.items()])).alias("reasons"))
+    each = named.select(F.explode(F.array_append(F.col("reasons"), F.lit("any"))).alias("reason"), (F.size("reasons") > 0).alias("flagged"))
+    counts = each.groupBy("reason").agg(F.count("*").alias("n"), F.count_if("flagged").alias("flagged"))  # a row a reason; of "any": all items, and those flagged
+    total = F.max(F.when(F.col("reason") == "any", F.col("n"))).over(Window.partitionBy())
+    own = F.when(F.col("reason") == "any", F.col("flagged")).otherwise(F.col("n"))
+    return counts.select(F.nullif("reason", F.lit("any")).alias("reason"), own.alias("count"), F.try_divide(own, total).alias("share"))
 
 
 def leaks(fewshot_rows: DataFrame, items: DataFrame) -> DataFrame:
@@ -126,32 +108,7 @@ def is_provisional(items: DataFrame) -> DataFrame:
     return items.agg((F.coalesce(F.bool_and(F.col("source") == "synthetic"), F.lit(False)) & (F.count("*") > 0)).alias("provisional"))
 
 
-# -- rates, reports and variation --------------------------------------------------
-REFERENCE = r"(?i)(?:^|[^\p{L}\p{N}_])(?:ref|txn|id|no)[ .:#-]{0,3}[A-Z0-9-]{5,}(?:$|[^\p{L}\p{N}_])"
-
-
-def reference_rates(items: DataFrame, target: float = 0.40) -> DataFrame:
-    """Per verdict: share with an id pattern, share that may get one, and the rate at which they do to reach the target."""
-    has = F.col("text").rlike(REFERENCE)
-    stats = items.groupBy("verdict").agg(F.avg(has.cast("int")).alias("native"), F.avg((~has & (F.length("text") <= 400)).cast("int")).alias("eligible"), F.avg((F.col("language") == "hi").cast("int")).alias("hindi"))
-    rate = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.lit(target) - F.col("native"), "eligible"), F.lit(0.0))))
-    return stats.select("verdict", "native", "eligible", rate.alias("rate"), F.max("hindi").over(Window.partitionBy(F.lit(1))).alias("hindi_rate"))
-
-
-EMOJI = "[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}]"
-
-
-def shortcut_report(items: DataFrame) -> DataFrame:
-    """Per verdict the share of surface features that a model could take for the label."""
-    share = lambda c, n: F.round(F.avg(c.cast("int")), 2).alias(n)
-    text = F.col("text")
-    channels = [share(F.col("channel") == c, f"channel_{c}") for c in ("sms", "whatsapp", "call_description", "screenshot")]
-    return items.groupBy("verdict").agg(
-        F.count("*").alias("n"), *channels, share(F.col("sender").isNotNull(), "has_sender"), share(text.rlike(r"\d{4,}"), "digits"), share(text.rlike(r"(?i)https?://|www\."), "url"),
-        share(text.rlike(EMOJI), "emoji"), share(text.rlike("^" + EMOJI), "leading_emoji"), share(text.rlike(REFERENCE), "reference"),
-    )
-
-
+# -- variation ---------------------------------------------------------------------
 def drop_signals(split: Column, signals: Column, key: Column, rate: float = 0.2, seed: int = 7) -> Column:
     return F.when((split == "train") & (draw(seed, "dropout", key) < rate), F.array().cast("array<string>")).otherwise(signals)
 
@@ -212,22 +169,6 @@ def fill_placeholders(items: DataFrame, seed: int = 7) -> DataFrame:
     return rows.filter((F.col("verdict") == "SAFE") | (F.size("red_flags") > 0))
 
 
-EMOJIS = ("🙂", "🎉", "📦", "👍")
-
-
-def diversify(items: DataFrame, rates: dict[str, float], seed: int = 7) -> DataFrame:
-    """Per-id changes of suffix, emoji, sender and channel with fixed probabilities."""
-    u = lambda what: draw(seed, what, F.col("id"))
-    rate = F.coalesce(*[F.when(F.col("verdict") == v, F.lit(r)) for v, r in sorted(rates.items())], F.lit(0.0))
-    number = F.lpad(F.floor(u("number") * 1e8).cast("string"), 8, "0")
-    suffix = F.when(~F.col("text").rlike(REFERENCE) & (u("suffix") < rate), F.concat(F.lit(" Ref "), number)).otherwise("")
-    cheerful = (F.col("verdict") == "SAFE") & F.col("category").isin("delivery_update", "legit_promo", "personal") & (u("emoji") < 0.15)
-    emoji = F.when(cheerful, F.concat(F.lit(" "), F.get(F.array(*map(F.lit, EMOJIS)), F.floor(u("which") * len(EMOJIS)).cast("int")))).otherwise("")
-    spoofed = (F.col("verdict") != "SAFE") & (u("spoof") < 0.2)
-    sender = F.when(u("no_sender") < 0.5, None).when(spoofed, F.concat(F.lit("VK-"), F.upper(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 6)))).when(F.col("sender").isNull(), F.concat(F.lit("+9198"), number)).otherwise(F.col("sender"))
-    return items.withColumns({"text": F.concat("text", suffix, emoji), "sender": sender, "channel": F.when(u("channel") < 0.15, "screenshot").otherwise(F.col("channel"))})
-
-
 def planned_jobs(seeds: DataFrame, scenarios: int, variants: int) -> DataFrame:
     """seeds x scenarios x variants, scenario first, with the key that resumes a run."""
     jobs = seeds.select("*", F.explode(F.sequence(F.lit(0), F.lit(scenarios - 1))).alias("scenario")).select("*", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))).alias("variant"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dedupe, split
+from ..functions import text as T
+from ..functions.vocab import Dictionary
+from ..operators import dedupe, messages, rules, split, variety
 from .evaluation import rounded
 from .frames import ITEMS, duck, view
 
@@ -129,9 +131,40 @@ def review_sample(spark, sf):
     return split.review_sample(_items(spark, sf), "id").select("id")
 
 
-@query(f"WITH {_I} SELECT CASE WHEN length(text) > 400 THEN 'long' END AS reason, count(*) AS count FROM i WHERE length(text) > 400 GROUP BY 1 UNION ALL SELECT 'no_sender', count(*) FROM i WHERE sender IS NULL")
+#: Items whose texts go on with what the rules on ids, links, emoji and placeholders look for.
+_ENDS = ("' Ref No: 12345'", "' संदर्भ संख्या: 99'", "' Order ID 5512'", "' see www.shop.example/x'", "' A/c XX12 😊'", "' [bank name]'", "' <Your Name>'", "' 🎉 consumer no 7'", "' txn ids'", "' [OTP 4]'")
+_MORE = "CASE id % 13 " + " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(_ENDS)) + " ELSE '' END"
+TOLD = f"SELECT id, verdict, category, language, obfuscated, hard_negative, source, seed_group, channel, sender, concat(text, {_MORE}) AS text FROM ({ITEMS}) m"
+_T = f"i AS ({duck(TOLD)})"
+_EDGE = r"[^\p{L}\p{N}_]"
+_DOUBTED = Dictionary(sites=("bank.test",), phrases={"urgency": ("the", "und"), "payment": ("for", "für")})
+
+
+def _told(spark, sf):
+    return view(spark, sf, TOLD, "labels", "documents")
+
+
+def _says(words: str, whole: bool = True) -> str:
+    return f"regexp_matches(text, '(?i)(^|{_EDGE})({words})" + (f"($|{_EDGE})')" if whole else "')")
+
+
+_BRACKETS = r"(regexp_matches(regexp_replace(text, '\[OTP [^\[\]]*\]', '', 'g'), '\[[^\[\]]{0,40}\]') OR regexp_matches(regexp_replace(text, '<(OTP|ACCT|PHONE)>', '', 'g'), '<[A-Za-z ]{2,30}>'))"
+_DEVANAGARI = r"regexp_matches(text, '[\x{0900}-\x{097F}]')"
+_DOUBTS = {
+    "safe_urgency_payment": f"verdict = 'SAFE' AND {_says('the|und')} AND {_says('for|für')}", "safe_nonofficial_link": "verdict = 'SAFE' AND contains(text, 'www.shop.example')", "placeholder": _BRACKETS,
+    "lang_hi_without_devanagari": f"language = 'hi' AND NOT {_DEVANAGARI}", "lang_en_with_devanagari": f"language = 'en' AND {_DEVANAGARI}",
+}
+
+
+@query(
+    f"WITH {_T}, s AS (SELECT * FROM i ORDER BY {_draw(7, 'review', 'id')}, id LIMIT (SELECT greatest(1, CAST(round_even(count(*) * 0.10, 0) AS BIGINT)) FROM i)), r AS ("
+    + " UNION ALL ".join(f"SELECT '{k}' AS reason, id FROM s WHERE {c}" for k, c in _DOUBTS.items())
+    + "), g AS (SELECT reason, count(*) AS count FROM r GROUP BY reason UNION ALL SELECT NULL, count(DISTINCT id) FROM r) SELECT reason, count, round(count / (SELECT count(*) FROM s), 6) AS share FROM g"
+)
 def suspect_reasons(spark, sf):
-    return split.suspects(_items(spark, sf), {"long": F.length("text") > 400, "no_sender": F.col("sender").isNull()})
+    """The six reasons for doubt over the review sample; none asks for a code with this dictionary."""
+    sample = split.review_sample(_told(spark, sf), "id").withColumn("m", T.normalize_message(F.col("text"), F.col("sender")))
+    return rounded(split.suspects(sample, messages.doubts(sample, rules.Rules(_DOUBTED), F.col("m"))), "share")
 
 
 @query(f"WITH {_I} SELECT id, NOT (id % 2 = 0 AND {_draw(7, 'dropout', 'id')} < 0.2) AS has_signals FROM i")
@@ -140,23 +173,35 @@ def signal_dropout(spark, sf):
     return _items(spark, sf).select("id", (F.size(split.drop_signals(where, F.array(F.lit("apk_link")), F.col("id"))) > 0).alias("has_signals"))
 
 
-_REF = r"(?i)(^|[^\p{L}\p{N}_])(?:ref|txn|id|no)[ .:#-]{0,3}[A-Z0-9-]{5,}($|[^\p{L}\p{N}_])"
+_FAMILIES = {
+    "id_ref": _says("ref|reference"), "id_order": _says("order id|awb|tracking id"), "id_case": _says("consumer no|ack no|case id"), "id_payment": _says("txn id|upi ref", False),
+    "id_account": "regexp_matches(lower(text), 'a/c xx[0-9]')", "id_hindi": "contains(text, 'संदर्भ संख्या')",
+    "id_any": f"({_says('ref|reference')} OR {_says('order id|awb|tracking id|consumer no|ack no|case id|txn id|upi ref', False)} OR regexp_matches(lower(text), 'a/c xx[0-9]') OR contains(text, 'संदर्भ'))",
+}
+_ANY_ID = _FAMILIES["id_any"]
+_RATES = (
+    f"s AS (SELECT verdict, count(*) AS n, count(*) FILTER ({_ANY_ID}) AS nat, count(*) FILTER (NOT {_ANY_ID} AND category NOT IN ('personal', 'legit_promo')) AS elig, "
+    f"count(*) FILTER ({_ANY_ID} AND contains(text, 'संदर्भ संख्या')) AS lab, count(*) FILTER (NOT {_ANY_ID} AND category NOT IN ('personal', 'legit_promo') AND language = 'hi') AS hi FROM i GROUP BY verdict), "
+    "r AS (SELECT *, least(1, greatest(0, coalesce((0.4 * n - nat) / nullif(elig, 0), 0))) AS rate, (SELECT max(lab / n) FROM s) AS most FROM s)"
+)
 
 
-@query(
-    f"WITH {_I}, x AS (SELECT verdict, avg(CAST(regexp_matches(text, '{_REF}') AS INT)) AS native, avg(CAST(NOT regexp_matches(text, '{_REF}') AND length(text) <= 400 AS INT)) AS eligible, avg(CAST(language = 'hi' AS INT)) AS h FROM i GROUP BY verdict) "
-    "SELECT verdict, round(native, 6) AS native, round(eligible, 6) AS eligible, round(least(1, greatest(0, coalesce((0.4 - native) / nullif(eligible, 0), 0))), 6) AS rate, round(max(h) OVER (), 6) AS hindi_rate FROM x"
-)
+@query(f"WITH {_T}, {_RATES} SELECT verdict, round(nat / n, 6) AS native, round(elig / n, 6) AS eligible, round(rate, 6) AS rate, round(least(1, greatest(0, coalesce((most * n - lab) / nullif(rate * hi, 0), 0))), 6) AS hindi_rate FROM r")
 def reference_rates(spark, sf):
-    return rounded(split.reference_rates(_items(spark, sf)), "native", "eligible", "rate", "hindi_rate")
+    return rounded(variety.reference_rates(_told(spark, sf)), "native", "eligible", "rate", "hindi_rate")
 
 
-_SHARES = {"channel_sms": "channel = 'sms'", "channel_whatsapp": "channel = 'whatsapp'", "channel_call_description": "channel = 'call_description'", "channel_screenshot": "channel = 'screenshot'", "has_sender": "sender IS NOT NULL", "digits": r"regexp_matches(text, '\d{4,}')", "url": r"regexp_matches(text, '(?i)https?://|www\.')", "emoji": r"regexp_matches(text, '[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]')", "leading_emoji": r"regexp_matches(text, '^[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]')", "reference": f"regexp_matches(text, '{_REF}')"}
+_SIGNS = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B06}\x{2B50}\x{FE0F}]"
+_STATUS = "CASE WHEN sender IS NULL THEN 'unknown' WHEN regexp_matches(sender, '^[A-Z]{2}-[A-Z0-9]{3,9}$') THEN 'registered' WHEN regexp_matches(sender, '^\\+?[0-9 ]+$') THEN 'unregistered' ELSE 'unknown' END"
+_SHARES = (
+    {f"channel_{c}": f"channel = '{c}'" for c in ("sms", "whatsapp", "call_description", "screenshot")} | {f"sender_{k}": f"({_STATUS}) = '{k}'" for k in ("registered", "unregistered", "unknown")}
+    | {"digit_run": r"regexp_matches(text, '\d{4}')", "has_url": "contains(text, 'www.shop.example')", "has_emoji": f"regexp_matches(text, '{_SIGNS}')", "leading_emoji": f"regexp_matches(text, '^{_SIGNS}')"} | _FAMILIES
+)
 
 
-@query(f"WITH {_I} SELECT verdict, count(*) AS n, " + ", ".join(f"round(avg(CAST({c} AS INT)), 2) AS {k}" for k, c in _SHARES.items()) + " FROM i GROUP BY verdict")
+@query(f"WITH {_T} SELECT verdict, count(*) AS n, " + ", ".join(f"round(avg(CAST({c} AS INT)), 2) AS {k}" for k, c in _SHARES.items()) + " FROM i GROUP BY verdict")
 def shortcut_report(spark, sf):
-    return split.shortcut_report(_items(spark, sf))
+    return variety.shortcut_report(_told(spark, sf))
 
 
 @query(f"WITH {_I} SELECT coalesce(bool_and(source = 'synthetic'), false) AND count(*) > 0 AS provisional FROM i")
@@ -173,19 +218,20 @@ def open_jobs(spark, sf):
     return split.open_jobs(jobs, jobs.filter("seed_id % 2 = 0 AND variant = 0").select("key")).select("key", "scenario", "variant")
 
 
-_BY = f"CAST(obfuscated AS INT) + CAST(length(text) > 400 AS INT) AS c, {_draw(7, 'fewshot', 'id')} AS u"
+_FIRST = "ORDER BY plain DESC, u, id LIMIT 1"
 
 
 @query(
-    f"WITH {_I}, k AS (SELECT id, category, language, CASE WHEN verdict = 'SCAM' THEN 'scam' WHEN verdict = 'SAFE' AND hard_negative THEN 'hard_negative' WHEN verdict = 'SUSPICIOUS' THEN 'suspicious' WHEN verdict = 'SAFE' AND category = 'personal' THEN 'personal' END AS kind, {_BY} FROM i), "
-    "f AS (SELECT * FROM k WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY kind ORDER BY c, u, id) = 1), "
-    "g AS (SELECT k.id, k.kind FROM k JOIN f ON k.kind = f.kind AND k.id <> f.id WHERE k.kind IN ('scam', 'hard_negative') QUALIFY row_number() OVER (PARTITION BY k.kind ORDER BY k.category = f.category, k.language = f.language, k.c, k.u, k.id) = 1), "
-    "r AS (SELECT id, kind, 1 AS place FROM f UNION ALL SELECT id, kind, 2 FROM g) SELECT id, kind, (place - 1) * 4 + list_position(['scam', 'hard_negative', 'suspicious', 'personal'], kind) AS position FROM r"
+    f"WITH {_I}, k AS (SELECT id, verdict, category, language, hard_negative AS hard, NOT obfuscated AND length(text) <= 400 AS plain, {_draw(7, 'fewshot', 'id')} AS u FROM i), "
+    f"s1 AS (SELECT * FROM k WHERE verdict = 'SCAM' {_FIRST}), sa AS (SELECT k.* FROM k, s1 WHERE k.verdict = 'SCAM' AND k.category <> s1.category AND k.language <> s1.language ORDER BY k.plain DESC, k.u, k.id LIMIT 1), "
+    f"sb AS (SELECT k.* FROM k, s1 WHERE k.verdict = 'SCAM' AND k.category <> s1.category ORDER BY k.plain DESC, k.u, k.id LIMIT 1), s2 AS (SELECT * FROM sa UNION ALL SELECT * FROM sb WHERE NOT EXISTS (SELECT 1 FROM sa)), "
+    f"h1 AS (SELECT * FROM k WHERE verdict = 'SAFE' AND hard AND category = 'genuine_otp' {_FIRST}), h2 AS (SELECT * FROM k WHERE verdict = 'SAFE' AND hard AND category = 'transaction_alert' {_FIRST}), "
+    f"su AS (SELECT * FROM k WHERE verdict = 'SUSPICIOUS' {_FIRST}), pe AS (SELECT * FROM k WHERE verdict = 'SAFE' AND category = 'personal' {_FIRST}) "
+    "SELECT id, 'scam' AS kind, 1 AS position FROM s1 UNION ALL SELECT id, 'hard_negative', 2 FROM h1 UNION ALL SELECT id, 'suspicious', 3 FROM su UNION ALL SELECT id, 'scam', 4 FROM s2 UNION ALL SELECT id, 'safe_personal', 5 FROM pe UNION ALL SELECT id, 'hard_negative', 6 FROM h2"
 )
 def fewshot_rows(spark, sf):
-    """The six few-shot rows."""
-    rows = _items(spark, sf).withColumn("hard_negative", F.col("hard_negative"))
-    return split.fewshot(rows).select("id", "kind", "position")
+    """The six few-shot rows, in the prompt's order."""
+    return variety.fewshot(_items(spark, sf)).select("id", "kind", "position")
 
 
 @query(f"WITH {_I} SELECT DISTINCT id FROM i WHERE id % 50 = 0 OR seed_group = 'src3'")
@@ -194,7 +240,66 @@ def fewshot_leaks(spark, sf):
     return split.leaks(items.select("id", "seed_group"), items.filter("id % 50 = 0").select("id", F.lit("src3").alias("seed_group"))).select("id").distinct()
 
 
-@query(f"WITH {_I} SELECT id, {_draw(7, 'channel', 'id')} < 0.15 OR channel = 'screenshot' AS screenshot, {_draw(7, 'no_sender', 'id')} < 0.5 AS no_sender FROM i")
+def _u(purpose: str) -> str:
+    return _draw(7, purpose, "id")
+
+
+def _digits(purpose: str, n) -> str:
+    return f"right(lpad(CAST(CAST(floor({_u(purpose)} * 1000000000000) AS BIGINT) AS VARCHAR), 12, '0'), {n})"
+
+
+def _place(purpose: str, n: int) -> str:
+    return f"CAST(floor({_u(purpose)} * {n}) AS INT)"
+
+
+def _ending(ending, purpose: str) -> str:
+    label, least, most = ending
+    return f"concat('{label}', {_digits(purpose + '-digits', _place(purpose + '-size', most - least + 1) + f' + {least}')})"
+
+
+def _number(p: str) -> str:
+    return f"concat('+91 ', substr('6789', {_place(p + '-first', 4)} + 1, 1), {_digits(p + '-four', 4)}, ' ', {_digits(p + '-five', 5)})"
+
+
+def _header(p: str) -> str:
+    letters = lambda part, own, n: ", ".join(f"substr('{own}', {_place(f'{p}-{part}{i}', len(own))} + 1, 1)" for i in range(n))
+    return f"concat({letters('head', variety.HEAD_LETTERS, 2)}, '-', {letters('tail', variety.TAIL_LETTERS, 6)})"
+
+
+_WITH_ID = f"{_u('id')} < CASE verdict WHEN 'SCAM' THEN 0.4 WHEN 'SAFE' THEN 0.3 ELSE 0.6 END AND category NOT IN ('personal', 'legit_promo') AND NOT {_ANY_ID}"
+_ENDING = f"CASE WHEN language = 'hi' AND {_u('hindi')} < CASE verdict WHEN 'SCAM' THEN 0.9 ELSE 0.5 END THEN {_ending(variety.HINDI_ENDING, 'hindi')} ELSE [{', '.join(_ending(e, 'id') for e in variety.ENDINGS)}][{_place('id-kind', len(variety.ENDINGS))} + 1] END"
+_GAP = f"CASE WHEN channel = 'whatsapp' AND {_u('gap')} < 0.3 THEN chr(10) ELSE ' ' END"
+_CHEER = "CASE category " + " ".join(f"WHEN '{k}' THEN [{', '.join(repr(e) for e in own)}][{_place('emoji-kind', len(own))} + 1]" for k, own in variety.EMOJI.items()) + " END"
+
+
+@query(
+    f"WITH {_T}, a AS (SELECT id, verdict, category, concat(text, CASE WHEN {_WITH_ID} THEN concat({_GAP}, {_ENDING}) ELSE '' END, CASE WHEN verdict = 'SAFE' AND {_u('emoji')} < 0.15 AND {_CHEER} IS NOT NULL THEN concat(' ', {_CHEER}) ELSE '' END) AS text, "
+    f"CASE WHEN channel IN ('sms', 'whatsapp') AND {_u('screenshot')} < 0.15 THEN 'screenshot' ELSE channel END AS channel, CASE WHEN channel = 'call_description' THEN sender "
+    f"WHEN verdict = 'SAFE' AND category = 'personal' THEN CASE WHEN {_u('contact')} < 0.45 THEN {_number('number')} WHEN {_u('contact')} < 0.6 THEN NULL ELSE sender END WHEN verdict = 'SAFE' AND category = 'delivery_update' AND {_u('contact')} < 0.15 THEN {_number('number')} "
+    f"WHEN verdict <> 'SAFE' AND ({_STATUS}) <> 'registered' AND {_u('spoof')} < 0.2 THEN {_header('spoof')} ELSE sender END AS sender FROM i) "
+    f"SELECT id, md5(text) AS digest, channel, CASE WHEN {_u('no_sender')} < 0.5 THEN NULL WHEN ({_STATUS}) = 'unknown' AND category <> 'personal' THEN CASE WHEN {_u('known')} < 0.7 THEN {_number('known')} ELSE {_header('known')} END ELSE sender END AS sender FROM a"
+)
 def diversified(spark, sf):
-    rows = split.diversify(_items(spark, sf), {"SCAM": 0.4, "SAFE": 0.3, "SUSPICIOUS": 0.4})
-    return rows.select("id", (F.col("channel") == "screenshot").alias("screenshot"), F.col("sender").isNull().alias("no_sender"))
+    rows = variety.diversify(_told(spark, sf).withColumn("red_flags", F.array(F.struct(F.left("text", F.lit(3)).alias("quote"), F.lit("secrecy_request").alias("reason")))), {"SCAM": 0.4, "SAFE": 0.3, "SUSPICIOUS": 0.6}, {"SCAM": 0.9})
+    return rows.select("id", F.md5("text").alias("digest"), "channel", "sender")
+
+
+@query(f"WITH {_T} SELECT id, contains(text, 'www.shop.example/x') AND id % 4 <> 0 AS accepted FROM i")
+def link_acceptance(spark, sf):
+    """Messages that must hold the link asked for, on hosts of the list, without a signal that speaks against it."""
+    soft = F.when(F.col("id") % 4 == 0, F.array(F.lit("shortener_link"))).otherwise(F.array(F.lit("threat_lexicon")))
+    good = messages.acceptable_link(F.col("text"), T.urls(F.col("text")), F.lit("www.shop.example/x"), ["www.shop.example"], soft)
+    return _told(spark, sf).select("id", F.coalesce(good, F.lit(False)).alias("accepted"))
+
+
+@query(f"WITH {_T} SELECT id, verdict = 'SAFE' AND (category IN ('genuine_otp', 'transaction_alert') OR " + " OR ".join(f"contains(lower(text), '{w.replace(chr(39), chr(39) * 2)}')" for w in messages.ALARMS) + ") AS hard FROM i")
+def hard_negatives(spark, sf):
+    return _told(spark, sf).select("id", messages.hard_negative_wide(F.col("verdict"), F.col("category"), F.col("text")).alias("hard"))
+
+
+@query(f"WITH {_JOBS} SELECT key, item_id % 3 <> 0 AS found FROM j WHERE variant > 0")
+def scenario_lookup(spark, sf):
+    """Variants with the text of their scenario; those of a scenario that is not there are found out, not run."""
+    given = spark.read.parquet(f"{sf}/benchmark.parquet")
+    jobs = split.planned_jobs(given.select(F.col("item_id").alias("seed_id"), "text"), 5, 3)
+    return split.with_scenario(jobs.filter("variant > 0").drop("text"), jobs.filter("variant = 0 AND seed_id % 3 <> 0")).select("key", F.col("scenario_text").isNotNull().alias("found"))

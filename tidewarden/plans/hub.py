@@ -65,7 +65,7 @@ def clean_flags(spark, sf):
 
 
 @query(
-    f"WITH {_I} SELECT id, length(text) BETWEEN 8 AND 700 AND NOT regexp_matches(text, '\\{{[a-z_]+\\}}|\\[[A-Z_]+\\]') AND CASE WHEN verdict = 'SAFE' THEN id % 3 = 0 OR category = 'personal' WHEN verdict = 'SUSPICIOUS' THEN id % 2 = 0 AND id % 5 <> 0 ELSE id % 2 = 0 END AS accepted, "
+    f"WITH {_I} SELECT id, length(text) BETWEEN 8 AND 700 AND NOT regexp_matches(text, '\\[[^\\[\\]]{{0,40}}\\]|<[A-Za-z ]{{2,30}}>') AND CASE WHEN verdict = 'SAFE' THEN id % 3 = 0 OR category = 'personal' WHEN verdict = 'SUSPICIOUS' THEN id % 2 = 0 AND id % 5 <> 0 ELSE id % 2 = 0 END AS accepted, "
     "length(text) BETWEEN 8 AND 500 AND id % 5 <> 0 AS call_accepted FROM i"
 )
 def acceptance(spark, sf):
