@@ -232,7 +232,23 @@ DENIALS = {"en": ("not", "no", "never", "cannot", "without"), "hi": ("नही
 CLAUSE_MARKS, CLAUSE_WORDS = ",;:\u2014\u2013", ("but", "and", "so")
 NEAR_WORDS, MOST_SENTENCES, MOST_WORDS = 3, 3, 60
 
-_CLAUSES = rf"[{CLAUSE_MARKS}]|\s-\s|\b(?:{'|'.join(CLAUSE_WORDS)})\b"
+_BREAKS = (*CLAUSE_MARKS, "-", *CLAUSE_WORDS)
+
+
+def _clause(text: Column, last: bool) -> Column:
+    """Words of the last (or first) clause of a text: those after its last (before its first) mark or word that parts clauses."""
+    spaced = F.regexp_replace(text, f"([{CLAUSE_MARKS}])", " $1 ")
+    words = F.filter(F.split(spaced, r'(?U)[\s()"\u201C\u201D]+'), lambda t: t != "")
+
+    def cut(own: Column) -> Column:
+        parts = F.transform(own, lambda t: t.isin(*_BREAKS))
+        if last:
+            behind = F.array_position(F.reverse(parts), True)
+            return F.when(behind > 0, F.slice(own, F.size(own) - behind.cast("int") + 2, F.greatest(behind.cast("int") - 1, F.lit(0)))).otherwise(own)
+        ahead = F.array_position(parts, True)
+        return F.when(ahead > 0, F.slice(own, F.lit(1), F.greatest(ahead.cast("int") - 1, F.lit(0)))).otherwise(own)
+
+    return T.let(words, cut)
 
 
 def _sentences(text: Column) -> Column:
@@ -242,14 +258,13 @@ def _sentences(text: Column) -> Column:
 def denied(sentence: Column, word: str, language: str) -> Column:
     """The word stands in the sentence with a denial among the three words before it in its clause (in Hindi also after it)."""
     parts = F.split(sentence, rf"\Q{word}\E", -1)
-    tokens = lambda clause: F.filter(F.split(clause, r'(?U)[\s()"\u201C\u201D]+'), lambda t: t != "")
     bad = lambda t: t.isin(*DENIALS[language]) | (t.endswith("n't") if language == "en" else F.lit(False))
 
     def at(k: Column) -> Column:
-        before = tokens(F.element_at(F.split(F.array_join(F.slice(parts, 1, k), word), _CLAUSES, -1), -1))
+        before = _clause(F.array_join(F.slice(parts, 1, k), word), True)
         near = F.exists(F.slice(before, F.greatest(F.size(before) - NEAR_WORDS + 1, F.lit(1)), NEAR_WORDS), bad)
         if language == "hi":
-            after = tokens(F.get(F.split(F.array_join(F.slice(parts, k + 1, F.size(parts)), word), _CLAUSES, -1), F.lit(0)))
+            after = _clause(F.array_join(F.slice(parts, k + 1, F.size(parts)), word), False)
             near = near | F.exists(F.slice(after, 1, NEAR_WORDS), bad)
         return near
 
@@ -267,8 +282,7 @@ def explanation_problems(output: Column, verdict: Column, language: str, text: C
     in_any = lambda own: F.exists(_sentences(low), lambda s: F.greatest(F.lit(False), *[denied(s, w, language) for w in own]))
     not_said = of({v: in_any(own) for v, own in words.items()})
     other = of({v: F.greatest(F.lit(False), *[has(w) for o in barred for w in words[o]]) for v, barred in FORBIDDEN.items()})
-    named = r"(?iU)(?:https?://|www\.)\S+|\b(?:[\w\-]+\.)+[a-z]{2,}(?:/\S*)?"
-    strange = F.exists(F.regexp_extract_all(output, F.lit(named), 0), lambda u: ~F.contains(F.lower(text), F.rtrim(F.lower(u), F.lit(".,)"))))
+    strange = F.exists(T.urls(output), lambda u: ~F.contains(F.lower(text), F.rtrim(F.lower(u), F.lit(".,)"))))
     digits = lambda c: F.array_distinct(F.regexp_extract_all(F.translate(c, "०१२३४५६७८९", "0123456789"), F.lit(r"\d+"), 0))
     checks = {
         "verdict_word_missing": ~said, "negated_verdict_word": said & not_said, "other_verdict_word": said & other, "foreign_url": strange, "foreign_number": F.size(F.array_except(digits(output), digits(text))) > 0,
