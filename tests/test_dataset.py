@@ -83,3 +83,19 @@ def test_dev_groups_are_deduped_before_sampling(spark):
         kept = sorted(r.id for r in rs if r.split == "dev")
         assert kept == ([] if g not in dev else [f"{g}0", "d8", "d9"] if g == "d" else [f"{g}0", f"{g}9"])
         assert g in dev or {r.split for r in rs} == {"train"}
+
+
+def test_splits_are_guarded_by_the_job_that_writes_them(spark, tmp_path):
+    import pytest
+
+    from tidewarden.sources import jsonl
+
+    rows = [(i, f"g{i % 5}", "dev" if i % 5 == 0 else "train" if i % 5 < 4 else "dropped", f"text {i}") for i in range(50)] + [(100, None, "train", None), (101, None, "dev", "x")]
+    make = lambda more: spark.createDataFrame(rows + more, "id int, seed_group string, split string, text string").repartition(3)
+    assert jsonl.write_splits(make([]), f"{tmp_path}/good") == {"train": 31, "dev": 11}
+    assert spark.read.json(f"{tmp_path}/good").filter("split = 'dev'").count() == 11
+    for k, (bad, said) in enumerate([((7, "g2", "train", "again"), "repeated id 7"), ((200, "g0", "train", "leak"), "both splits: g0"), ((9, "g4", "dropped", "again"), "repeated id 9")]):
+        with pytest.raises(Exception, match=said):
+            jsonl.write_splits(make([bad]), f"{tmp_path}/bad{k}")
+        assert not list((tmp_path / f"bad{k}").rglob("part-*.json"))
+    assert jsonl.write_splits(make([(300, "g0", "dropped", "x")]), f"{tmp_path}/also") == {"train": 31, "dev": 11}

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions import text as T
-from ..operators import messages, metrics, pool, redact, rules, split
-from ..sources import jsonl
+from ..functions.vocab import scan_entries
+from ..operators import lookalike, messages, metrics, ordered, pool, redact, rules, split
+from ..sources import jsonl, predictions
+from ..sources.keyed import KeyedStore
 from ..sources.shared import new_path
-from .frames import ITEMS, duck, view
+from . import evaluation
+from .frames import EVAL, ITEMS, duck, view
 from .text import DEMO
 
 QUERIES: dict = {}
@@ -95,7 +98,7 @@ def safe_category(spark, sf):
 @query()
 def filled_placeholders(spark, sf):
     """Items with placeholders put in, then filled (random draws are hashes; compared by brute force in the tests)."""
-    rows = _items(spark, sf).withColumn("text", F.concat(F.lit("code <OTP> for account ending <ACCT>, ref no. <ACCT>. "), F.left("text", F.lit(300))))
+    rows = _items(spark, sf).withColumn("text", F.concat(F.lit("code <OTP> for account ending <ACCT>, ref no. <ACCT>. "), "text"))
     flags = F.array(F.struct(F.lit("code <OTP>").alias("quote"), F.lit("asks_otp_or_pin").alias("reason")), F.struct(F.lit("OTP> for").alias("quote"), F.lit("asks_otp_or_pin").alias("reason")))
     return split.fill_placeholders(rows.withColumn("red_flags", flags)).select("id", "text", F.size("red_flags").alias("n_flags"))
 
@@ -119,9 +122,9 @@ def scrubbed(spark, sf):
 
 
 _TEMPLATES = [
-    ("en", "SCAM", "headline", "This is a scam"), ("en", "SCAM", "default", "Do nothing. Call {name}."), ("en", "SCAM", "otp_phishing", "Share no code. Call {name}."), ("en", "SUSPICIOUS", "headline", "Be careful"), ("en", "SUSPICIOUS", "default", "Wait."),
-    ("en", "SAFE", "headline", "This looks normal"), ("en", "SAFE", "default", "No sign of trouble."), ("en", "UNKNOWN", "headline", "Not known"), ("en", "UNKNOWN", "default", "Ask {name}."),
-    ("hi", "SCAM", "headline", "यह स्कैम है"), ("hi", "SCAM", "default", "कुछ न करें।"), ("hi", "UNKNOWN", "headline", "पता नहीं"), ("hi", "UNKNOWN", "default", "पूछें।"),
+    ("en", "SCAM", "headline", "Someone wants to trick you"), ("en", "SCAM", "default", "Do nothing. Call {name}."), ("en", "SCAM", "otp_phishing", "Share no code. Call {name}."), ("en", "SUSPICIOUS", "headline", "Something is odd here"), ("en", "SUSPICIOUS", "default", "Wait."),
+    ("en", "SAFE", "headline", "Nothing odd here"), ("en", "SAFE", "default", "No sign of trouble."), ("en", "UNKNOWN", "headline", "Not known"), ("en", "UNKNOWN", "default", "Ask {name}."),
+    ("hi", "SCAM", "headline", "यह ठगी का संदेश है"), ("hi", "SCAM", "default", "कुछ न करें।"), ("hi", "UNKNOWN", "headline", "पता नहीं"), ("hi", "UNKNOWN", "default", "पूछें।"),
 ]
 _T = "t AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in _TEMPLATES) + ") AS v(language, verdict, category, sentence))"
 
@@ -140,19 +143,20 @@ def template_explanations(spark, sf):
 
 
 @query(
-    f"WITH {_I}, k AS (SELECT id, verdict, id % 5 AS k FROM i WHERE language <> 'hi'), w AS (SELECT *, CASE verdict WHEN 'SCAM' THEN 'scam' ELSE 'careful' END AS w FROM k) "
+    f"WITH {_I}, k AS (SELECT id, verdict, id % 5 AS k FROM i), w AS (SELECT *, CASE verdict WHEN 'SCAM' THEN 'scam' ELSE 'careful' END AS w FROM k) "
     "SELECT id, CASE WHEN verdict = 'SAFE' THEN 'template' WHEN k = 0 THEN 'first' WHEN k = 1 THEN 'second' WHEN k = 2 THEN 'template' WHEN k = 3 THEN 'template' ELSE 'second' END AS origin FROM w"
 )
 def explained(spark, sf):
     """Which draft explains an item: good at once (0), denied then good (1), model down (2), bad twice (3), empty then good (4)."""
     k = F.col("id") % 5
-    word = F.when(F.col("verdict") == "SCAM", "scam").otherwise("careful")
+    hindi, scam = F.col("language") == "hi", F.col("verdict") == "SCAM"
+    word = F.when(hindi, F.when(scam, "स्कैम").otherwise("सावधान")).otherwise(F.when(scam, "scam").otherwise("careful"))
     good = lambda n: F.concat(F.lit(f"Draft {n}: "), word, F.lit("."))
-    bad = F.concat(F.lit("This is never "), word, F.lit("."))
+    bad = F.when(hindi, F.concat(F.lit("यह "), word, F.lit(" नहीं है।"))).otherwise(F.concat(F.lit("This is never "), word, F.lit(".")))
     ordinal = lambda n: F.replace(good(n), F.lit(str(n)), F.lit("one" if n == 1 else "two"))  # noqa: E731  no numbers that the message lacks
     first = lambda df: df.withColumn("draft", F.when(k == 0, ordinal(1)).when(k == 1, bad).when(k == 2, None).when(k == 3, bad).otherwise(F.lit("")))
     second = lambda df: df.withColumn("draft", F.when(k.isin(1, 4, 2), ordinal(2)).otherwise(bad))
-    rows = _items(spark, sf).filter("language <> 'hi'").withColumn("name", F.lit("Ann"))
+    rows = _items(spark, sf).withColumn("name", F.lit("Ann"))
     done = messages.explained(rows, _template_rows(spark), [first, second])
     return done.select("id", F.when(F.col("explanation").startswith("Draft one"), "first").when(F.col("explanation").startswith("Draft two"), "second").otherwise("template").alias("origin"))
 
@@ -203,14 +207,21 @@ def html_escaped(spark, sf):
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.md5(pool.html_escaped(F.col("html"))).alias("digest"))
 
 
-@query("SELECT * FROM (VALUES ('file', 0.9, 0.1, true), ('half', 0.9, 0.35, false), ('none', 0.8, 0.35, false), ('settings', 0.7, 0.2, true)) AS v(given, t_high, t_low, calibrated)")
+@query(
+    f"WITH h AS ({evaluation.ORACLE['threshold_high']}), l AS ({evaluation.ORACLE['threshold_low']}) SELECT 'both' AS given, h.value AS t_high, l.value AS t_low, true AS calibrated FROM h, l "
+    "UNION ALL SELECT 'high', h.value, 0.35, false FROM h UNION ALL SELECT 'none', 0.8, 0.35, false UNION ALL SELECT 'settings', 0.7, 0.2, true"
+)
 def thresholds(spark, sf):
-    """From a file of both, a file of one, nothing, settings."""
+    """The thresholds found on the labelled cases, written to a file and loaded; a file of one of them, no file, settings."""
     folder = new_path(spark, "thresholds")
-    for name, row in (("file", {"T_HIGH": 0.9, "T_LOW": 0.1}), ("half", {"T_HIGH": 0.9})):
-        spark.createDataFrame([(json.dumps(row),)], "value string").coalesce(1).write.text(f"{folder}/{name}")
-    found = [("file", *pool.load_thresholds(spark, f"{folder}/file")), ("half", *pool.load_thresholds(spark, f"{folder}/half")), ("none", *pool.load_thresholds(spark, f"{folder}/missing")), ("settings", *pool.load_thresholds(spark, None, 0.7, 0.2))]
-    return spark.createDataFrame(found, "given string, t_high double, t_low double, calibrated boolean")
+    found = evaluation.threshold_high(spark, sf).select(F.col("value").alias("T_HIGH")).join(evaluation.threshold_low(spark, sf).select(F.col("value").alias("T_LOW")))  # one row each
+    found = found.persist()
+    for name, kept in (("both", ["T_HIGH", "T_LOW"]), ("high", ["T_HIGH"])):
+        found.select(F.to_json(F.struct(*kept)).alias("value")).coalesce(1).write.text(f"{folder}/{name}")
+    found.unpersist()
+    load = pool.load_thresholds
+    rows = [("both", *load(spark, f"{folder}/both")), ("high", *load(spark, f"{folder}/high")), ("none", *load(spark, f"{folder}/missing")), ("settings", *load(spark, None, 0.7, 0.2))]
+    return spark.createDataFrame(rows, "given string, t_high double, t_low double, calibrated boolean")
 
 
 # -- systems and nodes --------------------------------------------------------------------
@@ -302,44 +313,113 @@ def split_digests(spark, sf):
     return spark.createDataFrame([facts], "same_in_any_order boolean, differs_by_a_row boolean, differs_by_a_copy boolean, test_split string")
 
 
-@query("SELECT * FROM (VALUES ('run-a', 1, 0.5, 'd1'), ('run-a', 2, 0.7, 'd1'), ('run-b', 1, 0.6, 'd2')) AS v(run, epoch, macro_f1, digest)")
+_RUNS = "SELECT concat('run-', CAST(id % 7 AS STRING), CASE WHEN id % 7 = 3 THEN '-crashed' ELSE '' END) AS run, CAST(id % 3 + 1 AS INT) AS epoch, concat('d', CAST(id % 7 % 4 AS STRING)) AS digest, round(avg(CASE WHEN pred_verdict = gold_verdict THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS macro_f1, round(avg(CASE WHEN score >= 500 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS recall FROM ({e}) e GROUP BY 1, 2, 3"
+_R = f"r AS ({duck(_RUNS.format(e=EVAL))})"
+
+
+def _runs(spark, sf):
+    """Epochs of seven runs, one of them crashed: shares over the labelled rows that fall to them."""
+    return view(spark, sf, _RUNS.format(e=EVAL), "labels").withColumns({"macro_f1": F.col("macro_f1").cast("double"), "recall": F.col("recall").cast("double")})
+
+
+@query(f"WITH {_R} SELECT run, epoch, CAST(macro_f1 AS DOUBLE) AS macro_f1, digest FROM r WHERE run NOT LIKE '%crashed%'")
 def run_scan(spark, sf):
-    """Epochs of three run folders with their configuration; the crashed one is left out."""
+    """Every run's metrics and configuration written to a folder of its own and read back; the crashed one is left out."""
     path = new_path(spark, "runs")
-    runs = {"run-a": [(1, 0.5), (2, 0.7)], "run-b": [(1, 0.6)], "run-c-crashed": [(1, 0.9)]}
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for n, (run, epochs) in enumerate(runs.items()):
-        for name, body in (("metrics.json", {"epochs": [{"epoch": e, "macro_f1": f} for e, f in epochs]}), ("config.json", {"dev_sha256": f"d{n + 1}"})):
-            spark.createDataFrame([(json.dumps(body),)], "value string").coalesce(1).write.text(f"{path}/_{run}-{name}")
-            found = jvm.Path(f"{path}/_{run}-{name}")
-            store = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-            store.mkdirs(jvm.Path(f"{path}/{run}"))
-            part = next(x.getPath() for x in store.listStatus(found) if x.getPath().getName().startswith("part-"))
-            store.rename(part, jvm.Path(f"{path}/{run}/{name}"))
-            store.delete(found, True)
-    epochs = jsonl.read_runs(spark, path).select("run", F.col("epoch").cast("int").alias("epoch"), "macro_f1")
-    return epochs.join(jsonl.read_run_configs(spark, path, "dev_sha256 string").select("run", F.col("dev_sha256").alias("digest")), "run").select("run", "epoch", "macro_f1", "digest")
+    epochs = F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("epoch", "macro_f1"))).alias("epochs")))
+    runs = _runs(spark, sf).groupBy("run").agg(epochs.alias("metrics"), F.to_json(F.struct(F.max("digest").alias("dev_sha256"))).alias("config")).collect()  # a row a run
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    store = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for r in runs:
+        for name, body in (("metrics", r.metrics), ("config", r.config)):
+            out = store.create(hadoop.Path(f"{path}/{r.run}/{name}.json"))
+            out.write(bytearray(body, "utf-8"))
+            out.close()
+    found = jsonl.read_runs(spark, path).select("run", F.col("epoch").cast("int").alias("epoch"), "macro_f1")
+    return found.join(jsonl.read_run_configs(spark, path, "dev_sha256 string").select("run", F.col("dev_sha256").alias("digest")), "run").select("run", "epoch", "macro_f1", "digest")
 
 
 _USE = "SELECT event_id, ts, event_type AS kind, (event_id % 90 + 1) * 1000 AS tokens, CASE WHEN event_id % 6 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 0.5 ELSE 1.5 END AS rate FROM events"
 
 
 @query(
-    f"WITH u AS ({_USE}), b AS (SELECT date_trunc('day', min(ts)) AS lo FROM events), p AS (SELECT CAST(floor((epoch(ts) - epoch(lo)) / 1209600) AS BIGINT) AS page, kind, tokens, rate FROM u, b WHERE ts < lo + INTERVAL 60 DAY) "
+    f"WITH u AS ({_USE}), b AS (SELECT date_trunc('day', min(ts)) AS lo FROM events), p AS (SELECT CAST(floor((epoch(ts) - epoch(lo)) / 1209600) AS BIGINT) AS page, kind, tokens, rate FROM u, b) "
     "SELECT page, kind, sum(tokens) AS tokens, round(sum(tokens * rate / 1e6), 6) AS usd, count_if(rate IS NULL) AS unpriced FROM p GROUP BY page, kind"
 )
 def billing_pages(spark, sf):
-    """Sixty days of usage in pages of fourteen."""
+    """All usage in pages of fourteen days."""
     use = spark.read.parquet(f"{sf}/events.parquet")
     lo = use.agg(F.date_trunc("day", F.min("ts")).alias("lo")).first()["lo"]
     rate = F.when(F.col("event_id") % 6 == 0, None).when(F.col("event_id") % 2 == 0, 0.5).otherwise(1.5)
     rows = use.select(F.col("ts").alias("at"), F.col("event_type").alias("kind"), ((F.col("event_id") % 90 + 1) * 1000).alias("tokens"), rate.alias("rate"))
-    until = use.agg(F.date_add(F.to_date(F.min("ts")), 60).alias("u")).first()["u"]
+    until = use.agg(F.date_add(F.to_date(F.max("ts")), 1).alias("u")).first()["u"]
     return metrics.billing_windows(rows, str(lo), str(until)).select("page", "kind", "tokens", F.round("usd", 6).alias("usd"), "unpriced")
 
 
-@query("SELECT * FROM (VALUES ('d1', 'b', 1, false, 1), ('d3', 'd', 2, false, 2), ('d2', 'a', 1, true, 3)) AS v(digest, best_run, best_epoch, is_current, place)")
+@query(
+    f"WITH {_R}, t AS (SELECT digest, run, epoch FROM r QUALIFY row_number() OVER (PARTITION BY digest ORDER BY macro_f1 DESC, recall DESC, run, epoch) = 1), f AS (SELECT digest, min(run) AS first FROM r GROUP BY digest) "
+    "SELECT t.digest, t.run AS best_run, t.epoch AS best_epoch, t.digest = 'd1' AS is_current, CAST(row_number() OVER (ORDER BY t.digest = 'd1', f.first) AS INT) AS place FROM t JOIN f ON t.digest = f.digest"
+)
 def runs_by_digest(spark, sf):
-    rows = [("b", 1, "d1", 0.5, 0.5), ("c", 1, "d1", 0.4, 0.9), ("a", 1, "d2", 0.3, 0.2), ("d", 1, "d3", 0.3, 0.2), ("d", 2, "d3", 0.6, 0.2)]
-    runs = spark.createDataFrame(rows, "run string, epoch int, digest string, macro_f1 double, recall double")
-    return metrics.runs_by_digest(runs, "d2").select("digest", "best_run", "best_epoch", "is_current", "place")
+    return metrics.runs_by_digest(_runs(spark, sf), "d1").select("digest", "best_run", "best_epoch", "is_current", "place")
+
+
+@query(f"WITH e AS ({duck(EVAL)}), o AS (SELECT id, pred_verdict, score, row_number() OVER (ORDER BY id) - 1 AS ordinal FROM e) SELECT id, CASE WHEN id % 10 = 0 THEN 'SAFE' ELSE pred_verdict END AS pred_verdict, score, ordinal FROM o")
+def prediction_cache(spark, sf):
+    """Predictions written, a tenth of them again, and read back by id in the order asked for: the last row of an id counts."""
+    rows = view(spark, sf, EVAL, "labels").select("id", "pred_verdict", "score", F.lit("never written").alias("text"))
+    folder = new_path(spark, "predictions")
+    predictions.write_predictions(rows, folder)
+    predictions.write_predictions(rows.filter("id % 10 = 0").withColumn("pred_verdict", F.lit("SAFE")), folder)
+    cache = predictions.last_of(predictions.read_predictions(spark, folder, "id long, pred_verdict string, score long"))
+    return predictions.for_ids(cache, _numbered(rows.select("id"))).select("id", "pred_verdict", "score", "ordinal")
+
+
+def _numbered(ids):
+    """Ids with their place in order, from 0."""
+    each = ordered.running(ids.groupBy("id").agg(F.count("*").alias("n")), "id", ["n"])
+    return each.select("id", (F.col("_to_n") - 1).alias("ordinal"))
+
+
+@query("SELECT user_id, max(ts) AS ts FROM events GROUP BY user_id")
+def event_snapshot(spark, sf):
+    """Events put into a keyed store by user, in three batches out of order and one of them twice: the latest of each."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    store = KeyedStore(spark, new_path(spark, "store"), "user_id", "ts", most_files=2)
+    for n in (2, 0, 2, 1):
+        store.upsert(events.filter(F.col("event_id") % 3 == n).select("user_id", "ts", "event_id"), n)
+    return store.read().select("user_id", "ts")
+
+
+_HOSTS = "SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS name FROM pages"
+
+
+@query(f"WITH n AS ({_HOSTS}), d AS (SELECT name AS domain FROM n WHERE name LIKE '%.com') SELECT name, domain, CAST(levenshtein(name, domain) AS INT) AS distance FROM n, d WHERE levenshtein(name, domain) BETWEEN 1 AND CASE WHEN length(split_part(domain, '.', 1)) <= 4 THEN 1 ELSE 2 END")
+def lookalike_hosts(spark, sf):
+    """Hosts of all pages close to one of a list of domains that is read from a file."""
+    hosts = spark.read.parquet(f"{sf}/pages.parquet").select(T.host(F.col("url")).alias("name")).distinct()
+    listed = new_path(spark, "domains")
+    hosts.filter(F.col("name").endswith(".com")).select(F.concat("name", F.lit("  # ours")).alias("value")).write.text(listed)
+    return lookalike.lookalikes(hosts, scan_entries(spark, listed), "name", "entry").withColumnRenamed("entry", "domain")
+
+
+@query("SELECT event_id, CASE WHEN CAST(ts + INTERVAL 330 MINUTE AS DATE) = DATE '2024-01-15' THEN strftime(ts + INTERVAL 330 MINUTE, '%H:%M') ELSE strftime(ts + INTERVAL 330 MINUTE, '%b %-d %H:%M') END AS clock FROM events")
+def event_clock(spark, sf):
+    """When every event was, as the status page shows it in its own zone."""
+    now = F.lit("2024-01-15 12:00:00").cast("timestamp")
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", T.clock(F.col("ts"), now, "Asia/Kolkata").alias("clock"))
+
+
+@query("SELECT event_id, left(event_type, 4) AS kind, [left(event_type, 4), left(CAST(user_id AS VARCHAR), 4)] AS tags FROM events")
+def attributes_kept(spark, sf):
+    """Of every event's attributes the listed ones, cut to four characters, in maps of strings and of lists."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    plain = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("props"), F.col("props"), F.lit("none"), F.lit(None).cast("string"))
+    lists = F.create_map(F.lit("tags"), F.array("event_type", F.col("user_id").cast("string")), F.lit("secret"), F.array("props"))
+    return e.select("event_id", messages.allowed_attributes(plain, ["kind", "none"], 4)["kind"].alias("kind"), messages.allowed_lists(lists, ["tags"], 4)["tags"].alias("tags"))
+
+
+@query(f"WITH e AS ({duck(EVAL)}) SELECT id, CASE pred_verdict WHEN 'SCAM' THEN 1.0 WHEN 'SUSPICIOUS' THEN 0.0 WHEN 'SAFE' THEN 0.0 END AS p_scam, CASE pred_verdict WHEN 'SCAM' THEN 0.0 WHEN 'SUSPICIOUS' THEN 0.0 WHEN 'SAFE' THEN 1.0 END AS p_safe FROM e")
+def label_only(spark, sf):
+    """Probabilities of replies that come without token probabilities."""
+    return view(spark, sf, EVAL, "labels").select("id", rules.label_only(F.col("pred_verdict")).alias("p")).select("id", "p.p_scam", "p.p_safe")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -75,6 +75,25 @@ def write_split(df: DataFrame, folder: str, name: str, key: str = "id", frozen_o
     return digest(df, key)
 
 
+def write_splits(items: DataFrame, folder: str, key: str = "id", group: str = "seed_group") -> dict[str, int]:
+    """Write the rows of train and dev (column split) as JSON lines in one job that guards them: rows by split.
+
+    A repeated id, or a group in both splits, makes the tasks that write fail, so nothing
+    is committed; the counts are observed by the same job.  Rows of other splits are not
+    written, but their ids count.  A null group is no group.
+    """
+    kept = F.col("split").isin("train", "dev")
+    of_group = Window.partitionBy(group)
+    side = F.when(kept, F.col("split"))
+    once = F.count("*").over(Window.partitionBy(key)) == 1
+    apart = F.col(group).isNull() | F.coalesce(F.min(side).over(of_group) == F.max(side).over(of_group), F.lit(True))
+    sound = F.when(~once, F.raise_error(F.concat(F.lit("repeated id "), F.col(key).cast("string"))).cast("boolean")).when(~apart, F.raise_error(F.concat(F.lit("group in both splits: "), F.col(group).cast("string"))).cast("boolean")).otherwise(True)
+    seen = Observation()
+    rows = items.withColumn("_sound", sound).filter("_sound").drop("_sound").filter(kept).observe(seen, F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "dev").alias("dev"))
+    rows.write.mode("errorifexists").option("ignoreNullFields", False).partitionBy("split").json(folder)
+    return dict(seen.get)
+
+
 def lock_with(lock: dict, entries: dict) -> dict:
     """New entries over old ones; an entry of the frozen split stays."""
     return {**lock, **entries, **({FROZEN: lock[FROZEN]} if FROZEN in lock else {})}
