@@ -99,3 +99,15 @@ def test_splits_are_guarded_by_the_job_that_writes_them(spark, tmp_path):
             jsonl.write_splits(make([bad]), f"{tmp_path}/bad{k}")
         assert not list((tmp_path / f"bad{k}").rglob("part-*.json"))
     assert jsonl.write_splits(make([(300, "g0", "dropped", "x")]), f"{tmp_path}/also") == {"train": 31, "dev": 11}
+
+
+def test_phrase_places_in_one_part_and_in_many(spark):
+    from tidewarden.operators import phrases
+
+    listed = [f"word{i} end" for i in range(40)] + ["pay now", "Pay*", "न", "", None, "pay now"]
+    texts = [(1, "PAY  now, payable word7 end"), (2, None), (3, ""), (4, "न नहीं repay now word39 ends"), (4, "pay now")]
+    want = {(1, "pay now", 0, 8), (1, "Pay*", 0, 3), (1, "Pay*", 10, 17), (1, "word7 end", 18, 27), (4, "न", 0, 1), (4, "pay now", 0, 7), (4, "Pay*", 0, 3)}
+    for most in (1000, 7):
+        got = phrases.phrase_places(spark.createDataFrame(texts, "id int, text string").withColumn("phrase", F.lit(1)), spark.createDataFrame([(p,) for p in listed], "phrase string"), most=most)
+        assert got.columns == ["id", "phrase", "start", "end"] and sorted(map(tuple, got.collect())) == sorted(want)
+    assert phrases.phrase_places(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([], "phrase string")).count() == 0

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vocab import Dictionary
-from ..operators import dedupe, messages, rules, split, variety
+from ..operators import dedupe, messages, phrases, rules, split, variety
 from .evaluation import rounded
 from .frames import ITEMS, duck, view
 
@@ -303,3 +303,16 @@ def scenario_lookup(spark, sf):
     given = spark.read.parquet(f"{sf}/benchmark.parquet")
     jobs = split.planned_jobs(given.select(F.col("item_id").alias("seed_id"), "text"), 5, 3)
     return split.with_scenario(jobs.filter("variant > 0").drop("text"), jobs.filter("variant = 0 AND seed_id % 3 <> 0")).select("key", F.col("scenario_text").isNotNull().alias("found"))
+
+
+_PAIRS = r"SELECT DISTINCT lower(regexp_extract(text, '^[\p{L}]+ [\p{L}]+')) AS phrase FROM benchmark"
+
+
+@query(
+    f"WITH p AS ({_PAIRS}), d AS (SELECT doc_id, regexp_replace(lower(text), '\\s+', ' ', 'g') AS t FROM documents) SELECT doc_id, phrase FROM d, p WHERE phrase <> '' AND contains(t, phrase) "
+    f"AND regexp_matches(t, concat('(^|{_EDGE})', phrase, '($|{_EDGE})'))"
+)
+def phrase_matches(spark, sf):
+    """Which documents hold which of the benchmark's first word pairs, as whole words."""
+    given = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.lower(F.regexp_extract("text", r"^[\p{L}]+ [\p{L}]+", 0)).alias("phrase"))
+    return phrases.phrase_places(spark.read.parquet(f"{sf}/documents.parquet"), given, "doc_id").select("doc_id", "phrase").distinct()
