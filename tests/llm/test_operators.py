@@ -610,6 +610,31 @@ def test_planted_secrets_no_base_pattern_catches(texts):
     assert found >= 0.9 * total and false <= 5, (found, total, false)
 
 
+def test_filler_and_margin():
+    """Words repeated on and on are no secret; a span's lead is what it gains over O."""
+    model = secrets.tagger()
+    for text in ("pwd " + "thwhst " * 40, "key " + "schbsch " * 3 + "und so weiter", "Shti " * 500):
+        assert not [k for _, k, _ in secrets.scan(text, model) if k == 3], text
+    text = "the pwd hunter2 of the site"
+    gaps, tokens = secrets.tokens_of(text)
+    score, first = model.scores(gaps, tokens, secrets._about(text, False, tokens))
+    tags = model.tags(score, first)
+    path = [tags.get(i, 0) for i in range(len(tokens))]
+    total = lambda p: sum(score[i, t] for i, t in enumerate(p)) + sum(model.move[a, b] for a, b in zip(p, p[1:]))
+    (i,) = tags
+    assert model.lead(score, first, tags, i, i) == pytest.approx(total(path) - total([0] * len(path))) and model.lead(score, first, tags, i, i) > secrets.MARGIN
+
+
+def test_stored_weights(spark, monkeypatch):
+    model = secrets.tagger()
+    again = secrets.from_bytes(secrets.weight_bytes(model))
+    assert again.slots == model.slots and (again.emit == model.emit).all() and (again.move == model.move).all()
+    secrets.stored_tagger(spark)
+    monkeypatch.setattr(secrets, "_STORED", {})
+    monkeypatch.setattr(secrets, "tagger", lambda: pytest.fail("trained again"))
+    assert (secrets.stored_tagger(spark).emit == model.emit).all()
+
+
 def test_masking(docs):
     assert secrets.mask("a SECRET=abcdefg b", secrets.base_spans("a SECRET=abcdefg b")) == "a <SECRET> b"
     assert secrets.mask(None, []) is None
