@@ -111,3 +111,16 @@ def test_phrase_places_in_one_part_and_in_many(spark):
         got = phrases.phrase_places(spark.createDataFrame(texts, "id int, text string").withColumn("phrase", F.lit(1)), spark.createDataFrame([(p,) for p in listed], "phrase string"), most=most)
         assert got.columns == ["id", "phrase", "start", "end"] and sorted(map(tuple, got.collect())) == sorted(want)
     assert phrases.phrase_places(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([], "phrase string")).count() == 0
+
+
+def test_written_tables_can_be_removed(spark):
+    from tidewarden.sources import shared
+
+    shared.remove_written(spark)
+    frame = shared.materialise(spark.range(5), "gone")
+    assert frame.count() == 5 and shared.remove_written(spark) == 1 and shared.remove_written(spark) == 0
+    try:
+        spark.read.parquet(frame.inputFiles()[0])
+        raise AssertionError("still there")
+    except Exception as error:  # noqa: BLE001
+        assert "PATH_NOT_FOUND" in str(error) or "does not exist" in str(error)

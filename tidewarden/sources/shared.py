@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows per Arrow batch handed to Python: documents can be long, so batches stay small.
 ARROW_ROWS = 1000
 _OWN: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,7 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_written(spark: SparkSession) -> int:
+    """Delete what this session has written to paths of new_path(); how many there were.
+
+    Frames still to be read may stand on them, so it is for the caller to say when:
+    after a query's result is written.
+    """
+    gone = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in gone:
+        own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
+    return len(gone)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -45,7 +61,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Lower the Arrow batch size to ``rows`` unless it is lower already."""
+    """Lower the session's Arrow batch size to ``rows`` unless it is lower already.
+
+    It stays so, as frames are read later; a smaller batch changes no result.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
