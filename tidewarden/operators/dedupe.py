@@ -92,6 +92,9 @@ class Sketch:
 
 def _rows(df: DataFrame, key: Column, text: str, within: str | None) -> DataFrame:
     arrow_rows(df.sparkSession)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if 0 < len(df.inputFiles()) < cores:  # fewer files than cores: texts are dealt out before they are hashed
+        df = df.repartition(cores)
     return df.select(key.alias("id"), F.col(text).cast("string").alias("text"), (F.lit(None) if within is None else F.coalesce(F.col(within).cast("string"), F.lit(""))).cast("string").alias("within"))
 
 
