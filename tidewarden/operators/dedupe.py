@@ -1,14 +1,16 @@
 """Exact Jaccard similarity join over character shingles, and what is built on it.
 
-Candidates come from prefix filtering, not from LSH: with shingles in any one order,
-two sets of Jaccard t or more share one among the first ``n - ceil(t * n) + 1`` of each.
-The order is (sketched count, hash), rarest first: a count-min sketch of fixed size,
-summed in Spark, is sent to the tasks, so every row finds its own prefix and no shingle
-is shuffled to be counted or ranked.  The sketch never counts too few, so a shingle it
-counts once occurs in no other set and is no key.  Candidates pass a size, a place and a
-parity test, each without loss, before the sets themselves are compared, in integers.
-Rows of equal sets are merged before and share one row's edges.
-
+Candidates come from no LSH.  Inside a table the sets meet by classes of size, and pairs
+pass by the parity bits of their shingles, without loss, before the sets themselves are
+compared, in integers: neither shingles nor candidates are shuffled.  The pairs looked at
+are those of fitting sizes, so the time has a part that grows with their number, though
+the disk does not.  Rows of equal sets are merged before and share one row's edges.
+
+Against a reference, candidates come from prefix filtering: with shingles in any one
+order, two sets of Jaccard t or more share one among the first ``n - ceil(t * n) + 1`` of
+each.  The order is (sketched count, hash), rarest first: a count-min sketch of fixed
+size, summed in Spark, is sent to the tasks, so every row finds its own prefix and no
+shingle is shuffled to be counted or ranked.  Size, place and parity tests follow.
 Against a reference the sketch is that of the reference: a shingle it counts 0 times is
 not there.  A row with too few others leaves the scan at once, without a key.
 """
@@ -90,10 +92,10 @@ class Sketch:
         return np.minimum.reduce([self.counts[r][c] for r, c in enumerate(self.columns(grams))])
 
 
-def _rows(df: DataFrame, key: Column, text: str, within: str | None) -> DataFrame:
+def _rows(df: DataFrame, key: Column, text: str, within: str | None, deal: bool = True) -> DataFrame:
     arrow_rows(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if 0 < len(df.inputFiles()) < cores:  # fewer files than cores: texts are dealt out before they are hashed
+    if deal and 0 < len(df.inputFiles()) < cores:  # fewer files than cores: texts are dealt out before they are hashed
         df = df.repartition(cores)
     return df.select(key.alias("id"), F.col(text).cast("string").alias("text"), (F.lit(None) if within is None else F.coalesce(F.col(within).cast("string"), F.lit(""))).cast("string").alias("within"))
 
@@ -220,13 +222,146 @@ def _ids(*columns: DataFrame) -> DataFrame:
     return materialise(out.distinct(), "needed")
 
 
+#: Blocks that each class of sizes is dealt into; every pair of them is a cell, so a row is handed on that many times.
+BLOCKS = 6
+#: Pairs of similar sets that are compared in one cell, about.
+CELL_PAIRS = 4000
+#: Bytes of parity words compared at once.
+CACHE = 1 << 18
+
+
+def _bounds(most: int, threshold) -> np.ndarray:
+    """Least sizes of the classes, in whole numbers: sets of fitting sizes are of one class or of neighbours."""
+    num, den = threshold
+    out = [0, 1]
+    while out[-1] <= most:
+        out.append(out[-1] * den // num + 1)
+    return np.array(out)
+
+
+def _words(above: int, threshold) -> int:
+    """64-bit words of parity for sets of fewer than ``above`` shingles: unrelated ones differ in about half of the bits, which is more than similar ones can."""
+    num, den = threshold
+    bits = 2.15 * above * (den - num) / num
+    return int(bits + 5 * bits**0.5 + 32) // 64 + 1
+
+
+def _parity(grams: np.ndarray, words: int) -> bytes:
+    odd = np.bincount((grams % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+_SIGNED = "set_id long, text_id long, n int, class int, own binary, below binary"
+
+
+def _signed(df: DataFrame, key: Column, text: str, within: str | None, threshold) -> DataFrame:
+    """id, set_id, text_id, n, class, parity bits as long as the class and as the class below ask for."""
+    rows = _rows(df, key, text, within).select("*", F.xxhash64("text", "within").alias("text_id"))
+
+    def run(batches):
+        bounds = _bounds(1, threshold)
+        for batch in batches:
+            out = []
+            for t, g in _each(batch):
+                grams = gram_hashes(t, g)
+                n = len(grams)
+                bounds = bounds if n < bounds[-1] else _bounds(n, threshold)
+                c = int(np.searchsorted(bounds, n, "right"))  # bounds[c - 1] <= n < bounds[c]
+                out.append((xxhash.xxh64_intdigest(grams.tobytes()) - (1 << 63), n, c, _parity(grams, _words(int(bounds[c]), threshold)), _parity(grams, _words(int(bounds[c - 1]), threshold))))
+            ids, sizes, classes, own, below = zip(*out) if out else ((),) * 5
+            columns = [batch.column(0), pa.array(ids, pa.int64()), batch.column(3), pa.array(sizes, pa.int32()), pa.array(classes, pa.int32()), pa.array(own, pa.binary()), pa.array(below, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "set_id", "text_id", "n", "class", "own", "below"])
+
+    return materialise(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {_SIGNED}"), "sets")
+
+
+def _close(sets: DataFrame, threshold) -> DataFrame:
+    """(a, b), a < b: all pairs of distinct sets that may reach the threshold by their sizes and parity bits.
+
+    Jaccard >= num/den bounds the symmetric difference by (|a| + |b|)(den - num)/(den + num),
+    and no more parity bits differ.  A class meets itself and the class above, whose rows
+    come as guests.  Both are dealt into blocks and every pair of blocks is a task's work,
+    so a row is handed on BLOCKS times for each of the two, whatever the input; no pair is,
+    but for those that pass.
+    """
+    num, den = threshold
+    rows = sets.select("set_id", "n", F.explode(F.array(F.struct(F.col("class"), F.lit(False).alias("guest"), F.col("own").alias("bits")), F.struct((F.col("class") - 1).alias("class"), F.lit(True).alias("guest"), F.col("below").alias("bits")))).alias("r"))
+    block = F.pmod(F.xxhash64("set_id", F.lit("block")), F.lit(BLOCKS)).cast("int")
+    dealt = rows.select("set_id", "n", "r.*", block.alias("block")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    dealt = dealt.select("set_id", "n", "class", "guest", "bits", (F.col("block") > F.col("other")).alias("second"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def cell(table: pa.Table) -> pa.Table:
+        n, ids = table["n"].to_numpy().astype(np.int64), table["set_id"].to_numpy()
+        guest, second = table["guest"].to_numpy(), table["second"].to_numpy()
+        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(n), -1)
+        found = [np.zeros((0, 2), np.int64)]
+
+        def meet(left: np.ndarray, right: np.ndarray, same: bool) -> None:
+            left, right = left[np.argsort(n[left], kind="stable")], right[np.argsort(n[right], kind="stable")]
+            step = max(64, CACHE // (8 * bits.shape[1]))
+            least = np.searchsorted(n[right] * den, n[left] * num, "left")  # right * den >= left * num
+            most = np.searchsorted(n[right] * num, n[left] * den, "right")
+            for at in range(0, len(right), step):
+                own = right[at : at + step]
+                words, sizes = np.ascontiguousarray(bits[own].T), n[own]
+                for k in np.flatnonzero((least < at + step) & (most > at)):
+                    lo, hi = max(int(least[k]) - at, k + 1 - at if same else 0, 0), min(int(most[k]) - at, len(own))
+                    if lo < hi:
+                        apart = np.bitwise_count(words[:, lo:hi] ^ bits[left[k]][:, None]).sum(axis=0, dtype=np.uint32)
+                        near = np.flatnonzero(apart.astype(np.int64) * (den + num) <= (n[left[k]] + sizes[lo:hi]) * (den - num))
+                        if len(near):
+                            others = ids[own[lo + near]]
+                            found.append(np.stack([np.minimum(ids[left[k]], others), np.maximum(ids[left[k]], others)], axis=1))
+
+        if table["i"][0] == table["j"][0]:
+            hosts = np.flatnonzero(~guest)
+            meet(hosts, hosts, True)
+            meet(hosts, np.flatnonzero(guest), False)
+        else:
+            meet(np.flatnonzero(~guest & ~second), np.flatnonzero(second), False)
+            meet(np.flatnonzero(guest & ~second), np.flatnonzero(~guest & second), False)
+        pairs = np.concatenate(found)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return materialise(dealt.groupBy("class", "i", "j").applyInArrow(cell, "a long, b long"), "near")
+
+
+def _compared(near: DataFrame, sets: DataFrame, df: DataFrame, text: str, within: str | None, threshold) -> DataFrame:
+    """Of the pairs those that reach the threshold: their texts, which are smaller than their shingles, are brought together and hashed again.
+
+    Pairs come in cells of those whose later set has the same least neighbour, large ones
+    dealt by both sets into about CELL_PAIRS each: a text is sent and hashed once a cell,
+    not once a pair.
+    """
+    num, den = threshold
+    needed = materialise(near.select("a").union(near.select("b")).toDF("set_id").distinct().join(sets.select("set_id", "text_id"), "set_id"), "needed")
+    few = needed.count() <= MAX_IDS
+    texts = _rows(df, F.lit(0), text, within, False).select(F.xxhash64("text", "within").alias("text_id"), "text", "within")
+    texts = texts.join(F.broadcast(needed) if few else needed, "text_id").dropDuplicates(["set_id"]).select("set_id", "text", "within")
+    least = near.groupBy("b").agg(F.min("a").alias("label"), F.count("*").alias("n"))
+    sides = least.groupBy("label").agg(F.ceil(F.sqrt(F.sum("n") / CELL_PAIRS)).cast("int").alias("sides"))
+    part = lambda c: F.pmod(F.xxhash64(c, F.lit("cell")), F.col("sides"))
+    cells = materialise(near.join(least.join(sides, "label").select("b", "label", "sides"), "b").select("a", "b", "label", part("a").alias("i"), part("b").alias("j")), "cells")
+    members = cells.select(F.col("label").alias("of"), F.col("i").alias("oi"), F.col("j").alias("oj"), F.explode(F.array("a", "b")).alias("set_id")).distinct().join(texts, "set_id")
+
+    def cell(pairs: pa.Table, own: pa.Table) -> pa.Table:
+        grams = {s: gram_hashes(t, w) for s, t, w in zip(own["set_id"].to_pylist(), own["text"].to_pylist(), own["within"].to_pylist())}
+        keep = []
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
+            x, y = grams[a], grams[b]
+            both = np.sort(np.concatenate([x, y]))
+            shared = int(np.count_nonzero(both[1:] == both[:-1]))
+            keep.append(shared * den >= (len(x) + len(y) - shared) * num)
+        return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return materialise(cells.groupBy("label", "i", "j").cogroup(members.groupBy("of", "oi", "oj")).applyInArrow(cell, "a long, b long"), "similar")
+
+
 def similar_sets(df: DataFrame, key: str = "id", text: str = "text", threshold=THRESHOLD, within: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(id -> set_id, pairs (a, b), a < b, of similar sets): copies stay one set, no pair is lost."""
-    rows = _described(df, F.col(key), text, within, sketch(df, text, within), threshold, 2, False)
-    sets = materialise(rows.select("set_id", "n", "keys", "bits").dropDuplicates(["set_id"]), "distinct-sets")
-    near = _near(sets, sets, threshold, True)
-    grams = _grams(df, text, within, _ids(near.select("a"), near.select("b")))
-    return rows.select("id", "set_id"), _verified(near, grams, grams, threshold)
+    rows = _signed(df, F.col(key), text, within, threshold)
+    sets = materialise(rows.drop("id").dropDuplicates(["set_id"]), "distinct-sets")
+    return rows.select("id", "set_id"), _compared(_close(sets, threshold), sets, df, text, within, threshold)
 
 
 def without_similar(df: DataFrame, reference: DataFrame, key: str = "id", text: str = "text", ref_text: str = "text", threshold=THRESHOLD) -> DataFrame:
