@@ -67,6 +67,23 @@ def test_group_split(spark):
     assert all(sum(r.seed_group == g and r.split == "dev" for r in out) <= 4 for g in dev)
 
 
+def test_group_split_sql_drops_near_copies(spark, tmp_path):
+    import duckdb
+
+    from tidewarden.plans import dataset
+
+    # every document of a group is a near copy: but for the drawing, one of each group is left
+    body = "one long and quite ordinary sentence that many documents of a group share word for word until the very end "
+    docs = [(i, f"{body * 3}{i % 3}", f"s{i % 2}") for i in range(120)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, i // 10 % 2) for i in range(120)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    got = {(r.id, r.split) for r in dataset.group_split(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert got == set(con.sql(dataset.ORACLE["group_split"]).fetchall()) and "dev" in {s for _, s in got}
+
+
 def test_flags_and_placeholders(spark):
     kind = "id int, verdict string, text string, red_flags array<struct<quote: string, reason: string>>"
     rows = [(1, "SCAM", "code <OTP> here", [("code <OTP>", "asks_otp_or_pin")]), (2, "SCAM", "code <OTP> here", [("<OT", "asks_otp_or_pin")]), (3, "SAFE", "x <ACCT>", [])]

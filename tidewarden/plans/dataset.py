@@ -96,6 +96,14 @@ def first_kept(spark, sf):
     return dedupe.first_kept(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").select("doc_id")
 
 
+#: The greedy rule over arcs (first, later), in the order of names: ``last`` holds the names that go.
+_WALK = (
+    "n AS MATERIALIZED (SELECT name, row_number() OVER (ORDER BY name) AS k FROM (SELECT DISTINCT later AS name FROM arc)), "
+    "walk(k, gone) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT w.k + 1, CASE WHEN EXISTS (SELECT 1 FROM arc WHERE arc.later = n.name AND NOT list_contains(w.gone, arc.first)) THEN list_append(w.gone, n.name) ELSE w.gone END FROM walk w JOIN n ON n.k = w.k + 1), "
+    "last AS (SELECT gone FROM walk ORDER BY k DESC LIMIT 1)"
+)
+
+
 _STRATA = (
     "f AS (SELECT seed_group, arg_min(verdict, id) AS v FROM i GROUP BY seed_group), c AS (SELECT seed_group, category, count(*) AS n FROM i GROUP BY ALL), "
     "t AS (SELECT seed_group, category FROM c QUALIFY row_number() OVER (PARTITION BY seed_group ORDER BY n DESC, category) = 1), "
@@ -112,9 +120,15 @@ _G = duck(ITEMS).replace("d.source AS seed_group", "concat(d.source, '-', CAST(e
 
 
 @query(
-    f"WITH i AS ({_G}), {_STRATA}, z AS (SELECT seed_group, stratum, (SELECT count(*) FROM i WHERE i.seed_group = st.seed_group) AS n FROM st), "
-    f"o AS (SELECT *, {_draw(7, 'group', 'seed_group')} AS u FROM z), w AS (SELECT seed_group, coalesce(sum(least(n, 4)) OVER (PARTITION BY stratum ORDER BY u, seed_group ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY stratum ORDER BY u, seed_group) AS k, count(*) OVER (PARTITION BY stratum) AS total FROM o), "
-    f"x AS (SELECT i.id, w.before < 6 AND w.k < w.total AS dev, row_number() OVER (PARTITION BY i.seed_group ORDER BY {_draw(7, 'item', 'i.id')}, i.id) AS r FROM i JOIN w ON i.seed_group = w.seed_group) SELECT id, CASE WHEN NOT dev THEN 'train' WHEN r <= 4 THEN 'dev' ELSE 'dropped' END AS split FROM x"
+    f"WITH RECURSIVE i AS MATERIALIZED ({_G}), {_STRATA}, o AS (SELECT *, {_draw(7, 'group', 'seed_group')} AS u FROM st), "
+    "w AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY u, seed_group) AS k, count(*) OVER (PARTITION BY stratum) AS total FROM o), reach AS MATERIALIZED (SELECT seed_group, stratum, u FROM w WHERE k <= 6 AND k < total), "
+    f"z AS MATERIALIZED (SELECT id, CAST(id AS VARCHAR) AS name, seed_group, {_grams_of('t')} AS g FROM (SELECT i.id, i.seed_group, coalesce(i.text, '') AS t FROM i JOIN reach ON i.seed_group = reach.seed_group)), "
+    "s AS (SELECT name, seed_group, len(g) AS n, unnest(g) AS x FROM z), fx AS (SELECT x, count(*) AS k FROM s GROUP BY x), p AS MATERIALIZED (SELECT name, seed_group, n, x FROM s JOIN fx USING (x) QUALIFY row_number() OVER (PARTITION BY name ORDER BY k, x) <= n - CAST(ceil(n * 0.8) AS BIGINT) + 1), "
+    "q AS (SELECT DISTINCT a.name AS first, b.name AS later FROM p a JOIN p b ON a.x = b.x AND a.seed_group = b.seed_group AND a.name < b.name AND a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4), "
+    "arc AS MATERIALIZED (SELECT q.first, q.later FROM q JOIN z a ON q.first = a.name JOIN z b ON q.later = b.name WHERE 9 * len(list_intersect(a.g, b.g)) >= 4 * (len(a.g) + len(b.g))), "
+    f"{_WALK}, y AS MATERIALIZED (SELECT id, seed_group, row_number() OVER (PARTITION BY seed_group ORDER BY {_draw(7, 'item', 'id')}, id) AS r FROM z, last WHERE NOT list_contains(gone, name)), "
+    "m AS (SELECT seed_group, least(count(*), 4) AS n FROM y GROUP BY seed_group), v AS (SELECT m.seed_group, coalesce(sum(n) OVER (PARTITION BY stratum ORDER BY u, m.seed_group ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 6 AS dev FROM m JOIN reach ON m.seed_group = reach.seed_group) "
+    "SELECT i.id, CASE WHEN NOT coalesce(v.dev, false) THEN 'train' WHEN y.r <= 4 THEN 'dev' ELSE 'dropped' END AS split FROM i LEFT JOIN v ON i.seed_group = v.seed_group LEFT JOIN y ON i.id = y.id"
 )
 def group_split(spark, sf):
     rows = _items(spark, sf).withColumn("seed_group", F.concat_ws("-", "seed_group", (F.col("id") % 5).cast("string")))
