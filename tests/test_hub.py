@@ -45,6 +45,12 @@ def test_explanation_problems(spark, said, verdict, language, message, want):
     assert row.select(messages.explanation_problems(F.col("s"), F.col("v"), language, F.col("t")).alias("p")).first().p == want
 
 
+def test_clean_flags_normalises_a_text_once(spark, tiny):
+    plan = hub.clean_flags(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(hub._UNPLAIN) == 1
+    assert re.search(r"\w+\(text#\d+, \[\^", plan) is None  # no class is negated
+
+
 def test_clean_flags(spark):
     text = "Visit own.com/app.apk and share the OTP now"
     cases = [
