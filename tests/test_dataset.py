@@ -146,6 +146,15 @@ def test_phrase_places_in_one_part_and_in_many(spark):
     assert phrases.phrase_places(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([], "phrase string")).count() == 0
 
 
+def test_phrase_places_do_not_depend_on_line_ends(spark):
+    """A text with line ends is lowered as the phrases are: as a whole."""
+    from tidewarden.operators import phrases
+
+    texts = [(1, "\u039f\u0394\u039f\u03a3 x"), (2, "\u039f\u0394\u039f\u03a3\n\nx"), (3, "\n \u0391 \t\u039f\u0394\u039f\u03a3\u2003.")]
+    got = phrases.phrase_places(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([("\u039f\u0394\u039f\u03a3",)], "phrase string"))
+    assert sorted((r.id, r.start, r.end) for r in got.collect()) == [(1, 0, 4), (2, 0, 4), (3, 5, 9)]
+
+
 def test_written_tables_can_be_removed(spark):
     from tidewarden.sources import shared
 
