@@ -155,6 +155,31 @@ def test_phrase_places_do_not_depend_on_line_ends(spark):
     assert sorted((r.id, r.start, r.end) for r in got.collect()) == [(1, 0, 4), (2, 0, 4), (3, 5, 9)]
 
 
+def test_phrase_places_beside_a_sign_that_becomes_two():
+    """One such sign anywhere lost the text's final sigmas; places are counted in the text as it was, in time that grows with it."""
+    import time
+
+    from tidewarden.functions.phrases import PhraseMatcher
+
+    matcher = PhraseMatcher(["\u039f\u0394\u039f\u03a3", "i\u0307z", "k"])
+    assert matcher.find("\u0130\u0130 \n\u039f\u0394\u039f\u03a3\u2003x \u0130Z.") == [(4, 8, 0), (11, 13, 1)] == matcher.find("\u0130\u0130  \u039f\u0394\u039f\u03a3 x \u0130Z.")
+    began = time.time()
+    assert matcher.find("\u0130-" + "k-" * 50_000) == [(2 + 2 * i, 3 + 2 * i, 2) for i in range(50_000)]
+    assert time.time() - began < 5
+
+
+def test_phrase_places_are_handed_on_in_bounded_batches():
+    import pyarrow as pa
+
+    from tidewarden.functions.phrases import PhraseMatcher
+    from tidewarden.operators import phrases
+
+    batch = pa.RecordBatch.from_pydict({"id": [5, 6, 7, 8], "text": ["k " * 7, None, "", "k k"]})
+    got = list(phrases._placed(batch, PhraseMatcher(["k"]), 3))
+    assert [b.num_rows for b in got] == [3, 3, 3, 0] and [r["id"] for b in got for r in b.to_pylist()] == [5] * 7 + [8] * 2
+    assert [(r["start"], r["end"]) for b in got for r in b.to_pylist()] == [(2 * i, 2 * i + 1) for i in range(7)] + [(0, 1), (2, 3)]
+
+
 def test_written_tables_can_be_removed(spark):
     from tidewarden.sources import shared
 

@@ -3,7 +3,8 @@
 The phrases may be many: texts meet an automaton (functions/phrases.py), whose work does
 not depend on their number.  It is sent to the tasks up to ``MAX_PHRASES`` phrases and
 ``MAX_BYTES`` bytes, counted first; more are dealt into parts of that size, and the
-texts are read once for each part.
+texts are read once for each part.  Places are handed on ``PLACES`` at a time: a task
+holds those and one text's own, not those of a whole batch of texts.
 """
 
 from __future__ import annotations
@@ -15,7 +16,25 @@ from pyspark.sql import functions as F
 from ..functions.phrases import PhraseMatcher
 from ..sources.shared import arrow_rows
 
-MAX_PHRASES, MAX_BYTES = 500_000, 16 << 20
+MAX_PHRASES, MAX_BYTES, PLACES = 500_000, 16 << 20, 50_000
+
+
+def _placed(batch: pa.RecordBatch, matcher: PhraseMatcher, most: int = PLACES):
+    """The places in a batch of (id, text) as batches of ``most`` rows at most."""
+
+    def rows(at, found):
+        columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array([matcher.phrases[p] for *_, p in found], pa.string()), pa.array([a for a, *_ in found], pa.int32()), pa.array([b for _, b, _ in found], pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, ["id", "phrase", "start", "end"])
+
+    at, found = [], []
+    for i, t in enumerate(batch.column(1)):
+        for place in matcher.find(t.as_py() or ""):
+            at.append(i)
+            found.append(place)
+            if len(at) == most:
+                yield rows(at, found)
+                at, found = [], []
+    yield rows(at, found)
 
 
 def phrase_places(texts: DataFrame, phrases: DataFrame, key: str = "id", text: str = "text", phrase: str = "phrase", most: int = MAX_PHRASES) -> DataFrame:
@@ -33,15 +52,8 @@ def phrase_places(texts: DataFrame, phrases: DataFrame, key: str = "id", text: s
         sent = spark.sparkContext.broadcast(PhraseMatcher(sorted(r.phrase for r in own.collect())))  # a part's bound
 
         def run(batches):
-            matcher = sent.value
             for batch in batches:
-                at, found = [], []
-                for i, t in enumerate(batch.column(1).to_pylist()):
-                    places = matcher.find(t) if t else []
-                    at += [i] * len(places)
-                    found += places
-                columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array([matcher.phrases[p] for *_, p in found], pa.string()), pa.array([a for a, *_ in found], pa.int32()), pa.array([b for _, b, _ in found], pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "phrase", "start", "end"])
+                yield from _placed(batch, sent.value)
 
         return rows.mapInArrow(run, f"id {kind}, phrase string, start int, end int")
 
