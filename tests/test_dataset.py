@@ -42,6 +42,41 @@ def test_sets_meet_by_size_and_parity_without_loss_or_postings(spark, monkeypatc
     assert all(bounds[k + 2] > (bounds[k + 1] - 1) * 5 / 4 for k in range(1, len(bounds) - 2))
 
 
+def test_cells_lose_no_pair_and_compare_the_bits_of_few(monkeypatch):
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(dedupe, "TILE", 16)  # several groups and tiles
+    draw, texts = random.Random(5), []
+    for letters in ("abcdefghijkl", "mnopqrstuvwxyz"):  # as of two languages
+        words = ["".join(draw.choices(letters, k=draw.randint(2, 9))) for _ in range(500)]
+        for _ in range(70):
+            texts.append(own := draw.choices(words, k=draw.randint(135, 165)))
+            texts += [[draw.choice(words) if draw.random() < p else w for w in own] for p in (0.01, 0.05, 0.07, 0.1) if draw.random() < 0.3]
+    sets = [dedupe.gram_hashes(" ".join(t)) for t in texts]
+    for k in range(20):  # at the boundary: 400 of 500 shared, and one less
+        base = np.random.default_rng(k).integers(0, 2**63, 501, np.uint64) << np.uint64(1)
+        sets += [np.sort(base[:450]), np.sort(np.append(base[:400], base[450:500])), np.sort(np.append(base[:399], base[450:501]))]
+    n = np.array([len(x) for x in sets])
+    above, both = int(n.max()) + 1, lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    words, packed = dedupe._words(above, (4, 5)), np.array([np.frombuffer(dedupe._counts(x, dedupe._buckets(above)), np.uint8) for x in sets])
+    bits = np.array([np.frombuffer(dedupe._parity(x, words), np.uint64) for x in sets])
+    order, pairs = np.random.default_rng(0).permutation(len(n)), list(itertools.combinations(range(len(n)), 2))
+    want = {(i, j) for i, j in pairs if 5 * both(i, j) >= 4 * (n[i] + n[j] - both(i, j))}
+    fits = sum(4 * n[i] <= 5 * n[j] and 4 * n[j] <= 5 * n[i] for i, j in pairs)
+    compared = []
+    for meetings in ([(order, order, True)], [(order[::2], order[::2], True), (order[::2], order[1::2], False), (order[1::2], order[1::2], True)]):
+        cell = dedupe._Cell(n, bits, np.stack([packed & 15, packed >> 4], axis=2).reshape(len(n), -1), (4, 5))
+        looked = cell.pairs
+        cell.pairs = lambda a, b, looked=looked: (compared.append(len(a)), looked(a, b))
+        for x in meetings:
+            cell.meet(*x)
+        found = [tuple(sorted(x)) for a, b in cell.found for x in zip(a.tolist(), b.tolist())]
+        assert len(found) == len(set(found)) and want <= set(found) and len(want) > 60
+    assert sum(compared) < 2 * 0.1 * fits  # all of them were compared before
+
+
 def test_first_kept_is_greedy_in_string_order(spark):
     base = "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf again"
     rows = [("x-2", base), ("x-10", base + "!"), ("b", base + " now"), ("z", "something else entirely here"), ("c", "unrelated words of another kind"), ("d", None)]

@@ -1,10 +1,12 @@
 """Exact Jaccard similarity join over character shingles, and what is built on it.
 
 Candidates come from no LSH.  Inside a table the sets meet by classes of size, and pairs
-pass by the parity bits of their shingles, without loss, before the sets themselves are
-compared, in integers: neither shingles nor candidates are shuffled.  The pairs looked at
-are those of fitting sizes, so the time has a part that grows with their number, though
-the disk does not.  Rows of equal sets are merged before and share one row's edges.
+pass by counts of their shingles in buckets and by parity bits, without loss, before the
+sets themselves are compared, in integers: neither shingles nor candidates are shuffled.
+The counts are compared as matrices, and groups of rows that lie apart (texts of two
+languages) are passed over whole.  The pairs looked at are those of fitting sizes, so the
+time has a part that grows with their number, though the disk does not.  Rows of equal
+sets are merged before and share one row's edges.
 
 Against a reference, candidates come from prefix filtering: with shingles in any one
 order, two sets of Jaccard t or more share one among the first ``n - ceil(t * n) + 1`` of
@@ -50,16 +52,36 @@ MAX_IDS = 1_000_000
 #: Windows of a text hashed at once.
 STRETCH = 1 << 20
 BITS = 32
+#: Low bits of a shingle's hash that say the least of its runs of four characters: neighbours in a text often share them.
+RUN = 11
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def _hashed(points: np.ndarray, size: int, salt: int) -> np.ndarray:
     h = np.full(len(points) - size + 1, np.uint64(salt))
-    for k in range(size):
-        h = (h ^ points[k : len(points) - size + 1 + k]) * _ODD[0]
-        h ^= h >> np.uint64(29)
-    return np.unique(h * _ODD[1])
+    if size < 3:
+        for k in range(size):
+            h = (h ^ points[k : k + len(h)]) * _ODD[0]
+            h ^= h >> np.uint64(29)
+        h *= _ODD[1]
+    else:
+        runs = (points[:-2] << np.uint64(42)) | (points[1:-1] << np.uint64(21)) | points[2:]  # whole, as a code point has 21 bits at most
+        runs *= _ODD[0]
+        runs ^= runs >> np.uint64(32)
+        runs *= _ODD[1]
+        for k in [*range(0, size - 3, 3), size - 3]:
+            h ^= runs[k : k + len(h)]
+            h *= _ODD[2]
+            h ^= h >> np.uint64(29)
+        h *= _ODD[0]
+        longer = runs[:-1] * _ODD[2] ^ runs[1:] if size > 3 else runs
+        least = np.minimum.reduce([longer[k : k + len(h)] for k in range(max(1, size - 3))]) * _ODD[1]
+        h >>= np.uint64(RUN)
+        h <<= np.uint64(RUN)
+        h |= least >> np.uint64(64 - RUN)
+    h.sort()
+    return h[np.append(True, h[1:] != h[:-1])]
 
 
 def gram_hashes(text: str | None, group: str | None = None, size: int = SIZE) -> np.ndarray:
@@ -70,7 +92,7 @@ def gram_hashes(text: str | None, group: str | None = None, size: int = SIZE) ->
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     salt = size if group is None else xxhash.xxh64_intdigest(group.encode("utf-8", "surrogatepass"), seed=size)
     if len(points) < size:
-        return _hashed(np.append(points, np.uint32(1 << 31)).astype(np.uint64), len(points) + 1, salt)
+        return _hashed(np.append(points, np.uint32((1 << 21) - 1)).astype(np.uint64), len(points) + 1, salt)
     found = np.zeros(0, np.uint64)
     for at in range(0, len(points) - size + 1, STRETCH):
         own = _hashed(points[at : at + STRETCH + size - 1].astype(np.uint64), size, salt)
@@ -124,7 +146,7 @@ def sketch(df: DataFrame, text: str = "text", within: str | None = None) -> Sket
 
 def parity_bits(grams: np.ndarray) -> np.ndarray:
     """32 words of parity bits of a set: differing bits are at most the symmetric difference."""
-    odd = np.bincount((grams & np.uint64(64 * BITS - 1)).astype(np.int64), minlength=64 * BITS) & 1
+    odd = np.bincount((grams >> np.uint64(RUN) & np.uint64(64 * BITS - 1)).astype(np.int64), minlength=64 * BITS) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
@@ -225,9 +247,11 @@ def _ids(*columns: DataFrame) -> DataFrame:
 #: Blocks that each class of sizes is dealt into; every pair of them is a cell, so a row is handed on that many times.
 BLOCKS = 6
 #: Pairs of similar sets that are compared in one cell, about.
-CELL_PAIRS = 4000
-#: Bytes of parity words compared at once.
-CACHE = 1 << 18
+CELL_PAIRS = 20_000
+#: Rows compared with so many others at once, and bytes of parity bits compared at once.
+TILE, OTHERS, CACHE = 256, 2048, 1 << 18
+#: A bucket's count stops here: it is no more apart than the shingles are.
+MOST = 15
 
 
 def _bounds(most: int, threshold) -> np.ndarray:
@@ -247,15 +271,31 @@ def _words(above: int, threshold) -> int:
 
 
 def _parity(grams: np.ndarray, words: int) -> bytes:
-    odd = np.bincount((grams % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    odd = np.bincount(((grams >> np.uint64(32)) * np.uint64(64 * words) >> np.uint64(32)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-_SIGNED = "set_id long, text_id long, n int, class int, own binary, below binary"
+def _buckets(above: int) -> int:
+    """Buckets for sets of fewer than ``above`` shingles."""
+    return min(max(above // 160 * 32, 64), 1 << RUN)
+
+
+def _counts(grams: np.ndarray, buckets: int) -> bytes:
+    """Shingles in each bucket, MOST at most, two buckets a byte.
+
+    A bucket takes runs of text, not single shingles, so that the counts of unrelated texts
+    lie further apart than chance would deal them.
+    """
+    bucket = ((grams & np.uint64((1 << RUN) - 1)) * np.uint64(buckets)) >> np.uint64(RUN)
+    n = np.minimum(np.bincount(bucket.astype(np.int64), minlength=buckets), MOST).astype(np.uint8)
+    return (n[0::2] | n[1::2] << 4).tobytes()
+
+
+_SIGNED = "set_id long, text_id long, n int, class int, own binary, below binary, own_counts binary, below_counts binary"
 
 
 def _signed(df: DataFrame, key: Column, text: str, within: str | None, threshold) -> DataFrame:
-    """id, set_id, text_id, n, class, parity bits as long as the class and as the class below ask for."""
+    """id, set_id, text_id, n, class, parity bits and counts as long as the class and as the class below ask for."""
     rows = _rows(df, key, text, within).select("*", F.xxhash64("text", "within").alias("text_id"))
 
     def run(batches):
@@ -267,61 +307,135 @@ def _signed(df: DataFrame, key: Column, text: str, within: str | None, threshold
                 n = len(grams)
                 bounds = bounds if n < bounds[-1] else _bounds(n, threshold)
                 c = int(np.searchsorted(bounds, n, "right"))  # bounds[c - 1] <= n < bounds[c]
-                out.append((xxhash.xxh64_intdigest(grams.tobytes()) - (1 << 63), n, c, _parity(grams, _words(int(bounds[c]), threshold)), _parity(grams, _words(int(bounds[c - 1]), threshold))))
-            ids, sizes, classes, own, below = zip(*out) if out else ((),) * 5
-            columns = [batch.column(0), pa.array(ids, pa.int64()), batch.column(3), pa.array(sizes, pa.int32()), pa.array(classes, pa.int32()), pa.array(own, pa.binary()), pa.array(below, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "set_id", "text_id", "n", "class", "own", "below"])
+                signs = [f(grams, g(int(above))) for f, g in ((_parity, lambda x: _words(x, threshold)), (_counts, _buckets)) for above in (bounds[c], bounds[c - 1])]
+                out.append((xxhash.xxh64_intdigest(grams.tobytes()) - (1 << 63), n, c, *signs))
+            ids, sizes, classes, *signs = zip(*out) if out else ((),) * 7
+            columns = [batch.column(0), pa.array(ids, pa.int64()), batch.column(3), pa.array(sizes, pa.int32()), pa.array(classes, pa.int32()), *[pa.array(x, pa.binary()) for x in signs]]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "set_id", "text_id", "n", "class", "own", "below", "own_counts", "below_counts"])
 
     return materialise(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {_SIGNED}"), "sets")
 
 
+def _middles(shares: np.ndarray) -> np.ndarray:
+    """Middles of up to eight groups of rows (k-means on some of the rows); any choice of them is right, a good one is quick."""
+    some = shares[:: -(-len(shares) // 2000)]
+    middles = some[:: -(-len(some) // min(8, 1 + len(shares) // TILE))]
+    for _ in range(5):
+        own = _nearest(some, middles)
+        middles = np.stack([some[own == k].mean(axis=0) if (own == k).any() else m for k, m in enumerate(middles)])
+    return middles
+
+
+def _nearest(shares: np.ndarray, middles: np.ndarray) -> np.ndarray:
+    return (shares @ middles.T - (middles * middles).sum(axis=1) / 2).argmax(axis=1)
+
+
+class _Cell:
+    """Rows of one cell, and the pairs of them that may reach the threshold.
+
+    Jaccard >= num/den bounds the symmetric difference by (|a| + |b|)(den - num)/(den + num).
+    The differing parity bits are no more than it, nor is the difference of any sum of
+    the buckets' counts with weights of 1 and -1.  Where those weights are the signs of a
+    row's own deviations, the sums of many pairs are one product of matrices, in whole
+    numbers; where they tell two groups of rows apart, one sum of every row is enough.
+    """
+
+    def __init__(self, n: np.ndarray, bits: np.ndarray, counts: np.ndarray, threshold):
+        self.n, self.bits, self.counts, (num, den) = n, bits, counts, threshold
+        self.num, self.den, self.sum, self.gap = num, den, den + num, den - num
+        self.kind = np.float32 if int(n.max(initial=0)) * self.sum < 1 << 24 else np.float64  # exact for whole numbers
+        self.rank = np.zeros(len(n), np.int64)
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def meet(self, left: np.ndarray, right: np.ndarray, same: bool) -> None:
+        """Rows ``left`` with rows ``right``; ``same``: each pair of one set of rows."""
+        if not len(left) or not len(right):
+            return
+        left, right = (rows[np.argsort(self.n[rows], kind="stable")] for rows in (left, right))
+        self.rank[right] = np.arange(len(right))
+        shares = lambda rows: self.counts[rows] / self.n[rows, None].astype(np.float32)
+        middles = _middles(shares(left))
+        of, by = (np.concatenate([_nearest(shares(rows[k : k + OTHERS]), middles) for k in range(0, len(rows), OTHERS)]) for rows in (left, right))
+        for p, middle in enumerate(middles):
+            own, odd, others = left[of == p], np.zeros(int((of == p).sum()), bool), by == p
+            weights = np.where(middle > middles, self.sum, -self.sum).T.astype(self.kind)
+            us, vs = self.sums(own, weights, -self.gap), self.sums(right, weights, self.gap)
+            for q in range(len(middles) if len(own) else 0):
+                if q != p and (by == q).any():
+                    u, v = us[:, q], vs[by == q, q]  # a pair needs u <= v, so u < x or v >= x whatever x
+                    x = min(np.quantile(u, [0, 0.003, 0.01, 0.03, 0.1], method="lower"), key=lambda x: int((u < x).sum()) * len(right) + int((u >= x).sum()) * int((v >= x).sum()))
+                    odd |= u < x
+                    others[by == q] = v >= x
+            self.compare(own[odd], right, middle, same)
+            self.compare(own[~odd], right[others], middle, same)
+
+    def sums(self, rows: np.ndarray, weights: np.ndarray, gap: int) -> np.ndarray:
+        parts = [self.counts[own].astype(self.kind) @ weights + (gap * self.n[own, None]).astype(self.kind) for own in np.split(rows, range(OTHERS, len(rows), OTHERS))]
+        return np.concatenate(parts)
+
+    def compare(self, left: np.ndarray, right: np.ndarray, middle: np.ndarray, same: bool) -> None:
+        """As meet(), for rows in order of their sizes."""
+        if not len(left) or not len(right):
+            return
+        n, other = self.n[left], self.n[right]
+        least, most = np.searchsorted(other * self.den, n * self.num, "left"), np.searchsorted(other * self.num, n * self.den, "right")
+        if same:  # with the rows that come later
+            least = np.maximum(least, np.searchsorted(self.rank[right], self.rank[left], "right"))
+        sums = np.concatenate([self.counts[right], self.gap * other[:, None]], axis=1, dtype=self.kind)
+        products, passed = np.empty(TILE * OTHERS, self.kind), np.empty(TILE * OTHERS, bool)
+        for at in range(0, len(left), TILE):
+            x, size = self.counts[left[at : at + TILE]].astype(np.int64), n[at : at + TILE, None]
+            y = np.where(x >= size * middle, self.sum, -self.sum)
+            ask = ((x * y).sum(axis=1, keepdims=True) - self.gap * size).astype(self.kind)
+            y = np.append(y, np.ones_like(size), axis=1).astype(self.kind)
+            last = int(most[at + len(x) - 1])
+            for start in range(int(least[at]), last, OTHERS):
+                stop = min(start + OTHERS, last)
+                shape = (len(x), stop - start)
+                product = np.matmul(y, sums[start:stop].T, out=products[: shape[0] * shape[1]].reshape(shape))
+                i, j = np.divmod(np.flatnonzero(np.greater_equal(product, ask, out=passed[: product.size].reshape(shape))), stop - start)
+                i, j = i + at, j + start
+                fit = (j >= least[i]) & (j < most[i])
+                self.pairs(left[i[fit]], right[j[fit]])
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> None:
+        step = max(64, CACHE // (8 * self.bits.shape[1]))
+        for at in range(0, len(a), step):
+            i, j = a[at : at + step], b[at : at + step]
+            words = self.bits[i]
+            words ^= self.bits[j]
+            near = np.bitwise_count(words).sum(axis=1, dtype=np.uint32) * np.int64(self.sum) <= (self.n[i] + self.n[j]) * self.gap
+            if near.any():
+                self.found.append((i[near], j[near]))
+
+
 def _close(sets: DataFrame, threshold) -> DataFrame:
-    """(a, b), a < b: all pairs of distinct sets that may reach the threshold by their sizes and parity bits.
+    """(a, b), a < b: all pairs of distinct sets that may reach the threshold by their sizes, counts and parity bits.
 
-    Jaccard >= num/den bounds the symmetric difference by (|a| + |b|)(den - num)/(den + num),
-    and no more parity bits differ.  A class meets itself and the class above, whose rows
-    come as guests.  Both are dealt into blocks and every pair of blocks is a task's work,
-    so a row is handed on BLOCKS times for each of the two, whatever the input; no pair is,
-    but for those that pass.
+    A class meets itself and the class above, whose rows come as guests.  Both are dealt
+    into blocks and every pair of blocks is a task's work, so a row is handed on BLOCKS
+    times for each of the two, whatever the input; no pair is, but for those that pass.
     """
-    num, den = threshold
-    rows = sets.select("set_id", "n", F.explode(F.array(F.struct(F.col("class"), F.lit(False).alias("guest"), F.col("own").alias("bits")), F.struct((F.col("class") - 1).alias("class"), F.lit(True).alias("guest"), F.col("below").alias("bits")))).alias("r"))
+    sides = [F.struct((F.col("class") - guest).alias("class"), F.lit(bool(guest)).alias("guest"), F.col(of).alias("bits"), F.col(f"{of}_counts").alias("counts")) for guest, of in enumerate(("own", "below"))]
+    rows = sets.select("set_id", "n", F.explode(F.array(*sides)).alias("r"))
     block = F.pmod(F.xxhash64("set_id", F.lit("block")), F.lit(BLOCKS)).cast("int")
     dealt = rows.select("set_id", "n", "r.*", block.alias("block")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    dealt = dealt.select("set_id", "n", "class", "guest", "bits", (F.col("block") > F.col("other")).alias("second"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = dealt.select("set_id", "n", "class", "guest", "bits", "counts", (F.col("block") > F.col("other")).alias("second"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def cell(table: pa.Table) -> pa.Table:
-        n, ids = table["n"].to_numpy().astype(np.int64), table["set_id"].to_numpy()
-        guest, second = table["guest"].to_numpy(), table["second"].to_numpy()
-        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(n), -1)
-        found = [np.zeros((0, 2), np.int64)]
-
-        def meet(left: np.ndarray, right: np.ndarray, same: bool) -> None:
-            left, right = left[np.argsort(n[left], kind="stable")], right[np.argsort(n[right], kind="stable")]
-            step = max(64, CACHE // (8 * bits.shape[1]))
-            least = np.searchsorted(n[right] * den, n[left] * num, "left")  # right * den >= left * num
-            most = np.searchsorted(n[right] * num, n[left] * den, "right")
-            for at in range(0, len(right), step):
-                own = right[at : at + step]
-                words, sizes = np.ascontiguousarray(bits[own].T), n[own]
-                for k in np.flatnonzero((least < at + step) & (most > at)):
-                    lo, hi = max(int(least[k]) - at, k + 1 - at if same else 0, 0), min(int(most[k]) - at, len(own))
-                    if lo < hi:
-                        apart = np.bitwise_count(words[:, lo:hi] ^ bits[left[k]][:, None]).sum(axis=0, dtype=np.uint32)
-                        near = np.flatnonzero(apart.astype(np.int64) * (den + num) <= (n[left[k]] + sizes[lo:hi]) * (den - num))
-                        if len(near):
-                            others = ids[own[lo + near]]
-                            found.append(np.stack([np.minimum(ids[left[k]], others), np.maximum(ids[left[k]], others)], axis=1))
-
+        ids, guest, second = (table[c].to_numpy() for c in ("set_id", "guest", "second"))
+        of = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), kind).reshape(len(ids), -1)
+        packed = of("counts", np.uint8)
+        rows = _Cell(table["n"].to_numpy().astype(np.int64), of("bits", np.uint64), np.stack([packed & 15, packed >> 4], axis=2).reshape(len(ids), -1), threshold)
         if table["i"][0] == table["j"][0]:
             hosts = np.flatnonzero(~guest)
-            meet(hosts, hosts, True)
-            meet(hosts, np.flatnonzero(guest), False)
+            rows.meet(hosts, hosts, True)
+            rows.meet(hosts, np.flatnonzero(guest), False)
         else:
-            meet(np.flatnonzero(~guest & ~second), np.flatnonzero(second), False)
-            meet(np.flatnonzero(guest & ~second), np.flatnonzero(~guest & second), False)
-        pairs = np.concatenate(found)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+            rows.meet(np.flatnonzero(~guest & ~second), np.flatnonzero(second), False)
+            rows.meet(np.flatnonzero(guest & ~second), np.flatnonzero(~guest & second), False)
+        a, b = (ids[np.concatenate([np.zeros(0, np.int64), *x])] for x in (zip(*rows.found) if rows.found else ((), ())))
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
     return materialise(dealt.groupBy("class", "i", "j").applyInArrow(cell, "a long, b long"), "near")
 
@@ -345,13 +459,21 @@ def _compared(near: DataFrame, sets: DataFrame, df: DataFrame, text: str, within
     members = cells.select(F.col("label").alias("of"), F.col("i").alias("oi"), F.col("j").alias("oj"), F.explode(F.array("a", "b")).alias("set_id")).distinct().join(texts, "set_id")
 
     def cell(pairs: pa.Table, own: pa.Table) -> pa.Table:
-        grams = {s: gram_hashes(t, w) for s, t, w in zip(own["set_id"].to_pylist(), own["text"].to_pylist(), own["within"].to_pylist())}
-        keep = []
-        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
-            x, y = grams[a], grams[b]
-            both = np.sort(np.concatenate([x, y]))
-            shared = int(np.count_nonzero(both[1:] == both[:-1]))
-            keep.append(shared * den >= (len(x) + len(y) - shared) * num)
+        grams = [gram_hashes(t, w) for t, w in zip(own["text"].to_pylist(), own["within"].to_pylist())]
+        sizes = np.array([len(x) for x in grams])
+        ends = np.cumsum(sizes)
+        known, places = np.unique(np.concatenate(grams), return_inverse=True)
+        order = np.argsort(own["set_id"].to_numpy())
+        a, b = (order[np.searchsorted(own["set_id"].to_numpy(), pairs[c].to_numpy(), sorter=order)] for c in ("a", "b"))
+        keep, marked = np.zeros(len(a), bool), np.zeros(len(known), bool)
+        by = np.argsort(a, kind="stable")
+        for of in np.split(by, np.flatnonzero(np.diff(a[by])) + 1):  # the pairs of one set: its shingles are marked once
+            first = places[ends[a[of[0]]] - sizes[a[of[0]]] : ends[a[of[0]]]]
+            marked[first] = True
+            for k in of:
+                shared = int(np.count_nonzero(marked[places[ends[b[k]] - sizes[b[k]] : ends[b[k]]]]))
+                keep[k] = shared * den >= (len(first) + int(sizes[b[k]]) - shared) * num
+            marked[first] = False
         return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return materialise(cells.groupBy("label", "i", "j").cogroup(members.groupBy("of", "oi", "oj")).applyInArrow(cell, "a long, b long"), "similar")
