@@ -59,11 +59,13 @@ def test_cells_lose_no_pair_and_compare_the_bits_of_few(monkeypatch):
         base = np.random.default_rng(k).integers(0, 2**63, 501, np.uint64) << np.uint64(1)
         sets += [np.sort(base[:450]), np.sort(np.append(base[:400], base[450:500])), np.sort(np.append(base[:399], base[450:501]))]
     n = np.array([len(x) for x in sets])
-    above, both = int(n.max()) + 1, lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    above, known = int(n.max()) + 1, np.unique(np.concatenate(sets))
+    holds = np.array([np.isin(known, x) for x in sets], np.float32)
+    both = (holds @ holds.T).astype(int)
     words, packed = dedupe._words(above, (4, 5)), np.array([np.frombuffer(dedupe._counts(x, dedupe._buckets(above)), np.uint8) for x in sets])
     bits = np.array([np.frombuffer(dedupe._parity(x, words), np.uint64) for x in sets])
     order, pairs = np.random.default_rng(0).permutation(len(n)), list(itertools.combinations(range(len(n)), 2))
-    want = {(i, j) for i, j in pairs if 5 * both(i, j) >= 4 * (n[i] + n[j] - both(i, j))}
+    want = {(i, j) for i, j in pairs if 5 * both[i, j] >= 4 * (n[i] + n[j] - both[i, j])}
     fits = sum(4 * n[i] <= 5 * n[j] and 4 * n[j] <= 5 * n[i] for i, j in pairs)
     compared = []
     for meetings in ([(order, order, True)], [(order[::2], order[::2], True), (order[::2], order[1::2], False), (order[1::2], order[1::2], True)]):
@@ -77,6 +79,31 @@ def test_cells_lose_no_pair_and_compare_the_bits_of_few(monkeypatch):
     assert sum(compared) < 2 * 0.1 * fits  # all of them were compared before
 
 
+def test_long_copies_are_compared_in_a_glance_and_in_parts(monkeypatch):
+    import random
+    import time
+
+    import numpy as np
+
+    draw = random.Random(2)
+    base = draw.choices("abcdefghij ", k=50_000)
+    texts = ["".join(draw.choice("abcdefghij ") if draw.random() < p else c for c in base) for p in [0.005, 0.01, 0.02, 0.05] * 10]
+    a, b = np.array(list(itertools.combinations(range(len(texts)), 2))).T
+    began = time.process_time()
+    keep = dedupe._reached(texts, [None] * len(texts), a, b, (4, 5))
+    took = time.process_time() - began
+    sets = [dedupe.gram_hashes(t) for t in texts]
+    assert 0.1 < keep.mean() < 0.9
+    began, want = time.process_time(), []
+    for i, j in zip(a, b):  # as every pair was compared before
+        both = np.sort(np.concatenate([sets[i], sets[j]]))
+        shared = int(np.count_nonzero(both[1:] == both[:-1]))
+        want.append(5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared))
+    assert keep.tolist() == want and took < time.process_time() - began
+    monkeypatch.setattr(dedupe, "CELL_CHARS", 150_000)  # three texts a part
+    assert (dedupe._reached(texts[:12], [None] * 12, a[b < 12], b[b < 12], (4, 5)) == keep[b < 12]).all()
+
+
 def test_first_kept_is_greedy_in_string_order(spark):
     base = "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf again"
     rows = [("x-2", base), ("x-10", base + "!"), ("b", base + " now"), ("z", "something else entirely here"), ("c", "unrelated words of another kind"), ("d", None)]

@@ -248,6 +248,8 @@ def _ids(*columns: DataFrame) -> DataFrame:
 BLOCKS = 6
 #: Pairs of similar sets that are compared in one cell, about.
 CELL_PAIRS = 20_000
+#: Characters of text that a cell has hashed at once, about half.
+CELL_CHARS = 1 << 22
 #: Rows compared with so many others at once, and bytes of parity bits compared at once.
 TILE, OTHERS, CACHE = 256, 2048, 1 << 18
 #: A bucket's count stops here: it is no more apart than the shingles are.
@@ -440,6 +442,35 @@ def _close(sets: DataFrame, threshold) -> DataFrame:
     return materialise(dealt.groupBy("class", "i", "j").applyInArrow(cell, "a long, b long"), "near")
 
 
+def _reached(texts: list, withins: list, a: np.ndarray, b: np.ndarray, threshold) -> np.ndarray:
+    """Which of the pairs (places of texts) reach the threshold.
+
+    Shingles of the texts at hand are numbered once, those of a set marked once for all its
+    pairs, so a pair takes a look at each shingle of its other set.  Of long texts no more
+    than about twice CELL_CHARS are at hand at once, and they are hashed again for others.
+    """
+    num, den = threshold
+    part = np.cumsum([len(t or "") for t in texts]) // CELL_CHARS
+    both, keep = part[a] * (part[-1] + 1) + part[b], np.zeros(len(a), bool)
+    for k in np.unique(both):
+        pairs = np.flatnonzero(both == k)
+        used, own = np.unique(np.stack([a[pairs], b[pairs]]), return_inverse=True)
+        grams = [gram_hashes(texts[i], withins[i]) for i in used]
+        ends = np.cumsum([0, *map(len, grams)])
+        known, places = np.unique(np.concatenate(grams), return_inverse=True)
+        marked, (x, y) = np.zeros(len(known), bool), own.reshape(2, -1)
+        by = np.argsort(x, kind="stable")
+        for of in np.split(by, np.flatnonzero(np.diff(x[by])) + 1):
+            first = places[ends[x[of[0]]] : ends[x[of[0]] + 1]]
+            marked[first] = True
+            for p in of:
+                other = places[ends[y[p]] : ends[y[p] + 1]]
+                shared = int(np.count_nonzero(marked[other]))
+                keep[pairs[p]] = shared * den >= (len(first) + len(other) - shared) * num
+            marked[first] = False
+    return keep
+
+
 def _compared(near: DataFrame, sets: DataFrame, df: DataFrame, text: str, within: str | None, threshold) -> DataFrame:
     """Of the pairs those that reach the threshold: their texts, which are smaller than their shingles, are brought together and hashed again.
 
@@ -447,7 +478,6 @@ def _compared(near: DataFrame, sets: DataFrame, df: DataFrame, text: str, within
     dealt by both sets into about CELL_PAIRS each: a text is sent and hashed once a cell,
     not once a pair.
     """
-    num, den = threshold
     needed = materialise(near.select("a").union(near.select("b")).toDF("set_id").distinct().join(sets.select("set_id", "text_id"), "set_id"), "needed")
     few = needed.count() <= MAX_IDS
     texts = _rows(df, F.lit(0), text, within, False).select(F.xxhash64("text", "within").alias("text_id"), "text", "within")
@@ -459,22 +489,10 @@ def _compared(near: DataFrame, sets: DataFrame, df: DataFrame, text: str, within
     members = cells.select(F.col("label").alias("of"), F.col("i").alias("oi"), F.col("j").alias("oj"), F.explode(F.array("a", "b")).alias("set_id")).distinct().join(texts, "set_id")
 
     def cell(pairs: pa.Table, own: pa.Table) -> pa.Table:
-        grams = [gram_hashes(t, w) for t, w in zip(own["text"].to_pylist(), own["within"].to_pylist())]
-        sizes = np.array([len(x) for x in grams])
-        ends = np.cumsum(sizes)
-        known, places = np.unique(np.concatenate(grams), return_inverse=True)
-        order = np.argsort(own["set_id"].to_numpy())
-        a, b = (order[np.searchsorted(own["set_id"].to_numpy(), pairs[c].to_numpy(), sorter=order)] for c in ("a", "b"))
-        keep, marked = np.zeros(len(a), bool), np.zeros(len(known), bool)
-        by = np.argsort(a, kind="stable")
-        for of in np.split(by, np.flatnonzero(np.diff(a[by])) + 1):  # the pairs of one set: its shingles are marked once
-            first = places[ends[a[of[0]]] - sizes[a[of[0]]] : ends[a[of[0]]]]
-            marked[first] = True
-            for k in of:
-                shared = int(np.count_nonzero(marked[places[ends[b[k]] - sizes[b[k]] : ends[b[k]]]]))
-                keep[k] = shared * den >= (len(first) + int(sizes[b[k]]) - shared) * num
-            marked[first] = False
-        return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        of = own["set_id"].to_numpy()
+        order = np.argsort(of)
+        a, b = (order[np.searchsorted(of, pairs[c].to_numpy(), sorter=order)] for c in ("a", "b"))
+        return pairs.select(["a", "b"]).filter(pa.array(_reached(own["text"].to_pylist(), own["within"].to_pylist(), a, b, threshold)))
 
     return materialise(cells.groupBy("label", "i", "j").cogroup(members.groupBy("of", "oi", "oj")).applyInArrow(cell, "a long, b long"), "similar")
 
